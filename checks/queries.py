@@ -93,7 +93,7 @@ def positive_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shift_end_rows(spark: SparkSession, d: str) -> DataFrame:
-    ev = spark.read.parquet(f"{d}/events.parquet")
+    ev = fx._read(spark, d, "events")
     return ev.where(shift_end("ts", TZ)).select("event_id", "ts", local_time("ts", "UTC", TZ).alias("local_ts"))
 
 

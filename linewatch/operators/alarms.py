@@ -68,13 +68,14 @@ def with_previous_end(
         .withColumn("_prev_start", F.lag(start_col).over(by_slice))
         .withColumn("_prev_end", F.lag(end_col).over(by_slice))
     )
-    last = rows.groupBy(source_col, sl).agg(
-        F.max(F.struct(F.col(start_col).alias("s"), F.col(end_col).alias("e"))).alias("_last")
+    # End time of each slice's latest alarm (NULL when it never cleared); partial aggregation map-side.
+    last = alarms.withColumn(sl, F.date_trunc(slice_unit, F.col(start_col))).groupBy(source_col, sl).agg(
+        F.max_by(end_col, start_col).alias("_last_end")
     )
     carry = last.select(
         source_col,
         sl,
-        F.lag(F.col("_last.e")).over(Window.partitionBy(source_col).orderBy(sl)).alias("_carry_end"),
+        F.lag("_last_end").over(Window.partitionBy(source_col).orderBy(sl)).alias("_carry_end"),
     )
     joined = rows.join(carry, [source_col, sl], "left")
     prev = F.when(F.col("_prev_start").isNull(), F.col("_carry_end")).otherwise(F.col("_prev_end"))

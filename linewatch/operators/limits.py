@@ -1,17 +1,28 @@
-"""Spec limits as data: a rules table semi-joined to the measurements.
-
-A rules row is ``(parameter_name, [location], low, high)``. A measurement fails
-when its value is below ``low`` or above ``high`` for a rule of its parameter
-(and location, when the rule names one). The limits themselves pass, a NULL or
-unreadable value never fails, and a row failing two rules is kept once: the
-same meaning as a chain of ``OR``-ed ranges, for any number of rules.
+"""Spec limits as data.
+
+A rules row is ``(parameter_name, location_id, location_name, low, high)``. A
+measurement fails when its value is below ``low`` or above ``high`` for a rule
+of its parameter (and location, when the rule names one). The limits
+themselves pass, a NULL or unreadable value never fails, and a row failing two
+rules is kept once: the meaning of a chain of ``OR``-ed ranges, for any number
+of rules.
+
+Two physical forms, chosen by the size of the rule set:
+
+* up to ``MAX_INLINE_RULES`` rules (a Python list, or a rules DataFrame whose
+  row count is checked first): the rules become one ``CASE parameter_name``
+  expression, evaluated inside whole-stage codegen with no join, and the rule
+  names become a pushed ``IN`` filter on the scan;
+* more rules: a semi-join with the rules table on ``parameter_name`` with the
+  range test as join condition; Spark broadcasts it when it is small enough and
+  shuffles both sides otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -26,16 +37,19 @@ RULES_SCHEMA = StructType(
         StructField("high", DoubleType(), False),
     ]
 )
+_LOCATION_FIELD = {"work_location_id": 1, "work_location_name": 2}
 
-# A rules table larger than this is not broadcast; the semi-join then shuffles.
-MAX_BROADCAST_RULES = 100_000
+# Rule sets up to this size are compiled into an expression.
+MAX_INLINE_RULES = 500
 
+Rules = DataFrame | Sequence[Sequence]
 
-def rules_frame(spark: SparkSession, rows: Iterable[Sequence]) -> DataFrame:
-    """Rules DataFrame from ``(name, location_id, location_name, low, high)`` rows.
 
-    Four-field rows ``(name, location_id, low, high)`` get the location name
-    as the zero-padded id (``1`` -> ``'01'``).
+def normalize_rules(rows: Iterable[Sequence]) -> list[tuple]:
+    """Rows as ``(name, location_id, location_name, low, high)``.
+
+    Four-field rows ``(name, location_id, low, high)`` get the location name as
+    the zero-padded id (``1`` -> ``'01'``).
     """
     full = []
     for r in rows:
@@ -45,7 +59,12 @@ def rules_frame(spark: SparkSession, rows: Iterable[Sequence]) -> DataFrame:
         else:
             name, loc, loc_name, low, high = r
             full.append((name, loc, loc_name, float(low), float(high)))
-    return spark.createDataFrame(full, RULES_SCHEMA)
+    return full
+
+
+def rules_frame(spark: SparkSession, rows: Iterable[Sequence]) -> DataFrame:
+    """Rules DataFrame (``RULES_SCHEMA``) from rule rows."""
+    return spark.createDataFrame(normalize_rules(rows), RULES_SCHEMA)
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -53,6 +72,65 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def inline_rules(rules: Rules, max_rules: int = MAX_INLINE_RULES) -> list[tuple] | None:
+    """The rule rows when there are at most ``max_rules`` of them, else None.
+
+    A DataFrame is read with a limit of ``max_rules + 1`` rows, so a large
+    rules table is never pulled to the driver.
+    """
+    if isinstance(rules, DataFrame):
+        cols = [c.name for c in RULES_SCHEMA.fields]
+        got = rules.select(*[F.col(c) if c in rules.columns else F.lit(None).alias(c) for c in cols]).limit(max_rules + 1).collect()
+        rows = [tuple(r) for r in got]
+    else:
+        rows = normalize_rules(rules)
+    return rows if len(rows) <= max_rules else None
+
+
+def _sql_text(v: str) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_value(v) -> str:
+    return f"{float(v)!r}D" if isinstance(v, float) else (str(v) if isinstance(v, int) else _sql_text(v))
+
+
+def spec_failure(
+    rows: Sequence[tuple],
+    value_col: str,
+    location_col: str | None = None,
+    parameter_col: str = "parameter_name",
+) -> Column:
+    """Column that is true when the row is outside some rule of its parameter.
+
+    NULL (never true) when the value or a needed location is NULL. The value
+    is read with ``try_cast(... AS DOUBLE)``, so text values work and
+    unreadable text never fails. The rules are compiled into one
+    ``CASE parameter WHEN name THEN <ranges> ELSE false END`` expression,
+    parsed once, so the check runs inside whole-stage codegen.
+    """
+    by_name: dict[str, list[tuple]] = {}
+    for r in rows:
+        by_name.setdefault(r[0], []).append(r)
+    if not by_name:
+        return F.lit(False)
+    idx = _LOCATION_FIELD.get(location_col) if location_col else None
+    v = f"TRY_CAST(`{value_col}` AS DOUBLE)"
+    branches = []
+    for name, rs in by_name.items():
+        tests = []
+        for r in rs:
+            outside = f"({v} < {_sql_value(r[3])} OR {v} > {_sql_value(r[4])})"
+            loc = r[idx] if idx is not None else None
+            tests.append(outside if loc is None else f"(`{location_col}` = {_sql_value(loc)} AND {outside})")
+        branches.append(f"WHEN {_sql_text(name)} THEN ({' OR '.join(tests)})")
+    return F.expr(f"CASE `{parameter_col}` {' '.join(branches)} ELSE false END")
+
+
+def rule_names(rows: Sequence[tuple]) -> list[str]:
+    return sorted({r[0] for r in rows})
+
+
 def _rule_side(rules: DataFrame, parameter_col: str, location_col: str | None) -> DataFrame:
     cols = [F.col(parameter_col).alias("_rule_parameter"), F.col("low").alias("_rule_low"), F.col("high").alias("_rule_high")]
     if location_col:
@@ -62,36 +140,33 @@ def _rule_side(rules: DataFrame, parameter_col: str, location_col: str | None) -
 
 def out_of_spec(
     records: DataFrame,
-    rules: DataFrame,
+    rules: Rules,
     value_col: str = "parameter_value_raw",
     location_col: str | None = None,
     parameter_col: str = "parameter_name",
-    max_broadcast_rules: int = MAX_BROADCAST_RULES,
+    max_inline_rules: int = MAX_INLINE_RULES,
 ) -> DataFrame:
     """Rows of ``records`` outside the limits of some rule of their parameter.
 
     ``value_col`` may be text (read with ``try_cast``) or numeric. With
-    ``location_col``, a rule applies only where the record's location equals the
-    rule's; a rule whose location is NULL applies everywhere.
-
-    The rules side is broadcast only after its row count is checked; the
-    parameter names then also go into the scan as a pushed ``IN`` filter.
+    ``location_col`` (``work_location_id`` or ``work_location_name``), a rule
+    applies only where the record's location equals the rule's; a rule whose
+    location is NULL applies everywhere.
     """
-    side = _rule_side(rules, parameter_col, location_col)
+    rows = inline_rules(rules, max_inline_rules)
+    if rows is not None:
+        return records.where(F.col(parameter_col).isin(rule_names(rows)) & spec_failure(rows, value_col, location_col, parameter_col))
     value = as_number(F.col(value_col))
+    side = _rule_side(rules, parameter_col, location_col)
     cond = (F.col(parameter_col) == F.col("_rule_parameter")) & ((value < F.col("_rule_low")) | (value > F.col("_rule_high")))
     if location_col:
         cond = cond & (F.col("_rule_location").isNull() | (F.col(location_col) == F.col("_rule_location")))
-    if row_count_at_most(side, max_broadcast_rules):
-        names = [r[0] for r in side.select("_rule_parameter").distinct().collect()]
-        records = records.where(F.col(parameter_col).isin(names))
-        side = F.broadcast(side)
     return records.join(side, cond, "left_semi")
 
 
 def out_of_spec_by_location(
     records: DataFrame,
-    rules: DataFrame,
+    rules: Rules,
     location_col: str = "work_location_id",
     value_col: str = "parameter_value_num",
     parameter_col: str = "parameter_name",

@@ -8,7 +8,10 @@ origin station). A parent with three children from one origin counts once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewatch.operators.counts import COUNT
@@ -53,3 +56,43 @@ def trace_origin(
         .agg(F.countDistinct("_parent").alias(COUNT))
         .select(COUNT, "station_name", origin_out)
     )
+
+
+def trace_origins(
+    children: DataFrame,
+    genealogy: DataFrame,
+    failures: DataFrame,
+    variants: Sequence[tuple[str, Column, Column]],
+    origin_out: str = "origin_station",
+    parent_col: str = "product_serial",
+    child_col: str = "scanned_child_serial",
+    max_broadcast_parents: int = MAX_BROADCAST_PARENTS,
+) -> DataFrame:
+    """Several traces over the same tables with one read of each.
+
+    ``variants`` are ``(tag, failing-row test, origin-row test)``. Failing
+    rows and origin rows are tagged with every variant they pass; genealogy
+    is joined once, and a trace only pairs a failing parent with origins of
+    its own variant (the tag is part of the child join key). Output: one row
+    per (tag, failing station, origin station) with the distinct parents.
+    """
+    fail_tags = F.array_compact(F.array(*[F.when(p, F.lit(tag)) for tag, p, _ in variants]))
+    origin_tags = F.array_compact(F.array(*[F.when(o, F.lit(tag)) for tag, _, o in variants]))
+    any_fail = reduce(lambda a, b: a | b, [p for _, p, _ in variants])
+    any_origin = reduce(lambda a, b: a | b, [o for _, _, o in variants])
+    failing = failures.where(any_fail)
+    fails = failing.select(
+        F.col("product_serial").alias("_parent"), "station_name", F.explode(fail_tags).alias("_trace")
+    ).distinct()
+    links = genealogy.select(F.col(parent_col).alias("_parent"), F.col(child_col).alias("_child"))
+    origin = children.where(any_origin).select(
+        F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out), F.explode(origin_tags).alias("_trace")
+    )
+    if row_count_at_most(failing.select("product_serial"), max_broadcast_parents):
+        fails = F.broadcast(fails)
+    traced = links.join(fails, "_parent").join(origin, ["_child", "_trace"])
+    return (
+        traced.groupBy("_trace", "station_name", origin_out)
+        .agg(F.countDistinct("_parent").alias(COUNT))
+        .select("_trace", COUNT, "station_name", origin_out)
+    )

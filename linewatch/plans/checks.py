@@ -13,12 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
-from linewatch.operators.limits import out_of_spec, rules_frame
+from linewatch.operators.limits import inline_rules
 from linewatch.operators.trace import trace_origin
 
 
@@ -72,6 +72,15 @@ class ParamCheck:
     status: str = "NOK"
     where: str | None = None
     since: datetime | None = None
+    per_station = False
+
+    def fusable(self) -> bool:
+        return True
+
+    def predicate(self, records: DataFrame, bound: datetime) -> Column:
+        return ct.param_fail_filter(
+            records, self.since or bound, self.parameter, self.station, self.station_like, self.parameter_id, self.status, _where(self.where)
+        )
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         return ct.param_fail_counts(
@@ -88,6 +97,13 @@ class NokCheck:
     status: str = "NOK"
     where: str | None = None
     since: datetime | None = None
+    per_station = False
+
+    def fusable(self) -> bool:
+        return True
+
+    def predicate(self, records: DataFrame, bound: datetime) -> Column:
+        return ct.nok_filter(records, self.since or bound, self.station, self.station_like, self.status, _where(self.where))
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         return ct.station_nok_counts(t.records, self.since or bound, self.station, self.station_like, self.status, _where(self.where))
@@ -95,7 +111,10 @@ class NokCheck:
 
 @dataclass(frozen=True)
 class SpecCheck:
-    """Units outside a limit set, per parameter; or per station with ``per_station``."""
+    """Units outside a limit set, per parameter; or per station with ``per_station``.
+
+    ``rules`` are rule rows (see ``linewatch.operators.limits``).
+    """
 
     rules: Sequence[tuple]
     station: str | None = None
@@ -107,15 +126,24 @@ class SpecCheck:
     where: str | None = None
     since: datetime | None = None
 
+    def fusable(self) -> bool:
+        return inline_rules(self.rules) is not None
+
+    def predicate(self, records: DataFrame, bound: datetime) -> Column:
+        rows = inline_rules(self.rules)
+        return ct.spec_fail_filter(
+            records, self.since or bound, rows, self.station, self.station_like, self.value_col, self.location_col,
+            self.status, _where(self.where),
+        )
+
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
-        rules = rules_frame(t.records.sparkSession, self.rules)
         fn = ct.station_unique_fails if self.per_station else (
             ct.out_of_spec_location_counts if self.location_col else ct.out_of_spec_counts
         )
         kwargs = dict(station=self.station, station_like=self.station_like, value_col=self.value_col, status=self.status, where=_where(self.where))
         if self.location_col or self.per_station:
             kwargs["location_col"] = self.location_col
-        return fn(t.records, rules, self.since or bound, **kwargs)
+        return fn(t.records, self.rules, self.since or bound, **kwargs)
 
 
 @dataclass(frozen=True)
@@ -174,22 +202,30 @@ class TraceCheck:
     origin_parameter: str | None = "Nest"
     since: datetime | None = None
 
-    def failing(self, t: LineTables, bound: datetime) -> DataFrame:
-        df = ct._scope(
-            t.failure_rows(), self.since or bound, "recorded_at",
-            ct.station_filter(self.fail_station, self.fail_station_like), _where(self.fail_where),
-        )
+    def fail_predicate(self, rows: DataFrame, bound: datetime) -> Column:
+        """Row test for the failing units; spec limits are compiled inline."""
+        spec = None
         if self.fail_rules is not None:
-            df = out_of_spec(df, rules_frame(df.sparkSession, self.fail_rules), value_col=self.fail_value_col)
-        return df
+            rules = inline_rules(self.fail_rules)
+            spec = ct.spec_fail_filter(rows, None, rules, value_col=self.fail_value_col)
+        return ct._all(
+            ct.after(rows, "recorded_at", self.since or bound),
+            ct.station_filter(self.fail_station, self.fail_station_like),
+            _where(self.fail_where),
+            spec,
+        )
+
+    def origin_predicate(self) -> Column:
+        like = None if self.origin_like is None else F.col("station_name").like(self.origin_like)
+        param = None if self.origin_parameter is None else F.col("parameter_name") == self.origin_parameter
+        return ct._all(like, param)
+
+    def failing(self, t: LineTables, bound: datetime) -> DataFrame:
+        rows = t.failure_rows()
+        return rows.where(self.fail_predicate(rows, bound))
 
     def origins(self, t: LineTables) -> DataFrame:
-        df = t.child_rows()
-        if self.origin_like is not None:
-            df = df.where(F.col("station_name").like(self.origin_like))
-        if self.origin_parameter is not None:
-            df = df.where(F.col("parameter_name") == self.origin_parameter)
-        return df
+        return t.child_rows().where(self.origin_predicate())
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         return trace_origin(self.origins(t), t.genealogy, self.failing(t, bound))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewatch.functions.time import window_start
-from linewatch.operators.counts import COUNT, positive_counts
-from linewatch.operators.totals import override_totals, station_totals
+from linewatch.operators.counts import COUNT, after, positive_counts, split_tagged, station_filter, tagged_counts
+from linewatch.operators.trace import trace_origins
 from linewatch.plans.checks import LinePlan, LineTables
 
 SECTIONS = ("parameter", "pareto", "origin")
@@ -52,13 +52,77 @@ def _bound(as_of: datetime, hours: int) -> datetime:
     return window_start(as_of, hours)
 
 
-def fail_counts(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
-    """All count checks stacked, labels merged, zero counts dropped (unsorted)."""
-    bound = _bound(as_of, hours)
-    frames = [c.frame(tables, bound, plan.local_tz) for c in plan.counts]
+def _fusable(check, records: DataFrame, bound: datetime) -> bool:
+    return hasattr(check, "fusable") and check.fusable()
+
+
+def _record_counts(records: DataFrame, tagged: Sequence[tuple[str, object]], bound: datetime) -> DataFrame:
+    """Counts of many record checks from one scan of ``records`` (``tagged_counts``), with a ``_check`` tag."""
+    checks = [c for _, c in tagged]
+    preds = [(tag, c.predicate(records, bound), c.per_station) for tag, c in tagged]
+    # Pushable superset: the earliest bound, and one of the checked stations.
+    pre = after(records, "recorded_at", min(c.since or bound for c in checks))
+    stations = [station_filter(c.station, c.station_like) for c in checks]
+    if all(s is not None for s in stations):
+        pre = pre & reduce(lambda a, b: a | b, stations)
+    return tagged_counts(records, preds, pre)
+
+
+def _plan_frames(tables: LineTables, plan: LinePlan, bound: datetime) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Result frames of the count checks, of the exact checks, and the fused record counts.
+
+    All record checks of both kinds share one scan and one aggregation
+    (``fused``, tagged ``n*`` for counts and ``x*`` for exact checks); the
+    other checks are their own small plans.
+    """
+    records = tables.records
+    tagged = [(f"n{i}", c) for i, c in enumerate(plan.counts) if _fusable(c, records, bound)]
+    tagged += [(f"x{i}", c) for i, c in enumerate(plan.exact) if _fusable(c, records, bound)]
+    counts = [c.frame(tables, bound, plan.local_tz) for c in plan.counts if not _fusable(c, records, bound)]
+    exact = [c.frame(tables, bound, plan.local_tz) for c in plan.exact if not _fusable(c, records, bound)]
+    fused = _record_counts(records, tagged, bound) if tagged else None
+    return counts, exact, fused
+
+
+def _fail_counts(counts: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
+    frames = list(counts) + ([split_tagged(fused, "n")] if fused is not None else [])
     return positive_counts(merge_labels(combine_reports(frames)))
 
 
+def _pareto(counts: Sequence[DataFrame], exact: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
+    """Station totals with exact overrides, as one aggregation over all result rows.
+
+    Per station: the sum of positive counts of the count checks, replaced by
+    the exact count when an exact check gives one; stations without counts get
+    no row. The tests are aggregate outputs, so nothing is pushed below the
+    shared record aggregation and its shuffle is reused.
+    """
+    rows = [c.select(F.lit(False).alias("_exact"), "station_name", COUNT) for c in counts]
+    rows += [e.select(F.lit(True).alias("_exact"), "station_name", COUNT) for e in exact]
+    if fused is not None:
+        rows.append(fused.select(F.col("_check").startswith("x").alias("_exact"), "station_name", COUNT))
+    stacked = reduce(DataFrame.unionByName, rows)
+    per_station = stacked.groupBy("station_name").agg(
+        F.sum(F.when(~F.col("_exact") & (F.col(COUNT) > 0), F.col(COUNT))).alias("_total"),
+        F.max(F.when(F.col("_exact"), F.col(COUNT))).alias("_exact_count"),
+        F.max(F.col("station_name").isNotNull()).alias("_named"),
+    )
+    out = per_station.where(F.col("_named") & F.col("_total").isNotNull()).select(
+        "station_name", F.coalesce("_exact_count", "_total", F.lit(0)).cast("long").alias(COUNT)
+    )
+    return positive_counts(out)
+
+
+def fail_counts(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
+    """All count checks stacked, labels merged, zero counts dropped (unsorted).
+
+    Checks on ``records`` are evaluated together in one scan and one
+    aggregation; alarm and job checks are their own small plans.
+    """
+    counts, _, fused = _plan_frames(tables, plan, _bound(as_of, hours))
+    return _fail_counts(counts, fused)
+
+
 def hourly_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """Fail count by station and parameter, most first."""
     return fail_counts(tables, plan, as_of, hours).orderBy(*by_count("station_name", "parameter_name"))
@@ -66,25 +130,25 @@ def hourly_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: in
 
 def pareto(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """Failures per station: summed counts, replaced by exact counts where given, most first."""
-    bound = _bound(as_of, hours)
-    totals = station_totals(fail_counts(tables, plan, as_of, hours))
-    if plan.exact:
-        exact = combine_reports([c.frame(tables, bound, plan.local_tz) for c in plan.exact]).select("station_name", COUNT)
-        totals = override_totals(totals, exact)
-    return positive_counts(totals).orderBy(*by_count("station_name"))
+    counts, exact, fused = _plan_frames(tables, plan, _bound(as_of, hours))
+    return _pareto(counts, exact, fused).orderBy(*by_count("station_name"))
 
 
 def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """Failing units per (station, origin station) over all trace checks, most first."""
     bound = _bound(as_of, hours)
-    return origin_report([t.frame(tables, bound, plan.local_tz) for t in plan.traces])
+    failures, children = tables.failure_rows(), tables.child_rows()
+    variants = [(f"t{i}", t.fail_predicate(failures, bound), t.origin_predicate()) for i, t in enumerate(plan.traces)]
+    traced = trace_origins(children, tables.genealogy, failures, variants)
+    return origin_report(traced.drop("_trace"))
 
 
 def report_sections(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """The three report tables in one frame, with a ``section`` column."""
+    counts, exact, fused = _plan_frames(tables, plan, _bound(as_of, hours))
     parts = [
-        fail_counts(tables, plan, as_of, hours).withColumn("section", F.lit("parameter")),
-        pareto(tables, plan, as_of, hours).withColumn("section", F.lit("pareto")),
+        _fail_counts(counts, fused).withColumn("section", F.lit("parameter")),
+        _pareto(counts, exact, fused).withColumn("section", F.lit("pareto")),
     ]
     if plan.traces:
         parts.append(origin_trace_report(tables, plan, as_of, hours).withColumn("section", F.lit("origin")))

@@ -8,14 +8,24 @@ The same views, written for DuckDB, are in ``checks/oracle_sql.py``.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_RELATIONS: dict[tuple, DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table's parquet relation, resolved once per session and file version (like a catalog)."""
+    path = f"{sf_dir}/{name}.parquet"
+    st = os.stat(path)
+    key = (id(spark), spark.sparkContext.applicationId, path, st.st_mtime_ns, st.st_size)
+    if key not in _RELATIONS:
+        _RELATIONS[key] = spark.read.parquet(path)
+    return _RELATIONS[key]
 
 
 def _k() -> Column:
