@@ -200,8 +200,7 @@ def alarm_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def combined_report(spark: SparkSession, d: str) -> DataFrame:
-    t, plan = _tables(spark, d), fixture_plan()
-    return rp.combine_reports([c.frame(t, BOUND, TZ) for c in plan.counts])
+    return rp.stacked_counts(_tables(spark, d), fixture_plan(), AS_OF, 1)
 
 
 # ---- reports -------------------------------------------------------------

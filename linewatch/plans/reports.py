@@ -84,9 +84,19 @@ def _plan_frames(tables: LineTables, plan: LinePlan, bound: datetime) -> tuple[l
     return counts, exact, fused
 
 
-def _fail_counts(counts: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
+def _stacked(counts: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
     frames = list(counts) + ([split_tagged(fused, "n")] if fused is not None else [])
-    return positive_counts(merge_labels(combine_reports(frames)))
+    return combine_reports(frames)
+
+
+def _fail_counts(counts: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
+    return positive_counts(merge_labels(_stacked(counts, fused)))
+
+
+def stacked_counts(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
+    """All count checks stacked by column name, labels not merged, zeros kept."""
+    counts, _, fused = _plan_frames(tables, plan, _bound(as_of, hours))
+    return _stacked(counts, fused)
 
 
 def _pareto(counts: Sequence[DataFrame], exact: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
