@@ -4,7 +4,10 @@
 (window, station, parameter) are counted in two stateful steps: drop repeated
 (window, keys, serial) rows, then count per (window, keys). Both states are
 keyed by the event-time window, so the watermark evicts them once a window
-closes. Rows later than ``delay`` behind the newest event are dropped.
+closes. A window is emitted once the watermark (newest event time minus
+``delay``) passes its end. A row older than the watermark of the previous
+micro-batch is dropped (Spark's rule for chained stateful operators), so a
+late row can still count while its window is open in the same batch.
 """
 
 from __future__ import annotations
