@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from linewatch.operators.counts import COUNT
 from linewatch.operators.limits import row_count_at_most
+from linewatch.session import materialize
 
 # Failing (parent, station) pairs up to this many rows are broadcast to the genealogy scan.
 MAX_BROADCAST_PARENTS = 200_000
@@ -39,17 +40,20 @@ def trace_origin(
 
     The failing side is deduplicated, then broadcast when its row count is
     checked to be small, so the large genealogy table is read once and never
-    shuffled; otherwise both sides shuffle on the parent serial (AQE splits a
-    skewed parent). Only links of failing parents reach the child join.
+    shuffled. The links of failing parents are then written to the shared
+    checkpoint folder (``materialize``): the planner sees their real size and
+    broadcasts them to the child records, which are streamed, not shuffled.
+    Otherwise both joins shuffle on their keys (AQE splits a skewed key).
     """
     fails = failures.select(F.col("product_serial").alias("_parent"), "station_name").distinct()
     links = genealogy.select(F.col(parent_col).alias("_parent"), F.col(child_col).alias("_child"))
     origin = children.select(F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out))
-    if row_count_at_most(failures.select("product_serial"), max_broadcast_parents):
-        fails = F.broadcast(fails)
-    hit = links.join(fails, "_parent")
+    small = row_count_at_most(failures.select("product_serial"), max_broadcast_parents)
+    hit = links.join(F.broadcast(fails) if small else fails, "_parent")
     if parents_in is not None:
         hit = hit.join(parents_in.select(F.col("product_serial").alias("_parent")), "_parent", "left_semi")
+    if small:
+        hit = materialize(hit, "trace-links")
     traced = hit.join(origin, "_child")
     return (
         traced.groupBy("station_name", origin_out)
@@ -88,9 +92,11 @@ def trace_origins(
     origin = children.where(any_origin).select(
         F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out), F.explode(origin_tags).alias("_trace")
     )
-    if row_count_at_most(failing.select("product_serial"), max_broadcast_parents):
-        fails = F.broadcast(fails)
-    traced = links.join(fails, "_parent").join(origin, ["_child", "_trace"])
+    small = row_count_at_most(failing.select("product_serial"), max_broadcast_parents)
+    hit = links.join(F.broadcast(fails) if small else fails, "_parent")
+    if small:
+        hit = materialize(hit, "trace-links")
+    traced = hit.join(origin, ["_child", "_trace"])
     return (
         traced.groupBy("_trace", "station_name", origin_out)
         .agg(F.countDistinct("_parent").alias(COUNT))

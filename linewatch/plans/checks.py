@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,13 @@ from linewatch.operators.trace import trace_origin
 
 @dataclass
 class LineTables:
-    """The line's tables. ``children``/``failures`` default to ``records``."""
+    """The line's tables. ``children``/``failures`` default to ``records``.
+
+    ``date_partitions`` names a date partition column per table
+    (``{"records": "recorded_date", ...}``). Every bounded read then also
+    filters that column (one day of slack for time zones), which Spark turns
+    into partition pruning: only the recent partitions are listed and read.
+    """
 
     records: DataFrame
     alarms: DataFrame
@@ -32,6 +38,7 @@ class LineTables:
     genealogy: DataFrame
     children: DataFrame | None = None
     failures: DataFrame | None = None
+    date_partitions: dict = field(default_factory=dict)
 
     def child_rows(self) -> DataFrame:
         return self.children if self.children is not None else self.records
@@ -39,6 +46,14 @@ class LineTables:
     def failure_rows(self) -> DataFrame:
         return self.failures if self.failures is not None else self.records
 
+    def bounded(self, name: str, bound: datetime | None) -> DataFrame:
+        """Table ``name`` pruned to the partitions that can hold rows after ``bound``."""
+        df = {"records": self.records, "alarms": self.alarms, "jobs": self.jobs, "failures": self.failure_rows()}[name]
+        col = self.date_partitions.get(name)
+        if col is None or bound is None:
+            return df
+        return df.where(F.col(col) >= F.lit((bound - timedelta(days=1)).date()))
+
 
 def _where(expr: str | None):
     return None if expr is None else F.expr(expr)
@@ -57,7 +72,7 @@ class JobCheck:
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         return ct.job_fail_counts(
-            t.jobs, self.since or bound, self.station, self.station_like, self.ok_status, self.label_col, _where(self.where)
+            t.bounded("jobs", self.since or bound), self.since or bound, self.station, self.station_like, self.ok_status, self.label_col, _where(self.where)
         )
 
 
@@ -84,7 +99,7 @@ class ParamCheck:
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         return ct.param_fail_counts(
-            t.records, self.since or bound, self.parameter, self.station, self.station_like, self.parameter_id, self.status, _where(self.where)
+            t.bounded("records", self.since or bound), self.since or bound, self.parameter, self.station, self.station_like, self.parameter_id, self.status, _where(self.where)
         )
 
 
@@ -106,7 +121,7 @@ class NokCheck:
         return ct.nok_filter(records, self.since or bound, self.station, self.station_like, self.status, _where(self.where))
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
-        return ct.station_nok_counts(t.records, self.since or bound, self.station, self.station_like, self.status, _where(self.where))
+        return ct.station_nok_counts(t.bounded("records", self.since or bound), self.since or bound, self.station, self.station_like, self.status, _where(self.where))
 
 
 @dataclass(frozen=True)
@@ -143,7 +158,7 @@ class SpecCheck:
         kwargs = dict(station=self.station, station_like=self.station_like, value_col=self.value_col, status=self.status, where=_where(self.where))
         if self.location_col or self.per_station:
             kwargs["location_col"] = self.location_col
-        return fn(t.records, self.rules, self.since or bound, **kwargs)
+        return fn(t.bounded("records", self.since or bound), self.rules, self.since or bound, **kwargs)
 
 
 @dataclass(frozen=True)
@@ -162,7 +177,7 @@ class AlarmReportCheck:
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         return al.alarm_report(
-            t.alarms, self.station, self.label, self.debounce_match, self.tag_match, bound, self.source_like,
+            t.bounded("alarms", bound), self.station, self.label, self.debounce_match, self.tag_match, bound, self.source_like,
             self.priorities, self.gap_seconds, self.marker, self.source_tz, local_tz,
         )
 
@@ -179,7 +194,7 @@ class AlarmCountCheck:
     source_tz: str = "UTC"
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
-        scoped = al.alarm_scope(t.alarms, bound, self.source_like, self.priorities, self.source_tz, local_tz)
+        scoped = al.alarm_scope(t.bounded("alarms", bound), bound, self.source_like, self.priorities, self.source_tz, local_tz)
         return al.alarm_count(scoped, self.station, self.label, self.match)
 
 
@@ -221,7 +236,7 @@ class TraceCheck:
         return ct._all(like, param)
 
     def failing(self, t: LineTables, bound: datetime) -> DataFrame:
-        rows = t.failure_rows()
+        rows = t.bounded("failures", self.since or bound)
         return rows.where(self.fail_predicate(rows, bound))
 
     def origins(self, t: LineTables) -> DataFrame:

@@ -75,7 +75,8 @@ def _plan_frames(tables: LineTables, plan: LinePlan, bound: datetime) -> tuple[l
     (``fused``, tagged ``n*`` for counts and ``x*`` for exact checks); the
     other checks are their own small plans.
     """
-    records = tables.records
+    checks = list(plan.counts) + list(plan.exact)
+    records = tables.bounded("records", min([bound] + [c.since for c in checks if getattr(c, "since", None)]))
     tagged = [(f"n{i}", c) for i, c in enumerate(plan.counts) if _fusable(c, records, bound)]
     tagged += [(f"x{i}", c) for i, c in enumerate(plan.exact) if _fusable(c, records, bound)]
     counts = [c.frame(tables, bound, plan.local_tz) for c in plan.counts if not _fusable(c, records, bound)]
@@ -147,7 +148,8 @@ def pareto(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1)
 def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """Failing units per (station, origin station) over all trace checks, most first."""
     bound = _bound(as_of, hours)
-    failures, children = tables.failure_rows(), tables.child_rows()
+    failures = tables.bounded("failures", min([bound] + [t.since for t in plan.traces if t.since]))
+    children = tables.child_rows()
     variants = [(f"t{i}", t.fail_predicate(failures, bound), t.origin_predicate()) for i, t in enumerate(plan.traces)]
     traced = trace_origins(children, tables.genealogy, failures, variants)
     return origin_report(traced.drop("_trace"))

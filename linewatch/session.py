@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app_name: str = "linewatch", shuffle_partitions: int | None = None) -> SparkSession:
@@ -52,3 +53,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="linewatch-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor does not recompute the input) and gives
+    the planner the table's real size, so a small result is broadcast by
+    Spark's own size threshold.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/linewatch/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
