@@ -8,7 +8,6 @@ tables. The DuckDB statements that must give the same rows are in
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

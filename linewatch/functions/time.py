@@ -81,18 +81,25 @@ def coarse_source_bound(bound_local: datetime, source_tz: str, target_tz: str) -
     return b - widest + narrowest - timedelta(minutes=1)
 
 
-def since_local(
+def after_local(
     df: DataFrame, ts_col: str, bound_local: datetime, source_tz: str = "UTC", target_tz: str = "UTC"
-) -> DataFrame:
-    """Rows whose time, converted from ``source_tz`` to ``target_tz``, is after ``bound_local``.
+) -> Column:
+    """Test that ``ts_col``, converted from ``source_tz`` to ``target_tz``, is after ``bound_local``.
 
     A filter on a converted column does not reach the scan, so a plain coarse
-    bound on the raw column is added in front of the exact test.
+    bound on the raw column is put in front of the exact test.
     """
     kind = _column_type(df, ts_col)
     coarse = F.col(ts_col) > ts_literal(coarse_source_bound(bound_local, source_tz, target_tz), kind)
     exact = local_time(ts_col, source_tz, target_tz) > ts_literal(bound_local, TimestampNTZType())
-    return df.where(coarse & exact)
+    return coarse & exact
+
+
+def since_local(
+    df: DataFrame, ts_col: str, bound_local: datetime, source_tz: str = "UTC", target_tz: str = "UTC"
+) -> DataFrame:
+    """Rows whose time, converted from ``source_tz`` to ``target_tz``, is after ``bound_local``."""
+    return df.where(after_local(df, ts_col, bound_local, source_tz, target_tz))
 
 
 def shift_end(ts_col: Column | str, tz: str, hours: Iterable[int] = (5, 15), source_tz: str = "UTC") -> Column:

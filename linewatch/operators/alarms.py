@@ -8,15 +8,15 @@ may be any in-scope alarm of that source, whatever its description.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch.functions.text import bracket_tag
-from linewatch.functions.time import since_local
+from linewatch.functions.time import after_local
 from linewatch.operators.counts import COUNT
 
 SOURCE = "alarm_source"
@@ -26,23 +26,49 @@ PRIORITY = "alarm_priority"
 DESCRIPTION = "alarm_description"
 
 
-def alarm_scope(
+def alarm_scope_filter(
     alarms: DataFrame,
     bound_local: datetime | None = None,
     source_like: str | None = None,
     priorities: Iterable[str] | None = ("high", "critical"),
     source_tz: str = "UTC",
     local_tz: str = "America/Chicago",
-) -> DataFrame:
-    """Alarms of matching sources and priorities whose local start is after ``bound_local``."""
-    df = alarms
+) -> Column:
+    """Test for alarms of matching sources and priorities whose local start is after ``bound_local``."""
+    conds = []
     if bound_local is not None:
-        df = since_local(df, START, bound_local, source_tz, local_tz)
+        conds.append(after_local(alarms, START, bound_local, source_tz, local_tz))
     if source_like is not None:
-        df = df.where(F.col(SOURCE).ilike(source_like))
+        conds.append(F.col(SOURCE).ilike(source_like))
     if priorities is not None:
-        df = df.where(F.col(PRIORITY).isin(list(priorities)))
-    return df
+        conds.append(F.col(PRIORITY).isin(list(priorities)))
+    return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
+
+
+def alarm_scope(
+    alarms: DataFrame,
+    bound_local: datetime | None = None,
+    source_like: str | None = None,
+    priorities: Iterable[str] | None = ("high", "critical"),
+    source_tz: str = "UTC",
+    local_tz: str = "America/Chicago",
+) -> DataFrame:
+    """Alarms of matching sources and priorities whose local start is after ``bound_local``."""
+    return alarms.where(alarm_scope_filter(alarms, bound_local, source_like, priorities, source_tz, local_tz))
+
+
+def tagged_alarm_counts(alarms: DataFrame, checks: Sequence[tuple[str, Column, Column]], prefilter: Column | None = None) -> DataFrame:
+    """``COUNT(*)`` per (check, label) for many alarm checks in one scan.
+
+    ``checks`` are ``(tag, row test, label)``. Each alarm is tagged with every
+    check it passes, with that check's label, and one aggregation counts them.
+    A check with no matching alarm gives no row (as a grouped count does).
+    """
+    hits = F.array_compact(
+        F.array(*[F.when(pred, F.struct(F.lit(tag).alias("check"), label.cast("string").alias("label"))) for tag, pred, label in checks])
+    )
+    rows = (alarms if prefilter is None else alarms.where(prefilter)).select(F.explode(hits).alias("_hit"))
+    return rows.groupBy(F.col("_hit.check").alias("_check"), F.col("_hit.label").alias("_label")).agg(F.count(F.lit(1)).alias(COUNT))
 
 
 def with_previous_end(

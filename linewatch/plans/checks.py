@@ -16,6 +16,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewatch.functions.text import bracket_tag
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
 from linewatch.operators.limits import inline_rules
@@ -181,6 +182,18 @@ class AlarmReportCheck:
             self.priorities, self.gap_seconds, self.marker, self.source_tz, local_tz,
         )
 
+    def debounce_frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
+        """The debounced count alone (its window needs its own plan)."""
+        scoped = al.alarm_scope(t.bounded("alarms", bound), bound, self.source_like, self.priorities, self.source_tz, local_tz)
+        kept = al.debounce(scoped, self.gap_seconds).where(F.col(al.DESCRIPTION).ilike(self.debounce_match))
+        return al.alarm_total(kept, self.station, self.label)
+
+    def alarm_parts(self, alarms: DataFrame, bound: datetime, local_tz: str) -> list[tuple[Column, Column, str, str]]:
+        """The tag counts as ``(row test, label, station, label column)`` for a fused alarm pass."""
+        scope = al.alarm_scope_filter(alarms, bound, self.source_like, self.priorities, self.source_tz, local_tz)
+        test = scope & F.col(al.DESCRIPTION).ilike(self.tag_match)
+        return [(test, bracket_tag(al.DESCRIPTION, self.marker), self.station, "parameter_name")]
+
 
 @dataclass(frozen=True)
 class AlarmCountCheck:
@@ -197,6 +210,10 @@ class AlarmCountCheck:
         scoped = al.alarm_scope(t.bounded("alarms", bound), bound, self.source_like, self.priorities, self.source_tz, local_tz)
         return al.alarm_count(scoped, self.station, self.label, self.match)
 
+    def alarm_parts(self, alarms: DataFrame, bound: datetime, local_tz: str) -> list[tuple[Column, Column, str, str]]:
+        scope = al.alarm_scope_filter(alarms, bound, self.source_like, self.priorities, self.source_tz, local_tz)
+        return [(scope & F.col(al.DESCRIPTION).ilike(self.match), F.lit(self.label), self.station, "alarm_description")]
+
 
 @dataclass(frozen=True)
 class TraceCheck:
@@ -261,4 +278,3 @@ class LinePlan:
     traces: tuple = ()
     local_tz: str = "America/Chicago"
     shift_end_hours: tuple[int, ...] = (5, 15)
-    extra: dict = field(default_factory=dict)

@@ -14,14 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.functions.time import window_start
+from linewatch.functions.time import coarse_source_bound, ts_literal, window_start
+from linewatch.operators import alarms as al
+from linewatch.operators.alarms import tagged_alarm_counts
 from linewatch.operators.counts import COUNT, after, positive_counts, split_tagged, station_filter, tagged_counts
 from linewatch.operators.trace import trace_origins
 from linewatch.plans.checks import LinePlan, LineTables
 
-SECTIONS = ("parameter", "pareto", "origin")
-
-
 def combine_reports(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack results by column name; a column missing from one becomes NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -79,12 +78,38 @@ def _plan_frames(tables: LineTables, plan: LinePlan, bound: datetime) -> tuple[l
     records = tables.bounded("records", min([bound] + [c.since for c in checks if getattr(c, "since", None)]))
     tagged = [(f"n{i}", c) for i, c in enumerate(plan.counts) if _fusable(c, records, bound)]
     tagged += [(f"x{i}", c) for i, c in enumerate(plan.exact) if _fusable(c, records, bound)]
-    counts = [c.frame(tables, bound, plan.local_tz) for c in plan.counts if not _fusable(c, records, bound)]
+    alarms = tables.bounded("alarms", bound)
+    counts, parts = [], []
+    for i, c in enumerate(plan.counts):
+        if _fusable(c, records, bound):
+            continue
+        if hasattr(c, "alarm_parts"):
+            parts += [(f"a{i}_{j}", *part) for j, part in enumerate(c.alarm_parts(alarms, bound, plan.local_tz))]
+            if hasattr(c, "debounce_frame"):
+                counts.append(c.debounce_frame(tables, bound, plan.local_tz))
+        else:
+            counts.append(c.frame(tables, bound, plan.local_tz))
+    if parts:
+        counts.append(_alarm_counts(alarms, parts, bound, plan))
     exact = [c.frame(tables, bound, plan.local_tz) for c in plan.exact if not _fusable(c, records, bound)]
     fused = _record_counts(records, tagged, bound) if tagged else None
     return counts, exact, fused
 
 
+def _alarm_counts(alarms: DataFrame, parts: Sequence[tuple], bound: datetime, plan: LinePlan) -> DataFrame:
+    """Plain and per-tag alarm counts of all checks from one scan and one aggregation."""
+    lows = [coarse_source_bound(bound, c.source_tz, plan.local_tz) for c in plan.counts if hasattr(c, "alarm_parts")]
+    pre = F.col(al.START) > ts_literal(min(lows), alarms.schema[al.START].dataType)
+    counted = tagged_alarm_counts(alarms, [(tag, test, label) for tag, test, label, _, _ in parts], pre)
+    station = reduce(lambda acc, p: acc.when(F.col("_check") == p[0], F.lit(p[3])), parts[1:], F.when(F.col("_check") == parts[0][0], F.lit(parts[0][3])))
+    by_col = {"parameter_name": [p[0] for p in parts if p[4] == "parameter_name"], "alarm_description": [p[0] for p in parts if p[4] == "alarm_description"]}
+    return counted.select(
+        COUNT,
+        station.alias("station_name"),
+        *[F.when(F.col("_check").isin(tags), F.col("_label")).alias(name) for name, tags in by_col.items()],
+    )
+
+
 def _stacked(counts: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
     frames = list(counts) + ([split_tagged(fused, "n")] if fused is not None else [])
     return combine_reports(frames)
