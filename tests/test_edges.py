@@ -179,3 +179,16 @@ def test_merge_labels(spark):
     b = spark.createDataFrame([(2, "100", "Temp")], "fail_count long, station_name string, parameter_name string")
     got = sorted(tuple(r) for r in rp.merge_labels(rp.combine_reports([a, b])).collect())
     assert got == [(1, "070", "Welding"), (2, "100", "Temp")]
+
+
+def test_trace_with_no_failures(spark):
+    children = spark.createDataFrame([("c1", "030A", "Nest")], "product_serial string, station_name string, parameter_name string")
+    gen = spark.createDataFrame([("p1", "c1")], "product_serial string, scanned_child_serial string")
+    fails = spark.createDataFrame([], "product_serial string, station_name string")
+    assert trace_origin(children, gen, fails).count() == 0
+    assert trace_origins(children, gen, fails, [("t0", F.lit(True), F.lit(True))]).count() == 0
+
+
+def test_since_on_instant_column(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 15, 13, 0),), (datetime(2024, 1, 15, 13, 1),)], "ts timestamp")
+    assert [r.ts for r in since(df, "ts", T0).collect()] == [datetime(2024, 1, 15, 13, 1)]
