@@ -134,3 +134,40 @@ def test_fused_report_equals_per_check_frames(spark):
 
 def test_normalize_rules_pads_location_name():
     assert normalize_rules([("x", 1, 0, 1), ("y", None, 0, 1)]) == [("x", 1, "01", 0.0, 1.0), ("y", None, None, 0.0, 1.0)]
+
+
+def _or_chain(rules, value, location):
+    """The original's form: one OR-ed branch per rule."""
+    parts = []
+    for name, loc, low, high in rules:
+        branch = f"(parameter_name = '{name}' AND ({value} < {low!r} OR {value} > {high!r}))"
+        if location and loc is not None:
+            branch = f"({branch} AND {location} = {loc})"
+        parts.append(branch)
+    return " OR ".join(parts)
+
+
+@pytest.mark.parametrize("rule_set,location,value_col", [
+    ("VISION_LIMITS", None, "parameter_value_raw"),
+    ("VISION_LIMITS_SHIFT", None, "parameter_value_raw"),
+    ("PIN_TRACE_LIMITS", None, "parameter_value_raw"),
+    ("ELECTRICAL_LIMITS", "work_location_id", "parameter_value_num"),
+])
+def test_line_rule_sets_equal_or_chain(spark, rule_set, location, value_col):
+    from linewatch.plans import rules as line_rules
+
+    rules = getattr(line_rules, rule_set)
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        name, _, low, high = rng.choice(rules)
+        v = rng.choice([low, high, low - 0.01, high + 0.01, (low + high) / 2, rng.uniform(low - 10, high + 10)])
+        rows.append(record(f"s{i}", param=name, value=v, loc=rng.choice([1, 2])))
+    df = records(spark, rows)
+    value = f"TRY_CAST({value_col} AS DOUBLE)"
+    expected = sorted(r.product_serial for r in df.where(F.expr(_or_chain(rules, value, location))).collect())
+    inline = sorted(r.product_serial for r in out_of_spec(df, rules, value_col=value_col, location_col=location).collect())
+    joined = sorted(r.product_serial for r in out_of_spec(df, rules_frame(spark, rules), value_col=value_col, location_col=location, max_inline_rules=0).collect())
+    assert inline == expected
+    assert joined == expected
+    assert 0 < len(expected) < len(rows)
