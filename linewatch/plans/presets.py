@@ -20,13 +20,14 @@ from linewatch.plans.checks import (
     SpecCheck,
     TraceCheck,
 )
+from linewatch.operators.limits import _sql_text
 from linewatch.plans.rules import ELECTRICAL_LIMITS, PIN_TRACE_LIMITS, VISION_LIMITS, VISION_LIMITS_SHIFT
 from linewatch.sources.fixtures import FIXTURE_RULES
 
 
 def line_plan(line: str, shop: str | None = None, shift: bool = False, local_tz: str = "America/Chicago") -> LinePlan:
     """The stator line's hourly report (``shift=True``: the shift-summary limits)."""
-    scope = f"line_name = '{line}'" + (f" AND shop_name = '{shop}'" if shop else "")
+    scope = f"line_name = {_sql_text(line)}" + (f" AND shop_name = {_sql_text(shop)}" if shop else "")
     vision = VISION_LIMITS_SHIFT if shift else VISION_LIMITS
     nok_force = "overall_process_status = 'NOK' AND parameter_name = 'Force process value' AND parameter_id = 2"
     return LinePlan(

@@ -192,3 +192,32 @@ def test_trace_with_no_failures(spark):
 def test_since_on_instant_column(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 15, 13, 0),), (datetime(2024, 1, 15, 13, 1),)], "ts timestamp")
     assert [r.ts for r in since(df, "ts", T0).collect()] == [datetime(2024, 1, 15, 13, 1)]
+
+
+def test_trace_existence_join(spark):
+    children = spark.createDataFrame([("c1", "030A", "Nest"), ("c2", "030B", "Nest")], "product_serial string, station_name string, parameter_name string")
+    gen = spark.createDataFrame([("p1", "c1"), ("p2", "c2")], "product_serial string, scanned_child_serial string")
+    fails = spark.createDataFrame([("p1", "040"), ("p2", "040")], "product_serial string, station_name string")
+    stacks = spark.createDataFrame([("p2",)], "product_serial string")
+    got = trace_origin(children, gen, fails, parents_in=stacks).collect()
+    assert [(r.origin_station, r.fail_count) for r in got] == [("030B", 1)]
+
+
+def test_sources(spark, tmp_path):
+    from linewatch.sources import load_table, normalize_columns, write_report
+
+    df = spark.createDataFrame([(1, "a")], "fail_count long, station_name string")
+    assert normalize_columns(df).columns == ["FAIL_COUNT", "STATION_NAME"]
+    assert normalize_columns(normalize_columns(df), "lower").columns == ["fail_count", "station_name"]
+    path = str(tmp_path / "report")
+    write_report(df, path, fmt="parquet")
+    assert [tuple(r) for r in load_table(spark, path).collect()] == [(1, "a")]
+    df.createOrReplaceTempView("lw_report_view")
+    assert load_table(spark, "lw_report_view").count() == 1
+
+
+def test_line_plan_quotes_names():
+    from linewatch.plans.presets import line_plan
+
+    plan = line_plan("L'1", shop="P1")
+    assert "line_name = 'L\\'1'" in plan.counts[0].where
