@@ -51,7 +51,8 @@ def _bound(as_of: datetime, hours: int) -> datetime:
     return window_start(as_of, hours)
 
 
-def _fusable(check, records: DataFrame, bound: datetime) -> bool:
+def _fusable(check) -> bool:
+    """A record check that can join the shared record pass."""
     return hasattr(check, "fusable") and check.fusable()
 
 
@@ -76,12 +77,12 @@ def _plan_frames(tables: LineTables, plan: LinePlan, bound: datetime) -> tuple[l
     """
     checks = list(plan.counts) + list(plan.exact)
     records = tables.bounded("records", min([bound] + [c.since for c in checks if getattr(c, "since", None)]))
-    tagged = [(f"n{i}", c) for i, c in enumerate(plan.counts) if _fusable(c, records, bound)]
-    tagged += [(f"x{i}", c) for i, c in enumerate(plan.exact) if _fusable(c, records, bound)]
+    tagged = [(f"n{i}", c) for i, c in enumerate(plan.counts) if _fusable(c)]
+    tagged += [(f"x{i}", c) for i, c in enumerate(plan.exact) if _fusable(c)]
     alarms = tables.bounded("alarms", bound)
     counts, parts = [], []
     for i, c in enumerate(plan.counts):
-        if _fusable(c, records, bound):
+        if _fusable(c):
             continue
         if hasattr(c, "alarm_parts"):
             parts += [(f"a{i}_{j}", *part) for j, part in enumerate(c.alarm_parts(alarms, bound, plan.local_tz))]
@@ -91,7 +92,7 @@ def _plan_frames(tables: LineTables, plan: LinePlan, bound: datetime) -> tuple[l
             counts.append(c.frame(tables, bound, plan.local_tz))
     if parts:
         counts.append(_alarm_counts(alarms, parts, bound, plan))
-    exact = [c.frame(tables, bound, plan.local_tz) for c in plan.exact if not _fusable(c, records, bound)]
+    exact = [c.frame(tables, bound, plan.local_tz) for c in plan.exact if not _fusable(c)]
     fused = _record_counts(records, tagged, bound) if tagged else None
     return counts, exact, fused
 
@@ -101,13 +102,15 @@ def _alarm_counts(alarms: DataFrame, parts: Sequence[tuple], bound: datetime, pl
     lows = [coarse_source_bound(bound, c.source_tz, plan.local_tz) for c in plan.counts if hasattr(c, "alarm_parts")]
     pre = F.col(al.START) > ts_literal(min(lows), alarms.schema[al.START].dataType)
     counted = tagged_alarm_counts(alarms, [(tag, test, label) for tag, test, label, _, _ in parts], pre)
-    station = reduce(lambda acc, p: acc.when(F.col("_check") == p[0], F.lit(p[3])), parts[1:], F.when(F.col("_check") == parts[0][0], F.lit(parts[0][3])))
-    by_col = {"parameter_name": [p[0] for p in parts if p[4] == "parameter_name"], "alarm_description": [p[0] for p in parts if p[4] == "alarm_description"]}
-    return counted.select(
-        COUNT,
-        station.alias("station_name"),
-        *[F.when(F.col("_check").isin(tags), F.col("_label")).alias(name) for name, tags in by_col.items()],
-    )
+    station = None
+    for tag, _, _, name, _ in parts:
+        test = F.col("_check") == tag
+        station = F.when(test, F.lit(name)) if station is None else station.when(test, F.lit(name))
+    labels = []
+    for label_col in ("parameter_name", "alarm_description"):
+        tags = [tag for tag, _, _, _, col in parts if col == label_col]
+        labels.append(F.when(F.col("_check").isin(tags), F.col("_label")).alias(label_col))
+    return counted.select(COUNT, station.alias("station_name"), *labels)
 
 
 def _stacked(counts: Sequence[DataFrame], fused: DataFrame | None) -> DataFrame:
@@ -152,8 +155,9 @@ def _pareto(counts: Sequence[DataFrame], exact: Sequence[DataFrame], fused: Data
 def fail_counts(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """All count checks stacked, labels merged, zero counts dropped (unsorted).
 
-    Checks on ``records`` are evaluated together in one scan and one
-    aggregation; alarm and job checks are their own small plans.
+    Checks on ``records`` share one scan and one aggregation, plain and tag
+    alarm counts share another; debounced alarm counts and job counts are
+    their own small plans.
     """
     counts, _, fused = _plan_frames(tables, plan, _bound(as_of, hours))
     return _fail_counts(counts, fused)
