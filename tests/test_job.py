@@ -42,7 +42,7 @@ def test_shift_end_run_writes_both(spark):
     assert back.count() == run.shift.count()
 
 
-def test_line_plan_runs_on_production_columns(spark):
+def _production_tables(spark):
     ts = datetime(2024, 1, 15, 13, 30)
     rec = spark.createDataFrame(
         [
@@ -66,7 +66,11 @@ def test_line_plan_runs_on_production_columns(spark):
         "shop_name", F.lit("P1")
     )
     gen = spark.createDataFrame([("u5", "c1"), ("u1", "c1")], "product_serial string, scanned_child_serial string")
-    tables = LineTables(records=rec, alarms=alarms, jobs=jobs, genealogy=gen)
+    return LineTables(records=rec, alarms=alarms, jobs=jobs, genealogy=gen)
+
+
+def test_line_plan_runs_on_production_columns(spark):
+    tables = _production_tables(spark)
     plan = line_plan("L1", shop="P1")
     got = {(r.section, r.station_name, r.parameter_name, r.origin_station): r.fail_count
            for r in report_sections(tables, plan, datetime(2024, 1, 15, 14, 37), 1).collect()}
@@ -81,3 +85,23 @@ def test_line_plan_runs_on_production_columns(spark):
     assert got[("pareto", "050", None, None)] == 2
     assert got[("origin", "040", None, "030-A")] == 1
     assert got[("origin", "050", None, "030-A")] == 1
+
+
+def test_command_line_run(spark, tmp_path):
+    from linewatch.__main__ import main
+
+    t = _production_tables(spark)
+    args = []
+    for name in ("records", "alarms", "jobs", "genealogy"):
+        path = str(tmp_path / name)
+        getattr(t, name).write.parquet(path)
+        args += [f"--{name}", path]
+    out = str(tmp_path / "out")
+    paths = main(args + ["--line", "L1", "--shop", "P1", "--as-of", "2024-01-15T21:10:00", "--out", out, "--as-lines"])
+    assert [p.rsplit("/", 1)[-1] for p in paths] == ["hourly", "shift"]
+    # 15:10 local: the hourly bound (14:00) leaves out the 13:30 records; the 8-hour shift section has them all
+    shift = [r.line for r in spark.read.json(paths[1]).where("section = 'pareto'").collect()]
+    assert '{"station_name":"050","fail_count":2}' in shift
+    hourly = [r.line for r in spark.read.json(paths[0]).where("section = 'pareto'").collect()]
+    # only the alarms at 14:05 (tag) and 14:06 (station 070); the one at 14:00 is not after the bound
+    assert sorted(hourly) == ['{"station_name":"050","fail_count":1}', '{"station_name":"070","fail_count":1}']
