@@ -92,7 +92,8 @@ def trace_origins(
     origin = children.where(any_origin).select(
         F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out), F.explode(origin_tags).alias("_trace")
     )
-    small = row_count_at_most(failing.select("product_serial"), max_broadcast_parents)
+    # Each failing row gives at most one row per variant, so this bounds the broadcast side by max_broadcast_parents.
+    small = row_count_at_most(failing.select("product_serial"), max(1, max_broadcast_parents // len(variants)))
     hit = links.join(F.broadcast(fails) if small else fails, "_parent")
     if small:
         hit = materialize(hit, "trace-links")
