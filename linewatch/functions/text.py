@@ -16,7 +16,8 @@ def as_number(col: Column | str) -> Column:
 
 
 def bracket_tag(col: Column | str, marker: str = "Key") -> Column:
-    """Text after the first ``marker`` (case-sensitive), trimmed of spaces and brackets.
+    """The part between the first and second ``marker`` (case-sensitive; to the end when
+    there is one marker), trimmed of spaces and brackets at both ends.
 
     ``'Gripper at work pos Key [3]'`` gives ``'3'``; no marker gives ``''``.
     """

@@ -171,3 +171,20 @@ def test_line_rule_sets_equal_or_chain(spark, rule_set, location, value_col):
     assert inline == expected
     assert joined == expected
     assert 0 < len(expected) < len(rows)
+
+
+def test_text_helpers_match_python(spark):
+    from linewatch.functions import bracket_tag, spool_code
+
+    rng = random.Random(5)
+    alphabet = ["Key", "key", "[", "]", " ", "C", "c", "a", "7", "&", "Gripper "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", bracket_tag("t").alias("tag"), spool_code("t").alias("code")
+    ).collect()
+    for r in rows:
+        t = texts[r.i]
+        parts = t.split("Key")
+        assert r.tag == (parts[1].strip(" []") if len(parts) > 1 else ""), t
+        start = t.find("C") + 1  # 0 when absent: from the start
+        assert r.code == t[start:start + 8], t
