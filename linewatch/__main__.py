@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> list[str]:
     p.add_argument("--as-of", default=None, help="run instant in UTC, ISO format (default: now)")
     p.add_argument("--hours", type=int, default=1)
     p.add_argument("--force-shift", action="store_true", help="also build the shift summary")
+    p.add_argument("--exact-window", action="store_true", help="count rows only up to the last full hour")
     p.add_argument("--date-partitions", default=None, help="e.g. records=recorded_date,alarms=activated_date")
     p.add_argument("--out", required=True)
     p.add_argument("--format", default="json")
@@ -61,6 +62,7 @@ def main(argv: list[str] | None = None) -> list[str]:
         shift_plan=line_plan(args.line, shop=args.shop, shift=True, local_tz=args.tz),
         hours=args.hours,
         force_shift=args.force_shift,
+        exact_window=args.exact_window,
     )
     paths = write_run(run, args.out, fmt=args.format, as_lines=args.as_lines)
     for path in paths:

@@ -10,13 +10,15 @@ Predicates given as text are Spark SQL expressions.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from linewatch.functions.text import bracket_tag
+from linewatch.functions.time import local_time, ts_literal
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
 from linewatch.operators.limits import inline_rules
@@ -47,6 +49,26 @@ class LineTables:
     def failure_rows(self) -> DataFrame:
         return self.failures if self.failures is not None else self.records
 
+    def until(self, end_local: datetime, local_tz: str = "America/Chicago", alarm_tz: str = "UTC") -> "LineTables":
+        """The same tables cut at ``end_local`` (inclusive, on the line's wall clock).
+
+        The original counted everything after the bound, so an "hourly" report
+        could hold up to two hours; this gives an exact window. Alarm times
+        are converted from ``alarm_tz`` before the test.
+        """
+        def cut(df: DataFrame, col: str, source_tz: str | None = None) -> DataFrame:
+            ts = F.col(col) if source_tz is None else local_time(col, source_tz, local_tz)
+            kind = df.schema[col].dataType if source_tz is None else TimestampNTZType()
+            return df.where(ts <= ts_literal(end_local, kind))
+
+        return replace(
+            self,
+            records=cut(self.records, "recorded_at"),
+            alarms=cut(self.alarms, "activated_at", alarm_tz),
+            jobs=cut(self.jobs, "started_at"),
+            failures=None if self.failures is None else cut(self.failures, "recorded_at"),
+        )
+
     def bounded(self, name: str, bound: datetime | None) -> DataFrame:
         """Table ``name`` pruned to the partitions that can hold rows after ``bound``."""
         df = {"records": self.records, "alarms": self.alarms, "jobs": self.jobs, "failures": self.failure_rows()}[name]

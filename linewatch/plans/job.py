@@ -44,13 +44,18 @@ def run_report(
     hours: int = 1,
     shift_hours: int = 8,
     force_shift: bool = False,
+    exact_window: bool = False,
 ) -> RunResult:
     """Report sections for the last ``hours`` (and the last shift at shift end).
 
     ``as_of`` is the run's instant in UTC; bounds are cut to the hour on the
     line's local wall clock (``plan.local_tz``), the clock of the records.
+    By default rows up to ``as_of`` count, as in the original; with
+    ``exact_window`` only rows up to the last full hour do, matching the label.
     """
     local = local_wall_clock(as_of, plan.local_tz)
+    if exact_window:
+        tables = tables.until(local.replace(minute=0, second=0, microsecond=0), plan.local_tz)
     window = f"{hour_label(window_start(local, hours))} to {local:%H:00}"
     hourly = report_sections(tables, plan, local, hours).withColumn("window", F.lit(window))
     shift = shift_window = None

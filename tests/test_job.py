@@ -105,3 +105,19 @@ def test_command_line_run(spark, tmp_path):
     hourly = [r.line for r in spark.read.json(paths[0]).where("section = 'pareto'").collect()]
     # only the alarms at 14:05 (tag) and 14:06 (station 070); the one at 14:00 is not after the bound
     assert sorted(hourly) == ['{"station_name":"050","fail_count":1}', '{"station_name":"070","fail_count":1}']
+
+
+def test_until_gives_an_exact_window(spark):
+    from linewatch.plans.reports import fail_counts
+
+    t = _tables(spark, SF)
+    plan = fixture_plan()
+    end = datetime(2024, 1, 15, 14, 0)
+    cut = t.until(end, plan.local_tz)
+    assert cut.records.where(F.col("recorded_at") > end).count() == 0
+    assert cut.alarms.where(F.convert_timezone(F.lit("UTC"), F.lit(plan.local_tz), "activated_at") > end).count() == 0
+    assert cut.failures.where(F.col("recorded_at") > end).count() == 0
+    full = {(r.station_name, r.parameter_name): r.fail_count for r in fail_counts(t, plan, FIXTURE_AS_OF, 240).collect()}
+    part = {(r.station_name, r.parameter_name): r.fail_count for r in fail_counts(cut, plan, FIXTURE_AS_OF, 240).collect()}
+    assert all(k in full and v <= full[k] for k, v in part.items())
+    assert sum(part.values()) < sum(full.values())
