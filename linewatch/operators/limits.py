@@ -20,6 +20,7 @@ Two physical forms, chosen by the size of the rule set:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,8 +80,10 @@ def inline_rules(rules: Rules, max_rules: int = MAX_INLINE_RULES) -> list[tuple]
     rules table is never pulled to the driver.
     """
     if isinstance(rules, DataFrame):
-        cols = [c.name for c in RULES_SCHEMA.fields]
-        got = rules.select(*[F.col(c) if c in rules.columns else F.lit(None).alias(c) for c in cols]).limit(max_rules + 1).collect()
+        cols = [
+            (F.col(f.name) if f.name in rules.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RULES_SCHEMA.fields
+        ]
+        got = rules.select(*cols).limit(max_rules + 1).collect()
         rows = [tuple(r) for r in got]
     else:
         rows = normalize_rules(rules)
@@ -92,7 +95,11 @@ def _sql_text(v: str) -> str:
 
 
 def _sql_value(v) -> str:
-    return f"{float(v)!r}D" if isinstance(v, float) else (str(v) if isinstance(v, int) else _sql_text(v))
+    if isinstance(v, float):
+        if math.isfinite(v):
+            return f"{v!r}D"
+        return "CAST('NaN' AS DOUBLE)" if math.isnan(v) else f"CAST('{'-' if v < 0 else ''}Infinity' AS DOUBLE)"
+    return str(v) if isinstance(v, int) else _sql_text(v)
 
 
 def spec_failure(
@@ -131,8 +138,8 @@ def rule_names(rows: Sequence[tuple]) -> list[str]:
     return sorted({r[0] for r in rows})
 
 
-def _rule_side(rules: DataFrame, parameter_col: str, location_col: str | None) -> DataFrame:
-    cols = [F.col(parameter_col).alias("_rule_parameter"), F.col("low").alias("_rule_low"), F.col("high").alias("_rule_high")]
+def _rule_side(rules: DataFrame, location_col: str | None) -> DataFrame:
+    cols = [F.col("parameter_name").alias("_rule_parameter"), F.col("low").cast("double").alias("_rule_low"), F.col("high").cast("double").alias("_rule_high")]
     if location_col:
         cols.append(F.col(location_col).alias("_rule_location"))
     return rules.select(*cols)
@@ -156,8 +163,10 @@ def out_of_spec(
     rows = inline_rules(rules, max_inline_rules)
     if rows is not None:
         return records.where(F.col(parameter_col).isin(rule_names(rows)) & spec_failure(rows, value_col, location_col, parameter_col))
+    if not isinstance(rules, DataFrame):
+        rules = rules_frame(records.sparkSession, rules)
     value = as_number(F.col(value_col))
-    side = _rule_side(rules, parameter_col, location_col)
+    side = _rule_side(rules, location_col)
     cond = (F.col(parameter_col) == F.col("_rule_parameter")) & ((value < F.col("_rule_low")) | (value > F.col("_rule_high")))
     if location_col:
         cond = cond & (F.col("_rule_location").isNull() | (F.col(location_col) == F.col("_rule_location")))

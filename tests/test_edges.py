@@ -221,3 +221,20 @@ def test_line_plan_quotes_names():
 
     plan = line_plan("L'1", shop="P1")
     assert "line_name = 'L\\'1'" in plan.counts[0].where
+
+
+def test_rule_list_beyond_inline_limit_uses_join(spark):
+    df = records(spark, [record("below", value=39.0), record("ok", value=41.0)])
+    got = out_of_spec(df, [("p", None, 40.0, float("inf"))], value_col="parameter_value_raw", max_inline_rules=0)
+    assert failing_serials(got) == ["below"]
+    inline = out_of_spec(df, [("p", None, 40.0, float("inf")), ("p", None, float("-inf"), float("nan"))], value_col="parameter_value_raw")
+    assert failing_serials(inline) == ["below"]
+
+
+def test_decimal_rule_table_compiles(spark):
+    from decimal import Decimal
+
+    rules = spark.createDataFrame([("p", Decimal("40.5"), Decimal("46.3"))], "parameter_name string, low decimal(10,2), high decimal(10,2)")
+    df = records(spark, [record("below", value=40.4), record("ok", value=40.5)])
+    assert failing_serials(out_of_spec(df, rules, value_col="parameter_value_raw")) == ["below"]
+    assert failing_serials(out_of_spec(df, rules, value_col="parameter_value_raw", max_inline_rules=0)) == ["below"]
