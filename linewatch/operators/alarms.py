@@ -99,11 +99,13 @@ def with_previous_end(
         F.max_by(end_col, start_col).alias("_last_end")
     )
     carry = last.select(
-        source_col,
-        sl,
+        F.col(source_col).alias("_carry_source"),
+        F.col(sl).alias("_carry_slice"),
         F.lag("_last_end").over(Window.partitionBy(source_col).orderBy(sl)).alias("_carry_end"),
     )
-    joined = rows.join(carry, [source_col, sl], "left")
+    # Null-safe on the source: a NULL source is one partition for lag, so it is one here too.
+    on = F.col(source_col).eqNullSafe(F.col("_carry_source")) & (F.col(sl) == F.col("_carry_slice"))
+    joined = rows.join(carry, on, "left")
     prev = F.when(F.col("_prev_start").isNull(), F.col("_carry_end")).otherwise(F.col("_prev_end"))
     return joined.withColumn(out, prev).select(*alarms.columns, out)
 

@@ -238,3 +238,11 @@ def test_decimal_rule_table_compiles(spark):
     df = records(spark, [record("below", value=40.4), record("ok", value=40.5)])
     assert failing_serials(out_of_spec(df, rules, value_col="parameter_value_raw")) == ["below"]
     assert failing_serials(out_of_spec(df, rules, value_col="parameter_value_raw", max_inline_rules=0)) == ["below"]
+
+
+def test_debounce_null_source_is_one_partition(spark):
+    t = datetime(2024, 1, 15, 13, 59, 50)
+    s = timedelta(seconds=1)
+    df = alarms(spark, [_alarm(None, t, t + 20 * s), _alarm(None, t + 30 * s, None)])  # second is in the next hour slice
+    got = al.debounce(df).collect()
+    assert [r.activated_at for r in got] == [t]
