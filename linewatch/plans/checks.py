@@ -254,6 +254,7 @@ class TraceCheck:
     fail_value_col: str = "parameter_value_raw"
     origin_like: str | None = None
     origin_parameter: str | None = "Nest"
+    origin_where: str | None = None
     since: datetime | None = None
 
     def fail_predicate(self, rows: DataFrame, bound: datetime) -> Column:
@@ -272,7 +273,7 @@ class TraceCheck:
     def origin_predicate(self) -> Column:
         like = None if self.origin_like is None else F.col("station_name").like(self.origin_like)
         param = None if self.origin_parameter is None else F.col("parameter_name") == self.origin_parameter
-        return ct._all(like, param)
+        return ct._all(like, param, _where(self.origin_where))
 
     def failing(self, t: LineTables, bound: datetime) -> DataFrame:
         rows = t.bounded("failures", self.since or bound)
@@ -291,12 +292,13 @@ class LinePlan:
 
     ``counts`` feed the fail-count table and the station totals; ``exact``
     gives exact per-station counts that replace the summed totals; ``traces``
-    feed the origin table. ``local_tz`` is the zone of the records' wall
+    feed the origin table, over genealogy rows passing ``genealogy_where``. ``local_tz`` is the zone of the records' wall
     clock and of ``as_of``.
     """
 
     counts: tuple = ()
     exact: tuple = ()
     traces: tuple = ()
+    genealogy_where: str | None = None
     local_tz: str = "America/Chicago"
     shift_end_hours: tuple[int, ...] = (5, 15)

@@ -53,10 +53,11 @@ def line_plan(line: str, shop: str | None = None, shift: bool = False, local_tz:
             ),
         ),
         traces=(
-            TraceCheck(fail_station_like="%40%", fail_where=f"{nok_force} AND {scope}", origin_like="%30%"),
-            TraceCheck(fail_station_like="%050%", fail_where=f"result_status = 'FAIL' AND {scope}", origin_like="030%"),
-            TraceCheck(fail_station="090", fail_where=scope, fail_rules=PIN_TRACE_LIMITS, origin_like="030%"),
+            TraceCheck(fail_station_like="%40%", fail_where=f"{nok_force} AND {scope}", origin_like="%30%", origin_where=scope),
+            TraceCheck(fail_station_like="%050%", fail_where=f"result_status = 'FAIL' AND {scope}", origin_like="030%", origin_where=scope),
+            TraceCheck(fail_station="090", fail_where=scope, fail_rules=PIN_TRACE_LIMITS, origin_like="030%", origin_where=scope),
         ),
+        genealogy_where=scope,
         local_tz=local_tz,
     )
 

@@ -180,7 +180,8 @@ def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hou
     failures = tables.bounded("failures", min([bound] + [t.since for t in plan.traces if t.since]))
     children = tables.child_rows()
     variants = [(f"t{i}", t.fail_predicate(failures, bound), t.origin_predicate()) for i, t in enumerate(plan.traces)]
-    traced = trace_origins(children, tables.genealogy, failures, variants)
+    genealogy = tables.genealogy if plan.genealogy_where is None else tables.genealogy.where(plan.genealogy_where)
+    traced = trace_origins(children, genealogy, failures, variants)
     return origin_report(traced.drop("_trace"))
 
 

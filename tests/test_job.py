@@ -65,7 +65,10 @@ def _production_tables(spark):
     jobs = spark.createDataFrame([("u9", "020", "loc", "NOK", ts)], JOBS_SCHEMA).withColumn("line_name", F.lit("L1")).withColumn(
         "shop_name", F.lit("P1")
     )
-    gen = spark.createDataFrame([("u5", "c1"), ("u1", "c1")], "product_serial string, scanned_child_serial string")
+    gen = spark.createDataFrame(
+        [("u5", "c1", "L1", "P1"), ("u1", "c1", "L1", "P1"), ("u4", "c1", "L2", "P1")],
+        "product_serial string, scanned_child_serial string, line_name string, shop_name string",
+    )
     return LineTables(records=rec, alarms=alarms, jobs=jobs, genealogy=gen)
 
 
