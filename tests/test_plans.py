@@ -73,3 +73,17 @@ def test_date_partitions_are_pruned(spark):
     assert sorted(tuple(r) for r in df.collect()) == expected
     plan = _plan(df)
     assert re.search(r"PartitionFilters: \[[^\]]*recorded_date", plan)
+
+
+def test_hot_groups_are_spread(spark):
+    """A group holding most rows is split: the distinct count shuffles on (keys, serial) after a
+    map-side dedupe, and the debounce window is partitioned by (source, time slice); only the small
+    per-slice summary is partitioned by source alone."""
+    counts = _plan(QUERIES["station_nok_counts"](spark, SF))
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", counts)
+    assert any("station_name" in k and "product_serial" in k for k in exchanges), exchanges
+    assert "partial_count(distinct product_serial" in counts
+    debounce = _plan(QUERIES["alarm_debounce"](spark, SF))
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", debounce)
+    assert any("alarm_source" in k and "_slice" in k for k in keys), keys
+    assert "max_by" in debounce  # the per-slice summary is a (partial) aggregation
