@@ -64,10 +64,8 @@ def tagged_alarm_counts(alarms: DataFrame, checks: Sequence[tuple[str, Column, C
     check it passes, with that check's label, and one aggregation counts them.
     A check with no matching alarm gives no row (as a grouped count does).
     """
-    hits = F.array_compact(
-        F.array(*[F.when(pred, F.struct(F.lit(tag).alias("check"), label.cast("string").alias("label"))) for tag, pred, label in checks])
-    )
-    rows = (alarms if prefilter is None else alarms.where(prefilter)).select(F.explode(hits).alias("_hit"))
+    hits = F.array(*[F.when(pred, F.struct(F.lit(tag).alias("check"), label.cast("string").alias("label"))) for tag, pred, label in checks])
+    rows = (alarms if prefilter is None else alarms.where(prefilter)).select(F.explode(hits).alias("_hit")).where(F.col("_hit").isNotNull())
     return rows.groupBy(F.col("_hit.check").alias("_check"), F.col("_hit.label").alias("_label")).agg(F.count(F.lit(1)).alias(COUNT))
 
 

@@ -199,10 +199,13 @@ def tagged_counts(
     ``prefilter`` is a pushable superset of the predicates (time bound,
     stations) that reaches the scan.
     """
-    tags = F.array_compact(F.array(*[F.when(pred, F.lit(tag)) for tag, pred, _ in checks]))
+    # explode, then drop the NULL tags: stays inside whole-stage codegen (array_compact would not)
+    tags = F.array(*[F.when(pred, F.lit(tag)) for tag, pred, _ in checks])
     per_station = [tag for tag, _, flag in checks if flag]
-    rows = (df if prefilter is None else df.where(prefilter)).select(
-        serial_col, "station_name", label_col, F.explode(tags).alias("_check")
+    rows = (
+        (df if prefilter is None else df.where(prefilter))
+        .select(serial_col, "station_name", label_col, F.explode(tags).alias("_check"))
+        .where(F.col("_check").isNotNull())
     )
     label = F.when(F.col("_check").isin(per_station), F.lit(None).cast("string")).otherwise(F.col(label_col)) if per_station else F.col(label_col)
     counted = rows.groupBy("_check", "station_name", label.alias(label_col)).agg(F.countDistinct(serial_col).alias(COUNT))

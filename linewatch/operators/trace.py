@@ -80,17 +80,21 @@ def trace_origins(
     its own variant (the tag is part of the child join key). Output: one row
     per (tag, failing station, origin station) with the distinct parents.
     """
-    fail_tags = F.array_compact(F.array(*[F.when(p, F.lit(tag)) for tag, p, _ in variants]))
-    origin_tags = F.array_compact(F.array(*[F.when(o, F.lit(tag)) for tag, _, o in variants]))
+    fail_tags = F.array(*[F.when(p, F.lit(tag)) for tag, p, _ in variants])
+    origin_tags = F.array(*[F.when(o, F.lit(tag)) for tag, _, o in variants])
     any_fail = reduce(lambda a, b: a | b, [p for _, p, _ in variants])
     any_origin = reduce(lambda a, b: a | b, [o for _, _, o in variants])
     failing = failures.where(any_fail)
-    fails = failing.select(
-        F.col("product_serial").alias("_parent"), "station_name", F.explode(fail_tags).alias("_trace")
-    ).distinct()
+    fails = (
+        failing.select(F.col("product_serial").alias("_parent"), "station_name", F.explode(fail_tags).alias("_trace"))
+        .where(F.col("_trace").isNotNull())
+        .distinct()
+    )
     links = genealogy.select(F.col(parent_col).alias("_parent"), F.col(child_col).alias("_child"))
-    origin = children.where(any_origin).select(
-        F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out), F.explode(origin_tags).alias("_trace")
+    origin = (
+        children.where(any_origin)
+        .select(F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out), F.explode(origin_tags).alias("_trace"))
+        .where(F.col("_trace").isNotNull())
     )
     # Each failing row gives at most one row per variant, so this bounds the broadcast side by max_broadcast_parents.
     small = row_count_at_most(failing.select("product_serial"), max(1, max_broadcast_parents // len(variants)))
