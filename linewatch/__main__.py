@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> list[str]:
     p.add_argument("--out", required=True)
     p.add_argument("--format", default="json")
     p.add_argument("--as-lines", action="store_true", help="one JSON text line per report row")
+    p.add_argument("--explain", action="store_true", help="print the physical plans instead of writing")
     args = p.parse_args(argv)
 
     as_of = datetime.fromisoformat(args.as_of) if args.as_of else datetime.now(timezone.utc).replace(tzinfo=None)
@@ -64,6 +65,11 @@ def main(argv: list[str] | None = None) -> list[str]:
         force_shift=args.force_shift,
         exact_window=args.exact_window,
     )
+    if args.explain:
+        for df in (run.hourly, run.shift):
+            if df is not None:
+                df.explain("formatted")
+        return []
     paths = write_run(run, args.out, fmt=args.format, as_lines=args.as_lines)
     for path in paths:
         print(path)
