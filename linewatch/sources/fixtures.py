@@ -28,6 +28,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _RELATIONS[key]
 
 
+def _view(build):
+    """Build a view once per session and table version; DataFrames are immutable plans, so reuse is safe."""
+    cache: dict[tuple, DataFrame] = {}
+
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = _read(spark, sf_dir, _VIEW_SOURCE[build.__name__])
+        key = (id(base), sf_dir)
+        if key not in cache:
+            cache[key] = build(spark, sf_dir)
+        return cache[key]
+
+    wrapper.__name__ = build.__name__
+    wrapper.__doc__ = build.__doc__
+    return wrapper
+
+
+_VIEW_SOURCE = {
+    "records": "events", "alarms": "events", "jobs": "orders", "child_records": "part",
+    "genealogy": "lineitem", "failures": "orders", "batches": "lineitem",
+}
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
@@ -53,10 +75,12 @@ def records_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+@_view
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_from_events(_read(spark, sf_dir, "events"))
 
 
+@_view
 def alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equipment alarms; ``activated_at``/``cleared_at`` are UTC wall clocks."""
     k = F.col("k")
@@ -76,6 +100,7 @@ def alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station jobs."""
     status = F.col("o_orderstatus")
@@ -88,6 +113,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def child_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the upstream station that made each child part."""
     return _read(spark, sf_dir, "part").select(
@@ -97,6 +123,7 @@ def child_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def genealogy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent serial <-> consumed child serial."""
     return _read(spark, sf_dir, "lineitem").select(
@@ -106,6 +133,7 @@ def genealogy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downstream records of finished units."""
     return _read(spark, sf_dir, "orders").select(
@@ -116,6 +144,7 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire-batch records of child parts."""
     return _read(spark, sf_dir, "lineitem").select(
