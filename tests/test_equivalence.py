@@ -188,3 +188,19 @@ def test_text_helpers_match_python(spark):
         assert r.tag == (parts[1].strip(" []") if len(parts) > 1 else ""), t
         start = t.find("C") + 1  # 0 when absent: from the start
         assert r.code == t[start:start + 8], t
+
+
+@pytest.mark.parametrize("tz", ["America/Chicago", "Europe/Berlin"])
+def test_since_local_matches_zoneinfo_across_dst(spark, tz):
+    from linewatch.functions.time import since_local
+
+    rng = random.Random(9)
+    zone = ZoneInfo(tz)
+    changes = [datetime(2024, 3, 10, 8, 0), datetime(2024, 11, 3, 7, 0), datetime(2024, 3, 31, 1, 0), datetime(2024, 10, 27, 1, 0)]
+    instants = [c + timedelta(minutes=rng.randint(-300, 300)) for c in changes for _ in range(150)]
+    bounds = [c + timedelta(minutes=rng.randint(-300, 300)) for c in changes for _ in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(instants)], "i int, activated_at timestamp_ntz")
+    for b in bounds:
+        got = sorted(r.i for r in since_local(df, "activated_at", b, "UTC", tz).collect())
+        local = [t.replace(tzinfo=ZoneInfo("UTC")).astimezone(zone).replace(tzinfo=None) for t in instants]
+        assert got == [i for i, lt in enumerate(local) if lt > b], b
