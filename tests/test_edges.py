@@ -9,7 +9,7 @@ from helpers import JOBS_SCHEMA, T0, alarms, record, records
 from linewatch.functions import bracket_tag, is_shift_end, pair_label, shift_end, since, spool_code, window_start
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
-from linewatch.operators.limits import out_of_spec
+from linewatch.operators.limits import out_of_spec, rules_frame
 from linewatch.operators.totals import override_totals, station_totals
 from linewatch.operators.trace import trace_origin, trace_origins
 from linewatch.plans import reports as rp
@@ -35,11 +35,9 @@ def test_limits_edges(spark, inline):
         record("unknown", param="zz", value=-1e9),
     ]
     df = records(spark, rows)
-    max_inline = 500 if inline else 0
-    got = out_of_spec(df, RULES, value_col="parameter_value_raw", location_col="work_location_id", max_inline_rules=max_inline) if inline else \
-        out_of_spec(df, spark.createDataFrame([(n, l, f"{l:02d}", lo, hi) for n, l, lo, hi in RULES],
-                                              "parameter_name string, work_location_id int, work_location_name string, low double, high double"),
-                    value_col="parameter_value_raw", location_col="work_location_id", max_inline_rules=max_inline)
+    # inline: the rules compile into one expression; otherwise a semi-join with the rules table
+    rules = RULES if inline else rules_frame(spark, RULES)
+    got = out_of_spec(df, rules, value_col="parameter_value_raw", location_col="work_location_id", max_inline_rules=500 if inline else 0)
     assert failing_serials(got) == ["below", "loc2"]
 
 
