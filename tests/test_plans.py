@@ -87,3 +87,13 @@ def test_hot_groups_are_spread(spark):
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", debounce)
     assert any("alarm_source" in k and "_slice" in k for k in keys), keys
     assert "max_by" in debounce  # the per-slice summary is a (partial) aggregation
+
+
+def test_rules_table_join_is_broadcast_semi_join(spark):
+    from linewatch.operators.limits import out_of_spec, rules_frame
+    from linewatch.sources import fixtures as fx
+
+    rules = rules_frame(spark, fx.FIXTURE_RULES)
+    df = out_of_spec(fx.records(spark, SF), rules, value_col="parameter_value_num", location_col="work_location_id", max_inline_rules=0)
+    plan = _plan(df)
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan, plan
