@@ -14,8 +14,9 @@ Two physical forms, chosen by the size of the rule set:
   expression, evaluated inside whole-stage codegen with no join, and the rule
   names become a pushed ``IN`` filter on the scan;
 * more rules: a semi-join with the rules table on ``parameter_name`` with the
-  range test as join condition; Spark broadcasts it when it is small enough and
-  shuffles both sides otherwise.
+  range test as join condition; the rules side is broadcast after its row
+  count is checked (up to ``MAX_BROADCAST_RULES``), else both sides shuffle
+  and AQE splits a skewed parameter.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ _LOCATION_FIELD = {"work_location_id": 1, "work_location_name": 2}
 
 # Rule sets up to this size are compiled into an expression.
 MAX_INLINE_RULES = 500
+# Larger rules tables up to this many rows (a few tens of MB) are broadcast to the semi-join.
+MAX_BROADCAST_RULES = 200_000
 
 Rules = DataFrame | Sequence[Sequence]
 
@@ -167,6 +170,8 @@ def out_of_spec(
         rules = rules_frame(records.sparkSession, rules)
     value = as_number(F.col(value_col))
     side = _rule_side(rules, location_col)
+    if row_count_at_most(side, MAX_BROADCAST_RULES):
+        side = F.broadcast(side)
     cond = (F.col(parameter_col) == F.col("_rule_parameter")) & ((value < F.col("_rule_low")) | (value > F.col("_rule_high")))
     if location_col:
         cond = cond & (F.col("_rule_location").isNull() | (F.col(location_col) == F.col("_rule_location")))
