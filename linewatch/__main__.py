@@ -17,7 +17,7 @@ from datetime import datetime, timezone
 from linewatch.plans.checks import LineTables
 from linewatch.plans.job import run_report, write_run
 from linewatch.plans.presets import line_plan
-from linewatch.session import get_session
+from linewatch.session import get_session, size_shuffles
 from linewatch.sources.tables import load_table
 
 
@@ -45,10 +45,13 @@ def main(argv: list[str] | None = None) -> list[str]:
     p.add_argument("--format", default="json")
     p.add_argument("--as-lines", action="store_true", help="one JSON text line per report row")
     p.add_argument("--explain", action="store_true", help="print the physical plans instead of writing")
+    p.add_argument("--shuffle-gb", type=float, default=None, help="expected largest shuffle, to size shuffle partitions")
     args = p.parse_args(argv)
 
     as_of = datetime.fromisoformat(args.as_of) if args.as_of else datetime.now(timezone.utc).replace(tzinfo=None)
     spark = get_session()
+    if args.shuffle_gb:
+        size_shuffles(spark, int(args.shuffle_gb * 1024**3))
     tables = LineTables(
         records=load_table(spark, args.records),
         alarms=load_table(spark, args.alarms),

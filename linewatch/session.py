@@ -66,3 +66,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/linewatch/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def size_shuffles(spark: SparkSession, shuffle_bytes: int, partition_bytes: int = 128 * 1024 * 1024, max_partitions: int = 100_000) -> int:
+    """Set the shuffle partition count so each partition holds about ``partition_bytes``.
+
+    ``shuffle_bytes`` is the largest shuffle a run makes: for a report, the
+    projected (serial, station, parameter) rows of the time window; for a
+    whole-table debounce, the alarm columns. AQE then coalesces small
+    partitions and splits skewed ones around the same advisory size, so
+    every task fits in executor memory without spilling. Returns the count set.
+    """
+    parts = max(1, min(max_partitions, -(-shuffle_bytes // partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", str(4 * partition_bytes))
+    return parts

@@ -97,3 +97,15 @@ def test_rules_table_join_is_broadcast_semi_join(spark):
     df = out_of_spec(fx.records(spark, SF), rules, value_col="parameter_value_num", location_col="work_location_id", max_inline_rules=0)
     plan = _plan(df)
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan, plan
+
+
+def test_size_shuffles(spark):
+    from linewatch.session import size_shuffles
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 10 * 1024**3) == 80
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "80"
+        assert size_shuffles(spark, 1) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
