@@ -2,9 +2,11 @@ from linewatch.operators.alarms import (
     alarm_count,
     alarm_report,
     alarm_scope,
+    alarm_scope_filter,
     alarm_tag_counts,
     alarm_total,
     debounce,
+    tagged_alarm_counts,
     with_previous_end,
 )
 from linewatch.operators.counts import (
@@ -15,18 +17,28 @@ from linewatch.operators.counts import (
     out_of_spec_location_counts,
     param_fail_counts,
     positive_counts,
+    split_tagged,
     station_filter,
     station_nok_counts,
     station_unique_fails,
+    tagged_counts,
+)
+from linewatch.operators.limits import (
+    inline_rules,
+    out_of_spec,
+    out_of_spec_by_location,
+    row_count_at_most,
+    rules_frame,
+    spec_failure,
 )
-from linewatch.operators.limits import out_of_spec, out_of_spec_by_location, row_count_at_most, rules_frame
 from linewatch.operators.totals import override_totals, station_totals
-from linewatch.operators.trace import trace_origin
+from linewatch.operators.trace import trace_origin, trace_origins
 
 __all__ = [
-    "alarm_count", "alarm_report", "alarm_scope", "alarm_tag_counts", "alarm_total", "debounce", "with_previous_end",
-    "distinct_counts", "distinct_events", "job_fail_counts", "out_of_spec_counts", "out_of_spec_location_counts",
-    "param_fail_counts", "positive_counts", "station_filter", "station_nok_counts", "station_unique_fails",
-    "out_of_spec", "out_of_spec_by_location", "row_count_at_most", "rules_frame", "override_totals",
-    "station_totals", "trace_origin",
+    "alarm_count", "alarm_report", "alarm_scope", "alarm_scope_filter", "alarm_tag_counts", "alarm_total", "debounce",
+    "tagged_alarm_counts", "with_previous_end", "distinct_counts", "distinct_events", "job_fail_counts",
+    "out_of_spec_counts", "out_of_spec_location_counts", "param_fail_counts", "positive_counts", "split_tagged",
+    "station_filter", "station_nok_counts", "station_unique_fails", "tagged_counts", "inline_rules", "out_of_spec",
+    "out_of_spec_by_location", "row_count_at_most", "rules_frame", "spec_failure", "override_totals",
+    "station_totals", "trace_origin", "trace_origins",
 ]

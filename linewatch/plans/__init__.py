@@ -20,10 +20,13 @@ from linewatch.plans.reports import (
     report_json,
     report_sections,
     shift_summary,
+    stacked_counts,
 )
+from linewatch.plans.job import RunResult, run_report, write_run
 
 __all__ = [
     "AlarmCountCheck", "AlarmReportCheck", "JobCheck", "LinePlan", "LineTables", "NokCheck", "ParamCheck",
     "SpecCheck", "TraceCheck", "combine_reports", "fail_counts", "hourly_report", "merge_labels",
     "origin_report", "origin_trace_report", "pareto", "report_json", "report_sections", "shift_summary",
+    "stacked_counts", "RunResult", "run_report", "write_run",
 ]
