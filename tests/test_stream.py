@@ -46,3 +46,21 @@ def test_late_rows_dropped_and_closed_windows_emitted(spark):
     out = run_available(spark, fail_counts_stream(events, "1 hour", "10 minutes"))
     got = [(r.window_start, r.window_end, r.station_name, r.parameter_name, r.fail_count) for r in out.collect()]
     assert got == [(datetime(2024, 1, 15, 13, 0), datetime(2024, 1, 15, 14, 0), "S", "p", 2)]
+
+
+def test_stream_to_parquet_sink(spark):
+    from linewatch.streaming import start_stream
+
+    folder = tempfile.mkdtemp(prefix="linewatch-stream-")
+    _write(folder, "a.parquet", [
+        ("u1", "S", "p", datetime(2024, 1, 15, 13, 10)),
+        ("u2", "S", "p", datetime(2024, 1, 15, 13, 20)),
+        ("u3", "S", "p", datetime(2024, 1, 15, 15, 30)),
+    ])
+    out = tempfile.mkdtemp(prefix="linewatch-sink-") + "/counts"
+    events = spark.readStream.schema(SCHEMA).parquet(folder)
+    query = start_stream(fail_counts_stream(events, "1 hour", "10 minutes"), name="sink_test", sink="parquet", path=out)
+    query.awaitTermination()
+    assert query.exception() is None
+    got = [(r.window_start, r.fail_count) for r in spark.read.parquet(out).collect()]
+    assert got == [(datetime(2024, 1, 15, 13, 0), 2)]
