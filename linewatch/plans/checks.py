@@ -72,7 +72,8 @@ class LineTables:
     def bounded(self, name: str, bound: datetime | None) -> DataFrame:
         """Table ``name`` pruned to the partitions that can hold rows after ``bound``."""
         df = {"records": self.records, "alarms": self.alarms, "jobs": self.jobs, "failures": self.failure_rows()}[name]
-        col = self.date_partitions.get(name)
+        source = "records" if name == "failures" and self.failures is None else name
+        col = self.date_partitions.get(source)
         if col is None or bound is None:
             return df
         return df.where(F.col(col) >= F.lit((bound - timedelta(days=1)).date()))

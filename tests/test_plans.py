@@ -109,3 +109,20 @@ def test_size_shuffles(spark):
         assert size_shuffles(spark, 1) == 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_failures_default_to_records_partitions(spark):
+    import tempfile
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from linewatch.plans.checks import LineTables
+    from linewatch.sources import fixtures as fx
+
+    path = tempfile.mkdtemp(prefix="linewatch-part-") + "/records"
+    fx.records(spark, SF).withColumn("recorded_date", F.to_date("recorded_at")).write.partitionBy("recorded_date").parquet(path)
+    rec = spark.read.parquet(path)
+    t = LineTables(records=rec, alarms=rec, jobs=rec, genealogy=rec, date_partitions={"records": "recorded_date"})
+    plan = _plan(t.bounded("failures", datetime(2024, 1, 20)))
+    assert re.search(r"PartitionFilters: \[[^\]]*recorded_date", plan)
