@@ -303,3 +303,7 @@ class LinePlan:
     genealogy_where: str | None = None
     local_tz: str = "America/Chicago"
     shift_end_hours: tuple[int, ...] = (5, 15)
+
+    def __post_init__(self) -> None:
+        if not self.counts:
+            raise ValueError("a LinePlan needs at least one count check")

@@ -176,6 +176,8 @@ def pareto(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1)
 
 def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """Failing units per (station, origin station) over all trace checks, most first."""
+    if not plan.traces:
+        raise ValueError("the plan has no trace checks")
     bound = _bound(as_of, hours)
     failures = tables.bounded("failures", min([bound] + [t.since for t in plan.traces if t.since]))
     children = tables.child_rows()

@@ -124,3 +124,15 @@ def test_until_gives_an_exact_window(spark):
     part = {(r.station_name, r.parameter_name): r.fail_count for r in fail_counts(cut, plan, FIXTURE_AS_OF, 240).collect()}
     assert all(k in full and v <= full[k] for k, v in part.items())
     assert sum(part.values()) < sum(full.values())
+
+
+def test_plan_validation():
+    import pytest
+
+    from linewatch.plans.checks import LinePlan, NokCheck
+    from linewatch.plans.reports import origin_trace_report
+
+    with pytest.raises(ValueError):
+        LinePlan()
+    with pytest.raises(ValueError):
+        origin_trace_report(None, LinePlan(counts=(NokCheck(),)), FIXTURE_AS_OF)
