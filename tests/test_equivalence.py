@@ -204,3 +204,67 @@ def test_since_local_matches_zoneinfo_across_dst(spark, tz):
         got = sorted(r.i for r in since_local(df, "activated_at", b, "UTC", tz).collect())
         local = [t.replace(tzinfo=ZoneInfo("UTC")).astimezone(zone).replace(tzinfo=None) for t in instants]
         assert got == [i for i, lt in enumerate(local) if lt > b], b
+
+
+@pytest.mark.parametrize("seed", [21, 22, 23])
+def test_fused_counts_random_plans(spark, seed):
+    """Random records and random plans: the one-pass report equals per-check plans and a pandas brute force."""
+    from linewatch.plans.checks import LinePlan, NokCheck, ParamCheck, SpecCheck
+
+    rng = random.Random(seed)
+    stations, params = ["S1", "S2", "S3"], ["a", "b", "c"]
+    t0 = datetime(2024, 1, 15, 12, 0)
+    rows = [
+        record(f"u{rng.randint(0, 40)}", param=rng.choice(params), value=rng.uniform(0, 10), station=rng.choice(stations),
+               status=rng.choice(["OK", "NOK"]), loc=rng.choice([1, 2]), pid=rng.randint(0, 2),
+               ts=t0 + timedelta(minutes=rng.randint(0, 180)))
+        for _ in range(400)
+    ]
+    rules = [(p, rng.choice([None, 1, 2]), 2.0, 8.0) for p in params]
+    counts = (
+        ParamCheck(parameter=rng.choice(params), station=rng.choice(stations), parameter_id=rng.randint(0, 2)),
+        NokCheck(station_like=rng.choice(["S%", "%2"])),
+        SpecCheck(rules=rules, station=rng.choice(stations), value_col="parameter_value_num", location_col="work_location_id", status="NOK"),
+        SpecCheck(rules=rules, value_col="parameter_value_raw", since=t0 + timedelta(minutes=30)),
+    )
+    exact = (SpecCheck(rules=rules, station=rng.choice(stations), value_col="parameter_value_num", per_station=True),)
+    df = records(spark, rows)
+    empty = alarms(spark, [])
+    tables = LineTables(records=df, alarms=empty, jobs=df, genealogy=df)
+    plan = LinePlan(counts=counts, exact=exact)
+    as_of = datetime(2024, 1, 15, 14, 37)
+    bound = rp._bound(as_of, 2)
+    fused = sorted(tuple(r) for r in rp.fail_counts(tables, plan, as_of, 2).collect())
+    single = rp.positive_counts(rp.merge_labels(rp.combine_reports([c.frame(tables, bound, plan.local_tz) for c in counts])))
+    assert fused == sorted(tuple(r) for r in single.collect())
+
+    import pandas as pd
+
+    pdf = pd.DataFrame(rows, columns=[f.name for f in df.schema.fields])
+    pdf["v_raw"] = pd.to_numeric(pdf["parameter_value_raw"], errors="coerce")
+
+    def outside(r, value, location):
+        for name, loc, low, high in rules:
+            if name == r.parameter_name and (not location or loc is None or loc == r.work_location_id):
+                v = r[value]
+                if pd.notna(v) and (v < low or v > high):
+                    return True
+        return False
+
+    expected = {}
+    def add(sel, per_station=False):
+        for (st, p), g in sel.groupby(["station_name", "parameter_name"]) if not per_station else []:
+            expected[(st, p)] = expected.get((st, p), 0) + g.product_serial.nunique()
+    recent = pdf[pdf.recorded_at > bound]
+    c0, c1, c2, c3 = counts
+    add(recent[(recent.station_name == c0.station) & (recent.parameter_name == c0.parameter) & (recent.parameter_id == c0.parameter_id) & (recent.overall_process_status == "NOK")])
+    like = (lambda s: s.startswith("S")) if c1.station_like == "S%" else (lambda s: s.endswith("2"))
+    add(recent[recent.station_name.map(like) & (recent.overall_process_status == "NOK")])
+    add(recent[(recent.station_name == c2.station) & (recent.overall_process_status == "NOK") & recent.apply(lambda r: outside(r, "parameter_value_num", True), axis=1)])
+    late = pdf[pdf.recorded_at > c3.since]
+    add(late[late.apply(lambda r: outside(r, "v_raw", False), axis=1)])
+    got_totals = {}
+    for n, st, p in fused:
+        assert expected.get((st, p)) is not None
+        got_totals[(st, p)] = got_totals.get((st, p), 0) + n
+    assert got_totals == {k: v for k, v in expected.items() if v > 0}
