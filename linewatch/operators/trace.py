@@ -53,7 +53,8 @@ def trace_origin(
     if parents_in is not None:
         hit = hit.join(parents_in.select(F.col("product_serial").alias("_parent")), "_parent", "left_semi")
     if small:
-        hit = materialize(hit, "trace-links")
+        # repeated scans of one link add nothing to a distinct count: drop them before the write
+        hit = materialize(hit.distinct(), "trace-links")
     traced = hit.join(origin, "_child")
     return (
         traced.groupBy("station_name", origin_out)
@@ -100,7 +101,7 @@ def trace_origins(
     small = row_count_at_most(failing.select("product_serial"), max(1, max_broadcast_parents // len(variants)))
     hit = links.join(F.broadcast(fails) if small else fails, "_parent")
     if small:
-        hit = materialize(hit, "trace-links")
+        hit = materialize(hit.distinct(), "trace-links")
     traced = hit.join(origin, ["_child", "_trace"])
     return (
         traced.groupBy("_trace", "station_name", origin_out)
