@@ -81,6 +81,26 @@ def coarse_source_bound(bound_local: datetime, source_tz: str, target_tz: str) -
     return b - widest + narrowest - timedelta(minutes=1)
 
 
+def coarse_source_upper(end_local: datetime, source_tz: str, target_tz: str) -> datetime:
+    """A bound on the raw column implied by ``local_time(col) <= end_local`` (the mirror of
+    ``coarse_source_bound``): every such row also has ``col < result``."""
+    e = end_local.replace(tzinfo=None)
+    narrowest = min(_offsets(target_tz, e, timedelta(hours=15), timedelta(hours=15)))
+    widest = max(_offsets(source_tz, e, timedelta(hours=40), timedelta(hours=15)))
+    return e - narrowest + widest + timedelta(minutes=1)
+
+
+def until_local(
+    df: DataFrame, ts_col: str, end_local: datetime, source_tz: str = "UTC", target_tz: str = "UTC"
+) -> Column:
+    """Test that ``ts_col``, converted from ``source_tz`` to ``target_tz``, is at or before ``end_local``,
+    with a pushable coarse bound on the raw column in front."""
+    kind = _column_type(df, ts_col)
+    coarse = F.col(ts_col) < ts_literal(coarse_source_upper(end_local, source_tz, target_tz), kind)
+    exact = local_time(ts_col, source_tz, target_tz) <= ts_literal(end_local, TimestampNTZType())
+    return coarse & exact
+
+
 def after_local(
     df: DataFrame, ts_col: str, bound_local: datetime, source_tz: str = "UTC", target_tz: str = "UTC"
 ) -> Column:

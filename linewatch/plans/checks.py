@@ -15,10 +15,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
 
 from linewatch.functions.text import bracket_tag
-from linewatch.functions.time import local_time, ts_literal
+from linewatch.functions.time import ts_literal, until_local
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
 from linewatch.operators.limits import inline_rules
@@ -57,9 +56,9 @@ class LineTables:
         are converted from ``alarm_tz`` before the test.
         """
         def cut(df: DataFrame, col: str, source_tz: str | None = None) -> DataFrame:
-            ts = F.col(col) if source_tz is None else local_time(col, source_tz, local_tz)
-            kind = df.schema[col].dataType if source_tz is None else TimestampNTZType()
-            return df.where(ts <= ts_literal(end_local, kind))
+            if source_tz is not None:
+                return df.where(until_local(df, col, end_local, source_tz, local_tz))
+            return df.where(F.col(col) <= ts_literal(end_local, df.schema[col].dataType))
 
         return replace(
             self,

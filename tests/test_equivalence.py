@@ -268,3 +268,17 @@ def test_fused_counts_random_plans(spark, seed):
         assert expected.get((st, p)) is not None
         got_totals[(st, p)] = got_totals.get((st, p), 0) + n
     assert got_totals == {k: v for k, v in expected.items() if v > 0}
+
+
+@pytest.mark.parametrize("tz", ["America/Chicago", "Europe/Berlin", "Pacific/Apia", "Asia/Kolkata"])
+def test_coarse_upper_bound_is_a_superset(tz):
+    from linewatch.functions.time import coarse_source_upper
+
+    rng = random.Random(4)
+    zone = ZoneInfo(tz)
+    for _ in range(3000):
+        utc = datetime(2011, 1, 1) + timedelta(minutes=rng.randint(0, 60 * 24 * 365 * 3))
+        local = utc.replace(tzinfo=ZoneInfo("UTC")).astimezone(zone).replace(tzinfo=None)
+        end = local + timedelta(minutes=rng.randint(0, 600))
+        # the row passes the exact test (local <= end), so it must pass the coarse one
+        assert utc < coarse_source_upper(end, "UTC", tz)

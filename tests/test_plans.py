@@ -126,3 +126,13 @@ def test_failures_default_to_records_partitions(spark):
     t = LineTables(records=rec, alarms=rec, jobs=rec, genealogy=rec, date_partitions={"records": "recorded_date"})
     plan = _plan(t.bounded("failures", datetime(2024, 1, 20)))
     assert re.search(r"PartitionFilters: \[[^\]]*recorded_date", plan)
+
+
+def test_local_upper_cut_is_pushed(spark):
+    from datetime import datetime
+
+    from checks.queries import _tables
+
+    cut = _tables(spark, SF).until(datetime(2024, 1, 15, 14, 0), "America/Chicago")
+    plan = _plan(cut.alarms)
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts,", plan), plan
