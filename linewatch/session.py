@@ -39,8 +39,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and streaming state.
 
     Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    dir). Only when neither is set, as in local tests, a fresh scratch folder is
-    made and registered.
+    dir). Only when neither is set and the master is local, as in tests, a fresh
+    scratch folder is made and registered; on a cluster a machine-local folder
+    would not be shared, so the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (it holds trace links and stream state)")
     scratch = tempfile.mkdtemp(prefix="linewatch-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
