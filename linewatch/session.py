@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,7 +67,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Spark's own size threshold.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/linewatch/{label}-{uuid.uuid4().hex}"
+    # one dated folder per day, so a storage retention rule on the prefix expires old runs
+    day = datetime.now(timezone.utc).strftime("%Y-%m-%d")
+    path = f"{checkpoint_root(spark).rstrip('/')}/linewatch/{label}/day={day}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
