@@ -18,11 +18,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from linewatch.operators.counts import COUNT
 from linewatch.session import checkpoint_root
 
 
+def _epoch():
+    """The wall-clock epoch, for zone-free conversions between wall clocks and instants."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def fail_counts_stream(
     records: DataFrame,
     window: str = "1 hour",
@@ -34,16 +40,18 @@ def fail_counts_stream(
 ) -> DataFrame:
     """Distinct failing serials per tumbling event-time window and keys (append mode)."""
     df = records if failing is None else records.where(failing)
-    # A watermark needs an instant type; wall-clock (NTZ) times are read in the session zone.
-    df = df.withColumn("_event_time", F.col(ts_col).cast("timestamp")).withWatermark("_event_time", delay)
+    wall_clock = isinstance(df.schema[ts_col].dataType, TimestampNTZType)
+    # A watermark needs an instant. A wall clock (NTZ) becomes the instant with the same UTC reading, so
+    # windows fall on wall-clock hours whatever the session zone (half-hour zones, DST gaps).
+    event_time = F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(ts_col))) if wall_clock else F.col(ts_col)
+    df = df.withColumn("_event_time", event_time).withWatermark("_event_time", delay)
     units = df.select(F.window("_event_time", window).alias("window"), *keys, serial_col).dropDuplicates(["window", *keys, serial_col])
     counted = units.groupBy("window", *keys).agg(F.count(F.lit(1)).alias(COUNT))
-    return counted.select(
-        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("window_end"),
-        *keys,
-        COUNT,
-    )
+
+    def bound(c: str):
+        return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(c)), _epoch()) if wall_clock else F.col(c)
+
+    return counted.select(bound("window.start").alias("window_start"), bound("window.end").alias("window_end"), *keys, COUNT)
 
 
 def start_stream(

@@ -64,3 +64,21 @@ def test_stream_to_parquet_sink(spark):
     assert query.exception() is None
     got = [(r.window_start, r.fail_count) for r in spark.read.parquet(out).collect()]
     assert got == [(datetime(2024, 1, 15, 13, 0), 2)]
+
+
+def test_stream_windows_follow_the_wall_clock_in_any_session_zone(spark):
+    folder = tempfile.mkdtemp(prefix="linewatch-stream-")
+    _write(folder, "a.parquet", [
+        ("u1", "S", "p", datetime(2024, 1, 15, 13, 10)),
+        ("u2", "S", "p", datetime(2024, 1, 15, 13, 50)),
+        ("u3", "S", "p", datetime(2024, 1, 15, 15, 30)),
+    ])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")  # UTC+5:30
+    try:
+        events = spark.readStream.schema(SCHEMA).parquet(folder)
+        out = run_available(spark, fail_counts_stream(events, "1 hour", "10 minutes"))
+        got = [(r.window_start, r.window_end, r.fail_count) for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [(datetime(2024, 1, 15, 13, 0), datetime(2024, 1, 15, 14, 0), 2)]
