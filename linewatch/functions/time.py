@@ -29,6 +29,12 @@ def hour_label(ts: datetime) -> str:
     return ts.strftime("%Y-%m-%d %H:00")
 
 
+def hour_text(col: Column | str) -> Column:
+    """``yyyy-MM-dd HH:00`` text of a timestamp column, cut to the hour (the column form of ``hour_label``)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.date_format(F.date_trunc("hour", c), "yyyy-MM-dd HH:00")
+
+
 def ts_literal(value: datetime, like: DataType | None = None) -> Column:
     """A timestamp literal of the same kind as the column it is compared with.
 

@@ -244,3 +244,11 @@ def test_debounce_null_source_is_one_partition(spark):
     df = alarms(spark, [_alarm(None, t, t + 20 * s), _alarm(None, t + 30 * s, None)])  # second is in the next hour slice
     got = al.debounce(df).collect()
     assert [r.activated_at for r in got] == [t]
+
+
+def test_hour_text(spark):
+    from linewatch.functions import hour_label, hour_text
+
+    df = spark.createDataFrame([(datetime(2024, 1, 15, 14, 37, 5),)], "ts timestamp_ntz")
+    assert df.select(hour_text("ts").alias("h")).first().h == "2024-01-15 14:00"
+    assert hour_label(datetime(2024, 1, 15, 14, 37, 5)) == "2024-01-15 14:00"
