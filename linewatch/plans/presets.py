@@ -25,37 +25,67 @@ from linewatch.plans.rules import ELECTRICAL_LIMITS, PIN_TRACE_LIMITS, VISION_LI
 from linewatch.sources.fixtures import FIXTURE_RULES
 
 
-def line_plan(line: str, shop: str | None = None, shift: bool = False, local_tz: str = "America/Chicago") -> LinePlan:
+# The stator line's stations, parameters, alarm patterns and labels, in the order the report uses them.
+JOB_STATION = "020"
+FORCE_STATION_LIKE = "%40%"
+FORCE_PARAMETER = "Force process value"
+FORCE_PARAMETER_ID = 2
+PLATE_STATION = "050"
+PLATE_LABEL = "Twisting Check Plate Fails"
+PLATE_ALARM = "%Assembly error%Task[301]%"
+GRIPPER_ALARM = "%Gripper%work%"
+WELD_STATION = "070"
+WELD_LABEL = "Bad Cuts/Welding Fail"
+WELD_ALARM = "%Assembly error%"
+VISION_STATION = "090"
+NOK_STATION = "100"
+ELECTRICAL_STATION = "180"
+UNIQUE_STATION = "210"
+ORIGIN_CONTAINS = "%30%"
+ORIGIN_PREFIX = "030%"
+PLATE_FAIL_STATION_LIKE = "%050%"
+LINE_TZ = "America/Chicago"
+
+
+def line_plan(line: str, shop: str | None = None, shift: bool = False, local_tz: str = LINE_TZ) -> LinePlan:
     """The stator line's hourly report (``shift=True``: the shift-summary limits)."""
     scope = f"line_name = {_sql_text(line)}" + (f" AND shop_name = {_sql_text(shop)}" if shop else "")
     vision = VISION_LIMITS_SHIFT if shift else VISION_LIMITS
-    nok_force = "overall_process_status = 'NOK' AND parameter_name = 'Force process value' AND parameter_id = 2"
+    nok_force = (
+        f"overall_process_status = 'NOK' AND parameter_name = {_sql_text(FORCE_PARAMETER)} AND parameter_id = {FORCE_PARAMETER_ID}"
+    )
     return LinePlan(
         counts=(
-            JobCheck(station="020", where=scope),
-            ParamCheck(parameter="Force process value", station_like="%40%", parameter_id=2, where=scope),
+            JobCheck(station=JOB_STATION, where=scope),
+            ParamCheck(parameter=FORCE_PARAMETER, station_like=FORCE_STATION_LIKE, parameter_id=FORCE_PARAMETER_ID, where=scope),
             AlarmReportCheck(
-                station="050",
-                label="Twisting Check Plate Fails",
-                debounce_match="%Assembly error%Task[301]%",
-                tag_match="%Gripper%work%",
-                source_like=f"%{line}-050%",
+                station=PLATE_STATION,
+                label=PLATE_LABEL,
+                debounce_match=PLATE_ALARM,
+                tag_match=GRIPPER_ALARM,
+                source_like=f"%{line}-{PLATE_STATION}%",
+            ),
+            AlarmCountCheck(station=WELD_STATION, label=WELD_LABEL, match=WELD_ALARM, source_like=f"%{line}-{WELD_STATION}%"),
+            SpecCheck(rules=vision, station=VISION_STATION, value_col="parameter_value_raw", where=scope),
+            NokCheck(station=NOK_STATION, where=scope),
+            SpecCheck(
+                rules=ELECTRICAL_LIMITS, station=ELECTRICAL_STATION, location_col="work_location_id",
+                value_col="parameter_value_num", status="NOK", where=scope,
             ),
-            AlarmCountCheck(station="070", label="Bad Cuts/Welding Fail", match="%Assembly error%", source_like=f"%{line}-070%"),
-            SpecCheck(rules=vision, station="090", value_col="parameter_value_raw", where=scope),
-            NokCheck(station="100", where=scope),
-            SpecCheck(rules=ELECTRICAL_LIMITS, station="180", location_col="work_location_id", value_col="parameter_value_num", status="NOK", where=scope),
         ),
         exact=(
             SpecCheck(
-                rules=ELECTRICAL_LIMITS, station="210", location_col="work_location_name", value_col="parameter_value_num",
-                status="NOK", per_station=True, where=scope,
+                rules=ELECTRICAL_LIMITS, station=UNIQUE_STATION, location_col="work_location_name",
+                value_col="parameter_value_num", status="NOK", per_station=True, where=scope,
             ),
         ),
         traces=(
-            TraceCheck(fail_station_like="%40%", fail_where=f"{nok_force} AND {scope}", origin_like="%30%", origin_where=scope),
-            TraceCheck(fail_station_like="%050%", fail_where=f"result_status = 'FAIL' AND {scope}", origin_like="030%", origin_where=scope),
-            TraceCheck(fail_station="090", fail_where=scope, fail_rules=PIN_TRACE_LIMITS, origin_like="030%", origin_where=scope),
+            TraceCheck(fail_station_like=FORCE_STATION_LIKE, fail_where=f"{nok_force} AND {scope}", origin_like=ORIGIN_CONTAINS, origin_where=scope),
+            TraceCheck(
+                fail_station_like=PLATE_FAIL_STATION_LIKE, fail_where=f"result_status = 'FAIL' AND {scope}",
+                origin_like=ORIGIN_PREFIX, origin_where=scope,
+            ),
+            TraceCheck(fail_station=VISION_STATION, fail_where=scope, fail_rules=PIN_TRACE_LIMITS, origin_like=ORIGIN_PREFIX, origin_where=scope),
         ),
         genealogy_where=scope,
         local_tz=local_tz,
