@@ -136,3 +136,20 @@ def test_plan_validation():
         LinePlan()
     with pytest.raises(ValueError):
         origin_trace_report(None, LinePlan(counts=(NokCheck(),)), FIXTURE_AS_OF)
+
+
+def test_shift_plan_uses_its_own_limits(spark):
+    ts = datetime(2024, 1, 15, 13, 30)
+    rec = spark.createDataFrame(
+        [("u1", "090", "Value Height Connection Phase 1", 1, 1, "01", "OK", "PASS", "12.0", 12.0, ts)], RECORDS_SCHEMA
+    ).withColumn("line_name", F.lit("L1"))
+    empty_alarms = spark.createDataFrame([], ALARMS_SCHEMA)
+    jobs = spark.createDataFrame([], JOBS_SCHEMA).withColumn("line_name", F.lit("L1"))
+    tables = LineTables(records=rec, alarms=empty_alarms, jobs=jobs, genealogy=rec)
+    as_of = datetime(2024, 1, 15, 14, 37)
+    from linewatch.plans.reports import fail_counts
+
+    hourly = fail_counts(tables, line_plan("L1"), as_of, 1).collect()
+    shift = fail_counts(tables, line_plan("L1", shift=True), as_of, 1).collect()
+    assert hourly == []  # 12.0 is within 11.35 .. 12.90
+    assert [(r.station_name, r.parameter_name, r.fail_count) for r in shift] == [("090", "Value Height Connection Phase 1", 1)]
