@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
+from linewatch.defaults import LINE_TZ
 from linewatch.plans.checks import LineTables
 from linewatch.plans.job import run_report, write_run
 from linewatch.plans.presets import line_plan
@@ -35,7 +36,7 @@ def main(argv: list[str] | None = None) -> list[str]:
     p.add_argument("--genealogy", required=True)
     p.add_argument("--line", required=True, help="line name, e.g. LINE01")
     p.add_argument("--shop", default=None, help="plant/shop name filter")
-    p.add_argument("--tz", default="America/Chicago", help="zone of the line's wall clock")
+    p.add_argument("--tz", default=LINE_TZ, help="zone of the line's wall clock")
     p.add_argument("--as-of", default=None, help="run instant in UTC, ISO format (default: now)")
     p.add_argument("--hours", type=int, default=1)
     p.add_argument("--force-shift", action="store_true", help="also build the shift summary")

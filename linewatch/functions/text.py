@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from linewatch.defaults import PAIR_SEPARATOR, PAIR_WIDTH, SPOOL_LENGTH, SPOOL_MARKER, TAG_MARKER
 
 
 def _c(col: Column | str) -> Column:
@@ -15,7 +16,7 @@ def as_number(col: Column | str) -> Column:
     return _c(col).try_cast("double")
 
 
-def bracket_tag(col: Column | str, marker: str = "Key") -> Column:
+def bracket_tag(col: Column | str, marker: str = TAG_MARKER) -> Column:
     """The part between the first and second ``marker`` (case-sensitive; to the end when
     there is one marker), trimmed of spaces and brackets at both ends.
 
@@ -24,13 +25,13 @@ def bracket_tag(col: Column | str, marker: str = "Key") -> Column:
     return F.btrim(F.split_part(_c(col), F.lit(marker), F.lit(2)), F.lit(" []"))
 
 
-def spool_code(col: Column | str, marker: str = "C", length: int = 8) -> Column:
+def spool_code(col: Column | str, marker: str = SPOOL_MARKER, length: int = SPOOL_LENGTH) -> Column:
     """``length`` characters after the first ``marker``; from the start if it is absent."""
     c = _c(col)
     return c.substr(F.locate(marker, c) + 1, F.lit(length))
 
 
-def pair_label(col: Column | str, width: int = 5, sep: str = "&") -> Column:
+def pair_label(col: Column | str, width: int = PAIR_WIDTH, sep: str = PAIR_SEPARATOR) -> Column:
     """Short pair label: first ``width`` characters, ``' & '``, then ``width`` after ``sep`` and a space."""
     c = _c(col)
     return F.concat(F.left(c, F.lit(width)), F.lit(f" {sep} "), c.substr(F.locate(sep, c) + 2, F.lit(width)))

@@ -14,6 +14,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
+from linewatch.defaults import SHIFT_END_HOURS
 
 _TS_FORMAT = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -128,12 +129,12 @@ def since_local(
     return df.where(after_local(df, ts_col, bound_local, source_tz, target_tz))
 
 
-def shift_end(ts_col: Column | str, tz: str, hours: Iterable[int] = (5, 15), source_tz: str = "UTC") -> Column:
+def shift_end(ts_col: Column | str, tz: str, hours: Iterable[int] = SHIFT_END_HOURS, source_tz: str = "UTC") -> Column:
     """True when the local hour of ``ts_col`` is one of the shift-end hours."""
     return F.hour(local_time(ts_col, source_tz, tz)).isin(list(hours))
 
 
-def is_shift_end(as_of: datetime, tz: str, hours: Iterable[int] = (5, 15)) -> bool:
+def is_shift_end(as_of: datetime, tz: str, hours: Iterable[int] = SHIFT_END_HOURS) -> bool:
     """Driver-side gate for the shift summary: ``as_of`` is a UTC instant."""
     utc = as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
     return utc.astimezone(ZoneInfo(tz)).hour in set(hours)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from linewatch.functions.text import bracket_tag
 from linewatch.functions.time import after_local
 from linewatch.operators.counts import COUNT
+from linewatch.defaults import ALARM_PRIORITIES, DEBOUNCE_SECONDS, LINE_TZ, TAG_MARKER
 
 SOURCE = "alarm_source"
 START = "activated_at"
@@ -30,9 +31,9 @@ def alarm_scope_filter(
     alarms: DataFrame,
     bound_local: datetime | None = None,
     source_like: str | None = None,
-    priorities: Iterable[str] | None = ("high", "critical"),
+    priorities: Iterable[str] | None = ALARM_PRIORITIES,
     source_tz: str = "UTC",
-    local_tz: str = "America/Chicago",
+    local_tz: str = LINE_TZ,
 ) -> Column:
     """Test for alarms of matching sources and priorities whose local start is after ``bound_local``."""
     conds = []
@@ -49,9 +50,9 @@ def alarm_scope(
     alarms: DataFrame,
     bound_local: datetime | None = None,
     source_like: str | None = None,
-    priorities: Iterable[str] | None = ("high", "critical"),
+    priorities: Iterable[str] | None = ALARM_PRIORITIES,
     source_tz: str = "UTC",
-    local_tz: str = "America/Chicago",
+    local_tz: str = LINE_TZ,
 ) -> DataFrame:
     """Alarms of matching sources and priorities whose local start is after ``bound_local``."""
     return alarms.where(alarm_scope_filter(alarms, bound_local, source_like, priorities, source_tz, local_tz))
@@ -110,7 +111,7 @@ def with_previous_end(
 
 def debounce(
     alarms: DataFrame,
-    gap_seconds: int = 30,
+    gap_seconds: int = DEBOUNCE_SECONDS,
     source_col: str = SOURCE,
     start_col: str = START,
     end_col: str = END,
@@ -139,7 +140,7 @@ def alarm_total(alarms: DataFrame, station: str, label: str, match: str | None =
     return df.agg(F.count(F.lit(1)).alias(COUNT)).select(COUNT, F.lit(station).alias("station_name"), F.lit(label).alias(label_col))
 
 
-def alarm_tag_counts(alarms: DataFrame, station: str, match: str | None = None, marker: str = "Key") -> DataFrame:
+def alarm_tag_counts(alarms: DataFrame, station: str, match: str | None = None, marker: str = TAG_MARKER) -> DataFrame:
     """``COUNT(*)`` per tag taken from the description after ``marker``."""
     df = alarms if match is None else alarms.where(F.col(DESCRIPTION).ilike(match))
     return (
@@ -157,11 +158,11 @@ def alarm_report(
     tag_match: str,
     bound_local: datetime | None = None,
     source_like: str | None = None,
-    priorities: Iterable[str] | None = ("high", "critical"),
-    gap_seconds: int = 30,
-    marker: str = "Key",
+    priorities: Iterable[str] | None = ALARM_PRIORITIES,
+    gap_seconds: int = DEBOUNCE_SECONDS,
+    marker: str = TAG_MARKER,
     source_tz: str = "UTC",
-    local_tz: str = "America/Chicago",
+    local_tz: str = LINE_TZ,
 ) -> DataFrame:
     """Debounced count of one alarm kind, stacked over tag counts of another kind."""
     scoped = alarm_scope(alarms, bound_local, source_like, priorities, source_tz, local_tz)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from linewatch.functions.time import ts_literal
 from linewatch.operators.limits import Rules, out_of_spec, rule_names, spec_failure
+from linewatch.defaults import NOK_STATUS, OK_STATUS
 
 COUNT = "fail_count"
 
@@ -66,7 +67,7 @@ def positive_counts(df: DataFrame, col: str = COUNT) -> DataFrame:
 
 def job_fail_filter(
     jobs: DataFrame, bound: datetime | None, station: str | None = None, station_like: str | None = None,
-    ok_status: str = "OK", where: Column | None = None,
+    ok_status: str = OK_STATUS, where: Column | None = None,
 ) -> Column:
     """Job not OK (a NULL status is not counted: ``!=`` is NULL for it)."""
     return _all(after(jobs, "started_at", bound), station_filter(station, station_like), F.col("job_status") != ok_status, where)
@@ -74,7 +75,7 @@ def job_fail_filter(
 
 def param_fail_filter(
     records: DataFrame, bound: datetime | None, parameter: str, station: str | None = None, station_like: str | None = None,
-    parameter_id: int | None = None, status: str = "NOK", where: Column | None = None,
+    parameter_id: int | None = None, status: str = NOK_STATUS, where: Column | None = None,
 ) -> Column:
     """Status ``status`` on one named parameter (and id)."""
     pid = None if parameter_id is None else F.col("parameter_id") == parameter_id
@@ -86,7 +87,7 @@ def param_fail_filter(
 
 def nok_filter(
     records: DataFrame, bound: datetime | None, station: str | None = None, station_like: str | None = None,
-    status: str = "NOK", where: Column | None = None,
+    status: str = NOK_STATUS, where: Column | None = None,
 ) -> Column:
     """Status ``status`` on any parameter."""
     return _all(after(records, "recorded_at", bound), station_filter(station, station_like), F.col("overall_process_status") == status, where)
@@ -109,7 +110,7 @@ def spec_fail_filter(
 
 def job_fail_counts(
     jobs: DataFrame, bound: datetime | None, station: str | None = None, station_like: str | None = None,
-    ok_status: str = "OK", label_col: str = "work_location_desc", where: Column | None = None,
+    ok_status: str = OK_STATUS, label_col: str = "work_location_desc", where: Column | None = None,
 ) -> DataFrame:
     """Units whose job status is not ``ok_status``, per station and work-location label."""
     df = jobs.where(job_fail_filter(jobs, bound, station, station_like, ok_status, where))
@@ -118,7 +119,7 @@ def job_fail_counts(
 
 def param_fail_counts(
     records: DataFrame, bound: datetime | None, parameter: str, station: str | None = None, station_like: str | None = None,
-    parameter_id: int | None = None, status: str = "NOK", where: Column | None = None,
+    parameter_id: int | None = None, status: str = NOK_STATUS, where: Column | None = None,
 ) -> DataFrame:
     """Units with status ``status`` for one named parameter (and id), per station."""
     df = records.where(param_fail_filter(records, bound, parameter, station, station_like, parameter_id, status, where))
@@ -127,7 +128,7 @@ def param_fail_counts(
 
 def station_nok_counts(
     records: DataFrame, bound: datetime | None, station: str | None = None, station_like: str | None = None,
-    status: str = "NOK", where: Column | None = None,
+    status: str = NOK_STATUS, where: Column | None = None,
 ) -> DataFrame:
     """Units with status ``status`` per station and parameter."""
     df = records.where(nok_filter(records, bound, station, station_like, status, where))
@@ -154,7 +155,7 @@ def out_of_spec_counts(
 
 def out_of_spec_location_counts(
     records: DataFrame, rules: Rules, bound: datetime | None, station: str | None = None, station_like: str | None = None,
-    location_col: str = "work_location_id", value_col: str = "parameter_value_num", status: str | None = "NOK",
+    location_col: str = "work_location_id", value_col: str = "parameter_value_num", status: str | None = NOK_STATUS,
     where: Column | None = None,
 ) -> DataFrame:
     """Units with status ``status`` and outside a location-bound limit, per station and parameter."""
@@ -164,7 +165,7 @@ def out_of_spec_location_counts(
 
 def station_unique_fails(
     records: DataFrame, rules: Rules, bound: datetime | None, station: str | None = None, station_like: str | None = None,
-    location_col: str | None = "work_location_name", value_col: str = "parameter_value_num", status: str | None = "NOK",
+    location_col: str | None = "work_location_name", value_col: str = "parameter_value_num", status: str | None = NOK_STATUS,
     where: Column | None = None,
 ) -> DataFrame:
     """Units failing any rule, per station: each unit once, however many parameters it fails."""

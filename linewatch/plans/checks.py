@@ -22,6 +22,7 @@ from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
 from linewatch.operators.limits import inline_rules
 from linewatch.operators.trace import trace_origin
+from linewatch.defaults import ALARM_PRIORITIES, DEBOUNCE_SECONDS, LINE_TZ, NOK_STATUS, OK_STATUS, ORIGIN_PARAMETER, SHIFT_END_HOURS, TAG_MARKER
 
 
 @dataclass
@@ -48,7 +49,7 @@ class LineTables:
     def failure_rows(self) -> DataFrame:
         return self.failures if self.failures is not None else self.records
 
-    def until(self, end_local: datetime, local_tz: str = "America/Chicago", alarm_tz: str = "UTC") -> "LineTables":
+    def until(self, end_local: datetime, local_tz: str = LINE_TZ, alarm_tz: str = "UTC") -> "LineTables":
         """The same tables cut at ``end_local`` (inclusive, on the line's wall clock).
 
         The original counted everything after the bound, so an "hourly" report
@@ -88,7 +89,7 @@ class JobCheck:
 
     station: str | None = None
     station_like: str | None = None
-    ok_status: str = "OK"
+    ok_status: str = OK_STATUS
     label_col: str = "work_location_desc"
     where: str | None = None
     since: datetime | None = None
@@ -107,7 +108,7 @@ class ParamCheck:
     station: str | None = None
     station_like: str | None = None
     parameter_id: int | None = None
-    status: str = "NOK"
+    status: str = NOK_STATUS
     where: str | None = None
     since: datetime | None = None
     per_station = False
@@ -132,7 +133,7 @@ class NokCheck:
 
     station: str | None = None
     station_like: str | None = None
-    status: str = "NOK"
+    status: str = NOK_STATUS
     where: str | None = None
     since: datetime | None = None
     per_station = False
@@ -193,9 +194,9 @@ class AlarmReportCheck:
     debounce_match: str
     tag_match: str
     source_like: str | None = None
-    priorities: tuple[str, ...] = ("high", "critical")
-    gap_seconds: int = 30
-    marker: str = "Key"
+    priorities: tuple[str, ...] = ALARM_PRIORITIES
+    gap_seconds: int = DEBOUNCE_SECONDS
+    marker: str = TAG_MARKER
     source_tz: str = "UTC"
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
@@ -225,7 +226,7 @@ class AlarmCountCheck:
     label: str
     match: str
     source_like: str | None = None
-    priorities: tuple[str, ...] = ("high", "critical")
+    priorities: tuple[str, ...] = ALARM_PRIORITIES
     source_tz: str = "UTC"
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
@@ -253,7 +254,7 @@ class TraceCheck:
     fail_rules: Sequence[tuple] | None = None
     fail_value_col: str = "parameter_value_raw"
     origin_like: str | None = None
-    origin_parameter: str | None = "Nest"
+    origin_parameter: str | None = ORIGIN_PARAMETER
     origin_where: str | None = None
     since: datetime | None = None
 
@@ -300,8 +301,8 @@ class LinePlan:
     exact: tuple = ()
     traces: tuple = ()
     genealogy_where: str | None = None
-    local_tz: str = "America/Chicago"
-    shift_end_hours: tuple[int, ...] = (5, 15)
+    local_tz: str = LINE_TZ
+    shift_end_hours: tuple[int, ...] = SHIFT_END_HOURS
 
     def __post_init__(self) -> None:
         if not self.counts:

@@ -23,6 +23,7 @@ from linewatch.plans.checks import (
 from linewatch.operators.limits import _sql_text
 from linewatch.plans.rules import ELECTRICAL_LIMITS, PIN_TRACE_LIMITS, VISION_LIMITS, VISION_LIMITS_SHIFT
 from linewatch.sources.fixtures import FIXTURE_RULES
+from linewatch.defaults import LINE_TZ
 
 
 # The stator line's stations, parameters, alarm patterns and labels, in the order the report uses them.
@@ -44,7 +45,6 @@ UNIQUE_STATION = "210"
 ORIGIN_CONTAINS = "%30%"
 ORIGIN_PREFIX = "030%"
 PLATE_FAIL_STATION_LIKE = "%050%"
-LINE_TZ = "America/Chicago"
 
 
 def line_plan(line: str, shop: str | None = None, shift: bool = False, local_tz: str = LINE_TZ) -> LinePlan:
