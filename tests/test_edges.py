@@ -252,3 +252,13 @@ def test_hour_text(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 15, 14, 37, 5),)], "ts timestamp_ntz")
     assert df.select(hour_text("ts").alias("h")).first().h == "2024-01-15 14:00"
     assert hour_label(datetime(2024, 1, 15, 14, 37, 5)) == "2024-01-15 14:00"
+
+
+def test_write_report_partitioned(spark, tmp_path):
+    from linewatch.sources import write_report
+
+    df = spark.createDataFrame([("parameter", 1, "S1"), ("pareto", 2, "S1")], "section string, fail_count long, station_name string")
+    path = str(tmp_path / "sections")
+    write_report(df, path, fmt="parquet", partition_by=["section"])
+    back = spark.read.parquet(path).where("section = 'pareto'")
+    assert [(r.fail_count, r.station_name) for r in back.collect()] == [(2, "S1")]
