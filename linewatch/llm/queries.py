@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linewatch.llm.ann import nearest
+from linewatch.llm.bpe import bpe_digests
+from linewatch.llm.common import fold
+from linewatch.llm.fingerprints import edited_fingerprints
+from linewatch.llm.lm_scoring import score_cross_entropy
+from linewatch.llm.packing import pack
 from linewatch.llm.quality import score_quality
 from linewatch.llm.toxicity import score_toxicity
 
@@ -18,13 +26,42 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.drop("ids")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality, but for a quarter of the folds that stays unseen."""
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold(4) != 2))
+    return score_cross_entropy(table(spark, sf_dir, "documents"), good)
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_nearest": op9_nearest,
+    "op10_bpe": op10_bpe,
 }
 
 #: DuckDB statements with the same meaning, where SQL can state it.
