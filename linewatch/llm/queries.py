@@ -15,6 +15,8 @@ from linewatch.llm.fingerprints import edited_fingerprints
 from linewatch.llm.lm_scoring import score_cross_entropy
 from linewatch.llm.packing import pack
 from linewatch.llm.quality import score_quality
+from linewatch.llm.substring_dedup import substring_digests
+from linewatch.llm.suffix_dedup import remove_repeated_bytes
 from linewatch.llm.toxicity import score_toxicity
 
 
@@ -26,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents"), 35)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return pieces.drop("ids")
@@ -35,6 +41,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), 400).drop("removed")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -56,8 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_nearest": op9_nearest,
