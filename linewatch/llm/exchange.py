@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bucket_count(df: DataFrame, per_partition: int = 4) -> int:
-    """Buckets for a shuffle of what ``df`` yields: some for each shuffle or input partition, whichever are more."""
+    """Buckets for a shuffle of what ``df`` yields: as many as shuffle or input partitions, whichever are more."""
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return per_partition * max(shuffles, df.rdd.getNumPartitions())
 
@@ -67,16 +67,25 @@ def find_many(
     schema: str,
     buckets: int,
     mark: Callable[[np.ndarray], np.ndarray] = mark_many,
+    unique: tuple[str, ...] = (),
 ) -> DataFrame:
     """``give`` of all records whose key occurs more than once, in bucket-sized groups.
 
     ``make`` yields record arrays for an input batch. ``mark`` tells for records sorted by key which of them count as many;
-    it is asked within a task first and within a bucket then.
+    it is asked within a task first and within a bucket then. Of records equal in key and the fields ``unique``
+    (if any) one stays.
     """
 
+    def in_order(parts: list[np.ndarray]) -> np.ndarray:
+        r = np.concatenate(parts)
+        if not unique:
+            return r[np.argsort(r["key"], kind="stable")]
+        r = r[np.lexsort((r["many"], *(r[n] for n in unique), r["key"]))]
+        same = np.logical_and.reduce([r[n][1:] == r[n][:-1] for n in ("key", *unique)])
+        return r[np.append(~same, True)]  # the last of equals has the mark if any has
+
     def combine(waiting: list[np.ndarray]) -> pa.RecordBatch:
-        r = np.concatenate(waiting)
-        r = r[np.argsort(r["key"], kind="stable")]
+        r = in_order(waiting)
         many = mark(r)
         r["many"] |= many
         again = np.concatenate([[False], r["key"][1:] == r["key"][:-1]]) & many
@@ -96,8 +105,7 @@ def find_many(
             yield combine(waiting)
 
     def receive(group: pa.Table) -> pa.Table:
-        r = np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in group.column("block")])
-        r = r[np.argsort(r["key"], kind="stable")]
+        r = in_order([np.frombuffer(x.as_buffer(), dtype) for x in group.column("block")])
         return give(r[mark(r)])
 
     return rows.mapInArrow(send, "bucket int, block binary").groupBy("bucket").applyInArrow(receive, schema)

@@ -13,6 +13,7 @@ from linewatch.llm.bpe import bpe_digests
 from linewatch.llm.common import fold
 from linewatch.llm.fingerprints import edited_fingerprints
 from linewatch.llm.lm_scoring import score_cross_entropy
+from linewatch.llm.ngram_join import similar_groups
 from linewatch.llm.packing import pack
 from linewatch.llm.quality import score_quality
 from linewatch.llm.substring_dedup import substring_digests
@@ -28,6 +29,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"), 35)
 
@@ -66,6 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
