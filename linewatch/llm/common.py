@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+
+#: Scratch tables written by this driver and not yet dropped, oldest first.
+written_paths: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,12 +37,15 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/linewatch-llm/{label}-{uuid.uuid4().hex}"
+    written_paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later step reads."""
+    if path in written_paths:
+        written_paths.remove(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -75,5 +85,20 @@ def task_partitions(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, which keeps them apart from an operator's own columns whatever their names."""
+    return F.struct(*(docs[c] for c in docs.columns)).alias("document")
+
+
+def schema_of(df: DataFrame, names: list[str], more: str = "") -> StructType:
+    """The fields ``names`` of ``df`` and those of the DDL string ``more``."""
+    fields = [df.schema[n] for n in names] + (list(StructType.fromDDL(more)) if more else [])
+    return StructType([StructField(f.name, f.dataType) for f in fields])
+
+
+def kept_in_worker(name: tuple, make: Callable):
+    """``make()``, kept for the later tasks of the same Python worker; for tables of fixed size and bounded caches only."""
+    held = sys.modules.setdefault("_linewatch_worker", types.ModuleType("_linewatch_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

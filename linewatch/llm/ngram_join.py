@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import drop_stored, row_id, stored
+from linewatch.llm.common import stored
 from linewatch.llm.components import connected_components
 from linewatch.llm.exchange import KEY, MANY, bucket_count, find_many, mix, runs_of
-from linewatch.llm.repeats import WordCodes
+from linewatch.llm.repeats import WordCodes, identified
 
 RECORD = np.dtype([KEY, ("set", "<i8"), ("size", "<u4"), ("role", "u1"), MANY])
 INDEX, PROBE = 1, 2
@@ -215,7 +215,6 @@ def compatible(a: str, b: str, percent: int):
 
 def set_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, row, set, size), and links a, b between different sets that leave no similar sets in two components."""
-    spark = docs.sparkSession
     rows, _ = stored(shingled(docs, width), "join-rows")
     keys, _ = stored(shared_keys(docs, width, percent), "join-keys")
     named = keys.select("set").distinct().join(rows.groupBy("set").agg(F.min("row").alias("row")), "set").select("row")
@@ -257,6 +256,14 @@ def set_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     return rows, links
 
 
+def rooted_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, row, size and root (the name of the least set of its component) of every row; ``docs`` has doc_id, text, row."""
+    rows, links = set_links(docs, width, percent)
+    roots = connected_components(links)
+    named = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "row", "size", F.coalesce("root", "set").alias("root"))
+    return stored(named, "join-rooted")[0]
+
+
 def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
@@ -264,13 +271,21 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     smallest doc_id reachable by links, the row's own included. Null, empty and wordless texts have empty sets and link with
     nothing. Rows that repeat a set are linked without being paired. A null doc_id counts as larger than any other.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_id())
-    rows, links = set_links(source, width, percent)
-    roots = connected_components(links)
-    placed, _ = stored(
-        rows.join(roots.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "size", F.coalesce("root", "set").alias("root")), "join-placed"
-    )
+    placed = rooted_rows(identified(docs), width, percent)
     least = placed.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = placed.where("size > 0").join(least, "root").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = placed.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that of the smallest doc_id (then of the least content hash).
+
+    Texts without words are in no group and all stay.
+    """
+    rows = identified(docs, with_document=True)
+    placed = rooted_rows(rows.drop("document"), width, percent)
+    first = placed.where("size > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    grouped = rows.join(first.select("first.row"), "row", "left_semi").dropDuplicates(["row"])
+    wordless = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return grouped.select("document.*").unionByName(wordless.select("document.*"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import drop_stored, fold, labelled_sample, stored
+from linewatch.llm.common import drop_stored, fold, labelled_sample, schema_of, stored, whole_row
 
 STATISTICS = (
     "log_words", "mean_word", "spread_word", "distinct_share", "top_share", "repeat_share", "symbol_rate", "pipe_rate",
@@ -106,15 +106,13 @@ class QuadraticDiscriminant:
 
 def scored_rows(rows: DataFrame, model: QuadraticDiscriminant, slope: float, shift: float, *carry: str) -> DataFrame:
     """``carry`` and ``score``: the log-density difference (compressed by a signed root) through a logistic curve."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([document_statistics(t) for t in b.column("text").to_pylist()]).reshape(-1, len(STATISTICS))
             score = 1 / (1 + np.exp(-np.clip(slope * squeeze(model.difference(x)) + shift, -500, 500)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(score, pa.float64())], names=[*carry, "score"])
 
-    return rows.select("text", *carry).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carry) + ", score double")
+    return rows.select("text", *carry).mapInArrow(run, schema_of(rows, list(carry), "score double"))
 
 
 def squeeze(d: np.ndarray) -> np.ndarray:
@@ -144,14 +142,18 @@ def score_quality(
     threshold: float = 0.7,
     pool: float = 0.1,
     ridge: float = 0.02,
+    with_document: bool = False,
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= ``threshold``) for every row of ``docs`` (doc_id, text).
 
+    ``with_document`` adds the struct ``document`` of all columns of ``docs``.
+
     Learns from labelled rows whose fold is not ``held_out``, at most ``max_training_rows`` of them (a hash sample). Three
     quarters give the class moments; a quarter gives the two numbers of the logistic curve. Null texts count as empty.
-    Repeated rows get a score each. Without labelled rows of both classes every score is 0.
+    Repeated rows get a score each. Without labelled rows of both classes nothing speaks against a document, and every score is 1.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    carry = ["doc_id", "held_out"] + ["document"] * with_document
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * with_document)
     kept = rows.withColumn("held_out", fold(held_out_mod) == held_out)
     sample, path = stored(labelled_sample(rows, labels, "quality", fold(held_out_mod) != held_out, max_training_rows), "quality-sample")
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))
@@ -164,8 +166,8 @@ def score_quality(
             slope, shift = fit_logistic(np.log(p / (1 - p)), raw["label"].to_numpy(dtype=float))
         else:
             slope, shift = 1.0, 0.0
-        out = scored_rows(kept, model, slope, shift, "doc_id", "held_out")
+        out = scored_rows(kept, model, slope, shift, *carry)
     else:
-        out = kept.select("doc_id", "held_out", F.lit(0.0).alias("score"))
+        out = kept.select(*carry, F.lit(1.0).alias("score"))
     drop_stored(docs.sparkSession, path)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

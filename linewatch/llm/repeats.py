@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from linewatch.llm.common import row_id, stored
+from linewatch.llm.common import row_id, schema_of, stored, whole_row
 from linewatch.llm.exchange import KEY, MANY, blocks, bucket_count, bucket_of, find_many, mix, runs_of
 
 #: Texts are taken in stretches of so many windows; a window's anchor depends on the window alone, so cuts change nothing.
@@ -126,9 +128,9 @@ def anchor_table(r: np.ndarray) -> pa.Table:
 ANCHOR_SCHEMA = "key long, row long, span long, more long, place int, high int, low int"
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row: the content hash that names a row in all steps."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def identified(docs: DataFrame, with_document: bool = False) -> DataFrame:
+    """doc_id, text and row: the content hash that names a row in all steps; with the struct of all columns if asked."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * with_document)
     return rows.withColumn("row", row_id())
 
 
@@ -204,15 +206,15 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(rows: DataFrame, spans: DataFrame, make: Callable[[str, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
-    """doc_id and what ``make`` says of each row's text and merged spans; ``schema`` names the columns of ``make``."""
-    fields = [x.split() for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<struct<start:int,end:int>>": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+def with_spans(rows: DataFrame, spans: DataFrame, make: Callable[[str, list[tuple[int, int]]], tuple], schema: str, key: str = "doc_id") -> DataFrame:
+    """``key`` and what ``make`` says of each row's text and merged spans; ``schema`` names the columns of ``make``."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [make(t.as_py() or "", merged(s)) for t, s in zip(b.column("text"), b.column("spans").to_pylist())]
-            columns = [pa.array([g[i] for g in got], kinds[kind]) for i, (_, kind) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *(n for n, _ in fields)])
+            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(key), *columns], names=[key, *names])
 
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, {schema}")
+    return rows.join(spans, "row", "left").select(key, "text", "spans").mapInArrow(run, schema_of(rows, [key], schema))

@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import drop_stored, fold, labelled_sample, stored, task_partitions
+from linewatch.llm.common import drop_stored, fold, labelled_sample, schema_of, stored, task_partitions, whole_row
 
 #: Second-person words (fixed values: pronouns and possessives of four languages).
 SECOND_PERSON = frozenset(
@@ -94,8 +94,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *carry: str) -> Da
                 [*(b.column(c) for c in carry), pa.array(rows, pa.list_(pa.float64()))], names=[*carry, "features"]
             )
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select("text", *carry).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carry) + ", features array<double>")
+    return docs.select("text", *carry).mapInArrow(run, schema_of(docs, list(carry), "features array<double>"))
 
 
 def learn_lexicon(sample: DataFrame, least_share: float, least_odds: float) -> dict[str, float]:
@@ -133,14 +132,18 @@ def score_toxicity(
     depth: int = 3,
     least_share: float = 0.004,
     least_odds: float = 10.0,
+    with_document: bool = False,
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for every row of ``docs`` (doc_id, text).
 
+    ``with_document`` adds the struct ``document`` of all columns of ``docs``.
+
     Learns from labelled rows whose fold is not ``held_out``, at most ``max_training_rows`` of them (a hash sample). Three
     quarters of the sample grow the trees and a quarter calibrates their margin. Null and empty texts are scored from
     all-zero features. Repeated rows get a score each. Without labelled rows of both classes every score is 0.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    carry = ["doc_id", "held_out"] + ["document"] * with_document
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * with_document)
     kept = rows.withColumn("held_out", fold(held_out_mod) == held_out)
     sample, path = stored(labelled_sample(rows, labels, "toxic", fold(held_out_mod) != held_out, max_training_rows), "toxicity-sample")
     lexicon = learn_lexicon(sample, least_share, least_odds)
@@ -149,16 +152,16 @@ def score_toxicity(
     seen = seen.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))
     fit, check = seen.where("part != 0"), seen.where("part = 0")
     classes = [{r["label"] for r in x.select("label").distinct().collect()} for x in (fit, check)]
-    scored = with_features(kept, lexicon, "doc_id", "held_out").select("doc_id", "held_out", array_to_vector("features").alias("features"))
+    scored = with_features(kept, lexicon, *carry).select(*carry, array_to_vector("features").alias("features"))
     if classes == [{0.0, 1.0}] * 2:
         boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=7).setRawPredictionCol("raw").fit(fit)
         margin = vector_to_array("raw")[1].alias("margin")
         calibrated = IsotonicRegression(featuresCol="margin", predictionCol="level").fit(boosted.transform(check).select("label", margin))
-        scored = calibrated.transform(boosted.transform(scored).select("doc_id", "held_out", margin))
+        scored = calibrated.transform(boosted.transform(scored).select(*carry, margin))
         # the step function is flat; a little of the margin keeps the order within a step
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("level") + 0.001 / (1 + F.exp(-2 * F.col("margin")))))
     else:
         score = F.lit(0.0)
     drop_stored(docs.sparkSession, path)
     drop_stored(docs.sparkSession, feats_path)
-    return scored.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.select(*carry, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
