@@ -2,9 +2,10 @@
 
     python -m linewatch --records mes.parameter_records --alarms scada.alarms \
         --jobs mes.work_location_jobs --genealogy mes.genealogy \
-        --line LINE01 --shop PLANT1 --out s3://bucket/reports/run=2024-01-15T14
+        --line LINE01 --shop PLANT1 --out /shared/reports/run=2024-01-15T14
 
-Tables are catalog names or Parquet paths. ``--as-of`` defaults to now (UTC);
+The session is the one that the submit command sets up: master, shuffle partitions
+and checkpoint folder are its settings. Tables are catalog names or Parquet paths. ``--as-of`` defaults to now (UTC);
 the clock is read here, never inside an operator. Schedule it hourly with the
 scheduler of your choice.
 """
@@ -14,11 +15,13 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
+from pyspark.sql import SparkSession
+
 from linewatch.defaults import LINE_TZ
 from linewatch.plans.checks import LineTables
 from linewatch.plans.job import run_report, write_run
 from linewatch.plans.presets import line_plan
-from linewatch.session import get_session, size_shuffles
+from linewatch.session import size_shuffles
 from linewatch.sources.tables import load_table
 
 
@@ -35,6 +38,7 @@ def main(argv: list[str] | None = None) -> list[str]:
     p.add_argument("--jobs", required=True)
     p.add_argument("--genealogy", required=True)
     p.add_argument("--line", required=True, help="line name, e.g. LINE01")
+    p.add_argument("--line-like", default=None, help="pattern of line names to count instead of the one line")
     p.add_argument("--shop", default=None, help="plant/shop name filter")
     p.add_argument("--tz", default=LINE_TZ, help="zone of the line's wall clock")
     p.add_argument("--as-of", default=None, help="run instant in UTC, ISO format (default: now)")
@@ -50,7 +54,7 @@ def main(argv: list[str] | None = None) -> list[str]:
     args = p.parse_args(argv)
 
     as_of = datetime.fromisoformat(args.as_of) if args.as_of else datetime.now(timezone.utc).replace(tzinfo=None)
-    spark = get_session()
+    spark = SparkSession.builder.appName("linewatch").getOrCreate()
     if args.shuffle_gb:
         size_shuffles(spark, int(args.shuffle_gb * 1024**3))
     tables = LineTables(
@@ -62,9 +66,9 @@ def main(argv: list[str] | None = None) -> list[str]:
     )
     run = run_report(
         tables,
-        line_plan(args.line, shop=args.shop, local_tz=args.tz),
+        line_plan(args.line, shop=args.shop, local_tz=args.tz, line_like=args.line_like),
         as_of,
-        shift_plan=line_plan(args.line, shop=args.shop, shift=True, local_tz=args.tz),
+        shift_plan=line_plan(args.line, shop=args.shop, shift=True, local_tz=args.tz, line_like=args.line_like),
         hours=args.hours,
         force_shift=args.force_shift,
         exact_window=args.exact_window,

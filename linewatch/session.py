@@ -10,14 +10,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(master: str | None = None, app_name: str = "linewatch", shuffle_partitions: int | None = None) -> SparkSession:
-    """Session for local runs and tests.
+def get_session(master: str | None = None, app_name: str = "linewatch", shuffle_partitions: int | None = None, cpus: int = 8) -> SparkSession:
+    """Session for the benchmark and other local runs; jobs on a cluster use the session that the submit command sets up.
 
     On a cluster, build the session with the cluster's own settings and pass it
     to the operators; nothing here is required by them except a UTC session
     zone when inputs are TIMESTAMP_NTZ wall clocks compared with literals.
     """
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
     builder = (
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app_name)
@@ -37,26 +36,26 @@ def get_session(master: str | None = None, app_name: str = "linewatch", shuffle_
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and streaming state.
+    """The shared folder for checkpoints and streaming state: the configured folder itself, the same in every application.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    dir). Only when neither is set and the master is local, as in tests, a fresh
-    scratch folder is made and registered; on a cluster a machine-local folder
-    would not be shared, so the setting is required.
+    Read from ``spark.checkpoint.dir``; if only the context's checkpoint folder
+    was set, the folder above it (Spark adds an id of the application). Only when
+    neither is set and the master is local, as in tests, a fresh scratch folder
+    is made; on a cluster a machine-local folder would not be shared, so the
+    setting is required.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
+        return configured.rstrip("/")
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/").rsplit("/", 1)[0]
     if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (it holds trace links and stream state)")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (it holds stream state)")
     scratch = tempfile.mkdtemp(prefix="linewatch-ckpt-")
-    sc.setCheckpointDir(scratch)
-    return sc.getCheckpointDir() or scratch
+    spark.conf.set("spark.checkpoint.dir", scratch)
+    return scratch
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -74,7 +73,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def size_shuffles(spark: SparkSession, shuffle_bytes: int, partition_bytes: int = 128 * 1024 * 1024, max_partitions: int = 100_000) -> int:
+def size_shuffles(spark: SparkSession, shuffle_bytes: int, partition_bytes: int = 128 * 1024 * 1024) -> int:
     """Set the shuffle partition count so each partition holds about ``partition_bytes``.
 
     ``shuffle_bytes`` is the largest shuffle a run makes: for a report, the
@@ -83,7 +82,7 @@ def size_shuffles(spark: SparkSession, shuffle_bytes: int, partition_bytes: int
     partitions and splits skewed ones around the same advisory size, so
     every task fits in executor memory without spilling. Returns the count set.
     """
-    parts = max(1, min(max_partitions, -(-shuffle_bytes // partition_bytes)))
+    parts = max(1, -(-shuffle_bytes // partition_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
     spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", str(4 * partition_bytes))
