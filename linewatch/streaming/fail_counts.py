@@ -55,12 +55,16 @@ def fail_counts_stream(
 
 
 def start_stream(
-    result: DataFrame, name: str | None = None, sink: str = "memory", path: str | None = None, available_now: bool = True
+    result: DataFrame, name: str, sink: str = "parquet", path: str | None = None, checkpoint: str | None = None, available_now: bool = True
 ) -> StreamingQuery:
-    """Start ``result`` in append mode with its checkpoint in the shared checkpoint folder."""
-    spark = result.sparkSession
-    name = name or f"fail_counts_{uuid.uuid4().hex[:8]}"
-    location = f"{checkpoint_root(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    """Start ``result`` in append mode.
+
+    The state lies in ``checkpoint``, by default ``streams/<name>`` in the shared
+    checkpoint folder: the same folder on every start, so a run goes on where the
+    last one stopped and a file sink gets each window once. Give a stream its own
+    name, and a new one when its query changes.
+    """
+    location = checkpoint or f"{checkpoint_root(result.sparkSession)}/streams/{name}"
     writer = result.writeStream.outputMode("append").format(sink).option("checkpointLocation", location)
     if sink == "memory":
         writer = writer.queryName(name)
@@ -70,11 +74,17 @@ def start_stream(
     return writer.start()
 
 
-def run_available(spark: SparkSession, result: DataFrame, name: str | None = None) -> DataFrame:
-    """Process everything available now into a memory table and return it."""
-    name = name or f"fail_counts_{uuid.uuid4().hex[:8]}"
-    query = start_stream(result, name)
+def run_available(spark: SparkSession, result: DataFrame, name: str | None = None, path: str | None = None) -> DataFrame:
+    """Process everything available now into Parquet files and return the windows emitted so far.
+
+    With a ``name``, later calls go on with the input that came since and add to
+    the same files; without one the run stands alone. Files go to ``path``, by
+    default ``streams-out/<name>`` in the shared checkpoint folder.
+    """
+    name = name or f"fail_counts_{uuid.uuid4().hex}"
+    path = path or f"{checkpoint_root(spark)}/streams-out/{name}"
+    query = start_stream(result, name, path=path)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(path)
