@@ -27,7 +27,6 @@ from linewatch.operators.limits import (
     inline_rules,
     out_of_spec,
     out_of_spec_by_location,
-    row_count_at_most,
     rules_frame,
     spec_failure,
 )
@@ -39,6 +38,5 @@ __all__ = [
     "tagged_alarm_counts", "with_previous_end", "distinct_counts", "distinct_events", "job_fail_counts",
     "out_of_spec_counts", "out_of_spec_location_counts", "param_fail_counts", "positive_counts", "split_tagged",
     "station_filter", "station_nok_counts", "station_unique_fails", "tagged_counts", "inline_rules", "out_of_spec",
-    "out_of_spec_by_location", "row_count_at_most", "rules_frame", "spec_failure", "override_totals",
     "station_totals", "trace_origin", "trace_origins",
 ]

@@ -14,9 +14,12 @@ Two physical forms, chosen by the size of the rule set:
   expression, evaluated inside whole-stage codegen with no join, and the rule
   names become a pushed ``IN`` filter on the scan;
 * more rules: a semi-join with the rules table on ``parameter_name`` with the
-  range test as join condition; the rules side is broadcast after its row
-  count is checked (up to ``MAX_BROADCAST_RULES``), else both sides shuffle
-  and AQE splits a skewed parameter.
+  range test as join condition; Spark broadcasts the rules if they are small,
+  else both sides shuffle and AQE splits a skewed parameter.
+
+Both forms mean the same: a NULL ``low`` or ``high`` is a one-sided limit, a
+NULL location holds everywhere, and a location column that the rules lack is an
+error.
 """
 
 from __future__ import annotations
@@ -35,16 +38,14 @@ RULES_SCHEMA = StructType(
         StructField("parameter_name", StringType(), False),
         StructField("work_location_id", IntegerType(), True),
         StructField("work_location_name", StringType(), True),
-        StructField("low", DoubleType(), False),
-        StructField("high", DoubleType(), False),
+        StructField("low", DoubleType(), True),
+        StructField("high", DoubleType(), True),
     ]
 )
 _LOCATION_FIELD = {"work_location_id": 1, "work_location_name": 2}
 
 # Rule sets up to this size are compiled into an expression.
 MAX_INLINE_RULES = 500
-# Larger rules tables up to this many rows (a few tens of MB) are broadcast to the semi-join.
-MAX_BROADCAST_RULES = 200_000
 
 Rules = DataFrame | Sequence[Sequence]
 
@@ -59,10 +60,10 @@ def normalize_rules(rows: Iterable[Sequence]) -> list[tuple]:
     for r in rows:
         if len(r) == 4:
             name, loc, low, high = r
-            full.append((name, loc, None if loc is None else f"{loc:02d}", float(low), float(high)))
+            loc_name = None if loc is None else f"{loc:02d}"
         else:
             name, loc, loc_name, low, high = r
-            full.append((name, loc, loc_name, float(low), float(high)))
+        full.append((name, loc, loc_name, *(None if x is None else float(x) for x in (low, high))))
     return full
 
 
@@ -71,26 +72,34 @@ def rules_frame(spark: SparkSession, rows: Iterable[Sequence]) -> DataFrame:
     return spark.createDataFrame(normalize_rules(rows), RULES_SCHEMA)
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops reading after ``max_rows + 1``."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _check_location(rules: Rules, location_col: str | None) -> None:
+    known = rules.columns if isinstance(rules, DataFrame) else _LOCATION_FIELD
+    if location_col is not None and location_col not in known:
+        raise ValueError(f"the rules have no column {location_col}")
 
 
-def inline_rules(rules: Rules, max_rules: int = MAX_INLINE_RULES) -> list[tuple] | None:
-    """The rule rows when there are at most ``max_rules`` of them, else None.
+def inline_rules(rules: Rules, max_rules: int | None = MAX_INLINE_RULES, location_col: str | None = None) -> list[tuple] | None:
+    """The rule rows when there are at most ``max_rules`` of them (None: any number of a list), else None.
 
     A DataFrame is read with a limit of ``max_rules + 1`` rows, so a large
-    rules table is never pulled to the driver.
+    rules table is never pulled to the driver. A location column other than the
+    two of ``RULES_SCHEMA`` takes the place of ``work_location_id`` in the rows.
     """
+    _check_location(rules, location_col)
     if isinstance(rules, DataFrame):
+        if max_rules is None:
+            max_rules = MAX_INLINE_RULES
+        own = location_col is not None and location_col not in _LOCATION_FIELD
         cols = [
-            (F.col(f.name) if f.name in rules.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RULES_SCHEMA.fields
+            F.col(location_col).alias(f.name) if own and f.name == "work_location_id"
+            else (F.col(f.name) if f.name in rules.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in RULES_SCHEMA.fields
         ]
         got = rules.select(*cols).limit(max_rules + 1).collect()
         rows = [tuple(r) for r in got]
     else:
         rows = normalize_rules(rules)
-    return rows if len(rows) <= max_rules else None
+    return rows if max_rules is None or len(rows) <= max_rules else None
 
 
 def _sql_text(v: str) -> str:
@@ -124,13 +133,14 @@ def spec_failure(
         by_name.setdefault(r[0], []).append(r)
     if not by_name:
         return F.lit(False)
-    idx = _LOCATION_FIELD.get(location_col) if location_col else None
+    idx = _LOCATION_FIELD.get(location_col, 1) if location_col else None
     v = f"TRY_CAST(`{value_col}` AS DOUBLE)"
     branches = []
     for name, rs in by_name.items():
         tests = []
         for r in rs:
-            outside = f"({v} < {_sql_value(r[3])} OR {v} > {_sql_value(r[4])})"
+            sides = [f"{v} {op} {_sql_value(x)}" for op, x in (("<", r[3]), (">", r[4])) if x is not None]
+            outside = f"({' OR '.join(sides) or 'false'})"
             loc = r[idx] if idx is not None else None
             tests.append(outside if loc is None else f"(`{location_col}` = {_sql_value(loc)} AND {outside})")
         branches.append(f"WHEN {_sql_text(name)} THEN ({' OR '.join(tests)})")
@@ -159,20 +169,20 @@ def out_of_spec(
     """Rows of ``records`` outside the limits of some rule of their parameter.
 
     ``value_col`` may be text (read with ``try_cast``) or numeric. With
-    ``location_col`` (``work_location_id`` or ``work_location_name``), a rule
-    applies only where the record's location equals the rule's; a rule whose
-    location is NULL applies everywhere.
+    ``location_col`` (``work_location_id`` or ``work_location_name``, or another
+    column of both the records and a rules table), a rule applies only where the
+    record's location equals the rule's; a rule whose location is NULL applies
+    everywhere.
     """
-    rows = inline_rules(rules, max_inline_rules)
+    rows = inline_rules(rules, max_inline_rules, location_col)
     if rows is not None:
         return records.where(F.col(parameter_col).isin(rule_names(rows)) & spec_failure(rows, value_col, location_col, parameter_col))
     if not isinstance(rules, DataFrame):
         rules = rules_frame(records.sparkSession, rules)
     value = as_number(F.col(value_col))
     side = _rule_side(rules, location_col)
-    if row_count_at_most(side, MAX_BROADCAST_RULES):
-        side = F.broadcast(side)
-    cond = (F.col(parameter_col) == F.col("_rule_parameter")) & ((value < F.col("_rule_low")) | (value > F.col("_rule_high")))
+    outside = (value < F.col("_rule_low")) | (value > F.col("_rule_high"))  # a NULL bound tests nothing
+    cond = (F.col(parameter_col) == F.col("_rule_parameter")) & outside
     if location_col:
         cond = cond & (F.col("_rule_location").isNull() | (F.col(location_col) == F.col("_rule_location")))
     return records.join(side, cond, "left_semi")
