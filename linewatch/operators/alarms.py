@@ -25,6 +25,7 @@ START = "activated_at"
 END = "cleared_at"
 PRIORITY = "alarm_priority"
 DESCRIPTION = "alarm_description"
+COUNTED = (START, END, DESCRIPTION)  # what a debounced count reads
 
 
 def alarm_scope_filter(
@@ -77,6 +78,7 @@ def with_previous_end(
     end_col: str = END,
     slice_unit: str = "hour",
     out: str = "prev_cleared_at",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds the end time of the previous alarm (by start time) of the same source.
 
@@ -84,29 +86,30 @@ def with_previous_end(
     window is partitioned by (source, time slice), so one source holding a
     large share of all alarms is spread over many tasks. The first alarm of a
     slice takes the end of the last alarm of the source's previous non-empty
-    slice, found from a per-slice summary (one row per source and slice).
+    slice, found from a per-slice summary (one row per source and slice). Alarms
+    of one source that start together are ordered by end (NULL first), then
+    description. ``keep`` names the columns that the caller reads (default: all).
     """
-    sl = "_slice"
-    by_slice = Window.partitionBy(source_col, sl).orderBy(start_col)
-    rows = (
-        alarms.withColumn(sl, F.date_trunc(slice_unit, F.col(start_col)))
-        .withColumn("_prev_start", F.lag(start_col).over(by_slice))
-        .withColumn("_prev_end", F.lag(end_col).over(by_slice))
-    )
-    # End time of each slice's latest alarm (NULL when it never cleared); partial aggregation map-side.
-    last = alarms.withColumn(sl, F.date_trunc(slice_unit, F.col(start_col))).groupBy(source_col, sl).agg(
-        F.max_by(end_col, start_col).alias("_last_end")
-    )
-    carry = last.select(
-        F.col(source_col).alias("_carry_source"),
-        F.col(sl).alias("_carry_slice"),
-        F.lag("_last_end").over(Window.partitionBy(source_col).orderBy(sl)).alias("_carry_end"),
-    )
-    # Null-safe on the source: a NULL source is one partition for lag, so it is one here too.
-    on = F.col(source_col).eqNullSafe(F.col("_carry_source")) & (F.col(sl) == F.col("_carry_slice"))
-    joined = rows.join(carry, on, "left")
-    prev = F.when(F.col("_prev_start").isNull(), F.col("_carry_end")).otherwise(F.col("_prev_end"))
-    return joined.withColumn(out, prev).select(*alarms.columns, out)
+    # Non-null keys: a NULL source is one partition for lag, so it is one here too, and plain equality joins them.
+    keep = list(keep or alarms.columns)
+    keyed = alarms.withColumns({
+        "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_unnamed": F.col(source_col).isNull(),
+        "_slice": F.coalesce(F.date_trunc(slice_unit, F.col(start_col)).cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")),
+    })
+    keys = ["_source", "_unnamed", "_slice"]
+    # Alarms that start together keep one order whatever the order of the input.
+    ties = [c for c in (start_col, end_col, DESCRIPTION) if c in alarms.columns]
+    # One exchange of the alarms serves the window, the summary and the join.
+    dealt = keyed.repartition(*keys)
+    by_slice = Window.partitionBy(*keys).orderBy(*ties)
+    rows = dealt.withColumns({"_place": F.row_number().over(by_slice), "_prev_end": F.lag(end_col).over(by_slice)})
+    # End time of each slice's latest alarm (NULL when it never cleared): one row per source and slice.
+    # It takes the columns that the window side takes: with others it would be another scan and exchange.
+    last = dealt.groupBy(*keys).agg(F.max_by(F.struct(*dict.fromkeys([*keep, *ties])), F.struct(*ties)).alias("_last")).select(*keys, F.col(f"_last.{end_col}").alias("_last_end"))
+    carry = last.select(*keys, F.lag("_last_end").over(Window.partitionBy("_source", "_unnamed").orderBy("_slice")).alias("_carry_end"))
+    joined = rows.join(carry, keys, "left")
+    prev = F.when(F.col("_place") == 1, F.col("_carry_end")).otherwise(F.col("_prev_end"))
+    return joined.withColumn(out, prev).select(*keep, out)
 
 
 def debounce(
@@ -116,10 +119,11 @@ def debounce(
     start_col: str = START,
     end_col: str = END,
     slice_unit: str = "hour",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Alarms that start more than ``gap_seconds`` after the previous alarm of
     their source cleared, or whose previous alarm is missing or never cleared."""
-    df = with_previous_end(alarms, source_col, start_col, end_col, slice_unit)
+    df = with_previous_end(alarms, source_col, start_col, end_col, slice_unit, keep=keep)
     prev = F.col("prev_cleared_at")
     return df.where(prev.isNull() | (F.col(start_col) > prev + F.make_dt_interval(secs=F.lit(gap_seconds))))
 
@@ -166,6 +170,6 @@ def alarm_report(
 ) -> DataFrame:
     """Debounced count of one alarm kind, stacked over tag counts of another kind."""
     scoped = alarm_scope(alarms, bound_local, source_like, priorities, source_tz, local_tz)
-    counted = alarm_total(debounce(scoped, gap_seconds).where(F.col(DESCRIPTION).ilike(debounce_match)), station, label)
+    counted = alarm_total(debounce(scoped, gap_seconds, keep=COUNTED).where(F.col(DESCRIPTION).ilike(debounce_match)), station, label)
     tags = alarm_tag_counts(scoped, station, tag_match, marker)
     return reduce(DataFrame.unionByName, [counted, tags])
