@@ -11,15 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewatch.operators.counts import COUNT
-from linewatch.operators.limits import row_count_at_most
-from linewatch.session import materialize
-
-# Failing (parent, station) pairs up to this many rows are broadcast to the genealogy scan.
-MAX_BROADCAST_PARENTS = 200_000
 
 
 def trace_origin(
@@ -30,7 +25,6 @@ def trace_origin(
     parent_col: str = "product_serial",
     child_col: str = "scanned_child_serial",
     parents_in: DataFrame | None = None,
-    max_broadcast_parents: int = MAX_BROADCAST_PARENTS,
 ) -> DataFrame:
     """Distinct failing parents per (failing station, origin station).
 
@@ -38,23 +32,17 @@ def trace_origin(
     ``children``: already-filtered records of the origin stations (``product_serial``, ``station_name``).
     ``parents_in``: optional table of parent serials a parent must appear in (semi-join).
 
-    The failing side is deduplicated, then broadcast when its row count is
-    checked to be small, so the large genealogy table is read once and never
-    shuffled. The links of failing parents are then written to the shared
-    checkpoint folder (``materialize``): the planner sees their real size and
-    broadcasts them to the child records, which are streamed, not shuffled.
-    Otherwise both joins shuffle on their keys (AQE splits a skewed key).
+    Building the result runs no job. The failing side is deduplicated first; at
+    run time Spark broadcasts a side whose measured size is below its threshold,
+    so that genealogy and child records are read without a shuffle, and else
+    shuffles both sides (AQE splits a skewed key).
     """
     fails = failures.select(F.col("product_serial").alias("_parent"), "station_name").distinct()
     links = genealogy.select(F.col(parent_col).alias("_parent"), F.col(child_col).alias("_child"))
     origin = children.select(F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out))
-    small = row_count_at_most(failures.select("product_serial"), max_broadcast_parents)
-    hit = links.join(F.broadcast(fails) if small else fails, "_parent")
+    hit = links.join(fails, "_parent")
     if parents_in is not None:
         hit = hit.join(parents_in.select(F.col("product_serial").alias("_parent")), "_parent", "left_semi")
-    if small:
-        # repeated scans of one link add nothing to a distinct count: drop them before the write
-        hit = materialize(hit.distinct(), "trace-links")
     traced = hit.join(origin, "_child")
     return (
         traced.groupBy("station_name", origin_out)
@@ -71,7 +59,6 @@ def trace_origins(
     origin_out: str = "origin_station",
     parent_col: str = "product_serial",
     child_col: str = "scanned_child_serial",
-    max_broadcast_parents: int = MAX_BROADCAST_PARENTS,
 ) -> DataFrame:
     """Several traces over the same tables with one read of each.
 
@@ -97,14 +84,35 @@ def trace_origins(
         .select(F.col("product_serial").alias("_child"), F.col("station_name").alias(origin_out), F.explode(origin_tags).alias("_trace"))
         .where(F.col("_trace").isNotNull())
     )
-    # Each failing row gives at most one row per variant, so this bounds the broadcast side by max_broadcast_parents.
-    small = row_count_at_most(failing.select("product_serial"), max(1, max_broadcast_parents // len(variants)))
-    hit = links.join(F.broadcast(fails) if small else fails, "_parent")
-    if small:
-        hit = materialize(hit.distinct(), "trace-links")
+    hit = links.join(fails, "_parent")
     traced = hit.join(origin, ["_child", "_trace"])
     return (
         traced.groupBy("_trace", "station_name", origin_out)
         .agg(F.countDistinct("_parent").alias(COUNT))
         .select("_trace", COUNT, "station_name", origin_out)
     )
+
+
+def child_origins(records: DataFrame, origin: Column, since: Column | None = None) -> DataFrame:
+    """The narrow rows that a trace needs of the origin stations' records: child serial, station, parameter; distinct.
+
+    For a table kept beside ``records``: append the rows of each run (``since``
+    tests the run's time column) with ``append_origins``, and pass the table as
+    ``LineTables(children=...)``. A trace then reads three columns of origin
+    records and not the history of all stations.
+    """
+    rows = records.where(origin if since is None else origin & since)
+    return rows.select("product_serial", "station_name", "parameter_name").distinct()
+
+
+def append_origins(rows: DataFrame, path: str) -> None:
+    """Add ``child_origins`` rows to the table at ``path``, partitioned by station, so that a trace's station test prunes partitions.
+
+    Rows that are there already do no harm: a trace counts distinct parents.
+    """
+    rows.write.mode("append").partitionBy("station_name").parquet(path)
+
+
+def read_origins(spark: SparkSession, path: str, serial_type: str = "string") -> DataFrame:
+    """The table that ``append_origins`` keeps; station names stay text."""
+    return spark.read.schema(f"product_serial {serial_type}, parameter_name string, station_name string").parquet(path)
