@@ -67,6 +67,18 @@ def local_time(col: Column | str, source_tz: str, target_tz: str) -> Column:
     return F.convert_timezone(F.lit(source_tz), F.lit(target_tz), c)
 
 
+def local_instant(col: Column | str, target_tz: str) -> Column:
+    """Wall clock in ``target_tz`` of an instant (``TIMESTAMP``), whatever the session zone."""
+    c = F.col(col) if isinstance(col, str) else col
+    utc = F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(target_tz), utc)
+
+
+def instant_literal(utc: datetime) -> Column:
+    """A ``TIMESTAMP`` literal for a naive UTC reading, whatever the session zone."""
+    return F.lit(utc.replace(tzinfo=timezone.utc))
+
+
 def _offsets(tz: str, around: datetime, before: timedelta, after: timedelta) -> list[timedelta]:
     zone = ZoneInfo(tz)
     start = (around - before).replace(tzinfo=timezone.utc)
@@ -103,6 +115,9 @@ def until_local(
     """Test that ``ts_col``, converted from ``source_tz`` to ``target_tz``, is at or before ``end_local``,
     with a pushable coarse bound on the raw column in front."""
     kind = _column_type(df, ts_col)
+    if isinstance(kind, TimestampType):
+        coarse = F.col(ts_col) < instant_literal(coarse_source_upper(end_local, "UTC", target_tz))
+        return coarse & (local_instant(ts_col, target_tz) <= ts_literal(end_local, TimestampNTZType()))
     coarse = F.col(ts_col) < ts_literal(coarse_source_upper(end_local, source_tz, target_tz), kind)
     exact = local_time(ts_col, source_tz, target_tz) <= ts_literal(end_local, TimestampNTZType())
     return coarse & exact
@@ -114,9 +129,13 @@ def after_local(
     """Test that ``ts_col``, converted from ``source_tz`` to ``target_tz``, is after ``bound_local``.
 
     A filter on a converted column does not reach the scan, so a plain coarse
-    bound on the raw column is put in front of the exact test.
+    bound on the raw column is put in front of the exact test. A ``TIMESTAMP``
+    column is an instant: ``source_tz`` and the session zone play no part for it.
     """
     kind = _column_type(df, ts_col)
+    if isinstance(kind, TimestampType):
+        coarse = F.col(ts_col) > instant_literal(coarse_source_bound(bound_local, "UTC", target_tz))
+        return coarse & (local_instant(ts_col, target_tz) > ts_literal(bound_local, TimestampNTZType()))
     coarse = F.col(ts_col) > ts_literal(coarse_source_bound(bound_local, source_tz, target_tz), kind)
     exact = local_time(ts_col, source_tz, target_tz) > ts_literal(bound_local, TimestampNTZType())
     return coarse & exact
