@@ -20,9 +20,9 @@ from linewatch.functions.text import bracket_tag
 from linewatch.functions.time import ts_literal, until_local
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
-from linewatch.operators.limits import inline_rules
+from linewatch.operators.limits import MAX_INLINE_RULES, inline_rules, out_of_spec
 from linewatch.operators.trace import trace_origin
-from linewatch.defaults import ALARM_PRIORITIES, DEBOUNCE_SECONDS, LINE_TZ, NOK_STATUS, OK_STATUS, ORIGIN_PARAMETER, SHIFT_END_HOURS, TAG_MARKER
+from linewatch.defaults import ALARM_PRIORITIES, DEBOUNCE_SECONDS, LINE_TZ, NOK_STATUS, OK_STATUS, ORIGINAL_ALARM_COLUMNS, ORIGIN_PARAMETER, SHIFT_END_HOURS, TAG_MARKER
 
 
 @dataclass
@@ -33,6 +33,10 @@ class LineTables:
     (``{"records": "recorded_date", ...}``). Every bounded read then also
     filters that column (one day of slack for time zones), which Spark turns
     into partition pruning: only the recent partitions are listed and read.
+
+    ``column_names`` says how a table names the columns that the checks read
+    (``{"alarms": {"alarm_source": "source_code"}}``, canonical to own name).
+    Alarms that have the names of the original report are recognized without it.
     """
 
     records: DataFrame
@@ -42,6 +46,15 @@ class LineTables:
     children: DataFrame | None = None
     failures: DataFrame | None = None
     date_partitions: dict = field(default_factory=dict)
+    column_names: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        own = {"alarms": {c: o for c, o in ORIGINAL_ALARM_COLUMNS.items() if c not in self.alarms.columns and o in self.alarms.columns}}
+        for table in ("records", "alarms", "jobs", "genealogy", "children", "failures"):
+            names = {**own.get(table, {}), **self.column_names.get(table, {})}
+            if names and getattr(self, table) is not None:
+                setattr(self, table, getattr(self, table).withColumnsRenamed({o: c for c, o in names.items()}))
+        self.column_names = {}  # done; a changed copy must not rename again
 
     def child_rows(self) -> DataFrame:
         return self.children if self.children is not None else self.records
@@ -83,6 +96,11 @@ def _where(expr: str | None):
     return None if expr is None else F.expr(expr)
 
 
+def _inline(rules, location_col: str | None = None) -> list[tuple] | None:
+    """Rule rows for a row test: a list of any length (it is on the driver already), a small rules table, else None."""
+    return inline_rules(rules, max_rules=MAX_INLINE_RULES if isinstance(rules, DataFrame) else None, location_col=location_col)
+
+
 @dataclass(frozen=True)
 class JobCheck:
     """Units whose station job did not end OK, per work-location label."""
@@ -166,10 +184,10 @@ class SpecCheck:
     since: datetime | None = None
 
     def fusable(self) -> bool:
-        return inline_rules(self.rules) is not None
+        return _inline(self.rules, self.location_col) is not None
 
     def predicate(self, records: DataFrame, bound: datetime) -> Column:
-        rows = inline_rules(self.rules)
+        rows = _inline(self.rules, self.location_col)
         return ct.spec_fail_filter(
             records, self.since or bound, rows, self.station, self.station_like, self.value_col, self.location_col,
             self.status, _where(self.where),
@@ -208,7 +226,7 @@ class AlarmReportCheck:
     def debounce_frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         """The debounced count alone (its window needs its own plan)."""
         scoped = al.alarm_scope(t.bounded("alarms", bound), bound, self.source_like, self.priorities, self.source_tz, local_tz)
-        kept = al.debounce(scoped, self.gap_seconds).where(F.col(al.DESCRIPTION).ilike(self.debounce_match))
+        kept = al.debounce(scoped, self.gap_seconds, keep=al.COUNTED).where(F.col(al.DESCRIPTION).ilike(self.debounce_match))
         return al.alarm_total(kept, self.station, self.label)
 
     def alarm_parts(self, alarms: DataFrame, bound: datetime, local_tz: str) -> list[tuple[Column, Column, str, str]]:
@@ -258,12 +276,15 @@ class TraceCheck:
     origin_where: str | None = None
     since: datetime | None = None
 
+    def fusable(self) -> bool:
+        """Whether one row test says which units fail; a large rules table is joined instead."""
+        return self.fail_rules is None or _inline(self.fail_rules) is not None
+
     def fail_predicate(self, rows: DataFrame, bound: datetime) -> Column:
-        """Row test for the failing units; spec limits are compiled inline."""
+        """Row test for the failing units; spec limits are compiled inline (``fusable`` ones only)."""
         spec = None
-        if self.fail_rules is not None:
-            rules = inline_rules(self.fail_rules)
-            spec = ct.spec_fail_filter(rows, None, rules, value_col=self.fail_value_col)
+        if self.fail_rules is not None and self.fusable():
+            spec = ct.spec_fail_filter(rows, None, _inline(self.fail_rules), value_col=self.fail_value_col)
         return ct._all(
             ct.after(rows, "recorded_at", self.since or bound),
             ct.station_filter(self.fail_station, self.fail_station_like),
@@ -278,7 +299,8 @@ class TraceCheck:
 
     def failing(self, t: LineTables, bound: datetime) -> DataFrame:
         rows = t.bounded("failures", self.since or bound)
-        return rows.where(self.fail_predicate(rows, bound))
+        failing = rows.where(self.fail_predicate(rows, bound))
+        return failing if self.fusable() else out_of_spec(failing, self.fail_rules, value_col=self.fail_value_col)
 
     def origins(self, t: LineTables) -> DataFrame:
         return t.child_rows().where(self.origin_predicate())

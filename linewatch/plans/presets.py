@@ -47,47 +47,68 @@ ORIGIN_PREFIX = "030%"
 PLATE_FAIL_STATION_LIKE = "%050%"
 
 
-def line_plan(line: str, shop: str | None = None, shift: bool = False, local_tz: str = LINE_TZ) -> LinePlan:
-    """The stator line's hourly report (``shift=True``: the shift-summary limits)."""
-    scope = f"line_name = {_sql_text(line)}" + (f" AND shop_name = {_sql_text(shop)}" if shop else "")
+def literal_pattern(text: str) -> str:
+    """``text`` with the pattern characters of ``like`` escaped."""
+    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def line_plan(
+    line: str, shop: str | None = None, shift: bool = False, local_tz: str = LINE_TZ, line_like: str | None = None,
+    scopes: dict[str, str] | None = None, exact_unique: bool = False,
+) -> LinePlan:
+    """The stator line's hourly report (``shift=True``: the shift-summary limits).
+
+    Checks count rows of ``line`` (and ``shop``). ``line_like`` widens all checks
+    to lines matching a pattern (case-insensitive), and ``scopes`` gives single
+    checks a row test of their own; its keys are ``job``, ``force``, ``vision``,
+    ``nok``, ``electrical``, ``unique``, ``trace_force``, ``trace_plate``,
+    ``trace_vision``, ``origin``, ``genealogy``. ``exact_unique`` adds the exact
+    count of the unique station; it replaces a summed total, and without a count
+    check of that station there is none to replace.
+    """
+    line_test = f"line_name = {_sql_text(line)}" if line_like is None else f"line_name ILIKE {_sql_text(line_like)}"
+    default = line_test + (f" AND shop_name = {_sql_text(shop)}" if shop else "")
+    own = scopes or {}
+    scope = lambda check: own.get(check, default)
+    source = literal_pattern(line)
     vision = VISION_LIMITS_SHIFT if shift else VISION_LIMITS
     nok_force = (
         f"overall_process_status = 'NOK' AND parameter_name = {_sql_text(FORCE_PARAMETER)} AND parameter_id = {FORCE_PARAMETER_ID}"
     )
     return LinePlan(
         counts=(
-            JobCheck(station=JOB_STATION, where=scope),
-            ParamCheck(parameter=FORCE_PARAMETER, station_like=FORCE_STATION_LIKE, parameter_id=FORCE_PARAMETER_ID, where=scope),
+            JobCheck(station=JOB_STATION, where=scope("job")),
+            ParamCheck(parameter=FORCE_PARAMETER, station_like=FORCE_STATION_LIKE, parameter_id=FORCE_PARAMETER_ID, where=scope("force")),
             AlarmReportCheck(
                 station=PLATE_STATION,
                 label=PLATE_LABEL,
                 debounce_match=PLATE_ALARM,
                 tag_match=GRIPPER_ALARM,
-                source_like=f"%{line}-{PLATE_STATION}%",
+                source_like=f"%{source}-{PLATE_STATION}%",
             ),
-            AlarmCountCheck(station=WELD_STATION, label=WELD_LABEL, match=WELD_ALARM, source_like=f"%{line}-{WELD_STATION}%"),
-            SpecCheck(rules=vision, station=VISION_STATION, value_col="parameter_value_raw", where=scope),
-            NokCheck(station=NOK_STATION, where=scope),
+            AlarmCountCheck(station=WELD_STATION, label=WELD_LABEL, match=WELD_ALARM, source_like=f"%{source}-{WELD_STATION}%"),
+            SpecCheck(rules=vision, station=VISION_STATION, value_col="parameter_value_raw", where=scope("vision")),
+            NokCheck(station=NOK_STATION, where=scope("nok")),
             SpecCheck(
                 rules=ELECTRICAL_LIMITS, station=ELECTRICAL_STATION, location_col="work_location_id",
-                value_col="parameter_value_num", status="NOK", where=scope,
+                value_col="parameter_value_num", status="NOK", where=scope("electrical"),
             ),
         ),
         exact=(
             SpecCheck(
                 rules=ELECTRICAL_LIMITS, station=UNIQUE_STATION, location_col="work_location_name",
-                value_col="parameter_value_num", status="NOK", per_station=True, where=scope,
+                value_col="parameter_value_num", status="NOK", per_station=True, where=scope("unique"),
             ),
-        ),
+        ) if exact_unique else (),
         traces=(
-            TraceCheck(fail_station_like=FORCE_STATION_LIKE, fail_where=f"{nok_force} AND {scope}", origin_like=ORIGIN_CONTAINS, origin_where=scope),
+            TraceCheck(fail_station_like=FORCE_STATION_LIKE, fail_where=f"{nok_force} AND {scope('trace_force')}", origin_like=ORIGIN_CONTAINS, origin_where=scope("origin")),
             TraceCheck(
-                fail_station_like=PLATE_FAIL_STATION_LIKE, fail_where=f"result_status = 'FAIL' AND {scope}",
-                origin_like=ORIGIN_PREFIX, origin_where=scope,
+                fail_station_like=PLATE_FAIL_STATION_LIKE, fail_where=f"result_status = 'FAIL' AND {scope('trace_plate')}",
+                origin_like=ORIGIN_PREFIX, origin_where=scope("origin"),
             ),
-            TraceCheck(fail_station=VISION_STATION, fail_where=scope, fail_rules=PIN_TRACE_LIMITS, origin_like=ORIGIN_PREFIX, origin_where=scope),
+            TraceCheck(fail_station=VISION_STATION, fail_where=scope("trace_vision"), fail_rules=PIN_TRACE_LIMITS, origin_like=ORIGIN_PREFIX, origin_where=scope("origin")),
         ),
-        genealogy_where=scope,
+        genealogy_where=scope("genealogy"),
         local_tz=local_tz,
     )
 

@@ -1,23 +1,25 @@
 """Report compositions: fail-count table, station pareto, origin table, shift summary.
 
-All functions are lazy: they return DataFrames and run nothing except the
-small size checks of the operators they use. Results are aggregated tables
-(one row per station and label), so the final sorts are over tiny data.
+All functions are lazy: they return DataFrames and run no job. Results are
+aggregated tables (one row per station and label), so the final sorts and row
+numbers are over tiny data. Every report carries ``position``, its rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
-from linewatch.functions.time import coarse_source_bound, ts_literal, window_start
+from linewatch.functions.time import coarse_source_bound, instant_literal, ts_literal, window_start
 from linewatch.operators import alarms as al
 from linewatch.operators.alarms import tagged_alarm_counts
-from linewatch.operators.counts import COUNT, after, positive_counts, split_tagged, station_filter, tagged_counts
+from linewatch.operators.counts import COUNT, after, positive_counts, split_tagged, tagged_counts
 from linewatch.operators.trace import trace_origins
 from linewatch.plans.checks import LinePlan, LineTables
 
@@ -37,14 +39,20 @@ def merge_labels(df: DataFrame, label: str = "parameter_name", alt: str = "alarm
 
 def by_count(*tie_breaks: Column | str) -> list[Column]:
     """Most failures first, then the given tie-breaks ascending (equal counts get a fixed order)."""
-    return [F.col(COUNT).desc()] + [F.col(c).asc() if isinstance(c, str) else c for c in tie_breaks]
+    return [F.col(COUNT).desc()] + [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in tie_breaks]
+
+
+def ranked(df: DataFrame, *tie_breaks: Column | str) -> DataFrame:
+    """``df`` (a report, so a small aggregated table) in report order, with its ``position`` from 1."""
+    position = F.row_number().over(Window.orderBy(*by_count(*tie_breaks)))
+    return df.withColumn("position", position).orderBy("position")
 
 
 def origin_report(traces: Sequence[DataFrame] | DataFrame) -> DataFrame:
     """Stacked traces, most failures first, then station by number, then origin."""
     df = traces if isinstance(traces, DataFrame) else combine_reports(traces)
     station_num = F.col("station_name").try_cast("int")
-    return df.orderBy(*by_count(station_num.asc_nulls_last(), "station_name", df.columns[-1]))
+    return ranked(df, station_num.asc_nulls_last(), "station_name", df.columns[-1])
 
 
 def _bound(as_of: datetime, hours: int) -> datetime:
@@ -60,11 +68,9 @@ def _record_counts(records: DataFrame, tagged: Sequence[tuple[str, object]], bou
     """Counts of many record checks from one scan of ``records`` (``tagged_counts``), with a ``_check`` tag."""
     checks = [c for _, c in tagged]
     preds = [(tag, c.predicate(records, bound), c.per_station) for tag, c in tagged]
-    # Pushable superset: the earliest bound, and one of the checked stations.
-    pre = after(records, "recorded_at", min(c.since or bound for c in checks))
-    stations = [station_filter(c.station, c.station_like) for c in checks]
-    if all(s is not None for s in stations):
-        pre = pre & reduce(lambda a, b: a | b, stations)
+    # Any check passes: rows without a tag go before they are multiplied, and the optimizer takes the tests that all
+    # checks share (line, shop, time) out of the alternatives and pushes them to the scan.
+    pre = after(records, "recorded_at", min(c.since or bound for c in checks)) & reduce(lambda a, b: a | b, [p for _, p, _ in preds])
     return tagged_counts(records, preds, pre)
 
 
@@ -99,8 +105,11 @@ def _plan_frames(tables: LineTables, plan: LinePlan, bound: datetime) -> tuple[l
 
 def _alarm_counts(alarms: DataFrame, parts: Sequence[tuple], bound: datetime, plan: LinePlan) -> DataFrame:
     """Plain and per-tag alarm counts of all checks from one scan and one aggregation."""
-    lows = [coarse_source_bound(bound, c.source_tz, plan.local_tz) for c in plan.counts if hasattr(c, "alarm_parts")]
-    pre = F.col(al.START) > ts_literal(min(lows), alarms.schema[al.START].dataType)
+    instants = isinstance(alarms.schema[al.START].dataType, TimestampType)
+    lows = [coarse_source_bound(bound, "UTC" if instants else c.source_tz, plan.local_tz) for c in plan.counts if hasattr(c, "alarm_parts")]
+    kind = alarms.schema[al.START].dataType
+    low = instant_literal(min(lows)) if isinstance(kind, TimestampType) else ts_literal(min(lows), kind)
+    pre = (F.col(al.START) > low) & reduce(lambda a, b: a | b, [test for _, test, _, _, _ in parts])
     counted = tagged_alarm_counts(alarms, [(tag, test, label) for tag, test, label, _, _ in parts], pre)
     station = None
     for tag, _, _, name, _ in parts:
@@ -165,13 +174,13 @@ def fail_counts(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int
 
 def hourly_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """Fail count by station and parameter, most first."""
-    return fail_counts(tables, plan, as_of, hours).orderBy(*by_count("station_name", "parameter_name"))
+    return ranked(fail_counts(tables, plan, as_of, hours), "station_name", "parameter_name")
 
 
 def pareto(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
     """Failures per station: summed counts, replaced by exact counts where given, most first."""
     counts, exact, fused = _plan_frames(tables, plan, _bound(as_of, hours))
-    return _pareto(counts, exact, fused).orderBy(*by_count("station_name"))
+    return ranked(_pareto(counts, exact, fused), "station_name")
 
 
 def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
@@ -181,23 +190,28 @@ def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hou
     bound = _bound(as_of, hours)
     failures = tables.bounded("failures", min([bound] + [t.since for t in plan.traces if t.since]))
     children = tables.child_rows()
-    variants = [(f"t{i}", t.fail_predicate(failures, bound), t.origin_predicate()) for i, t in enumerate(plan.traces)]
+    fused = [(i, t) for i, t in enumerate(plan.traces) if t.fusable()]
+    variants = [(f"t{i}", t.fail_predicate(failures, bound), t.origin_predicate()) for i, t in fused]
     genealogy = tables.genealogy if plan.genealogy_where is None else tables.genealogy.where(plan.genealogy_where)
-    traced = trace_origins(children, genealogy, failures, variants)
-    return origin_report(traced.drop("_trace"))
+    parts = [trace_origins(children, genealogy, failures, variants).drop("_trace")] if variants else []
+    scoped = replace(tables, genealogy=genealogy)
+    return origin_report(parts + [t.frame(scoped, bound, plan.local_tz) for t in plan.traces if not t.fusable()])
 
 
 def report_sections(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
-    """The three report tables in one frame, with a ``section`` column."""
+    """The report tables in one frame, with ``section`` and the ``position`` in it, in report order."""
     counts, exact, fused = _plan_frames(tables, plan, _bound(as_of, hours))
     parts = [
-        _fail_counts(counts, fused).withColumn("section", F.lit("parameter")),
-        _pareto(counts, exact, fused).withColumn("section", F.lit("pareto")),
+        ranked(_fail_counts(counts, fused), "station_name", "parameter_name").withColumn("section", F.lit("parameter")),
+        ranked(_pareto(counts, exact, fused), "station_name").withColumn("section", F.lit("pareto")),
     ]
     if plan.traces:
         parts.append(origin_trace_report(tables, plan, as_of, hours).withColumn("section", F.lit("origin")))
     df = combine_reports(parts)
-    return df.select("section", COUNT, "station_name", "parameter_name", "origin_station")
+    if "origin_station" not in df.columns:
+        df = df.withColumn("origin_station", F.lit(None).cast("string"))
+    order = F.array_position(F.array(*map(F.lit, _SECTION_FIELDS)), F.col("section"))
+    return df.select("section", "position", COUNT, "station_name", "parameter_name", "origin_station").orderBy(order, "position")
 
 
 def shift_summary(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 8) -> DataFrame:
@@ -206,16 +220,17 @@ def shift_summary(tables: LineTables, plan: LinePlan, as_of: datetime, hours: in
 
 
 _SECTION_FIELDS = {
-    "parameter": (COUNT, "station_name", "parameter_name"),
-    "pareto": ("station_name", COUNT),
-    "origin": (COUNT, "station_name", "origin_station"),
+    "parameter": ("position", COUNT, "station_name", "parameter_name"),
+    "pareto": ("position", "station_name", COUNT),
+    "origin": ("position", COUNT, "station_name", "origin_station"),
 }
 
 
 def report_json(sections: DataFrame) -> DataFrame:
-    """One JSON text line per report row: ``(section, line)``; each section keeps its own fields."""
-    parts = [
-        sections.where(F.col("section") == name).select("section", F.to_json(F.struct(*fields)).alias("line"))
-        for name, fields in _SECTION_FIELDS.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """One JSON text line per report row: ``(section, position, line)``, in the rows' order; each section keeps its own
+    fields, and a section of another name all of them."""
+    fields = [c for c in sections.columns if c not in ("section", "window")]
+    line = F.to_json(F.struct(*fields))
+    for name, own in _SECTION_FIELDS.items():
+        line = F.when(F.col("section") == name, F.to_json(F.struct(*own))).otherwise(line)
+    return sections.select("section", "position", line.alias("line"))
