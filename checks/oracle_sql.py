@@ -112,7 +112,7 @@ def _counts(bound: str) -> str:
            AND parameter_id = 2 AND overall_process_status = 'NOK'
          GROUP BY station_name, parameter_name),
   a50 AS ({scope50}),
-  d50 AS (SELECT *, LAG(cleared_at) OVER (PARTITION BY alarm_source ORDER BY activated_at) AS prev_cleared_at FROM a50),
+  d50 AS (SELECT *, LAG(cleared_at) OVER (PARTITION BY alarm_source ORDER BY activated_at, cleared_at NULLS FIRST, alarm_description) AS prev_cleared_at FROM a50),
   c3 AS (SELECT CAST(count(*) AS BIGINT) AS fail_count, 'S50' AS station_name, 'Check plate fails' AS parameter_name
          FROM d50 WHERE (activated_at > prev_cleared_at + INTERVAL '30 seconds' OR prev_cleared_at IS NULL)
            AND alarm_description ILIKE {ASSEMBLY}
@@ -167,15 +167,48 @@ ORIGIN = f"""
     UNION ALL {_trace("f.station_name = '3-MEDIUM'", "P%")})"""
 
 
+def _position(*ties: str) -> str:
+    """Rank in a report: most failures first, then the ties ascending."""
+    order = ", ".join(["fail_count DESC", *(f"{t} ASC NULLS LAST" for t in ties)])
+    return f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position"
+
+
+BY_LABEL = _position("station_name", "parameter_name")
+BY_STATION = _position("station_name")
+BY_ORIGIN = _position("TRY_CAST(station_name AS INTEGER)", "station_name", "origin_station")
+
+
 def _sections(bound: str) -> str:
-    return VIEWS + "," + _counts(bound) + "," + ORIGIN + """,
+    return VIEWS + "," + _counts(bound) + "," + ORIGIN + f""",
   sections AS (
-    SELECT 'parameter' AS section, fail_count, station_name, parameter_name, CAST(NULL AS VARCHAR) AS origin_station FROM merged
-    UNION ALL SELECT 'pareto', fail_count, station_name, NULL, NULL FROM pareto
-    UNION ALL SELECT 'origin', fail_count, station_name, NULL, origin_station FROM origin)
+    SELECT 'parameter' AS section, {BY_LABEL}, fail_count, station_name, parameter_name, CAST(NULL AS VARCHAR) AS origin_station FROM merged
+    UNION ALL SELECT 'pareto', {BY_STATION}, fail_count, station_name, NULL, NULL FROM pareto
+    UNION ALL SELECT 'origin', {BY_ORIGIN}, fail_count, station_name, NULL, origin_station FROM origin)
 """
 
 
+DATED = """,
+  dated AS (SELECT product_serial, station_name, overall_process_status, 'param_' || CAST(product_serial % 3 AS VARCHAR) AS parameter_name,
+                   CAST(product_serial % 120 AS VARCHAR) AS parameter_value_raw,
+                   TIMESTAMP '2024-01-15 00:30:00' + to_hours(CAST(product_serial % 16 AS INTEGER)) AS recorded_at FROM failures)"""
+
+
+def _dated_origin(bound: str, fail_where: str, origin_like: str) -> str:
+    return f"""SELECT {BY_ORIGIN}, * FROM (
+    SELECT CAST(count(DISTINCT g.product_serial) AS BIGINT) AS fail_count, f.station_name, c.station_name AS origin_station
+    FROM child_records c
+    JOIN genealogy g ON c.product_serial = g.scanned_child_serial
+    JOIN dated f ON g.product_serial = f.product_serial
+    WHERE f.recorded_at > {bound} AND {fail_where} AND c.station_name LIKE '{origin_like}' AND c.parameter_name = 'Nest'
+    GROUP BY f.station_name, c.station_name) t"""
+
+
+def _one_sided() -> str:
+    v = "parameter_value_num"
+    return (f"(parameter_name = 'param_0' AND {v} < 20.0 OR parameter_name = 'param_1' AND {v} > 40.0 "
+            f"OR parameter_name = 'param_2' AND work_location_id = 1 AND {v} < 5.0)")
+
+
 SQL: dict[str, str] = {
     "recent_records": VIEWS + f"""
 SELECT product_serial, station_name, parameter_name, parameter_id, overall_process_status, recorded_at,
@@ -191,6 +224,9 @@ FROM ({_oos("records", "parameter_value_raw")}) x""",
     "out_of_spec_by_location": VIEWS + f"""
 SELECT product_serial, station_name, parameter_name, work_location_id, recorded_at, parameter_value_num
 FROM ({_oos("records", "parameter_value_num", True)}) x""",
+    "one_sided_limits": VIEWS + f"""
+SELECT form, product_serial, station_name, parameter_name, recorded_at
+FROM records, (VALUES ('compiled'), ('joined')) f(form) WHERE {_one_sided()}""",
     "positive_counts": VIEWS + """,
   t AS (
     SELECT CAST(count(*) AS BIGINT) AS fail_count, 'LINE1-view' AS station_name, 'door' AS parameter_name
@@ -219,13 +255,39 @@ UNION ALL SELECT fail_count, station_name, parameter_name FROM c6""",
   s AS (SELECT product_serial, 'PT' || CAST(product_serial AS VARCHAR) || '-C' || parameter_value_raw AS parameter_value_raw FROM batches)
 SELECT product_serial, parameter_value_raw,
        substring(parameter_value_raw, strpos(parameter_value_raw, 'C') + 1, 8) AS spool_code FROM s""",
+    "pair_label_extract": VIEWS + """,
+  p AS (SELECT product_serial, 'S' || lpad(CAST(product_serial AS VARCHAR), 7, '0') || '& T' || lpad(CAST(product_serial AS VARCHAR), 7, '0') AS pair FROM batches)
+SELECT product_serial, pair, left(pair, 5) || ' & ' || substring(pair, strpos(pair, '&') + 2, 5) AS label FROM p""",
+    "hour_text_extract": VIEWS + """
+SELECT product_serial, recorded_at, strftime(recorded_at, '%Y-%m-%d %H:00') AS hour FROM records""",
+    "trace_existing": VIEWS + f"""
+SELECT CAST(count(DISTINCT g.product_serial) AS BIGINT) AS fail_count, f.station_name, c.station_name AS origin_station
+FROM child_records c
+JOIN genealogy g ON c.product_serial = g.scanned_child_serial
+JOIN failures f ON g.product_serial = f.product_serial
+WHERE f.recorded_at > {FACT} AND f.overall_process_status = 'NOK'
+  AND g.product_serial IN (SELECT product_serial FROM jobs WHERE job_status = 'OPEN')
+GROUP BY f.station_name, c.station_name""",
+    "hourly_origin_window": VIEWS + DATED + f"""
+SELECT fail_count, station_name, origin_station, position, 1 AS hours
+FROM ({_dated_origin(B1, "f.station_name ILIKE '%HIGH%' AND f.overall_process_status = 'NOK'", "S%")}) a
+UNION ALL
+SELECT fail_count, station_name, origin_station, position, 8
+FROM ({_dated_origin(B8, "f.station_name ILIKE '%HIGH%' AND f.overall_process_status = 'NOK'", "S%")}) b""",
+    "trace_out_of_spec": VIEWS + DATED + f"""
+SELECT fail_count, station_name, origin_station, position FROM ({_dated_origin(
+    B8,
+    "f.station_name = '2-HIGH' AND EXISTS (SELECT 1 FROM rules r WHERE r.parameter_name = f.parameter_name AND "
+    "(TRY_CAST(f.parameter_value_raw AS DOUBLE) < r.low OR TRY_CAST(f.parameter_value_raw AS DOUBLE) > r.high))",
+    "P%",
+)}) a""",
     "report_json": _sections(B1) + """
-SELECT 'parameter' AS section, to_json({'fail_count': fail_count, 'station_name': station_name, 'parameter_name': parameter_name}) ::VARCHAR AS line
+SELECT 'parameter' AS section, position, to_json({'position': position, 'fail_count': fail_count, 'station_name': station_name, 'parameter_name': parameter_name}) ::VARCHAR AS line
 FROM sections WHERE section = 'parameter'
 UNION ALL
-SELECT 'pareto', to_json({'station_name': station_name, 'fail_count': fail_count})::VARCHAR FROM sections WHERE section = 'pareto'
+SELECT 'pareto', position, to_json({'position': position, 'station_name': station_name, 'fail_count': fail_count})::VARCHAR FROM sections WHERE section = 'pareto'
 UNION ALL
-SELECT 'origin', to_json({'fail_count': fail_count, 'station_name': station_name, 'origin_station': origin_station})::VARCHAR
+SELECT 'origin', position, to_json({'position': position, 'fail_count': fail_count, 'station_name': station_name, 'origin_station': origin_station})::VARCHAR
 FROM sections WHERE section = 'origin'""",
     "trace_origin": VIEWS + f"""
 SELECT CAST(count(DISTINCT g.product_serial) AS BIGINT) AS fail_count, f.station_name, c.station_name AS origin_station
@@ -274,21 +336,23 @@ SELECT DISTINCT product_serial, station_name, parameter_name, recorded_at
 FROM ({_oos(f"(SELECT * FROM records WHERE recorded_at > {B1})", "parameter_value_raw")}) x""",
     "alarm_debounce": VIEWS + f""",
   a AS (SELECT * FROM alarms WHERE alarm_priority IN ('high', 'critical')),
-  d AS (SELECT *, LAG(cleared_at) OVER (PARTITION BY alarm_source ORDER BY activated_at) AS prev_cleared_at FROM a)
+  d AS (SELECT *, LAG(cleared_at) OVER (PARTITION BY alarm_source ORDER BY activated_at, cleared_at NULLS FIRST, alarm_description) AS prev_cleared_at FROM a)
 SELECT alarm_source, activated_at, cleared_at, alarm_priority, alarm_description, prev_cleared_at FROM d
 WHERE (activated_at > prev_cleared_at + INTERVAL '30 seconds' OR prev_cleared_at IS NULL)
   AND alarm_description ILIKE {ASSEMBLY}""",
-    "origin_report": VIEWS + f"""
-SELECT CAST(count(DISTINCT g.product_serial) AS BIGINT) AS fail_count, f.station_name, c.station_name AS origin_station
-FROM child_records c
-JOIN genealogy g ON c.product_serial = g.scanned_child_serial
-JOIN failures f ON g.product_serial = f.product_serial
-WHERE f.recorded_at > {FACT} AND f.overall_process_status = 'NOK'
-GROUP BY f.station_name, c.station_name
-ORDER BY fail_count DESC, TRY_CAST(f.station_name AS INTEGER) NULLS LAST, f.station_name, origin_station""",
+    "origin_report": VIEWS + f""",
+  traced AS (
+    SELECT CAST(count(DISTINCT g.product_serial) AS BIGINT) AS fail_count,
+           CAST(6 + 2 * CAST(substring(f.station_name, 1, 1) AS INTEGER) AS VARCHAR) AS station_name, c.station_name AS origin_station
+    FROM child_records c
+    JOIN genealogy g ON c.product_serial = g.scanned_child_serial
+    JOIN failures f ON g.product_serial = f.product_serial
+    WHERE f.recorded_at > {FACT} AND f.overall_process_status = 'NOK'
+    GROUP BY f.station_name, c.station_name)
+SELECT fail_count, station_name, origin_station, {BY_ORIGIN} FROM traced""",
     "alarm_report": VIEWS + f""",
   a50 AS ({_alarm_scope(B1, "%LINE1-%")}),
-  d50 AS (SELECT *, LAG(cleared_at) OVER (PARTITION BY alarm_source ORDER BY activated_at) AS prev_cleared_at FROM a50)
+  d50 AS (SELECT *, LAG(cleared_at) OVER (PARTITION BY alarm_source ORDER BY activated_at, cleared_at NULLS FIRST, alarm_description) AS prev_cleared_at FROM a50)
 SELECT CAST(count(*) AS BIGINT) AS fail_count, 'S50' AS station_name, 'Check plate fails' AS parameter_name
 FROM d50 WHERE (activated_at > prev_cleared_at + INTERVAL '30 seconds' OR prev_cleared_at IS NULL)
   AND alarm_description ILIKE {ASSEMBLY}
@@ -297,13 +361,13 @@ SELECT CAST(count(*) AS BIGINT), 'S50', {TAG} FROM a50 WHERE alarm_description I
     "combined_report": VIEWS + "," + _counts(B1) + """
 SELECT fail_count, station_name, parameter_name, alarm_description FROM combined""",
     "hourly_report": VIEWS + "," + _counts(B1) + """
-SELECT fail_count, station_name, parameter_name FROM merged ORDER BY fail_count DESC, station_name, parameter_name""",
+SELECT fail_count, station_name, parameter_name, """ + BY_LABEL + " FROM merged",
     "hourly_pareto": VIEWS + "," + _counts(B1) + """
-SELECT station_name, fail_count FROM pareto ORDER BY fail_count DESC, station_name""",
+SELECT station_name, fail_count, """ + BY_STATION + " FROM pareto",
     "hourly_origin": VIEWS + "," + ORIGIN + """
-SELECT fail_count, station_name, origin_station FROM origin""",
+SELECT fail_count, station_name, origin_station, """ + BY_ORIGIN + " FROM origin",
     "shift_summary": _sections(B8) + """
-SELECT section, fail_count, station_name, parameter_name, origin_station FROM sections""",
+SELECT section, position, fail_count, station_name, parameter_name, origin_station FROM sections""",
     "fail_counts_stream": VIEWS + """,
   nok AS (SELECT *, time_bucket(INTERVAL '1 hour', recorded_at) AS window_start FROM records WHERE overall_process_status = 'NOK'),
   counted AS (SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, station_name, parameter_name,

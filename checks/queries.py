@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewatch.functions import as_number, bracket_tag, local_time, shift_end, since, since_local, spool_code, window_start
+from linewatch.functions import as_number, bracket_tag, hour_text, local_time, pair_label, shift_end, since, since_local, spool_code, window_start
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
-from linewatch.operators.limits import out_of_spec
+from linewatch.operators.limits import out_of_spec, rules_frame
 from linewatch.operators.totals import override_totals, station_totals
 from linewatch.operators.trace import trace_origin
 from linewatch.plans import reports as rp
-from linewatch.plans.checks import LineTables
+from linewatch.plans.checks import JobCheck, LinePlan, LineTables, TraceCheck
 from linewatch.plans.presets import FIXTURE_AS_OF, FIXTURE_FACT_SINCE, FIXTURE_TZ, fixture_plan
 from linewatch.sources import fixtures as fx
 from linewatch.streaming import fail_counts_stream, run_available
@@ -78,6 +78,27 @@ def out_of_spec_by_location(spark: SparkSession, d: str) -> DataFrame:
     return df.select("product_serial", "station_name", "parameter_name", "work_location_id", "recorded_at", "parameter_value_num")
 
 
+# Limits with an open side: (parameter_name, work_location_id, work_location_name, low, high)
+ONE_SIDED_RULES = [
+    ("param_0", None, None, 20.0, None),
+    ("param_1", None, None, None, 40.0),
+    ("param_2", 1, "01", 5.0, None),
+    ("param_3", None, None, None, None),
+]
+
+
+def one_sided_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with NULL bounds, compiled and joined."""
+    records, rules = fx.records(spark, d), rules_frame(spark, ONE_SIDED_RULES)
+    forms = [
+        out_of_spec(records, rules, value_col="parameter_value_num", location_col="work_location_id", max_inline_rules=most).select(
+            F.lit(form).alias("form"), "product_serial", "station_name", "parameter_name", "recorded_at"
+        )
+        for form, most in (("compiled", 500), ("joined", 0))
+    ]
+    return forms[0].unionByName(forms[1])
+
+
 def positive_counts(spark: SparkSession, d: str) -> DataFrame:
     a = fx.alarms(spark, d)
     frames = [
@@ -117,6 +138,16 @@ def spool_code_extract(spark: SparkSession, d: str) -> DataFrame:
     return df.select("product_serial", "parameter_value_raw", spool_code("parameter_value_raw").alias("spool_code"))
 
 
+def pair_label_extract(spark: SparkSession, d: str) -> DataFrame:
+    pair = F.concat(F.lit("S"), F.lpad(F.col("product_serial").cast("string"), 7, "0"), F.lit("& T"), F.lpad(F.col("product_serial").cast("string"), 7, "0"))
+    df = fx.batches(spark, d).select("product_serial", pair.alias("pair"))
+    return df.select("product_serial", "pair", pair_label("pair").alias("label"))
+
+
+def hour_text_extract(spark: SparkSession, d: str) -> DataFrame:
+    return fx.records(spark, d).select("product_serial", "recorded_at", hour_text("recorded_at").alias("hour"))
+
+
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     return rp.report_json(rp.report_sections(_tables(spark, d), fixture_plan(), AS_OF, 1))
 
@@ -131,6 +162,40 @@ def trace_origin_q(spark: SparkSession, d: str) -> DataFrame:
     return _trace_all(spark, d)
 
 
+def trace_existing(spark: SparkSession, d: str) -> DataFrame:
+    """The trace over parents that an alarm-free table holds too (the existence join)."""
+    parents = fx.jobs(spark, d).where("job_status = 'OPEN'").select("product_serial")
+    return trace_origin(fx.child_records(spark, d), fx.genealogy(spark, d), _nok_failures(spark, d), parents_in=parents)
+
+
+def _dated_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failures spread over the 16 hours before 16:00 of the report's day, with a measured value."""
+    serial = F.col("product_serial")
+    return fx.failures(spark, d).select(
+        "product_serial", "station_name", "overall_process_status",
+        F.concat(F.lit("param_"), (serial % 3).cast("string")).alias("parameter_name"),
+        (serial % 120).cast("string").alias("parameter_value_raw"),
+        (F.lit("2024-01-15 00:30:00").cast("timestamp_ntz") + F.make_dt_interval(hours=(serial % 16).cast("int"))).alias("recorded_at"),
+    )
+
+
+def hourly_origin_window(spark: SparkSession, d: str) -> DataFrame:
+    """The origin report over 1 and over 8 hours: its window reaches the failing rows."""
+    t = _tables(spark, d)
+    t.failures = _dated_failures(spark, d)
+    plan = LinePlan(counts=(JobCheck(),), traces=(TraceCheck(fail_station_like="%HIGH%", fail_where=NOK, origin_like="S%"),), local_tz=TZ)
+    parts = [rp.origin_trace_report(t, plan, AS_OF, h).withColumn("hours", F.lit(h)) for h in (1, SHIFT_HOURS)]
+    return parts[0].unionByName(parts[1])
+
+
+def trace_out_of_spec(spark: SparkSession, d: str) -> DataFrame:
+    """The trace of units outside a limit set."""
+    t = _tables(spark, d)
+    t.failures = _dated_failures(spark, d)
+    plan = LinePlan(counts=(JobCheck(),), traces=(TraceCheck(fail_station="2-HIGH", fail_rules=fx.FIXTURE_RULES, origin_like="P%"),), local_tz=TZ)
+    return rp.origin_trace_report(t, plan, AS_OF, SHIFT_HOURS)
+
+
 def override_station_totals(spark: SparkSession, d: str) -> DataFrame:
     t, plan = _tables(spark, d), fixture_plan()
     totals = station_totals(rp.fail_counts(t, plan, AS_OF, 1))
@@ -191,7 +256,9 @@ def alarm_debounce(spark: SparkSession, d: str) -> DataFrame:
 # ---- sort and set operations ---------------------------------------------
 
 def origin_report(spark: SparkSession, d: str) -> DataFrame:
-    return rp.origin_report(_trace_all(spark, d))
+    """Stations numbered 8, 10, 12, ...: their order as numbers is not that of their texts."""
+    number = (6 + 2 * F.substring("station_name", 1, 1).cast("int")).cast("string")
+    return rp.origin_report(_trace_all(spark, d).withColumn("station_name", number))
 
 
 def alarm_report(spark: SparkSession, d: str) -> DataFrame:
@@ -235,13 +302,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alarm_pattern_filter": alarm_pattern_filter,
     "out_of_spec_rows": out_of_spec_rows,
     "out_of_spec_by_location": out_of_spec_by_location,
+    "one_sided_limits": one_sided_limits,
     "positive_counts": positive_counts,
     "shift_end_rows": shift_end_rows,
     "alarm_tag_extract": alarm_tag_extract,
     "label_coalesce": label_coalesce,
     "spool_code_extract": spool_code_extract,
+    "pair_label_extract": pair_label_extract,
+    "hour_text_extract": hour_text_extract,
     "report_json": report_json,
     "trace_origin": trace_origin_q,
+    "trace_existing": trace_existing,
+    "trace_out_of_spec": trace_out_of_spec,
+    "hourly_origin_window": hourly_origin_window,
     "override_station_totals": override_station_totals,
     "job_fail_counts": job_fail_counts,
     "param_fail_counts": param_fail_counts,

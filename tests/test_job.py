@@ -38,7 +38,7 @@ def test_shift_end_run_writes_both(spark):
     paths = write_run(run, out, as_lines=True)
     assert [p.rsplit("/", 1)[-1] for p in paths] == ["hourly", "shift"]
     back = spark.read.json(paths[1])
-    assert set(back.columns) == {"section", "line", "window"}
+    assert set(back.columns) == {"section", "position", "line", "window"}
     assert back.count() == run.shift.count()
 
 
@@ -104,10 +104,10 @@ def test_command_line_run(spark, tmp_path):
     assert [p.rsplit("/", 1)[-1] for p in paths] == ["hourly", "shift"]
     # 15:10 local: the hourly bound (14:00) leaves out the 13:30 records; the 8-hour shift section has them all
     shift = [r.line for r in spark.read.json(paths[1]).where("section = 'pareto'").collect()]
-    assert '{"station_name":"050","fail_count":2}' in shift
+    assert '{"position":1,"station_name":"050","fail_count":2}' in shift
     hourly = [r.line for r in spark.read.json(paths[0]).where("section = 'pareto'").collect()]
     # only the alarms at 14:05 (tag) and 14:06 (station 070); the one at 14:00 is not after the bound
-    assert sorted(hourly) == ['{"station_name":"050","fail_count":1}', '{"station_name":"070","fail_count":1}']
+    assert hourly == ['{"position":1,"station_name":"050","fail_count":1}', '{"position":2,"station_name":"070","fail_count":1}']
 
 
 def test_until_gives_an_exact_window(spark):

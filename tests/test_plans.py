@@ -38,17 +38,14 @@ def test_report_reads_records_once(spark):
     per_table = {}
     for path in scans:
         per_table[path.rsplit("/", 1)[-1]] = per_table.get(path.rsplit("/", 1)[-1], 0) + 1
-    # events feeds records (once, reused by the pareto) and alarms: the debounce rows, its slice summary, and one
-    # fused pass for the tag and plain alarm counts;
-    # genealogy (lineitem) is read once, by the step that writes the failing-parent links, which the plan reads back
-    assert "lineitem.parquet" not in per_table, per_table
-    assert len(re.findall(r"FileScan parquet [^\n]*/linewatch/t", final)) == 1  # the written links (the plan text cuts the path)
+    # events feeds records (once, reused by the pareto) and alarms: the debounce and one fused pass for the other alarm counts
+    assert per_table.get("lineitem.parquet") == 1, per_table
     assert per_table.get("part.parquet") == 1, per_table
-    assert per_table.get("events.parquet", 0) == 4, per_table
+    assert per_table.get("events.parquet", 0) == 3, per_table
     assert "ReusedExchange" in final
 
 
-def test_trace_broadcasts_checked_failures(spark):
+def test_trace_broadcasts_small_failures(spark):
     plan = _final_plan(QUERIES["trace_origin"](spark, SF))
     assert "BroadcastHashJoin" in plan
 
@@ -85,7 +82,7 @@ def test_hot_groups_are_spread(spark):
     assert "partial_count(distinct product_serial" in counts
     debounce = _plan(QUERIES["alarm_debounce"](spark, SF))
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", debounce)
-    assert any("alarm_source" in k and "_slice" in k for k in keys), keys
+    assert any("_source" in k and "_slice" in k for k in keys), keys
     assert "max_by" in debounce  # the per-slice summary is a (partial) aggregation
 
 
@@ -95,7 +92,7 @@ def test_rules_table_join_is_broadcast_semi_join(spark):
 
     rules = rules_frame(spark, fx.FIXTURE_RULES)
     df = out_of_spec(fx.records(spark, SF), rules, value_col="parameter_value_num", location_col="work_location_id", max_inline_rules=0)
-    plan = _plan(df)
+    plan = _final_plan(df)  # the size is known at run time
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan, plan
 
 
