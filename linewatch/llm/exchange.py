@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 #: Every record type has these fields; ``many`` says that the key is known to occur more than once.
 KEY, MANY = ("key", "<u8"), ("many", "u1")
-FLUSH = 1_500_000
+FLUSH = 300_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
