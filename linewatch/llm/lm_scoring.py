@@ -94,7 +94,8 @@ def score_cross_entropy(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("hit", F.lit(True))
-    marked = rows.join(wanted, "doc_id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("is_target"))
+    # one plan at every size: the labels grow with the corpus, so their side is never taken for a small one
+    marked = rows.join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("is_target"))
     got = ngram_counts(marked).toPandas()  # 256**3 rows at most
     models = [TrigramModel(got["ngram"].to_numpy(), got[c].to_numpy()) for c in ("target", "background")]
     sent = docs.sparkSession.sparkContext.broadcast(models)
