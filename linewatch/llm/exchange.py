@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bucket_count(df: DataFrame, per_partition: int = 4) -> int:
+def bucket_count(df: DataFrame, per_partition: int = 1) -> int:
     """Buckets for a shuffle of what ``df`` yields: as many as shuffle or input partitions, whichever are more."""
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return per_partition * max(shuffles, df.rdd.getNumPartitions())
