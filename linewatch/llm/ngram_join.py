@@ -10,9 +10,11 @@ similar set agrees with it within its level. So
 * how many segments are flexible is chosen for a band by cost, and a probe spends its spare levels by cost too: it skips the
   segments with the fewest tokens, whose subsets are the least telling, and buys more skips with level 1.
 
-Candidates share a key; they are verified exactly. Groups of many similar sets are not paired off: first every key's sets
-are verified against one pivot, and then only sets of a key that are still in different components, unless their distances
-to the pivot differ by more than two linked sets' can (Jaccard distance is a metric).
+Candidates share a key; they are verified exactly, but groups of many similar sets are not paired off. First every key's sets
+are verified against the key's hub, the set with the most shared keys, which joins most of a group of near copies. Candidate
+groups (sets chained by keys) that are still in several components are then cut in blocks; a task compares the sets outside
+the group's largest component with all sets of two blocks by matrix products, and hands over a spanning forest of the links
+that it finds and not the links themselves.
 """
 
 from __future__ import annotations
@@ -200,12 +202,12 @@ def shared_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, similarity, linked of candidate pairs of set names, from the whole sets (``set``, ``hashes``)."""
+    """a, b, linked of candidate pairs of set names, from the whole sets (``set``, ``hashes``)."""
     left = sets.select(F.col("set").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("set").alias("b"), F.col("hashes").alias("y"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
     union = F.col("m") + F.col("n") - F.col("common")
-    return found.select("a", "b", (F.col("common") / union).alias("similarity"), (100 * F.col("common").cast("long") >= percent * union.cast("long")).alias("linked"))
+    return found.select("a", "b", (100 * F.col("common").cast("long") >= percent * union.cast("long")).alias("linked"))
 
 
 def compatible(a: str, b: str, percent: int):
@@ -229,33 +231,110 @@ def set_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     wanted = docs.select("row", "text").join(named, "row", "left_semi").select("text")
     sets, _ = stored(wanted.mapInArrow(hashes, "set long, hashes array<long>").dropDuplicates(["set"]), "join-sets")
 
-    pivots, _ = stored(keys.groupBy("key").agg(F.min(F.struct("set", "size")).alias("p")).select("key", F.col("p.set").alias("pivot"), F.col("p.size").alias("pivot_size")), "join-pivots")
-    star = keys.join(pivots, "key").where("set != pivot").where(compatible("size", "pivot_size", percent))
-    star, _ = stored(verified(star.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct(), sets, percent), "join-star")
-    first = star.where("linked").select("a", "b")
-    roots, _ = stored(connected_components(first), "join-roots")
-
-    # what a key still holds in different components
-    placed = keys.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    seen = star.select(F.col("a").alias("pivot"), F.col("b").alias("set"), (1 - F.col("similarity")).alias("far"))
-    open_ = placed.join(split, "key", "left_semi").join(pivots, "key").where("set != pivot").join(seen, ["pivot", "set"], "left")
-    side = lambda n: open_.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("set", "size", "role", "root", "far")))
-    index, probe = side("i").where(F.col("role_i").bitwiseAND(INDEX) > 0), side("p").where(F.col("role_p").bitwiseAND(PROBE) > 0)
-    reach = (100 - percent) / 100 + 1e-9
-    rest = (
-        index.join(probe, "key")
-        .where("root_i != root_p and size_i <= size_p")
-        .where(compatible("size_i", "size_p", percent))
-        .where(F.coalesce(F.abs(F.col("far_i") - F.col("far_p")) <= reach, F.lit(True)))
-        .select(F.least("set_i", "set_p").alias("a"), F.greatest("set_i", "set_p").alias("b"))
-        .distinct()
-    )
-    second = verified(rest, sets, percent).where("linked").select("a", "b")
+    # hubs: of a key's sets, the one with the most shared keys
+    shares = keys.groupBy("set").agg(F.count("*").alias("shared"))
+    ranked = keys.join(shares, "set").select("key", "set", "size", F.struct("shared", -F.col("set")).alias("rank"))
+    hubs = ranked.groupBy("key").agg(F.max_by(F.struct("set", "size"), "rank").alias("hub")).select("key", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"))
+    star = keys.join(hubs, "key").where("set != hub").select("hub", "hub_size", "set", "size").distinct()
+    star, _ = stored(star, "join-star")
+    near = star.where(compatible("size", "hub_size", percent)).select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    first, _ = stored(verified(near, sets, percent).where("linked").select("a", "b"), "join-first")
+    roots = connected_components(first).select(F.col("node").alias("set"), "root")
+    groups = connected_components(star.select(F.col("hub").alias("a"), F.col("set").alias("b"))).select(F.col("node").alias("set"), F.col("root").alias("group"))
+    second = group_links(groups.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), sets, percent)
     links, _ = stored(first.unionByName(second), "join-links")
     return rows, links
 
 
+def group_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = 768) -> DataFrame:
+    """Links a, b that join the components (``root``) of every candidate ``group`` of sets as far as they have any link.
+
+    A group whose sets are all in one component is left alone. Else the group is cut in blocks of about ``block`` sets, and each
+    pair of blocks is one unit of work: its sets outside the group's largest component against all its sets.
+    """
+    placed, _ = stored(placed.select("set", "group", "root"), "join-placed")
+    sizes = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = F.ceil(F.col("total") / block).cast("int")
+    dealt = (
+        placed.join(main, "group")
+        .withColumn("own", F.pmod(F.xxhash64("set"), blocks).cast("int"))
+        .select("set", "group", "root", (F.col("root") == F.col("main")).alias("settled"), "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        .select("set", "group", "root", "settled", "low", "high", "own")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        hashes = [np.asarray(h.values, dtype=np.int64) for h in table.column("hashes")]
+        own, settled = table.column("own").to_numpy(), table.column("settled").to_numpy(zero_copy_only=False)
+        names, roots = table.column("set").to_pylist(), table.column("root").to_pylist()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        joined: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while joined.get(x, x) != x:
+                joined[x] = joined.get(joined[x], joined[x])
+                x = joined[x]
+            return x
+
+        out: tuple[list[int], list[int]] = ([], [])
+        every = np.arange(len(names))
+        sides = [(every[~settled], every)] if low == high else [
+            (every[(own == i) & ~settled], every[own == j]) for i, j in ((low, high), (high, low))
+        ]
+        sizes = np.array([len(h) for h in hashes])
+        for asked, against in sides:
+            if not len(asked) or not len(against):
+                continue
+            common = intersections([hashes[i] for i in asked], [hashes[j] for j in against])
+            union = sizes[asked][:, None] + sizes[against][None, :] - common
+            for i, j in zip(*np.nonzero(100 * common >= percent * union)):
+                a, b = int(asked[i]), int(against[j])
+                x, y = find(roots[a]), find(roots[b])
+                if x != y:
+                    joined[x] = y
+                    out[0].append(names[a])
+                    out[1].append(names[b])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return dealt.join(sets, "set").groupBy("group", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], heavy: int = 64, width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set: tokens in many sets by matrix products, others one by one."""
+    out = np.zeros((len(left), len(right)))
+    sides = []
+    for sets in (left, right):
+        token = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(token, kind="stable")
+        sides.append((token[order], owner[order]))
+    (ta, oa), (tb, ob) = sides
+    tokens = np.intersect1d(ta, tb)
+    starts = [(np.searchsorted(t, tokens), np.searchsorted(t, tokens, side="right")) for t in (ta, tb)]
+    na, nb = (b - a for a, b in starts)
+    many = na * nb > heavy
+    light = np.flatnonzero(~many)
+    if len(light):
+        work = (na * nb)[light]
+        which = np.repeat(light, work)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(work) - work, work)
+        i, j = oa[starts[0][0][which] + step // nb[which]], ob[starts[1][0][which] + step % nb[which]]
+        out += np.bincount(i * len(right) + j, minlength=out.size).reshape(out.shape)
+    dense = np.flatnonzero(many)
+    for at in range(0, len(dense), width):
+        part = dense[at : at + width]
+        pair = []
+        for (first, last), owner, count in ((starts[0], oa, len(left)), (starts[1], ob, len(right))):
+            m = np.zeros((count, len(part)), np.float32)
+            n = (last - first)[part]
+            column = np.repeat(np.arange(len(part)), n)
+            m[owner[np.repeat(first[part], n) + np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n)], column] = 1
+            pair.append(m)
+        out += pair[0] @ pair[1].T
+    return out.astype(np.int64)
+
+
 def rooted_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, row, size and root (the name of the least set of its component) of every row; ``docs`` has doc_id, text, row."""
     rows, links = set_links(docs, width, percent)
