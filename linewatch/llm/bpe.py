@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewatch.llm.common import kept_in_worker, slices
 from linewatch.llm.pretokens import UnitCache, encode_texts
 
 
@@ -136,12 +137,12 @@ class Codec:
         self.replay = MergeReplay(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
-        self.first = UnitCache(self._units, "")
-        self.rest = UnitCache(self._units, " ")
+        self.first = UnitCache(self._units, "", 100_000)
+        self.rest = UnitCache(self._units, " ", 1_000_000)
 
     def _units(self, wanted: list[str]) -> list[bytes]:
         parts = [self.split(x) for x in wanted]
-        if len(self.words) > 500_000:
+        if len(self.words) > 800_000:
             self.words.clear()
         new = list({w for p in parts for w in p if w not in self.words})
         self.words.update(zip(new, self.replay.encode([w.encode() for w in new])))
@@ -167,7 +168,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the decoded bytes of every row of ``encoded`` (doc_id, ids); null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = kept_in_worker(("bpe", path, pattern), lambda: Codec(path, pattern))
         for b in batches:
             got = [codec.decode(x or b"") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "decoded"])
@@ -192,8 +193,8 @@ def _mapped(docs: DataFrame, path: str, pattern: str, columns: str, make) -> Dat
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
-        for b in batches:
+        codec = kept_in_worker(("bpe", path, pattern), lambda: Codec(path, pattern))
+        for b in slices(batches, 2000):
             ids = codec.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *make(codec, ids)], names=names)
 

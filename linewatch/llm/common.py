@@ -6,8 +6,10 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -90,6 +92,24 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*(docs[c] for c in docs.columns)).alias("document")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str | None]:
+    """The texts of a batch that has the column ``text`` or the struct ``document``."""
+    column = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("document"), "text")
+    return column.to_pylist()
+
+
+def text_and(carry: Sequence[str]) -> list[str]:
+    """The columns a task needs: ``carry``, and ``text`` if no document among them holds it."""
+    return [*([] if "document" in carry else ["text"]), *carry]
+
+
 def schema_of(df: DataFrame, names: list[str], more: str = "") -> StructType:
     """The fields ``names`` of ``df`` and those of the DDL string ``more``."""
     fields = [df.schema[n] for n in names] + (list(StructType.fromDDL(more)) if more else [])

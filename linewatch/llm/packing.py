@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch.llm.common import stored
-from linewatch.llm.pretokens import UnitCache, encode_texts
+from linewatch.llm.pretokens import UnitCache, encode_each
 
 #: Rows of the offsets table that may be broadcast (about 40 bytes a row).
 MOST_BROADCAST_ROWS = 1_000_000
@@ -49,17 +49,17 @@ class TokenizerFile:
         self.code = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
         self.added = list(added)
         self.kind = "H" if max([*ranks.values(), *added.values()]) < 1 << 16 else "I"
-        self.first, self.rest = UnitCache(self._units, ""), UnitCache(self._units, " ")
+        self.first, self.rest = UnitCache(self._units, "", 50_000), UnitCache(self._units, " ", 600_000)
 
     def _units(self, wanted: list[str]) -> list[bytes]:
         return [array(self.kind, self.code.encode_ordinary(x)).tobytes() for x in wanted]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         special = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        out = encode_texts(["" if i in special else t for i, t in enumerate(texts)], self.first, self.rest)
-        for i in special:
-            out[i] = array(self.kind, self.code.encode(texts[i], allowed_special="all")).tobytes()
-        return out
+        return [
+            array(self.kind, self.code.encode(t, allowed_special="all")).tobytes() if i in special else encode_each(t, self.first, self.rest)
+            for i, t in enumerate(texts)
+        ]
 
 
 def token_queues(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:

@@ -25,13 +25,23 @@ def units(text: str) -> tuple[str, list[str]]:
 
 
 class UnitCache(dict):
-    """unit (without its leading space) -> its encoded bytes; ``encode`` fills it for many missing units at once."""
+    """unit (without its leading space) -> its encoded bytes, for at most ``most`` units.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: str, most: int = 600_000):
+    ``encode`` encodes many units at once; a unit looked up without ``fill`` is encoded alone.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: str, most: int):
         super().__init__()
         self.encode, self.lead, self.most = encode, lead, most
 
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[unit] = got = self.encode([self.lead + unit])[0]
+        return got
+
     def fill(self, wanted: set[str]) -> None:
+        """Encodes all that is missing of ``wanted`` in one call."""
         missing = [x for x in wanted if x not in self]
         if len(self) + len(missing) > self.most:
             self.clear()
@@ -40,6 +50,12 @@ class UnitCache(dict):
             self[x] = got
 
 
+def encode_each(text: str, first: UnitCache, rest: UnitCache) -> bytes:
+    """The encoded bytes of a text, its units looked up one by one."""
+    a, b = units(text)
+    return first[a] + b"".join(map(rest.__getitem__, b))
+
+
 def encode_texts(texts: list[str], first: UnitCache, rest: UnitCache, slice_chars: int = 4_000_000) -> list[bytes]:
     """The encoded bytes of each text; units are looked up, after one call that encodes a slice's new units together."""
     out: list[bytes] = []
