@@ -8,6 +8,6 @@ Layout:
   streaming/  Structured Streaming form of the failure counts
 """
 
-from linewatch.session import checkpoint_root, get_session, materialize, size_shuffles
+from linewatch.session import checkpoint_root, get_session, size_shuffles
 
-__all__ = ["get_session", "checkpoint_root", "materialize", "size_shuffles"]
+__all__ = ["get_session", "checkpoint_root", "size_shuffles"]
