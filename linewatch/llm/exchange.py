@@ -27,10 +27,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bucket_count(df: DataFrame, per_partition: int = 1) -> int:
-    """Buckets for a shuffle of what ``df`` yields: as many as shuffle or input partitions, whichever are more."""
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return per_partition * max(shuffles, df.rdd.getNumPartitions())
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a shuffle: one for each shuffle partition of the session, which is to be set by the size of the data."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:

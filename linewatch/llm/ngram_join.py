@@ -255,6 +255,7 @@ def group_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = 7
     placed, _ = stored(placed.select("set", "group", "root"), "join-placed")
     sizes = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("roots")).where("roots > 1")
+    main, _ = stored(main, "join-main")  # a plain shuffle on both sides of the join lets Spark split a large group
     blocks = F.ceil(F.col("total") / block).cast("int")
     dealt = (
         placed.join(main, "group")

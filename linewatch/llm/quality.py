@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import drop_stored, fold, labelled_sample, schema_of, stored, whole_row
+from linewatch.llm.common import drop_stored, fold, labelled_sample, schema_of, slices, stored, text_and, texts_of, whole_row
 
 STATISTICS = (
     "log_words", "mean_word", "spread_word", "distinct_share", "top_share", "repeat_share", "symbol_rate", "pipe_rate",
@@ -107,12 +107,12 @@ class QuadraticDiscriminant:
 def scored_rows(rows: DataFrame, model: QuadraticDiscriminant, slope: float, shift: float, *carry: str) -> DataFrame:
     """``carry`` and ``score``: the log-density difference (compressed by a signed root) through a logistic curve."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([document_statistics(t) for t in b.column("text").to_pylist()]).reshape(-1, len(STATISTICS))
+        for b in slices(batches):
+            x = np.array([document_statistics(t) for t in texts_of(b)]).reshape(-1, len(STATISTICS))
             score = 1 / (1 + np.exp(-np.clip(slope * squeeze(model.difference(x)) + shift, -500, 500)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(score, pa.float64())], names=[*carry, "score"])
 
-    return rows.select("text", *carry).mapInArrow(run, schema_of(rows, list(carry), "score double"))
+    return rows.select(*text_and(carry)).mapInArrow(run, schema_of(rows, list(carry), "score double"))
 
 
 def squeeze(d: np.ndarray) -> np.ndarray:

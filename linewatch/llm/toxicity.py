@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import drop_stored, fold, labelled_sample, schema_of, stored, task_partitions, whole_row
+from linewatch.llm.common import drop_stored, fold, labelled_sample, schema_of, slices, stored, task_partitions, text_and, texts_of, whole_row
 
 #: Second-person words (fixed values: pronouns and possessives of four languages).
 SECOND_PERSON = frozenset(
@@ -47,7 +47,7 @@ class Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self.lexicon.get
         self[word] = w = max(found(word, 0.0), *(found(f"{word[:n]}*", 0.0) for n in STEMS if len(word) > n), 0.0)
@@ -88,13 +88,13 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *carry: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(lexicon)
-        for b in batches:
-            rows = [text_features(t, weights) for t in b.column("text").to_pylist()]
+        for b in slices(batches):
+            rows = [text_features(t, weights) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in carry), pa.array(rows, pa.list_(pa.float64()))], names=[*carry, "features"]
             )
 
-    return docs.select("text", *carry).mapInArrow(run, schema_of(docs, list(carry), "features array<double>"))
+    return docs.select(*text_and(carry)).mapInArrow(run, schema_of(docs, list(carry), "features array<double>"))
 
 
 def learn_lexicon(sample: DataFrame, least_share: float, least_odds: float) -> dict[str, float]:
