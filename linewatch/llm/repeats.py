@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from linewatch.llm.common import row_id, schema_of, stored, whole_row
+from linewatch.llm.common import row_id, schema_of, slices, stored, text_and, texts_of, whole_row
 from linewatch.llm.exchange import KEY, MANY, blocks, bucket_count, bucket_of, find_many, mix, runs_of
 
 #: Texts are taken in stretches of so many windows; a window's anchor depends on the window alone, so cuts change nothing.
 STRETCH = 1_000_000
 ANCHOR = np.dtype([KEY, ("row", "<i8"), ("span", "<u8"), ("more", "<u8"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2"), MANY])
-WINDOW = np.dtype([KEY, ("row", "<i8"), ("place", "<u4"), MANY])
-FOUND = np.dtype([("row", "<i8"), ("place", "<u4")])
+SPAN = np.dtype([KEY, ("row", "<i8"), ("start", "<u4"), ("end", "<u4"), MANY])
+FOUND = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -49,7 +49,7 @@ class WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -147,74 +147,78 @@ def shared_anchors(rows: DataFrame, unit: str, length: int, core: int, gram: int
 
 
 def covered_spans(rows: DataFrame, seeds: DataFrame, unit: str, length: int) -> DataFrame:
-    """row, spans (array of start, end in units): what repeated windows cover, from seeds with equal cores in ``key``."""
+    """row, spans (disjoint, in order, in units): what repeated windows cover, from seeds with equal cores in ``key``."""
     classes, _ = stored(
         seeds.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "high", "low")).alias("one")), "repeats-classes"
     )
-    whole = seeds.join(classes.where("n > 1").select("key", "span"), ["key", "span"]).select(
-        "row", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end")
-    )
     differing = classes.groupBy("key").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1").select("key")
     asked = classes.join(differing, "key").select("one.*").groupBy("row").agg(F.collect_list(F.struct("place", "high", "low")).alias("asked"))
-    texts = rows.select("row", "text")
     buckets = bucket_count(rows)
 
-    def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def reaches(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The whole reach of every seed."""
+        c = {n: batch.column(n).to_numpy() for n in ("key", "span", "row", "place", "high", "low")}
+        out = np.zeros(batch.num_rows, SPAN)
+        out["key"], out["row"] = mix(unsigned(c["span"]) + mix(unsigned(c["key"]))), c["row"]
+        out["start"], out["end"] = c["place"] - c["high"], c["place"] - c["low"] + length
+        yield out
+
+    def windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """Single windows of the seeds that are asked for."""
         codes = WordCodes()
         for text, row, wanted in zip(batch.column("text"), batch.column("row").to_pylist(), batch.column("asked").to_pylist()):
             t = text.as_py()
             part = words_of(codes, t) if unit == "words" else bytes_of(t)
             starts = np.unique(np.concatenate([np.arange(a["place"] - a["high"], a["place"] - a["low"] + 1) for a in wanted]))
-            out = np.zeros(len(starts), WINDOW)
+            out = np.zeros(len(starts), SPAN)
             at = 0
             for low in range(0, len(part), STRETCH):
                 mine = starts[(starts >= low) & (starts < low + STRETCH)]
                 if len(mine):
                     out["key"][at : at + len(mine)] = Rolling(part[low : low + STRETCH + length]).at(mine - low, length)
                     at += len(mine)
-            out["row"], out["place"] = row, starts
+            out["row"], out["start"], out["end"] = row, starts, starts + length
             yield out
 
     def by_row(r: np.ndarray) -> pa.Table:
+        """Spans that occur more than once, on their way to their rows; equal rows' spans once."""
         out = np.empty(len(r), FOUND)
-        out["row"], out["place"] = r["row"], r["place"]
+        for n in FOUND.names:
+            out[n] = r[n]
+        out = out[np.lexsort((out["end"], out["start"], out["row"]))]
+        out = out[np.append(True, out[1:] != out[:-1])[: len(out)]]
         return pa.Table.from_batches([blocks(bucket_of(mix(unsigned(out["row"])), buckets), out)])
 
     def joined_up(group: pa.Table) -> pa.Table:
         r = np.concatenate([np.frombuffer(x.as_buffer(), FOUND) for x in group.column("block")])
-        row, place = r["row"], r["place"].astype(np.int64)
-        order = np.lexsort((place, row))
-        row, place = row[order], place[order]
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] > place[:-1] + 1)])
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(row)) - 1
-        return pa.table({"row": row[starts], "start": place[starts].astype(np.int32), "end": (place[ends] + length).astype(np.int32)})
-
-    single = find_many(texts.join(asked, "row"), make, WINDOW, by_row, "bucket int, block binary", buckets)
-    single = single.groupBy("bucket").applyInArrow(joined_up, "row long, start int, end int")
-    return whole.unionByName(single).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Disjoint spans in order; those that touch become one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        r = r[np.lexsort((r["start"], r["row"]))]
+        starts, counts = runs_of(r["row"])
+        names, spans = [], []
+        for a, n in zip(starts.tolist(), counts.tolist()):
+            begin, end = r["start"][a : a + n].astype(np.int64), np.maximum.accumulate(r["end"][a : a + n].astype(np.int64))
+            first = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+            last = np.append(first[1:], n) - 1
+            names.append(int(r["row"][a]))
+            spans.append([{"start": x, "end": y} for x, y in zip(begin[first].tolist(), end[last].tolist())])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.table({"row": pa.array(names, pa.int64()), "spans": pa.array(spans, kind)})
+
+    found = [
+        find_many(source, make, SPAN, by_row, "bucket int, block binary", buckets)
+        for source, make in ((seeds, reaches), (rows.select("row", "text").join(asked, "row"), windows))
+    ]
+    return found[0].unionByName(found[1]).groupBy("bucket").applyInArrow(joined_up, "row long, spans array<struct<start:int,end:int>>")
 
 
 def with_spans(rows: DataFrame, spans: DataFrame, make: Callable[[str, list[tuple[int, int]]], tuple], schema: str, key: str = "doc_id") -> DataFrame:
-    """``key`` and what ``make`` says of each row's text and merged spans; ``schema`` names the columns of ``make``."""
+    """``key`` and what ``make`` says of each row's text and spans; ``schema`` names the columns of ``make``."""
     names = [f.name for f in StructType.fromDDL(schema)]
     kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [make(t.as_py() or "", merged(s)) for t, s in zip(b.column("text"), b.column("spans").to_pylist())]
+        for b in slices(batches):
+            got = [make(t or "", [(x["start"], x["end"]) for x in s or ()]) for t, s in zip(texts_of(b), b.column("spans").to_pylist())]
             columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(key), *columns], names=[key, *names])
 
-    return rows.join(spans, "row", "left").select(key, "text", "spans").mapInArrow(run, schema_of(rows, [key], schema))
+    return rows.join(spans, "row", "left").select(*text_and([key]), "spans").mapInArrow(run, schema_of(rows, [key], schema))

@@ -15,7 +15,7 @@ from linewatch.llm.repeats import covered_spans, identified, shared_anchors, wit
 
 
 def repeated_word_spans(rows: DataFrame, length: int = 35, core: int = 16, gram: int = 6) -> DataFrame:
-    """row, spans (start, end in words; they may overlap) of the ``identified`` rows that have repeats.
+    """row, spans (start, end in words; disjoint, in order) of the ``identified`` rows that have repeats.
 
     A span is covered by windows of ``length`` words that start at another place too, in any row, the same included.
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts and those shorter than a window have no spans.

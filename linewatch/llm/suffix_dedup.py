@@ -24,13 +24,16 @@ FIRST = 64
 def rerank(positions: DataFrame, block: Column) -> tuple[DataFrame, str]:
     """One doubling round: rank pairs (``key``, ``block``) that occur once go; the others' pairs become the new ``key``."""
     paired = positions.withColumn("block", block)
-    shared = paired.groupBy("key", "block").agg(F.count("*").alias("n")).where("n > 1").select("key", "block")
+    # written first, so that both sides of the join are plain shuffles and Spark can split a pair that very many positions have
+    shared, path = stored(paired.groupBy("key", "block").agg(F.count("*").alias("n")).where("n > 1").select("key", "block"), "suffix-pairs")
     kept = paired.join(shared, ["key", "block"])
-    return stored(kept.withColumn("key", F.xxhash64("key", "block")).drop("block"), "suffix-ranks")
+    out = stored(kept.withColumn("key", F.xxhash64("key", "block")).drop("block"), "suffix-ranks")
+    drop_stored(positions.sparkSession, path)
+    return out
 
 
 def repeated_byte_spans(docs: DataFrame, length: int = 400, gram: int = 16) -> tuple[DataFrame, DataFrame]:
-    """The identified rows, and for rows with repeats: row, spans (start, end in UTF-8 bytes; they may overlap).
+    """The identified rows, and for rows with repeats: row, spans (start, end in UTF-8 bytes; disjoint, in order).
 
     A span is covered by strings of ``length`` bytes (320 at least) that start at another place too, in any row, the same
     included. Null and empty texts and those shorter than ``length`` bytes have no spans.
