@@ -59,7 +59,7 @@ def test_stream_to_parquet_sink(spark):
     ])
     out = tempfile.mkdtemp(prefix="linewatch-sink-") + "/counts"
     events = spark.readStream.schema(SCHEMA).parquet(folder)
-    query = start_stream(fail_counts_stream(events, "1 hour", "10 minutes"), name="sink_test", sink="parquet", path=out)
+    query = start_stream(fail_counts_stream(events, "1 hour", "10 minutes"), name="sink_test", sink="parquet", path=out, checkpoint=tempfile.mkdtemp(prefix="linewatch-ckpt-"))
     query.awaitTermination()
     assert query.exception() is None
     got = [(r.window_start, r.fail_count) for r in spark.read.parquet(out).collect()]
