@@ -32,6 +32,7 @@ from linewatch.llm.exchange import KEY, MANY, blocks, bucket_count, bucket_of, f
 STRETCH = 1_000_000
 ANCHOR = np.dtype([KEY, ("row", "<i8"), ("span", "<u8"), ("more", "<u8"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2"), MANY])
 SPAN = np.dtype([KEY, ("row", "<i8"), ("start", "<u4"), ("end", "<u4"), MANY])
+REACH = np.dtype([("row", "<i8"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2")])
 FOUND = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -120,12 +121,23 @@ def anchors(codes: np.ndarray, row: int, length: int, core: int, gram: int, firs
 
 
 def anchor_table(r: np.ndarray) -> pa.Table:
-    columns = {n: np.ascontiguousarray(r[n]).view("<i8") for n in ("key", "row", "span", "more")}
-    columns |= {n: r[n].astype(np.int32) for n in ("place", "high", "low")}
-    return pa.table({k: pa.array(np.ascontiguousarray(v)) for k, v in columns.items()})
+    """Anchors with equal core and reach as one row: how many, the least of them, and where their reaches lie."""
+    r = r[np.lexsort((r["place"], r["row"], r["span"], r["key"]))]
+    new = np.append(True, (r["key"][1:] != r["key"][:-1]) | (r["span"][1:] != r["span"][:-1]))[: len(r)]
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(r)))
+    reach = np.empty(len(r), REACH)
+    reach["row"], reach["place"], reach["high"], reach["low"] = r["row"], r["place"], r["high"], r["low"]
+    head = r[starts]
+    columns = {n: pa.array(np.ascontiguousarray(head[n]).view("<i8")) for n in ("key", "span", "more")}
+    columns["n"] = pa.array(counts, pa.int64())
+    columns |= {"row": pa.array(np.ascontiguousarray(head["row"]))}
+    columns |= {n: pa.array(head[n].astype(np.int32)) for n in ("place", "high", "low")}
+    columns["members"] = pa.array([reach[a : a + k].tobytes() for a, k in zip(starts.tolist(), counts.tolist())], pa.binary())
+    return pa.table(columns)
 
 
-ANCHOR_SCHEMA = "key long, row long, span long, more long, place int, high int, low int"
+ANCHOR_SCHEMA = "key long, span long, more long, n long, row long, place int, high int, low int, members binary"
 
 
 def identified(docs: DataFrame, with_document: bool = False) -> DataFrame:
@@ -135,7 +147,7 @@ def identified(docs: DataFrame, with_document: bool = False) -> DataFrame:
 
 
 def shared_anchors(rows: DataFrame, unit: str, length: int, core: int, gram: int, first: int) -> DataFrame:
-    """The anchors of all texts whose first ``first`` units occur at more than one anchor."""
+    """The anchors of all texts whose first ``first`` units occur at more than one anchor; those of a bucket with equal reach in one row."""
 
     def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         codes = WordCodes()
@@ -149,7 +161,7 @@ def shared_anchors(rows: DataFrame, unit: str, length: int, core: int, gram: int
 def covered_spans(rows: DataFrame, seeds: DataFrame, unit: str, length: int) -> DataFrame:
     """row, spans (disjoint, in order, in units): what repeated windows cover, from seeds with equal cores in ``key``."""
     classes, _ = stored(
-        seeds.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "high", "low")).alias("one")), "repeats-classes"
+        seeds.groupBy("key", "span").agg(F.sum("n").alias("n"), F.min(F.struct("row", "place", "high", "low")).alias("one")), "repeats-classes"
     )
     differing = classes.groupBy("key").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1").select("key")
     asked = classes.join(differing, "key").select("one.*").groupBy("row").agg(F.collect_list(F.struct("place", "high", "low")).alias("asked"))
@@ -157,11 +169,16 @@ def covered_spans(rows: DataFrame, seeds: DataFrame, unit: str, length: int) ->
 
     def reaches(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         """The whole reach of every seed."""
-        c = {n: batch.column(n).to_numpy() for n in ("key", "span", "row", "place", "high", "low")}
-        out = np.zeros(batch.num_rows, SPAN)
-        out["key"], out["row"] = mix(unsigned(c["span"]) + mix(unsigned(c["key"]))), c["row"]
-        out["start"], out["end"] = c["place"] - c["high"], c["place"] - c["low"] + length
-        yield out
+        for part in slices([batch], 20_000):
+            members = [np.frombuffer(x.as_buffer(), REACH) for x in part.column("members")]
+            if members:
+                m = np.concatenate(members)
+                counts = [len(x) for x in members]
+                out = np.zeros(len(m), SPAN)
+                out["key"] = np.repeat(mix(unsigned(part.column("span").to_numpy()) + mix(unsigned(part.column("key").to_numpy()))), counts)
+                out["row"], out["start"] = m["row"], m["place"] - m["high"]
+                out["end"] = m["place"] - m["low"] + np.uint32(length)
+                yield out
 
     def windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         """Single windows of the seeds that are asked for."""
@@ -205,7 +222,7 @@ def covered_spans(rows: DataFrame, seeds: DataFrame, unit: str, length: int) ->
 
     found = [
         find_many(source, make, SPAN, by_row, "bucket int, block binary", buckets)
-        for source, make in ((seeds, reaches), (rows.select("row", "text").join(asked, "row"), windows))
+        for source, make in ((seeds.select("key", "span", "members"), reaches), (rows.select("row", "text").join(asked, "row"), windows))
     ]
     return found[0].unionByName(found[1]).groupBy("bucket").applyInArrow(joined_up, "row long, spans array<struct<start:int,end:int>>")
 

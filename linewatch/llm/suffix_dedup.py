@@ -25,7 +25,7 @@ def rerank(positions: DataFrame, block: Column) -> tuple[DataFrame, str]:
     """One doubling round: rank pairs (``key``, ``block``) that occur once go; the others' pairs become the new ``key``."""
     paired = positions.withColumn("block", block)
     # written first, so that both sides of the join are plain shuffles and Spark can split a pair that very many positions have
-    shared, path = stored(paired.groupBy("key", "block").agg(F.count("*").alias("n")).where("n > 1").select("key", "block"), "suffix-pairs")
+    shared, path = stored(paired.groupBy("key", "block").agg(F.sum("n").alias("times")).where("times > 1").select("key", "block"), "suffix-pairs")
     kept = paired.join(shared, ["key", "block"])
     out = stored(kept.withColumn("key", F.xxhash64("key", "block")).drop("block"), "suffix-ranks")
     drop_stored(positions.sparkSession, path)
