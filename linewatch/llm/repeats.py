@@ -30,7 +30,7 @@ from linewatch.llm.exchange import KEY, MANY, blocks, bucket_count, bucket_of, f
 
 #: Texts are taken in stretches of so many windows; a window's anchor depends on the window alone, so cuts change nothing.
 STRETCH = 1_000_000
-ANCHOR = np.dtype([KEY, ("row", "<i8"), ("span", "<u8"), ("more", "<u8"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2"), MANY])
+ANCHOR = np.dtype([KEY, ("row", "<i8"), ("span", "<u8"), ("more", "<u4"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2"), MANY])
 SPAN = np.dtype([KEY, ("row", "<i8"), ("start", "<u4"), ("end", "<u4"), MANY])
 REACH = np.dtype([("row", "<i8"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2")])
 FOUND = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -99,8 +99,8 @@ def least_places(value: np.ndarray, reach: int) -> np.ndarray:
 
 
 def anchors(codes: np.ndarray, row: int, length: int, core: int, gram: int, first: int) -> Iterator[np.ndarray]:
-    """Anchor records of one text. ``key`` is the hash of the first ``first`` units of the core; ``more`` holds two 32-bit
-    hashes of the stretches that double it, up to the core's length, where ``first`` is shorter than the core."""
+    """Anchor records of one text. ``key`` is the hash of the first ``first`` units of the core; ``more`` is a 32-bit
+    hash of the rest of the core, where ``first`` is shorter than it."""
     reach = length - core
     for low in range(0, len(codes) - length + 1, STRETCH):
         part = codes[low : low + STRETCH + length - 1]
@@ -115,8 +115,7 @@ def anchors(codes: np.ndarray, row: int, length: int, core: int, gram: int, firs
         span = rolling.at(starts, counts - 1 + length)
         out["span"] = mix(span + high.astype(np.uint64) * _BASE + least.astype(np.uint64))
         if first < core:
-            second, third = rolling.at(place + first, first), rolling.at(place + 2 * first, 2 * first)
-            out["more"] = (second >> np.uint64(32) << np.uint64(32)) | (third >> np.uint64(32))
+            out["more"] = rolling.at(place + first, core - first) >> np.uint64(32)
         yield out
 
 
@@ -129,7 +128,8 @@ def anchor_table(r: np.ndarray) -> pa.Table:
     reach = np.empty(len(r), REACH)
     reach["row"], reach["place"], reach["high"], reach["low"] = r["row"], r["place"], r["high"], r["low"]
     head = r[starts]
-    columns = {n: pa.array(np.ascontiguousarray(head[n]).view("<i8")) for n in ("key", "span", "more")}
+    columns = {n: pa.array(np.ascontiguousarray(head[n]).view("<i8")) for n in ("key", "span")}
+    columns["more"] = pa.array(head["more"].astype(np.int64))
     columns["n"] = pa.array(counts, pa.int64())
     columns |= {"row": pa.array(np.ascontiguousarray(head["row"]))}
     columns |= {n: pa.array(head[n].astype(np.int32)) for n in ("place", "high", "low")}

@@ -1,9 +1,9 @@
 """Suffix-array dedup by distributed prefix doubling: bytes under a string of ``length`` bytes that also starts elsewhere.
 
 The sorted positions are a winnowed sample of the suffixes (a full array would hold 24 bytes and more for every byte of text
-in every round). A position starts with the rank of its first 64 bytes; each round pairs that rank with the bytes at the
-current offset, sorts the pairs, gives equal pairs one rank and drops the positions whose pair is unique, while the offset
-doubles: 64, 128, 256. Positions that are still not unique then lie in a shared string of 256 bytes; where their shared
+in every round). A position starts with the rank of its first 128 bytes, and those with a unique rank are dropped; a round
+pairs the rank with the bytes at the offset 128, sorts the pairs, gives equal pairs one rank and drops the positions whose
+pair is unique, so that the ranks tell 256 bytes. Positions that are still not unique then lie in a shared string of 256 bytes; where their shared
 strings pass the threshold is settled to the byte (``linewatch.llm.repeats``). Ranks are names: they need not keep the order
 of the strings, as only equality counts.
 """
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from linewatch.llm.common import drop_stored, stored
 from linewatch.llm.repeats import covered_spans, identified, shared_anchors, with_spans
 
-FIRST = 64
+FIRST = 128
+LEAST = 320
 
 
 def rerank(positions: DataFrame, block: Column) -> tuple[DataFrame, str]:
@@ -38,15 +39,13 @@ def repeated_byte_spans(docs: DataFrame, length: int = 400, gram: int = 16) -> t
     A span is covered by strings of ``length`` bytes (320 at least) that start at another place too, in any row, the same
     included. Null and empty texts and those shorter than ``length`` bytes have no spans.
     """
-    if length < 5 * FIRST:
-        raise ValueError(f"length must be {5 * FIRST} bytes at least")
+    if length < LEAST:
+        raise ValueError(f"length must be {LEAST} bytes at least")
     spark, rows = docs.sparkSession, identified(docs)
-    first, one = stored(shared_anchors(rows, "bytes", length, 4 * FIRST, gram, FIRST), "suffix-ranks")
-    second, two = rerank(first, F.shiftrightunsigned("more", 32))
-    third, _ = rerank(second, F.col("more").bitwiseAND(0xFFFFFFFF))
+    first, one = stored(shared_anchors(rows, "bytes", length, 2 * FIRST, gram, FIRST), "suffix-ranks")
+    second, _ = rerank(first, F.col("more"))
     drop_stored(spark, one)
-    drop_stored(spark, two)
-    return rows, covered_spans(rows, third, "bytes", length)
+    return rows, covered_spans(rows, second, "bytes", length)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
