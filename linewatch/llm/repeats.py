@@ -33,6 +33,7 @@ STRETCH = 1_000_000
 ANCHOR = np.dtype([KEY, ("row", "<i8"), ("span", "<u8"), ("more", "<u4"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2"), MANY])
 SPAN = np.dtype([KEY, ("row", "<i8"), ("start", "<u4"), ("end", "<u4"), MANY])
 REACH = np.dtype([("row", "<i8"), ("place", "<u4"), ("high", "<u2"), ("low", "<u2")])
+WINDOW = np.dtype([KEY, ("row", "<i8"), ("start", "<u4"), MANY])
 FOUND = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -187,21 +188,21 @@ def covered_spans(rows: DataFrame, seeds: DataFrame, unit: str, length: int) ->
             t = text.as_py()
             part = words_of(codes, t) if unit == "words" else bytes_of(t)
             starts = np.unique(np.concatenate([np.arange(a["place"] - a["high"], a["place"] - a["low"] + 1) for a in wanted]))
-            out = np.zeros(len(starts), SPAN)
+            out = np.zeros(len(starts), WINDOW)
             at = 0
             for low in range(0, len(part), STRETCH):
                 mine = starts[(starts >= low) & (starts < low + STRETCH)]
                 if len(mine):
                     out["key"][at : at + len(mine)] = Rolling(part[low : low + STRETCH + length]).at(mine - low, length)
                     at += len(mine)
-            out["row"], out["start"], out["end"] = row, starts, starts + length
+            out["row"], out["start"] = row, starts
             yield out
 
     def by_row(r: np.ndarray) -> pa.Table:
         """Spans that occur more than once, on their way to their rows; equal rows' spans once."""
         out = np.empty(len(r), FOUND)
-        for n in FOUND.names:
-            out[n] = r[n]
+        out["row"], out["start"] = r["row"], r["start"]
+        out["end"] = r["end"] if "end" in r.dtype.names else r["start"] + np.uint32(length)
         out = out[np.lexsort((out["end"], out["start"], out["row"]))]
         out = out[np.append(True, out[1:] != out[:-1])[: len(out)]]
         return pa.Table.from_batches([blocks(bucket_of(mix(unsigned(out["row"])), buckets), out)])
@@ -221,8 +222,11 @@ def covered_spans(rows: DataFrame, seeds: DataFrame, unit: str, length: int) ->
         return pa.table({"row": pa.array(names, pa.int64()), "spans": pa.array(spans, kind)})
 
     found = [
-        find_many(source, make, SPAN, by_row, "bucket int, block binary", buckets)
-        for source, make in ((seeds.select("key", "span", "members"), reaches), (rows.select("row", "text").join(asked, "row"), windows))
+        find_many(source, make, kind, by_row, "bucket int, block binary", buckets)
+        for source, make, kind in (
+            (seeds.select("key", "span", "members"), reaches, SPAN),
+            (rows.select("row", "text").join(asked, "row"), windows, WINDOW),
+        )
     ]
     return found[0].unionByName(found[1]).groupBy("bucket").applyInArrow(joined_up, "row long, spans array<struct<start:int,end:int>>")
 
