@@ -1,6 +1,7 @@
 """I-Match fingerprints: sorted distinct terms of a chosen inverse-document-frequency band, hashed over random lexicon subsets.
 
 Only DataFrame functions are used. A term is a lower-cased run of characters without white space, held as its 64-bit hash.
+The first component is the hash of all terms of the band, so a text with any term differs from an empty one.
 """
 
 from __future__ import annotations
@@ -8,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A subset keeps about one lexicon term in so many; texts of all lengths find subsets with a few of their terms.
-RATES = (32, 64, 128, 256)
+#: A subset keeps about one lexicon term in so many; texts of all lengths find subsets with a few of their terms. Besides, one
+#: subset keeps them all.
+RATES = (4, 8, 16, 32, 64, 128, 256)
 SUBSETS_PER_RATE = 8
 
 
@@ -38,8 +40,8 @@ def _band(kept: list[int]) -> str:
 
 
 def _subsets(column: str) -> str:
-    """SQL: the array of subset hashes of the sorted term hashes in ``column``."""
-    out = []
+    """SQL: the array of subset hashes of the sorted term hashes in ``column``; the whole band's first, in 64 bits, the others in 32."""
+    out = [f"if(size({column}) = 0, 0L, coalesce(nullif(xxhash64({column}), 0L), 1L))"]
     for rate in RATES:
         bits = rate.bit_length() - 1
         for i in range(SUBSETS_PER_RATE):
@@ -55,8 +57,9 @@ def with_components(rows: DataFrame, text: Column, name: str, kept: list[int]) -
 
 
 def written(parts: str) -> Column:
-    """A fingerprint's text: eight hex digits per subset."""
-    return F.concat_ws("-", F.transform(F.col(parts), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))))
+    """A fingerprint's text: 16 hex digits of the whole band, then eight per subset."""
+    digits = F.transform(F.col(parts), lambda x, i: F.lower(F.lpad(F.hex(x), F.when(i == 0, 16).otherwise(8), F.lit("0"))))
+    return F.concat_ws("-", digits)
 
 
 def likeness(a: str, b: str) -> Column:

@@ -180,6 +180,17 @@ def test_fingerprints_handle_awkward_rows(spark, awkward, nothing):
     assert one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
 
 
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    texts = [f"word{i}" for i in range(200)] + [f"some few words {i}" for i in range(100)] + ["", " \n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = fingerprint(docs).collect()
+    known = {r.fingerprint for r in rows if r.doc_id < 300}
+    blank = {r.fingerprint for r in rows if r.doc_id >= 300}
+    assert len(known) == 300 and len(blank) == 1 and not known & blank
+    near = {r.doc_id: r.near_next for r in edited_fingerprints(docs).collect()}
+    assert all(near[i] < 1.0 for i in range(300)) and near[299] == 0.0 and near[300] == near[301] == 1.0
+
+
 def test_pipeline_stages(spark, awkward, nothing):
     """Each stage against a plain version of itself; columns of documents stay."""
     import corpus_pipeline as cp
