@@ -3,7 +3,7 @@
 Vectors are lifted to one length, so that the largest inner product is the smallest angle, and each tree gives a vector a
 string of random-hyperplane bits. The rows are dealt over segments of bounded size; a segment keeps, for each tree, its rows
 sorted by their strings. A query descends to its longest matching prefix in every tree, and all trees then ascend one level
-at a time together, until the prefixes hold enough candidates over the whole forest.
+at a time together, until the prefixes hold enough entries over the whole forest, and enough different rows.
 """
 
 from __future__ import annotations
@@ -46,6 +46,10 @@ class Forest:
         low = query >> shift << shift
         return np.searchsorted(sorted_strings, low), np.searchsorted(sorted_strings, low + (np.int64(1) << shift))
 
+    def shared(self, differing: np.ndarray) -> np.ndarray:
+        """How many first bits two strings share, from their exclusive or."""
+        return self.bits - np.frexp(differing.astype(float))[1]
+
 
 def nearest(
     vectors: DataFrame,
@@ -54,6 +58,7 @@ def nearest(
     trees: int = 16,
     bits: int = 24,
     candidate_share: float = 1.2,
+    least_candidates: int = 10,
     segment_rows: int = 4096,
     query_rows: int = 2048,
     seed: int = 11,
@@ -66,7 +71,8 @@ def nearest(
     non-finite components take no part, nor do those without the most frequent number of components (the smallest such
     number in a tie). A query's own row is no candidate; rows that repeat a vec_id count as one with it. The ascent stops
     when the prefixes of all trees together hold ``candidate_share`` times as many entries as there are rows (entries of
-    different trees may be the same row). Queries meet segments in blocks of ``query_rows`` by ``segment_rows``. Scores are
+    different trees may be the same row) and ``least_candidates`` * ``k`` different rows, or all rows where there are fewer.
+    Queries meet segments in blocks of ``query_rows`` by ``segment_rows``. Scores are
     sums of products in double precision, in component order.
     """
     spark = vectors.sparkSession
@@ -87,23 +93,37 @@ def nearest(
     asked_side = lambda more=(): dealt.select("vec_id", "vec", "block", *more, everywhere(segments).alias("segment"))
 
     def held(left: pa.Table, right: pa.Table) -> pa.Table:
-        """For each query: how many entries of the segment share each prefix length with it, over all trees."""
+        """For each query: how many entries of the segment share each prefix length with it over all trees, and how many
+        different rows do in any tree; without the query's own row."""
         q = matrix(right.column("vec"), dims)
-        counts = np.zeros((len(q), bits + 1), np.int64)
+        counts, distinct = np.zeros((2, len(q), bits + 1), np.int64)
         if len(q) and left.num_rows:
+            ids, levels = left.column("vec_id").to_numpy(), np.arange(bits + 1)
             own, other = forest.strings(q, False), forest.strings(matrix(left.column("vec"), dims), True)
             for t in range(trees):
                 array = np.sort(other[t])
                 for level in range(bits + 1):
                     low, high = forest.ranges(array, own[t], np.int64(level))
                     counts[:, level] += high - low
-        return pa.table({"vec_id": right.column("vec_id"), "counts": pa.array(counts.tolist(), pa.list_(pa.int64()))})
+            for i, query in enumerate(right.column("vec_id").to_pylist()):
+                nearest_string = other[0] ^ own[0, i]
+                for t in range(1, trees):
+                    np.minimum(nearest_string, other[t] ^ own[t, i], out=nearest_string)
+                itself = ids == query
+                deepest = np.bincount(forest.shared(nearest_string[~itself]), minlength=bits + 1)
+                distinct[i] = deepest[::-1].cumsum()[::-1]
+                for place in np.flatnonzero(itself):
+                    counts[i] -= (levels <= forest.shared(other[:, place] ^ own[:, i])[:, None]).sum(0)
+        columns = {n: pa.array(c.tolist(), pa.list_(pa.int64())) for n, c in (("counts", counts), ("distinct_rows", distinct))}
+        return pa.table({"vec_id": right.column("vec_id"), **columns})
 
     pair = ["segment", "block"]
-    counted = stored_side.groupBy(*pair).cogroup(asked_side().groupBy(*pair)).applyInArrow(held, "vec_id long, counts array<long>")
-    enough = max(k + 1, int(candidate_share * total))
-    sums = counted.groupBy("vec_id").agg(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(bits + 1)))
-    depth = F.greatest(*(F.when(F.col(f"c{i}") >= enough, i).otherwise(0) for i in range(bits + 1)))
+    counted = stored_side.groupBy(*pair).cogroup(asked_side().groupBy(*pair)).applyInArrow(held, "vec_id long, counts array<long>, distinct_rows array<long>")
+    enough = int(candidate_share * total)
+    each = (F.sum(F.col(name)[i]).alias(f"{short}{i}") for name, short in (("counts", "c"), ("distinct_rows", "d")) for i in range(bits + 1))
+    sums = counted.groupBy("vec_id").agg(*each)
+    least = F.least(F.lit(max(1, least_candidates) * k), F.col("d0"))  # every row shares the empty prefix
+    depth = F.greatest(*(F.when((F.col(f"c{i}") >= enough) & (F.col(f"d{i}") >= least), i).otherwise(0) for i in range(bits + 1)))
     levels, _ = stored(sums.select("vec_id", depth.alias("level")), "ann-levels")
     dealt = dealt.join(levels, "vec_id")
 

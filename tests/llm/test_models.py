@@ -154,3 +154,17 @@ def test_nearest_handles_awkward_vectors(spark):
     assert [i for _, i in by[20]] == [3, 0, 1, 2, 10]
     empty = v.where("false")
     assert nearest(empty, empty).count() == 0 and nearest(v, empty).count() == 0
+
+
+def test_nearest_finds_all_candidates_of_small_tables(spark):
+    """With the query's own parameters: tables with fewer candidates than asked for, and many copies of the query's vector."""
+    rng = np.random.default_rng(3)
+    for n, dims, copies in ((13, 8, 0), (21, 64, 0), (60, 64, 0), (150, 16, 10)):
+        x = rng.normal(size=(n, dims))
+        x /= np.sqrt((x**2).sum(1))[:, None]
+        x[1 : 1 + copies] = x[0]
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = nearest(v, v.where("vec_id % 20 = 0")).collect()
+        want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 20)
+        assert {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in want} == want
