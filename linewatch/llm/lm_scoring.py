@@ -1,6 +1,7 @@
 """Cross-entropy difference: a target and a background n-gram model over one vocabulary score every document.
 
-The vocabulary is the 256 byte values and the order is three, so a model has 256**3 = 16.8 million n-grams at most whatever
+``score_word_cross_entropy`` (the registered query) has word models that grow with the corpus. ``score_cross_entropy`` has byte
+models of bounded size: their vocabulary is the 256 byte values and the order is three, so a model has 256**3 = 16.8 million n-grams at most whatever
 the size of the corpus; the tables sent to the tasks are bound by that. Counts are over all bytes of all documents.
 """
 
@@ -10,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewatch.llm.exchange import mix
+from linewatch.llm.repeats import WordCodes
+
 SIZE = 1 << 24
 CHUNK = 8_000_000
 
@@ -116,3 +120,127 @@ def score_cross_entropy(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     scored = rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+#: UTF-8 bytes of text in a chunk; a chunk is what one task holds at a time.
+CHUNK_BYTES = 24_000_000
+#: Occurrences that the lower order stands for (Dirichlet prior) in every distribution of either model.
+PRIOR = 8.0
+EDGE, TOTAL = 2, 4
+TARGET_ID, GRAM = 0, 1
+
+
+class ChunkGrams:
+    """The word unigrams and bigrams of a chunk's texts, and their counts in both models, at first within the chunk.
+
+    The token that follows the last word and precedes the first one is the edge. ``keys``: 64-bit names, of unigrams (even)
+    and bigrams (odd), each sorted, and of the token total.
+    """
+
+    def __init__(self, texts: list[str | None], marks: np.ndarray, codes: WordCodes):
+        words = [np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)) for w in ((t or "").encode().split() for t in texts)]
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        used = self.lengths > 0
+        sizes = self.lengths[used] + 1
+        self.used, self.starts = used, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.empty(0, np.int64)
+        tokens = np.empty(int(sizes.sum()), np.uint64)
+        ends = self.starts + sizes - 1
+        inner = np.ones(len(tokens), bool)
+        inner[ends] = False
+        if len(tokens):
+            tokens[inner] = np.concatenate(words)
+        tokens[inner] = mix(tokens[inner]) & ~np.uint64(1)
+        tokens[ends] = EDGE
+        before = np.roll(tokens, 1)  # each text's last token is the edge, and so what precedes its first one
+        marked = np.repeat(marks[used], sizes)
+        self.unigrams, self.word = np.unique(tokens, return_inverse=True)
+        self.bigrams, self.pair = np.unique(mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) | np.uint64(1), return_inverse=True)
+        self.counts = {}
+        for name, places, n in (("word", self.word, len(self.unigrams)), ("pair", self.pair, len(self.bigrams))):
+            self.counts[name] = [np.bincount(places[marked], minlength=n), np.bincount(places, minlength=n)]
+        self.total = [int(marked.sum()), len(tokens)]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, counts in the target, counts in the background."""
+        keys = np.concatenate([self.unigrams, self.bigrams, np.array([TOTAL], np.uint64)]).view(np.int64)
+        return keys, *(np.concatenate([self.counts["word"][m], self.counts["pair"][m], [self.total[m]]]) for m in (0, 1))
+
+    def take(self, keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> None:
+        """Replace counts by those of the whole corpus."""
+        keys = keys.view(np.uint64)
+        for name, own in (("word", self.unigrams), ("pair", self.bigrams)):
+            mine = ((keys & np.uint64(1)) == (name == "pair")) & (keys != TOTAL)
+            places = np.searchsorted(own, keys[mine])
+            for m, values in enumerate((target, background)):
+                self.counts[name][m][places] = values[mine]
+        whole = np.flatnonzero(keys == TOTAL)
+        if len(whole):
+            self.total = [int(target[whole[0]]), int(background[whole[0]])]
+
+    def losses(self, model: int) -> np.ndarray:
+        """Mean nats a token of each text; 0 for a text without words."""
+        out = np.zeros(len(self.lengths))
+        if len(self.starts):
+            one, common = self.counts["word"][model], self.counts["word"][1] / self.total[1]
+            low = (one + PRIOR * common) / (self.total[model] + PRIOR)
+            loss = -np.log((self.counts["pair"][model][self.pair] + PRIOR * low[self.word]) / (one[np.roll(self.word, 1)] + PRIOR))
+            out[self.used] = np.add.reduceat(loss, self.starts) / (self.lengths[self.used] + 1)
+        return out
+
+
+def score_word_cross_entropy(docs: DataFrame, target: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_tokens (words), target_loss, background_loss (mean nats a token) and score = target_loss - background_loss.
+
+    Word bigram models that grow with the corpus: all words (``[^\\x20\\x09-\\x0D]+``) of all texts are the vocabulary of both,
+    and every bigram is counted, with 64-bit names. The background model is made of all rows of ``docs`` (doc_id, text), the
+    target model of those whose doc_id is in ``target``. In both, bigrams fall back to the model's unigrams and these to the
+    corpus's, by a Dirichlet prior. A text's tokens are its words and its end. Null and empty texts have n_tokens 0, losses 0
+    and score 0. A lower score is closer to the target.
+
+    Texts are dealt over chunks by doc_id (null: by text). A chunk hands over one row for each of its n-grams, so an n-gram
+    has no more rows than there are chunks, however common it is; the counts come back to the chunks that share the n-gram,
+    and what only one chunk has is counted there. Nothing but the chunk number's size goes to the driver.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chunks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
+    rows = rows.withColumn("chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)).cast("int"))
+    side = "chunk int, kind int, key long, target long, background long"
+    wanted = target.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
+    none = F.lit(0).cast("long")
+    wanted = wanted.select(
+        F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(TARGET_ID).alias("kind"), "key", none.alias("target"), none.alias("background")
+    )
+
+    def grams(left: pa.Table, right: pa.Table) -> tuple[ChunkGrams, list[np.ndarray]]:
+        kind, *values = (right.column(c).to_numpy() for c in ("kind", "key", "target", "background"))
+        ids = left.column("doc_id")
+        known = ids.is_valid().to_numpy()
+        marks = known & np.isin(ids.fill_null(0).to_numpy(), values[0][kind == TARGET_ID])
+        return ChunkGrams(left.column("text").to_pylist(), marks, WordCodes()), [v[kind == GRAM] for v in values]
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = grams(left, right)[0] if left.num_rows else None
+        columns = found.rows() if found else [np.empty(0, np.int64)] * 3
+        number = left.column("chunk")[0].as_py() if left.num_rows else 0
+        kinds = [pa.array(np.full(len(columns[0]), v, np.int32)) for v in (number, GRAM)]
+        return pa.Table.from_arrays([*kinds, *map(pa.array, columns)], names=["chunk", "kind", "key", "target", "background"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, counts = grams(left, right)
+        if left.num_rows:
+            found.take(*counts)
+        return pa.table(
+            {
+                "doc_id": left.column("doc_id"),
+                "n_tokens": pa.array(found.lengths),
+                "target_loss": pa.array(found.losses(0)),
+                "background_loss": pa.array(found.losses(1)),
+            }
+        )
+
+    counted = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(count, side)
+    same = Window.partitionBy("key")
+    summed = counted.select("chunk", "kind", "key", *(F.sum(c).over(same).alias(c) for c in ("target", "background")), F.count("*").over(same).alias("in_chunks"))
+    back = summed.where("in_chunks > 1").drop("in_chunks").unionByName(wanted)
+    scored = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

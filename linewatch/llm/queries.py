@@ -12,7 +12,7 @@ from linewatch.llm.ann import nearest
 from linewatch.llm.bpe import bpe_digests
 from linewatch.llm.common import fold
 from linewatch.llm.fingerprints import edited_fingerprints
-from linewatch.llm.lm_scoring import score_cross_entropy
+from linewatch.llm.lm_scoring import score_word_cross_entropy
 from linewatch.llm.ngram_join import similar_groups
 from linewatch.llm.packing import pack
 from linewatch.llm.quality import score_quality
@@ -57,7 +57,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of good quality, but for a quarter of the folds that stays unseen."""
     good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold(4) != 2))
-    return score_cross_entropy(table(spark, sf_dir, "documents"), good)
+    return score_word_cross_entropy(table(spark, sf_dir, "documents"), good)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linewatch.llm.ann import nearest
 from linewatch.llm.common import fold
-from linewatch.llm.lm_scoring import score_cross_entropy
+from linewatch.llm.lm_scoring import score_cross_entropy, score_word_cross_entropy
 from linewatch.llm.quality import STATISTICS, QuadraticDiscriminant, document_statistics, fit_logistic, score_quality
 from linewatch.llm.toxicity import FEATURES, Weights, score_toxicity, text_features
 
@@ -121,6 +121,55 @@ def test_cross_entropy_tells_quality(spark):
     assert mean[1] < mean[0]
 
 
+def plain_word_losses(texts, all_texts, text, prior=8.0):
+    """Word bigram losses by counting dictionaries."""
+    sides = [[t.split() for t in x if t.split()] for x in (texts, all_texts)]
+    one, every = (Counter(w for t in x for w in [*t, None]) for x in sides)
+    two = Counter(g for t in sides[0] for g in zip([None, *t], [*t, None]))
+    words, out = text.split(), []
+    for a, b in zip([None, *words], [*words, None]):
+        low = (one[b] + prior * every[b] / sum(every.values())) / (sum(one.values()) + prior)
+        out.append(-math.log((two[a, b] + prior * low) / (one[a] + prior)))
+    return sum(out) / len(out)
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 20, 20])
+def test_word_cross_entropy_equals_plain_models(spark, nothing, chunk_bytes):
+    docs = [(0, "the cat sat on the mat"), (1, "the dog sat"), (2, "zzzz qqq é"), (3, ""), (4, None), (5, " \n"), (1, "the dog sat"), (None, "no cat"), (7, "the mat sat on the cat")]
+    target = spark.createDataFrame([(0,), (1,), (1,), (None,)], "doc_id long")
+    rows = score_word_cross_entropy(spark.createDataFrame(docs, "doc_id long, text string"), target, chunk_bytes).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in docs)
+    all_texts, good = [t or "" for _, t in docs], [t for i, t in docs if i in (0, 1)]
+    for r in rows:
+        text = dict(docs)[r.doc_id] or ""
+        assert r.n_tokens == len(text.split())
+        want = (plain_word_losses(good, all_texts, text), plain_word_losses(all_texts, all_texts, text)) if text.split() else (0.0, 0.0)
+        assert (r.target_loss, r.background_loss) == (pytest.approx(want[0]), pytest.approx(want[1]))
+        assert r.score == pytest.approx(r.target_loss - r.background_loss)
+    assert score_word_cross_entropy(nothing, target).count() == 0
+
+
+def test_registered_scoring_tells_word_order(spark, tmp_path):
+    """Texts of the same words and the same byte triples differ by the pairs of words."""
+    from linewatch.llm.queries import op8_lm_scoring
+
+    docs = [(i, "pabcp pdefp pabcp pdefp" if i % 2 else "pabcp pabcp pdefp pdefp") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = op8_lm_scoring(spark, str(tmp_path)).collect()
+    assert max(r.score for r in rows if r.doc_id % 2) < 0 < min(r.score for r in rows if r.doc_id % 2 == 0)
+    assert {r.n_tokens for r in rows} == {4}
+
+
+def test_word_cross_entropy_tells_quality(spark):
+    from linewatch.llm.queries import op8_lm_scoring
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = op8_lm_scoring(spark, SF).join(labels.where(fold(4) == 2), "doc_id").groupBy("quality").agg(F.avg("score").alias("s")).collect()
+    mean = {r.quality: r.s for r in got}
+    assert mean[1] < mean[0]
+
+
 def brute_nearest(rows, queries, k):
     out = {}
     for q, x in queries:
