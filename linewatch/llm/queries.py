@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linewatch.llm.ann import nearest
 from linewatch.llm.bpe import bpe_digests
 from linewatch.llm.common import fold
+from linewatch.llm.fill_in_middle import fill_in_middle_digests
 from linewatch.llm.fingerprints import edited_fingerprints
 from linewatch.llm.lm_scoring import score_word_cross_entropy
 from linewatch.llm.ngram_join import similar_groups
@@ -69,6 +70,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 #: White space that separates words, and the words of a text, in DuckDB.
