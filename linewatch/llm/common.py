@@ -82,6 +82,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", table_column: str | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and the number ``n`` of rows that share it.
+
+    No task gets more than about a thousandth of the rows of one key: a key with more is dealt over as many parts as that
+    takes, by the column ``spread``, and its row of ``table`` is copied to each. The keys to be dealt go by broadcast: as
+    each holds a thousandth of all rows, there are fewer than 1000. ``n`` is dropped unless named in ``table_column``.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    most = total // 1000 + 1
+    parts = F.ceil(F.col("n") / most)
+    hot = table.where(F.col("n") > most).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0))).drop("_parts")
+    copied = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    joined = dealt.join(copied, [*keys, "_part"], how).drop("_part")
+    return joined if table_column == "n" else joined.drop("n")
+
+
 def task_partitions(spark: SparkSession) -> int:
     """Partitions for a small table: one for each core."""
     return max(1, spark.sparkContext.defaultParallelism)
