@@ -1,0 +1,162 @@
+"""Conversation repair against a plain dynamic program over whole conversations that carries audits as strings."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from linewatch.llm.conversation_repair import damaged, least_paths, repair_digests, repaired_rows
+from linewatch.llm.queries import op13_conversation_repair
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "conv_id long, turn long, role string, text string"
+STEP = {"": "u", "s": "u", "u": "a", "a": "u"}
+
+
+def _damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = (" " if x is None else x for x in (role, text))
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def _plain(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of one conversation's rows after damage."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+    faults, seen = [], set()
+    for _, _, role, text in rows:
+        visible = re.findall(r"[^\x20\x09-\x0D]", text)
+        faults.append("blank" if not visible else "duplicate" if (role, text) in seen else "truncated" if visible[-1] not in ".!?" else None)
+        seen.add((role, text))
+    far = (1 << 60, "", ())
+    best = {"": (0, "", ()), "a": (0, "", ()), "u": far, "s": far}
+
+    def with_inserts(base):
+        add = lambda s, to: (base[to][0] + 5, "I" + base[to][1], (("user" if STEP[s] == "u" else "assistant", ""), *base[to][2]))
+        out = dict(base)
+        u, a = min(base["u"], add("u", "a")), min(base["a"], add("a", "u"))
+        out["u"], out["a"] = u, a
+        base = {**base, "u": u, "a": a}
+        for s in ("", "s"):
+            out[s] = min(base[s], add(s, "u"))
+        return out
+
+    best = with_inserts(best)
+    for (_, _, role, text), fault in zip(reversed(rows), reversed(faults)):
+        now = {}
+        for s in ("", "s", "u", "a"):
+            ways = [(best[s][0] + 2, "D" + best[s][1], best[s][2])]
+            if fault not in ("blank", "duplicate"):
+                more = 5 if fault == "truncated" else 0
+                to = STEP[s]
+                ways.append((best[to][0] + 1 + more, "R" + best[to][1], (("user" if to == "u" else "assistant", text), *best[to][2])))
+                if role[:1] == to or (s == "" and role[:1] == "s"):
+                    ways.append((best[role[0]][0] + more, "K" + best[role[0]][1], ((role, text), *best[role[0]][2])))
+            now[s] = min(ways)
+        best = with_inserts(now)
+    turns = [r[1] for r in rows if r[1] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum((a[2][:1] + b[2][:1]) not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    cost, audit, kept = best[""]
+    sha = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest()
+    return (gaps, *(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha), kept
+
+
+def _expected(rows, after):
+    return {conv: _plain([r for r in after if r[0] == conv])[0] for conv in {r[0] for r in rows}}
+
+
+def _got(df):
+    rows = [tuple(r) for r in df.collect()]
+    assert len({r[0] for r in rows}) == len(rows)
+    return {r[0]: r[1:] for r in rows}
+
+
+def _random(seed, convs, most):
+    rng = random.Random(seed)
+    texts = ["", " \t", "Yes.", "No!", "cut off", "why? ", "é.\n", "a.b", None]
+    roles = ["user", "assistant", "system", "tool", "", None, "User", "agent"]
+    rows = []
+    for c in range(convs):
+        n = rng.randrange(1, most)
+        for k in range(n):
+            role = ("user", "assistant")[k % 2] if rng.random() < 0.6 else rng.choice(roles)
+            turn = None if rng.random() < 0.05 else k + rng.randrange(0, 3)
+            rows.append((None if c == 3 else c, turn, role, f"t{k}." if rng.random() < 0.4 else rng.choice(texts)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_query_equals_plain_program(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert _got(op13_conversation_repair(spark, SF)) == _expected(rows, _damage(rows))
+
+
+@pytest.mark.parametrize(("most", "chunk"), [(9, 2048), (9, 1), (40, 3), (40, 16)])
+def test_random_conversations_in_chunks(spark, most, chunk):
+    rows = _random(most + chunk, 60, most)
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert _got(repair_digests(damaged(table), table, chunk_rows=chunk)) == _expected(rows, _damage(rows))
+
+
+def test_repaired_rows_have_legal_roles(spark):
+    rows = _random(7, 40, 20)
+    got = {}
+    for r in sorted(repaired_rows(spark.createDataFrame(rows, SCHEMA), chunk_rows=4).collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0, r.position)):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    for conv in {r[0] for r in rows}:
+        own = [(c, t, " " if role is None else role, " " if text is None else text) for c, t, role, text in rows if c == conv]
+        assert tuple(got.get(conv, ())) == _plain(own)[1]
+        assert re.fullmatch("(s?(ua)+)?", "".join(r[:1] for r, _ in got.get(conv, [])))
+
+
+def test_one_long_conversation(spark):
+    """Half of all rows in one conversation, over many chunks and tasks."""
+    rng = random.Random(11)
+    rows = [(1, k, rng.choice(["user", "assistant", "system"]), rng.choice(["Fine.", f"row {k}.", "cut", ""])) for k in range(3000)]
+    rows += [(c, k, ("user", "assistant")[k % 2], "Same.") for c in range(2, 600) for k in range(5)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    assert _got(repair_digests(damaged(table), table, chunk_rows=64)) == _expected(rows, _damage(rows))
+
+
+def test_extremes(spark):
+    """Turns at the ends of the range, conversations of which nothing is left, and columns with the operator's own names."""
+    gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = [(gone, 0, "user", "Hello."), (5000, -(1 << 63), "user", "a."), (5000, (1 << 63) - 1, "assistant", "b."), (6000, None, "user", "x" * 200_000 + ".")]
+    table = spark.createDataFrame([(*r, "c", 1, True) for r in rows], SCHEMA + ", codes string, chunk int, last boolean")
+    got = _got(repair_digests(damaged(table), table))
+    expected = _expected(rows, _damage(rows))
+    expected[5000] = (min(expected[5000][0], (1 << 63) - 1), *expected[5000][1:])
+    assert got == expected
+    assert got[gone] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_empty_table(spark):
+    table = spark.createDataFrame([], SCHEMA)
+    assert repair_digests(damaged(table), table).collect() == []
+    assert repaired_rows(table).collect() == []
+
+
+def test_ranks_select_among_equal_letters():
+    """A graph where one letter leads to several nodes: what follows decides, however far away."""
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(1, 14)
+        arcs = [(i, rng.randrange(1, 4), j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5]
+
+        def least(v):
+            return min(([x, *least(j)] for i, x, j in arcs if i == v), default=[])
+
+        source, letter, target = (np.array(x, np.int64) for x in zip(*arcs)) if arcs else (np.empty(0, np.int64),) * 3
+        letters, ends, reached = least_paths(n, source, letter, target, np.arange(n))
+        got = [letters[a:z].tolist() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        assert got == [least(v) for v in range(n)]
+        assert all(not any(i == e for i, _, _ in arcs) for e in reached.tolist())
