@@ -365,6 +365,10 @@ SELECT fail_count, station_name, parameter_name, """ + BY_LABEL + " FROM merged"
     "hourly_pareto": VIEWS + "," + _counts(B1) + """
 SELECT station_name, fail_count, """ + BY_STATION + " FROM pareto",
     "hourly_origin": VIEWS + "," + ORIGIN + """
+SELECT fail_count, station_name, origin_station, """ + BY_ORIGIN + " FROM origin",
+    "hourly_origin_filtered": VIEWS + "," + ORIGIN + """
+SELECT fail_count, station_name, origin_station, """ + BY_ORIGIN + " FROM origin",
+    "hourly_origin_kept": VIEWS + "," + ORIGIN + """
 SELECT fail_count, station_name, origin_station, """ + BY_ORIGIN + " FROM origin",
     "shift_summary": _sections(B8) + """
 SELECT section, position, fail_count, station_name, parameter_name, origin_station FROM sections""",

@@ -7,7 +7,10 @@ tables. The DuckDB statements that must give the same rows are in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +19,13 @@ from linewatch.functions import as_number, bracket_tag, hour_text, local_time, p
 from linewatch.operators import alarms as al
 from linewatch.operators import counts as ct
 from linewatch.operators.limits import out_of_spec, rules_frame
+from linewatch.operators.origins import OriginStore, any_origin
 from linewatch.operators.totals import override_totals, station_totals
 from linewatch.operators.trace import trace_origin
 from linewatch.plans import reports as rp
 from linewatch.plans.checks import JobCheck, LinePlan, LineTables, TraceCheck
 from linewatch.plans.presets import FIXTURE_AS_OF, FIXTURE_FACT_SINCE, FIXTURE_TZ, fixture_plan
+from linewatch.session import checkpoint_root
 from linewatch.sources import fixtures as fx
 from linewatch.streaming import fail_counts_stream, run_available
 
@@ -188,6 +193,28 @@ def hourly_origin_window(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def hourly_origin_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The origin report with the run-time filter of failing units' children on the origin side, as for a large history."""
+    return rp.origin_trace_report(replace(_tables(spark, d), trace_filter=True), fixture_plan(), AS_OF, 1)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a kept table that a query builds from the given tables."""
+    return f"{checkpoint_root(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def hourly_origin_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The origin report over the kept origin table, after a run over all days, a repeated one, and a fold of the past month."""
+    day = F.lit("2023-12-30 06:30:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("product_serial") % 5).cast("int"))
+    made = fx.child_records(spark, d).withColumn("recorded_at", day)
+    plan, store = fixture_plan(), OriginStore(_scratch(spark, "origins"), buckets=4, serial_type="long")
+    origin = any_origin([t.origin_predicate() for t in plan.traces])
+    store.update(made, origin, date(2023, 12, 30), date(2024, 1, 3))
+    store.update(made, origin, date(2024, 1, 2), date(2024, 1, 3))
+    store.fold(spark, date(2024, 1, 3))
+    return rp.origin_trace_report(store.tables(_tables(spark, d)), plan, AS_OF, 1)
+
+
 def trace_out_of_spec(spark: SparkSession, d: str) -> DataFrame:
     """The trace of units outside a limit set."""
     t = _tables(spark, d)
@@ -315,6 +342,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_existing": trace_existing,
     "trace_out_of_spec": trace_out_of_spec,
     "hourly_origin_window": hourly_origin_window,
+    "hourly_origin_filtered": hourly_origin_filtered,
+    "hourly_origin_kept": hourly_origin_kept,
     "override_station_totals": override_station_totals,
     "job_fail_counts": job_fail_counts,
     "param_fail_counts": param_fail_counts,

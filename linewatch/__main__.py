@@ -18,8 +18,9 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 
 from linewatch.defaults import LINE_TZ
+from linewatch.operators.origins import OriginStore
 from linewatch.plans.checks import LineTables
-from linewatch.plans.job import run_report, write_run
+from linewatch.plans.job import refresh_origins, run_report, write_run
 from linewatch.plans.presets import line_plan
 from linewatch.session import size_shuffles
 from linewatch.sources.tables import load_table
@@ -46,6 +47,9 @@ def main(argv: list[str] | None = None) -> list[str]:
     p.add_argument("--force-shift", action="store_true", help="also build the shift summary")
     p.add_argument("--exact-window", action="store_true", help="count rows only up to the last full hour")
     p.add_argument("--date-partitions", default=None, help="e.g. records=recorded_date,alarms=activated_date")
+    p.add_argument("--origins", default=None, help="folder of the kept origin table; traces read it in place of the records' history")
+    p.add_argument("--origin-days", type=int, default=2, help="days up to the run's that are brought into it before the report (0: none)")
+    p.add_argument("--origin-buckets", type=int, default=64, help="its hash buckets per day and station, a power of two")
     p.add_argument("--out", required=True)
     p.add_argument("--format", default="json")
     p.add_argument("--as-lines", action="store_true", help="one JSON text line per report row")
@@ -64,9 +68,17 @@ def main(argv: list[str] | None = None) -> list[str]:
         genealogy=load_table(spark, args.genealogy),
         date_partitions=_partitions(args.date_partitions),
     )
+    plan = line_plan(args.line, shop=args.shop, local_tz=args.tz, line_like=args.line_like)
+    store = None
+    if args.origins:
+        # the plan's origin tests read the line and, with --shop, the shop
+        extra = "line_name string" + (", shop_name string" if args.shop else "")
+        store = OriginStore(args.origins, args.origin_buckets, extra)
+        if args.origin_days and not args.explain:
+            refresh_origins(store, tables, plan, as_of, args.origin_days)
     run = run_report(
-        tables,
-        line_plan(args.line, shop=args.shop, local_tz=args.tz, line_like=args.line_like),
+        tables if store is None else store.tables(tables),
+        plan,
         as_of,
         shift_plan=line_plan(args.line, shop=args.shop, shift=True, local_tz=args.tz, line_like=args.line_like),
         hours=args.hours,

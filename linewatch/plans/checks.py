@@ -37,6 +37,9 @@ class LineTables:
     ``column_names`` says how a table names the columns that the checks read
     (``{"alarms": {"alarm_source": "source_code"}}``, canonical to own name).
     Alarms that have the names of the original report are recognized without it.
+
+    ``child_buckets``: ``children`` is partitioned by ``serial_bucket`` of so many buckets (see ``OriginStore``).
+    ``trace_filter``: whether traces filter ``children`` at run time by the failing units' children (None: by its size).
     """
 
     records: DataFrame
@@ -47,6 +50,8 @@ class LineTables:
     failures: DataFrame | None = None
     date_partitions: dict = field(default_factory=dict)
     column_names: dict = field(default_factory=dict)
+    child_buckets: int | None = None
+    trace_filter: bool | None = None
 
     def __post_init__(self) -> None:
         own = {"alarms": {c: o for c, o in ORIGINAL_ALARM_COLUMNS.items() if c not in self.alarms.columns and o in self.alarms.columns}}
@@ -306,7 +311,7 @@ class TraceCheck:
         return t.child_rows().where(self.origin_predicate())
 
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
-        return trace_origin(self.origins(t), t.genealogy, self.failing(t, bound))
+        return trace_origin(self.origins(t), t.genealogy, self.failing(t, bound), buckets=t.child_buckets, runtime_filter=t.trace_filter)
 
 
 @dataclass(frozen=True)

@@ -10,13 +10,14 @@ when to run it.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewatch.functions.time import hour_label, is_shift_end, window_start
+from linewatch.operators.origins import OriginStore, any_origin
 from linewatch.plans.checks import LinePlan, LineTables
 from linewatch.plans.reports import report_json, report_sections
 from linewatch.sources.sinks import write_report
@@ -36,6 +37,20 @@ def local_wall_clock(instant: datetime, tz: str) -> datetime:
     return utc.astimezone(ZoneInfo(tz)).replace(tzinfo=None)
 
 
+def refresh_origins(store: OriginStore, tables: LineTables, plan: LinePlan, as_of: datetime, days: int = 2) -> None:
+    """Brings the last ``days`` days of origin records (up to the day of ``as_of``, in UTC) into the kept table, and folds past months.
+
+    Each day is replaced as a whole: run it as often as wanted, with as many days as records can be late.
+    """
+    if not plan.traces:
+        return
+    today = local_wall_clock(as_of, plan.local_tz).date()
+    first = today - timedelta(days=days - 1)
+    records = tables.bounded("records", datetime.combine(first, datetime.min.time()))
+    store.update(records, any_origin([t.origin_predicate() for t in plan.traces]), first, today)
+    store.fold(records.sparkSession, first)
+
+
 def run_report(
     tables: LineTables,
     plan: LinePlan,

@@ -193,7 +193,7 @@ def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hou
     fused = [(i, t) for i, t in enumerate(plan.traces) if t.fusable()]
     variants = [(f"t{i}", t.fail_predicate(failures, bound), t.origin_predicate()) for i, t in fused]
     genealogy = tables.genealogy if plan.genealogy_where is None else tables.genealogy.where(plan.genealogy_where)
-    parts = [trace_origins(children, genealogy, failures, variants).drop("_trace")] if variants else []
+    parts = [trace_origins(children, genealogy, failures, variants, buckets=tables.child_buckets, runtime_filter=tables.trace_filter).drop("_trace")] if variants else []
     scoped = replace(tables, genealogy=genealogy)
     return origin_report(parts + [t.frame(scoped, bound, plan.local_tz) for t in plan.traces if not t.fusable()])
 
