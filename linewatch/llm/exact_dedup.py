@@ -32,14 +32,16 @@ def blocks_of(data: Column, size: int) -> Column:
     return F.transform(starts, lambda s: F.substring(data, s, F.lit(size)))
 
 
-def sorted_names(rows: DataFrame, keys: list[str], label: str) -> tuple[DataFrame, str]:
+def sorted_names(rows: DataFrame, keys: list[str], label: str, ahead: list[Column] | None = None) -> tuple[DataFrame, str]:
     """A stored table (keys, n, name) of the key values that more than one row has, named by their places in a distributed sort.
 
-    Written before it is used: a sort that ran again could deal its ranges, and with them the numbers, in another way.
+    The order is that of ``keys``, after the short columns ``ahead`` if given: the sort's ranges are dealt by these, and Spark
+    samples what it deals by on the driver, which long keys are not for. Written before it is used: a sort that ran again
+    could deal its ranges, and with them the numbers, in another way.
     """
     repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    names = repeated.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
-    return stored(names, label)
+    dealt = repeated.repartitionByRange(*(ahead or keys)).sortWithinPartitions(*(ahead or []), *keys)
+    return stored(dealt.withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def sequences(named: DataFrame, level: int) -> tuple[DataFrame, str]:
@@ -84,7 +86,9 @@ def exact_copies(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n_chars"), without_space(F.col("text")).cast("binary").alias("normal"))
-    names, names_path = sorted_names(normal.select(F.explode(blocks_of(F.col("normal"), block_bytes)).alias("block")), ["block"], "copies-names0")
+    blocks = normal.select(F.explode(blocks_of(F.col("normal"), block_bytes)).alias("block"))
+    # ranges by the first bytes, and by a hash where many blocks begin alike; the order is total by the block itself
+    names, names_path = sorted_names(blocks, ["block"], "copies-names0", [F.substring("block", 1, 16), F.xxhash64("block")])
     parts = F.greatest(F.ceil(F.octet_length("normal") / block_bytes), F.lit(1)).cast("int")
     rows = (
         normal.withColumns({"rid": F.monotonically_increasing_id(), "parts": parts, "text_sha256": F.sha2("normal", 256)})
