@@ -421,7 +421,9 @@ def _repaired(rows: DataFrame, ids: DataFrame, chunk_rows: int, as_rows: bool, k
     drop_stored(spark, again_path)
     falling = steps.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("chunk"))
     ends = falling.mapInArrow(_ends, "conv_id long, chunk long, codes binary, tallies array<long>, ends array<long>, last boolean")
-    paths, _ = stored(ends.repartition("chunk").mapInArrow(_paths, PATHS), "repair-paths")  # a long conversation's chunks are dealt again
+    # A long conversation's chunks are dealt again. A code is one byte and costs much work: not to be gathered by bytes.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths, _ = stored(ends.repartition(tasks, "chunk").mapInArrow(_paths, PATHS), "repair-paths")
     drop_stored(spark, steps_path)
     parts = chunks.select("conv_id", "chunk", F.lit(1).alias("kind"), "roles", "texts", "low", "high", "turns")
     known = paths.withColumn("kind", F.lit(0))
