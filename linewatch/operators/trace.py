@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewatch.operators.counts import COUNT
+from linewatch.sources.files import estimated_bytes
 
 
 #: Bits of the set of child serials that is broadcast to the origin side: at most this many / 64 rows, some 25 MB.
@@ -60,15 +61,9 @@ def _filtered(origin: DataFrame, hit: DataFrame, buckets: int | None) -> tuple[D
     return passed.drop("_word", "_bits", "_bucket"), dealt
 
 
-def _large(df: DataFrame) -> bool:
-    """Whether Spark's estimate of ``df``, from file sizes, is over ``FILTER_FROM_BYTES``; reads no data."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) >= FILTER_FROM_BYTES
-
-
 def _pruned(children: DataFrame, origin: DataFrame, hit: DataFrame, buckets: int | None, runtime_filter: bool | None) -> tuple[DataFrame, DataFrame]:
     if runtime_filter is None:
-        runtime_filter = buckets is not None or _large(children)
+        runtime_filter = buckets is not None or estimated_bytes(children) >= FILTER_FROM_BYTES
     return _filtered(origin, hit, buckets) if runtime_filter else (origin.drop("serial_bucket"), hit)
 
 

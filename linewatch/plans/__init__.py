@@ -10,6 +10,7 @@ from linewatch.plans.checks import (
     TraceCheck,
 )
 from linewatch.plans.reports import (
+    Report,
     combine_reports,
     fail_counts,
     hourly_report,
@@ -19,14 +20,15 @@ from linewatch.plans.reports import (
     pareto,
     report_json,
     report_sections,
+    run_sections,
     shift_summary,
     stacked_counts,
 )
-from linewatch.plans.job import RunResult, run_report, write_run
+from linewatch.plans.job import RunResult, refresh_origins, run_report, write_run
 
 __all__ = [
     "AlarmCountCheck", "AlarmReportCheck", "JobCheck", "LinePlan", "LineTables", "NokCheck", "ParamCheck",
     "SpecCheck", "TraceCheck", "combine_reports", "fail_counts", "hourly_report", "merge_labels",
     "origin_report", "origin_trace_report", "pareto", "report_json", "report_sections", "shift_summary",
-    "stacked_counts", "RunResult", "run_report", "write_run",
+    "stacked_counts", "Report", "RunResult", "refresh_origins", "run_report", "run_sections", "write_run",
 ]

@@ -117,6 +117,9 @@ class JobCheck:
     where: str | None = None
     since: datetime | None = None
 
+    def predicate(self, jobs: DataFrame, bound: datetime) -> Column:
+        return ct.job_fail_filter(jobs, self.since or bound, self.station, self.station_like, self.ok_status, _where(self.where))
+
     def frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
         return ct.job_fail_counts(
             t.bounded("jobs", self.since or bound), self.since or bound, self.station, self.station_like, self.ok_status, self.label_col, _where(self.where)
@@ -228,11 +231,10 @@ class AlarmReportCheck:
             self.priorities, self.gap_seconds, self.marker, self.source_tz, local_tz,
         )
 
-    def debounce_frame(self, t: LineTables, bound: datetime, local_tz: str) -> DataFrame:
-        """The debounced count alone (its window needs its own plan)."""
-        scoped = al.alarm_scope(t.bounded("alarms", bound), bound, self.source_like, self.priorities, self.source_tz, local_tz)
-        kept = al.debounce(scoped, self.gap_seconds, keep=al.COUNTED).where(F.col(al.DESCRIPTION).ilike(self.debounce_match))
-        return al.alarm_total(kept, self.station, self.label)
+    def debounced(self, alarms: DataFrame, bound: datetime, local_tz: str) -> tuple[Column, int, str, str]:
+        """The debounced count as ``(scope test, gap seconds, description pattern, label)`` for a fused alarm pass."""
+        scope = al.alarm_scope_filter(alarms, bound, self.source_like, self.priorities, self.source_tz, local_tz)
+        return scope, self.gap_seconds, self.debounce_match, self.label
 
     def alarm_parts(self, alarms: DataFrame, bound: datetime, local_tz: str) -> list[tuple[Column, Column, str, str]]:
         """The tag counts as ``(row test, label, station, label column)`` for a fused alarm pass."""

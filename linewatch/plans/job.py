@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
@@ -19,16 +20,22 @@ from pyspark.sql import functions as F
 from linewatch.functions.time import hour_label, is_shift_end, window_start
 from linewatch.operators.origins import OriginStore, any_origin
 from linewatch.plans.checks import LinePlan, LineTables
-from linewatch.plans.reports import report_json, report_sections
-from linewatch.sources.sinks import write_report
+from linewatch.plans.reports import Report, report_json, report_sections, run_sections
+from linewatch.sources.sinks import publish
 
 
 @dataclass
 class RunResult:
+    """A run's reports. ``sections`` holds both in one frame (``report`` is ``hourly`` or ``shift``), from one read of each table."""
+
     hourly: DataFrame
     shift: DataFrame | None
     hourly_window: str
     shift_window: str | None
+    sections: DataFrame
+
+    def windows(self) -> dict[str, str]:
+        return {"hourly": self.hourly_window} | ({} if self.shift_window is None else {"shift": self.shift_window})
 
 
 def local_wall_clock(instant: datetime, tz: str) -> datetime:
@@ -73,25 +80,26 @@ def run_report(
         tables = tables.until(local.replace(minute=0, second=0, microsecond=0), plan.local_tz)
     window = f"{hour_label(window_start(local, hours))} to {local:%H:00}"
     hourly = report_sections(tables, plan, local, hours).withColumn("window", F.lit(window))
-    shift = shift_window = None
+    reports, shift, shift_window = [Report("hourly", plan, hours)], None, None
     if force_shift or is_shift_end(as_of, plan.local_tz, plan.shift_end_hours):
         shift_window = f"{hour_label(window_start(local, shift_hours))} to {local:%Y-%m-%d %H:00}"
         shift = report_sections(tables, shift_plan or plan, local, shift_hours).withColumn("window", F.lit(shift_window))
-    return RunResult(hourly, shift, window, shift_window)
+        reports.append(Report("shift", shift_plan or plan, shift_hours))
+    result = RunResult(hourly, shift, window, shift_window, run_sections(tables, reports, local))
+    label = reduce(lambda a, x: a.when(F.col("report") == x[0], F.lit(x[1])), result.windows().items(), F.when(F.lit(False), F.lit(None).cast("string")))
+    result.sections = result.sections.withColumn("window", label)
+    return result
 
 
-def write_run(result: RunResult, out_dir: str, fmt: str = "json", as_lines: bool = False) -> list[str]:
-    """Write the sections of a run under ``out_dir`` (``hourly/`` and ``shift/``); returns the paths.
+def write_run(result: RunResult, out_dir: str, fmt: str = "json", as_lines: bool = False, keep: int = 3) -> list[str]:
+    """Write and publish the sections of a run under ``out_dir``; returns the paths of its reports (``hourly``, ``shift``).
 
-    ``as_lines`` writes one JSON text line per report row (``report_json``)
-    instead of the section columns.
+    One job writes both reports, so each table is read once. They become visible together (``publish``); readers take
+    ``published_report``. ``as_lines`` writes one JSON text line per report row (``report_json``) instead of the section
+    columns. The last ``keep`` published runs stay.
     """
-    paths = []
-    for name, df in (("hourly", result.hourly), ("shift", result.shift)):
-        if df is None:
-            continue
-        out = report_json(df).withColumn("window", F.lit(result.hourly_window if name == "hourly" else result.shift_window)) if as_lines else df
-        path = f"{out_dir.rstrip('/')}/{name}"
-        write_report(out, path, fmt=fmt)
-        paths.append(path)
-    return paths
+    sections = result.sections
+    if as_lines:
+        line = report_json(sections.withColumnRenamed("report", "_report"), keep=("_report", "window"))
+        sections = line.withColumnRenamed("_report", "report")
+    return publish(sections, out_dir, "report", list(result.windows()), fmt=fmt, keep=keep)

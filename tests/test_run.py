@@ -1,0 +1,171 @@
+"""One pass for both reports of a run, alarms read once, slices by number, and publication of runs."""
+
+import random
+import re
+import tempfile
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks.queries import QUERIES, _tables
+from helpers import T0, alarms
+from linewatch.operators import alarms as al
+from linewatch.plans.job import run_report, write_run
+from linewatch.plans.presets import FIXTURE_AS_OF, fixture_plan, line_plan
+from linewatch.plans.reports import Report, report_sections, run_sections
+from linewatch.sources import publish, published, published_report
+from test_job import _production_tables
+from test_plans import _final_plan
+
+SF = "/root/testdata/sf0.001"
+FIELDS = ["section", "position", "fail_count", "station_name", "parameter_name", "origin_station"]
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def _scans(plan):
+    return Counter(p.rsplit("/", 1)[-1] for p in re.findall(r"FileScan parquet [^\n]*?Location: InMemoryFileIndex\(1 paths\)\[file:([^\],]+)", plan.split("Initial Plan")[0]))
+
+
+def test_reports_of_a_run_equal_single_reports(spark):
+    t, plan = _tables(spark, SF), fixture_plan()
+    both = run_sections(t, [Report("hourly", plan, 1), Report("shift", plan, 8), Report("days", plan, 240)], FIXTURE_AS_OF)
+    for name, hours in (("hourly", 1), ("shift", 8), ("days", 240)):
+        assert _rows(both.where(F.col("report") == name).select(FIELDS)) == _rows(report_sections(t, plan, FIXTURE_AS_OF, hours).select(FIELDS))
+    order = [r.report for r in both.collect()]
+    assert order == sorted(order, key=["hourly", "shift", "days"].index)
+    with pytest.raises(ValueError):
+        run_sections(t, [Report("a", plan, 1), Report("a", plan, 8)], FIXTURE_AS_OF)
+    with pytest.raises(ValueError):
+        run_sections(t, [Report("a:b", plan, 1)], FIXTURE_AS_OF)
+
+
+def test_shift_end_reads_each_table_once(spark):
+    t, folder = _production_tables(spark), tempfile.mkdtemp(prefix="lw-")  # plans cut long paths short
+    for name in ("records", "alarms", "jobs", "genealogy"):
+        getattr(t, name).write.parquet(f"{folder}/{name}")
+        setattr(t, name, spark.read.parquet(f"{folder}/{name}"))
+    run = run_report(t, line_plan("L1", shop="P1"), datetime(2024, 1, 15, 21, 10), shift_plan=line_plan("L1", shop="P1", shift=True))
+    assert run.shift is not None
+    scans = _scans(_final_plan(run.sections))
+    # the records are read for the counts, for the traces' failing units, and for their origins
+    assert scans == {"records": 3, "alarms": 1, "jobs": 1, "genealogy": 1}, scans
+    for name, one in (("hourly", run.hourly), ("shift", run.shift)):
+        assert _rows(run.sections.where(F.col("report") == name).select(*FIELDS, "window")) == _rows(one.select(*FIELDS, "window"))
+
+
+def test_alarm_report_reads_alarms_once(spark):
+    assert _scans(_final_plan(QUERIES["alarm_report"](spark, SF))) == {"events.parquet": 1}
+
+
+def _random_alarms(rng, n, span):
+    rows = []
+    for _ in range(n):
+        start = None if rng.random() < 0.02 else T0 + timedelta(seconds=rng.randrange(span), microseconds=rng.choice([0, 0, 500]))
+        end = None if start is None or rng.random() < 0.1 else start + timedelta(seconds=rng.randrange(120))
+        rows.append((rng.choice(["A", "A", "A", "B", None]), start, end, rng.choice(["high", "low"]), rng.choice(["Assembly error", "Gripper Key [1]", "Gripper Key [2]", "x"])))
+    return rows
+
+
+@pytest.mark.parametrize("slice_rows", [0, 1, 7, 100_000])
+def test_slices_by_number_equal_plain_lag(spark, slice_rows):
+    from pyspark.sql import Window
+
+    df = alarms(spark, _random_alarms(random.Random(slice_rows), 600, 3 * 3600))
+    plain = F.lag("cleared_at").over(Window.partitionBy("alarm_source").orderBy("activated_at", "cleared_at", "alarm_description"))
+    want = _rows(df.withColumn("prev_cleared_at", plain))
+    assert _rows(al.with_previous_end(df, slice_rows=slice_rows)) == want
+
+
+def test_a_storm_is_spread(spark):
+    """5,000 alarms of one source in one hour: no slice holds more than the limit and one second's alarms."""
+    rows = [("A", T0 + timedelta(milliseconds=700 * i), T0 + timedelta(milliseconds=700 * i + 100), "high", "x") for i in range(5000)]
+    rows += [("B", T0 + timedelta(minutes=i), None, "high", "x") for i in range(100)]
+    df = alarms(spark, rows)
+    out = al.with_previous_end(df, slice_rows=500)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+    keyed = df.withColumns({"_source": F.col("alarm_source"), "_second": F.floor(al._micros(df, "activated_at") / 1_000_000)}).withColumn("_slice", F.floor(F.col("_second") / 3600))
+    sizes = [r["count"] for r in al._cut_by_number(keyed, ["_source", "_slice"], 500).groupBy("_source", "_slice", "_part").count().collect()]
+    assert sum(sizes) == 5100 and max(sizes) <= 502 and len(sizes) >= 10
+
+
+def test_large_alarms_are_cut_by_number(spark, monkeypatch):
+    monkeypatch.setattr(al, "SLICE_FROM_BYTES", 1)
+    monkeypatch.setattr(al, "SLICE_ROWS", 3)
+    df = alarms(spark, _random_alarms(random.Random(5), 300, 3600))
+    cut = al.debounce(df)
+    assert "_cuts" in cut._jdf.queryExecution().analyzed().toString()
+    assert _rows(cut) == _rows(al.debounce(df, slice_rows=0))
+
+
+def test_alarm_hits_equal_separate_counts(spark):
+    df = alarms(spark, _random_alarms(random.Random(9), 500, 7200))
+    high, source_a = F.col("alarm_priority") == "high", F.col("alarm_source") == "A"
+    got = {(r._check, r._label): r.fail_count for r in al.alarm_hits(
+        df,
+        [("d1", high, 30, "%assembly%", "one"), ("d2", high & source_a, 5, "%gripper%", "two"), ("d3", F.lit(False), 30, "%", "none")],
+        [("p1", high, F.col("alarm_description")), ("p2", source_a, F.lit("all A"))],
+    ).collect()}
+    want = {("d1", "one"): al.debounce(df.where(high)).where(F.col("alarm_description").ilike("%assembly%")).count(),
+            ("d2", "two"): al.debounce(df.where(high & source_a), 5).where(F.col("alarm_description").ilike("%gripper%")).count(), ("d3", "none"): 0,
+            ("p2", "all A"): df.where(source_a).count()}
+    want |= {("p1", r.alarm_description): r["count"] for r in df.where(high).groupBy("alarm_description").count().collect()}
+    assert got == want
+
+
+def _run(spark, hours=1):
+    return run_report(_tables(spark, SF), fixture_plan(), datetime(2024, 1, 15, 21, 10), hours=hours)
+
+
+def test_published_runs(spark, tmp_path):
+    out = str(tmp_path / "out")
+    assert published(spark, out) is None and published_report(spark, out, "hourly") is None
+    first = _run(spark)
+    paths = write_run(first, out)
+    assert [p.rsplit("/", 1)[-1] for p in paths] == ["hourly", "shift"]
+    assert published_report(spark, out, "shift").count() == first.shift.count()
+    assert published_report(spark, out, "hourly").count() == first.hourly.count()
+    for _ in range(4):
+        paths = write_run(_run(spark, hours=100), out, keep=2)
+    assert len(list((tmp_path / "out" / "runs").iterdir())) == 2
+    assert paths[0].startswith(published(spark, out))
+
+
+def test_a_killed_write_leaves_the_previous_run(spark, tmp_path, monkeypatch):
+    from linewatch.sources import sinks
+
+    out = str(tmp_path / "out")
+    write_run(_run(spark), out, as_lines=True)
+    before = {n: _rows(published_report(spark, out, n)) for n in ("hourly", "shift")}
+    bad = run_report(_tables(spark, SF), fixture_plan(), datetime(2024, 1, 15, 21, 10), hours=100)
+    bad.sections = bad.sections.withColumn("fail_count", F.when(F.col("report") == "shift", F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("fail_count")))
+    with pytest.raises(Exception, match="killed"):
+        write_run(bad, out, as_lines=True)
+    assert {n: _rows(published_report(spark, out, n)) for n in before} == before
+
+    def dies(*_):
+        raise OSError("killed between the folders")
+
+    with monkeypatch.context() as m:  # one report is in place, the other is not
+        m.setattr(sinks, "create_file", dies)
+        with pytest.raises(OSError, match="between"):
+            write_run(_run(spark, hours=100), out, as_lines=True)
+    assert {n: _rows(published_report(spark, out, n)) for n in before} == before
+    assert len(list((tmp_path / "out" / "runs").iterdir())) >= 2
+    write_run(_run(spark, hours=100), out, as_lines=True)  # what was left goes with the next publication
+    names = sorted(p.name for p in (tmp_path / "out" / "runs").iterdir())
+    assert len(names) == 2 and _rows(published_report(spark, out, "hourly")) != before["hourly"]
+
+
+def test_reports_without_rows_are_published(spark):
+    out = tempfile.mkdtemp(prefix="linewatch-pub-")
+    df = spark.createDataFrame([("a", 1)], "report string, n int")
+    publish(df, out, "report", ["a", "b"], fmt="parquet")
+    assert published_report(spark, out, "b", "parquet").collect() == []
+    assert [r.n for r in published_report(spark, out, "a", "parquet").collect()] == [1]
+    assert published_report(spark, out, "c", "parquet") is None
