@@ -380,3 +380,11 @@ SELECT section, position, fail_count, station_name, parameter_name, origin_stati
 SELECT * FROM counted
 WHERE window_end <= (SELECT max(recorded_at) FROM nok) - INTERVAL '10 minutes'""",
 }
+
+_SECTION = "SELECT section, position, fail_count, station_name, parameter_name, origin_station"
+SQL |= {
+    "alarm_debounce_storm": SQL["alarm_debounce"],
+    "shift_summary_states": SQL["shift_summary"],
+    "shift_end_run": f"{_SECTION}, 'hourly' AS report FROM ({_sections(B1)} {_SECTION} FROM sections) h "
+    f"UNION ALL {_SECTION}, 'shift' AS report FROM ({_sections(B8)} {_SECTION} FROM sections) s",
+}

@@ -24,6 +24,7 @@ from linewatch.operators.totals import override_totals, station_totals
 from linewatch.operators.trace import trace_origin
 from linewatch.plans import reports as rp
 from linewatch.plans.checks import JobCheck, LinePlan, LineTables, TraceCheck
+from linewatch.plans.states import HourStates
 from linewatch.plans.presets import FIXTURE_AS_OF, FIXTURE_FACT_SINCE, FIXTURE_TZ, fixture_plan
 from linewatch.session import checkpoint_root
 from linewatch.sources import fixtures as fx
@@ -275,6 +276,12 @@ def distinct_events(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- window --------------------------------------------------------------
 
+def alarm_debounce_storm(spark: SparkSession, d: str) -> DataFrame:
+    """The debounce with slices cut by number, as for a storm of alarms in one hour of one source."""
+    scoped = al.alarm_scope(fx.alarms(spark, d), None, None)
+    return al.debounce(scoped, slice_unit="day", slice_rows=100).where(F.col("alarm_description").ilike(ASSEMBLY))
+
+
 def alarm_debounce(spark: SparkSession, d: str) -> DataFrame:
     scoped = al.alarm_scope(fx.alarms(spark, d), None, None)
     return al.debounce(scoped).where(F.col("alarm_description").ilike(ASSEMBLY))
@@ -314,6 +321,21 @@ def shift_summary(spark: SparkSession, d: str) -> DataFrame:
     return rp.shift_summary(_tables(spark, d), fixture_plan(), AS_OF, SHIFT_HOURS)
 
 
+def shift_end_run(spark: SparkSession, d: str) -> DataFrame:
+    """Both reports of a run at shift end, from one read of each table."""
+    return rp.run_sections(_tables(spark, d), [rp.Report("hourly", fixture_plan(), 1), rp.Report("shift", fixture_plan(), SHIFT_HOURS)], AS_OF)
+
+
+def shift_summary_states(spark: SparkSession, d: str) -> DataFrame:
+    """The shift summary merged from kept hour states, which an earlier run made before its last two hours had come."""
+    t, plan = _tables(spark, d), fixture_plan()
+    states = HourStates(_scratch(spark, "states"), serial_type="long")
+    early = replace(t, records=t.records.where(F.col("recorded_at") <= F.lit("2024-01-15 12:20:00").cast("timestamp_ntz")))
+    states.refresh(early, [plan], AS_OF, SHIFT_HOURS)
+    states.refresh(t, [plan], AS_OF, SHIFT_HOURS)
+    return rp.run_sections(t, [rp.Report("shift", plan, SHIFT_HOURS)], AS_OF, states).drop("report")
+
+
 # ---- streaming -----------------------------------------------------------
 
 def fail_counts_stream_q(spark: SparkSession, d: str) -> DataFrame:
@@ -356,6 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "station_pareto": station_pareto,
     "distinct_events": distinct_events,
     "alarm_debounce": alarm_debounce,
+    "alarm_debounce_storm": alarm_debounce_storm,
     "origin_report": origin_report,
     "alarm_report": alarm_report,
     "combined_report": combined_report,
@@ -363,5 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_pareto": hourly_pareto,
     "hourly_origin": hourly_origin,
     "shift_summary": shift_summary,
+    "shift_end_run": shift_end_run,
+    "shift_summary_states": shift_summary_states,
     "fail_counts_stream": fail_counts_stream_q,
 }

@@ -20,8 +20,9 @@ from pyspark.sql import SparkSession
 from linewatch.defaults import LINE_TZ
 from linewatch.operators.origins import OriginStore
 from linewatch.plans.checks import LineTables
-from linewatch.plans.job import refresh_origins, run_report, write_run
+from linewatch.plans.job import refresh_origins, refresh_states, run_report, write_run
 from linewatch.plans.presets import line_plan
+from linewatch.plans.states import HourStates
 from linewatch.session import size_shuffles
 from linewatch.sources.tables import load_table
 
@@ -50,6 +51,7 @@ def main(argv: list[str] | None = None) -> list[str]:
     p.add_argument("--origins", default=None, help="folder of the kept origin table; traces read it in place of the records' history")
     p.add_argument("--origin-days", type=int, default=2, help="days up to the run's that are brought into it before the report (0: none)")
     p.add_argument("--origin-buckets", type=int, default=64, help="its hash buckets per day and station, a power of two")
+    p.add_argument("--states", default=None, help="folder of the kept hour states; the shift summary merges them in place of reading its hours again")
     p.add_argument("--out", required=True)
     p.add_argument("--format", default="json")
     p.add_argument("--as-lines", action="store_true", help="one JSON text line per report row")
@@ -68,7 +70,14 @@ def main(argv: list[str] | None = None) -> list[str]:
         genealogy=load_table(spark, args.genealogy),
         date_partitions=_partitions(args.date_partitions),
     )
-    plan = line_plan(args.line, shop=args.shop, local_tz=args.tz, line_like=args.line_like)
+    plan, shift_plan = (line_plan(args.line, shop=args.shop, shift=shift, local_tz=args.tz, line_like=args.line_like) for shift in (False, True))
+    if args.states and args.exact_window:
+        p.error("--states does not go with --exact-window")
+    states = None
+    if args.states:
+        states = HourStates(args.states)
+        if not args.explain:
+            refresh_states(states, tables, plan, as_of, shift_plan)
     store = None
     if args.origins:
         # the plan's origin tests read the line and, with --shop, the shop
@@ -80,15 +89,14 @@ def main(argv: list[str] | None = None) -> list[str]:
         tables if store is None else store.tables(tables),
         plan,
         as_of,
-        shift_plan=line_plan(args.line, shop=args.shop, shift=True, local_tz=args.tz, line_like=args.line_like),
+        shift_plan=shift_plan,
         hours=args.hours,
         force_shift=args.force_shift,
         exact_window=args.exact_window,
+        states=states,
     )
     if args.explain:
-        for df in (run.hourly, run.shift):
-            if df is not None:
-                df.explain("formatted")
+        run.sections.explain("formatted")
         return []
     paths = write_run(run, args.out, fmt=args.format, as_lines=args.as_lines)
     for path in paths:

@@ -21,6 +21,7 @@ from linewatch.functions.time import hour_label, is_shift_end, window_start
 from linewatch.operators.origins import OriginStore, any_origin
 from linewatch.plans.checks import LinePlan, LineTables
 from linewatch.plans.reports import Report, report_json, report_sections, run_sections
+from linewatch.plans.states import HourStates
 from linewatch.sources.sinks import publish
 
 
@@ -58,6 +59,14 @@ def refresh_origins(store: OriginStore, tables: LineTables, plan: LinePlan, as_o
     store.fold(records.sparkSession, first)
 
 
+def refresh_states(
+    states: HourStates, tables: LineTables, plan: LinePlan, as_of: datetime, shift_plan: LinePlan | None = None, shift_hours: int = 8
+) -> list[str]:
+    """Brings the hour states of the last shift up to ``as_of`` (in UTC) up to date; returns the hours that were made again."""
+    local = local_wall_clock(as_of, plan.local_tz)
+    return states.refresh(tables, [plan] if shift_plan is None else [plan, shift_plan], local, shift_hours)
+
+
 def run_report(
     tables: LineTables,
     plan: LinePlan,
@@ -67,6 +76,7 @@ def run_report(
     shift_hours: int = 8,
     force_shift: bool = False,
     exact_window: bool = False,
+    states: HourStates | None = None,
 ) -> RunResult:
     """Report sections for the last ``hours`` (and the last shift at shift end).
 
@@ -74,7 +84,12 @@ def run_report(
     line's local wall clock (``plan.local_tz``), the clock of the records.
     By default rows up to ``as_of`` count, as in the original; with
     ``exact_window`` only rows up to the last full hour do, matching the label.
+    ``states``: kept hour states that ``sections`` takes its counts of units from; bring
+    them up to date before (``refresh_states``). They hold the hour of ``as_of`` too, so
+    they don't go with ``exact_window``.
     """
+    if states is not None and exact_window:
+        raise ValueError("hour states hold the current hour, an exact window does not")
     local = local_wall_clock(as_of, plan.local_tz)
     if exact_window:
         tables = tables.until(local.replace(minute=0, second=0, microsecond=0), plan.local_tz)
@@ -85,7 +100,7 @@ def run_report(
         shift_window = f"{hour_label(window_start(local, shift_hours))} to {local:%Y-%m-%d %H:00}"
         shift = report_sections(tables, shift_plan or plan, local, shift_hours).withColumn("window", F.lit(shift_window))
         reports.append(Report("shift", shift_plan or plan, shift_hours))
-    result = RunResult(hourly, shift, window, shift_window, run_sections(tables, reports, local))
+    result = RunResult(hourly, shift, window, shift_window, run_sections(tables, reports, local, states))
     label = reduce(lambda a, x: a.when(F.col("report") == x[0], F.lit(x[1])), result.windows().items(), F.when(F.lit(False), F.lit(None).cast("string")))
     result.sections = result.sections.withColumn("window", label)
     return result

@@ -22,6 +22,7 @@ from linewatch.operators import alarms as al
 from linewatch.operators.counts import COUNT, after, positive_counts, tagged_counts
 from linewatch.operators.trace import trace_origins
 from linewatch.plans.checks import JobCheck, LinePlan, LineTables
+from linewatch.plans.states import HourStates, mergeable
 
 def combine_reports(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack results by column name; a column missing from one becomes NULL."""
@@ -129,13 +130,16 @@ def _record_counts(tables: LineTables, tagged: Sequence[tuple[str, object, datet
     return tagged_counts(records, preds, pre)
 
 
-def _job_counts(tables: LineTables, windows: Sequence[_Window]) -> list[DataFrame]:
-    """Counts of the job checks of all windows: one scan of ``jobs`` per label column."""
+def job_checks(windows: Sequence[_Window]) -> list[tuple[str, JobCheck, datetime]]:
+    """(tag, check, lower bound) of all job checks."""
+    return [(tag, c, c.since or w.bound) for w in windows for tag, c in w.checks() if isinstance(c, JobCheck)]
+
+
+def _job_counts(tables: LineTables, tagged: Sequence[tuple[str, JobCheck, datetime]]) -> list[DataFrame]:
+    """Counts of job checks, of any windows: one scan of ``jobs`` per label column."""
     by_label: dict[str, list[tuple[str, JobCheck, datetime]]] = {}
-    for w in windows:
-        for tag, c in w.checks():
-            if isinstance(c, JobCheck):
-                by_label.setdefault(c.label_col, []).append((tag, c, c.since or w.bound))
+    for item in tagged:
+        by_label.setdefault(item[1].label_col, []).append(item)
     out = []
     for label, tagged in by_label.items():
         low = min(bound for *_, bound in tagged)
@@ -178,9 +182,13 @@ def _alarm_counts(tables: LineTables, windows: Sequence[_Window]) -> DataFrame |
     return counted.select("_check", COUNT, station.alias("station_name"), *labels)
 
 
-def _frames(tables: LineTables, windows: Sequence[_Window], fused: DataFrame | None = None) -> _Frames:
-    """Results of all checks of all windows. ``fused``: the record checks' counts, if they come from elsewhere."""
-    counts, exact = _job_counts(tables, windows), []
+def _frames(tables: LineTables, windows: Sequence[_Window], states: HourStates | None = None) -> _Frames:
+    """Results of all checks of all windows; with ``states``, those of checks that can be merged from them."""
+    jobs, records, kept = job_checks(windows), record_checks(windows), []
+    if states is not None:
+        kept = [x for x in (*records, *jobs) if mergeable(x[1])]
+        jobs, records = ([x for x in own if not mergeable(x[1])] for own in (jobs, records))
+    counts, exact = _job_counts(tables, jobs), []
     alarms = _alarm_counts(tables, windows)
     if alarms is not None:
         counts.append(alarms)
@@ -189,10 +197,10 @@ def _frames(tables: LineTables, windows: Sequence[_Window], fused: DataFrame | N
             if not (_fusable(c) or isinstance(c, JobCheck) or hasattr(c, "alarm_parts")):
                 own = c.frame(tables, w.bound, w.plan.local_tz).withColumn("_check", F.lit(tag))
                 (counts if tag.split(":")[1][0] == "n" else exact).append(own)
-    tagged = record_checks(windows)
-    if fused is None and tagged:
-        fused = _record_counts(tables, tagged)
-    return _Frames(counts, exact, fused)
+    fused = [_record_counts(tables, records)] if records else []
+    if kept:
+        fused.append(states.counts(tables.records.sparkSession, kept))
+    return _Frames(counts, exact, reduce(DataFrame.unionByName, fused) if fused else None)
 
 
 def _stacked(frames: _Frames) -> DataFrame:
@@ -288,14 +296,15 @@ def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hou
     return origin_report([t.drop("report") for t in _origins(tables, _one(plan, as_of, hours))])
 
 
-def run_sections(tables: LineTables, reports: Sequence[Report], as_of: datetime, fused: DataFrame | None = None) -> DataFrame:
+def run_sections(tables: LineTables, reports: Sequence[Report], as_of: datetime, states: HourStates | None = None) -> DataFrame:
     """All tables of several reports in one frame: ``report``, ``section`` and the ``position`` in it, in that order.
 
     The windows of the reports are tags beside the checks' own, so records, jobs, failures, genealogy, child records and
-    alarms are read once for all reports together. ``fused``: counts of the record checks that come from elsewhere.
+    alarms are read once for all reports together. ``states``: kept hour states, up to date, that the counts of units come
+    from (but for checks with a bound of their own).
     """
     windows = _windows(reports, as_of)
-    frames = _frames(tables, windows, fused)
+    frames = _frames(tables, windows, states)
     parts = [_fail_counts(frames).withColumn("section", F.lit("parameter")), _pareto(frames).withColumn("section", F.lit("pareto"))]
     parts += [t.withColumn("section", F.lit("origin")) for t in _origins(tables, windows)]
     df = combine_reports(parts)
