@@ -385,6 +385,10 @@ _SECTION = "SELECT section, position, fail_count, station_name, parameter_name,
 SQL |= {
     "alarm_debounce_storm": SQL["alarm_debounce"],
     "shift_summary_states": SQL["shift_summary"],
+    "fail_counts_corrected": VIEWS + """
+SELECT time_bucket(INTERVAL '1 hour', recorded_at) AS window_start, time_bucket(INTERVAL '1 hour', recorded_at) + INTERVAL '1 hour' AS window_end,
+       station_name, parameter_name, CAST(count(DISTINCT product_serial) AS BIGINT) AS fail_count
+FROM records WHERE overall_process_status = 'NOK' GROUP BY ALL""",
     "shift_end_run": f"{_SECTION}, 'hourly' AS report FROM ({_sections(B1)} {_SECTION} FROM sections) h "
     f"UNION ALL {_SECTION}, 'shift' AS report FROM ({_sections(B8)} {_SECTION} FROM sections) s",
 }

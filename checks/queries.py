@@ -28,7 +28,7 @@ from linewatch.plans.states import HourStates
 from linewatch.plans.presets import FIXTURE_AS_OF, FIXTURE_FACT_SINCE, FIXTURE_TZ, fixture_plan
 from linewatch.session import checkpoint_root
 from linewatch.sources import fixtures as fx
-from linewatch.streaming import fail_counts_stream, run_available
+from linewatch.streaming import CorrectedCounts, fail_counts_stream, run_available
 
 AS_OF = FIXTURE_AS_OF
 BOUND = window_start(AS_OF, 1)  # 2024-01-15 13:00
@@ -345,6 +345,18 @@ def fail_counts_stream_q(spark: SparkSession, d: str) -> DataFrame:
     return run_available(spark, stream)
 
 
+def fail_counts_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """Streamed counts of all windows, where a part of the rows of every hour comes in a second run, long after its window."""
+    folder = _scratch(spark, "arrivals")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    counts = CorrectedCounts(f"{folder}/kept", failing=F.expr(NOK))
+    for name, part in (("first", F.col("event_id") % 7 != 3), ("second", F.col("event_id") % 7 == 3)):
+        events.where(part).write.parquet(f"{folder}/in/{name}")
+        stream = fx.records_from_events(spark.readStream.schema(events.schema).parquet(f"{folder}/in/*"))
+        counts.run_available(stream, f"corrected_{folder.rsplit('/', 1)[-1]}")
+    return counts.counts(stream)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recent_records": recent_records,
     "recent_alarms_local": recent_alarms_local,
@@ -389,4 +401,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shift_end_run": shift_end_run,
     "shift_summary_states": shift_summary_states,
     "fail_counts_stream": fail_counts_stream_q,
+    "fail_counts_corrected": fail_counts_corrected,
 }

@@ -13,9 +13,10 @@ Two physical forms, chosen by the size of the rule set:
   row count is checked first): the rules become one ``CASE parameter_name``
   expression, evaluated inside whole-stage codegen with no join, and the rule
   names become a pushed ``IN`` filter on the scan;
-* more rules: a semi-join with the rules table on ``parameter_name`` with the
-  range test as join condition; Spark broadcasts the rules if they are small,
-  else both sides shuffle and AQE splits a skewed parameter.
+* more rules: they are folded to one row per parameter (and location), see
+  ``normal_form``, and joined; Spark broadcasts the folded rules if they are
+  small, else both sides shuffle and AQE splits a skewed parameter. A record
+  meets one row however many rules its parameter has.
 
 Both forms mean the same: a NULL ``low`` or ``high`` is a one-sided limit, a
 NULL location holds everywhere, and a location column that the rules lack is an
@@ -151,11 +152,27 @@ def rule_names(rows: Sequence[tuple]) -> list[str]:
     return sorted({r[0] for r in rows})
 
 
-def _rule_side(rules: DataFrame, location_col: str | None) -> DataFrame:
-    cols = [F.col("parameter_name").alias("_rule_parameter"), F.col("low").cast("double").alias("_rule_low"), F.col("high").cast("double").alias("_rule_high")]
-    if location_col:
-        cols.append(F.col(location_col).alias("_rule_location"))
-    return rules.select(*cols)
+def normal_form(rules: DataFrame, location_col: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rules folded to one row per key: a value outside any of a key's ranges is outside their intersection.
+
+    Returns a row per parameter with the limits that hold everywhere (NULL if there are none), and (with ``location_col``) a row
+    per parameter and location; a location's limits include those that hold everywhere. The folded low is the largest one and
+    the high the smallest; NULL sets no limit.
+    """
+    side = rules.select(
+        F.col("parameter_name").alias("_rule_parameter"), F.col("low").cast("double").alias("_rule_low"), F.col("high").cast("double").alias("_rule_high"),
+        (F.col(location_col) if location_col else F.lit(None)).alias("_rule_location"),
+    ).where(F.col("_rule_parameter").isNotNull())
+    general = F.col("_rule_location").isNull()
+    everywhere = side.groupBy("_rule_parameter").agg(F.max(F.when(general, F.col("_rule_low"))).alias("_all_low"), F.min(F.when(general, F.col("_rule_high"))).alias("_all_high"))
+    if location_col is None:
+        return everywhere, None
+    located = side.where(~general).groupBy("_rule_parameter", "_rule_location").agg(F.max("_rule_low").alias("_low"), F.min("_rule_high").alias("_high"))
+    both = located.join(everywhere, "_rule_parameter")
+    return everywhere, both.select(
+        F.col("_rule_parameter").alias("_at_parameter"), F.col("_rule_location").alias("_at_location"),
+        F.greatest("_low", "_all_low").alias("_at_low"), F.least("_high", "_all_high").alias("_at_high"),
+    )
 
 
 def out_of_spec(
@@ -179,13 +196,14 @@ def out_of_spec(
         return records.where(F.col(parameter_col).isin(rule_names(rows)) & spec_failure(rows, value_col, location_col, parameter_col))
     if not isinstance(rules, DataFrame):
         rules = rules_frame(records.sparkSession, rules)
-    value = as_number(F.col(value_col))
-    side = _rule_side(rules, location_col)
-    outside = (value < F.col("_rule_low")) | (value > F.col("_rule_high"))  # a NULL bound tests nothing
-    cond = (F.col(parameter_col) == F.col("_rule_parameter")) & outside
-    if location_col:
-        cond = cond & (F.col("_rule_location").isNull() | (F.col(location_col) == F.col("_rule_location")))
-    return records.join(side, cond, "left_semi")
+    # One row per key on the rule side: a record has at most one match in each join, however many rules its parameter has.
+    everywhere, located = normal_form(rules, location_col)
+    value, columns, rows = as_number(F.col(value_col)), records.columns, records
+    outside = (value < F.col("_all_low")) | (value > F.col("_all_high"))  # a NULL limit tests nothing
+    if located is not None:
+        rows = records.join(located, (F.col(parameter_col) == F.col("_at_parameter")) & (F.col(location_col) == F.col("_at_location")), "left")
+        outside = F.when(F.col("_at_parameter").isNull(), outside).otherwise((value < F.col("_at_low")) | (value > F.col("_at_high")))
+    return rows.join(everywhere, (F.col(parameter_col) == F.col("_rule_parameter")) & outside, "left_semi").select(*columns)
 
 
 def out_of_spec_by_location(

@@ -29,6 +29,27 @@ def _epoch():
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
+def _event_time(df: DataFrame, ts_col: str) -> Column:
+    """The instant of a time column. A wall clock (NTZ) becomes the instant with the same UTC reading, so windows fall on
+    wall-clock hours whatever the session zone (half-hour zones, DST gaps)."""
+    if isinstance(df.schema[ts_col].dataType, TimestampNTZType):
+        return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(ts_col)))
+    return F.col(ts_col)
+
+
+def _bound(df: DataFrame, ts_col: str, bound: str) -> Column:
+    """A window's bound as the kind of time that ``ts_col`` of ``df`` is."""
+    if isinstance(df.schema[ts_col].dataType, TimestampNTZType):
+        return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(bound)), _epoch())
+    return F.col(bound)
+
+
+def windowed(df: DataFrame, window: str, ts_col: str = "recorded_at") -> DataFrame:
+    """``df`` with ``window_start`` and ``window_end`` of the tumbling window that each row lies in."""
+    rows = df.withColumn("_window", F.window(_event_time(df, ts_col), window))
+    return rows.withColumns({f"window_{end}": _bound(df, ts_col, f"_window.{end}") for end in ("start", "end")}).drop("_window")
+
+
 def fail_counts_stream(
     records: DataFrame,
     window: str = "1 hour",
@@ -40,18 +61,11 @@ def fail_counts_stream(
 ) -> DataFrame:
     """Distinct failing serials per tumbling event-time window and keys (append mode)."""
     df = records if failing is None else records.where(failing)
-    wall_clock = isinstance(df.schema[ts_col].dataType, TimestampNTZType)
-    # A watermark needs an instant. A wall clock (NTZ) becomes the instant with the same UTC reading, so
-    # windows fall on wall-clock hours whatever the session zone (half-hour zones, DST gaps).
-    event_time = F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(ts_col))) if wall_clock else F.col(ts_col)
-    df = df.withColumn("_event_time", event_time).withWatermark("_event_time", delay)
+    df = df.withColumn("_event_time", _event_time(df, ts_col)).withWatermark("_event_time", delay)  # a watermark needs an instant
     units = df.select(F.window("_event_time", window).alias("window"), *keys, serial_col).dropDuplicates(["window", *keys, serial_col])
     counted = units.groupBy("window", *keys).agg(F.count(F.lit(1)).alias(COUNT))
-
-    def bound(c: str):
-        return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(c)), _epoch()) if wall_clock else F.col(c)
-
-    return counted.select(bound("window.start").alias("window_start"), bound("window.end").alias("window_end"), *keys, COUNT)
+    start, end = (_bound(df, ts_col, f"window.{end}").alias(f"window_{end}") for end in ("start", "end"))
+    return counted.select(start, end, *keys, COUNT)
 
 
 def start_stream(
