@@ -1,133 +1,57 @@
-"""Cross-entropy difference: a target and a background n-gram model over one vocabulary score every document.
+"""Cross-entropy difference: a target and a background word model over one vocabulary score every document.
 
-``score_word_cross_entropy`` (the registered query) has word models that grow with the corpus. ``score_cross_entropy`` has byte
-models of bounded size: their vocabulary is the 256 byte values and the order is three, so a model has 256**3 = 16.8 million n-grams at most whatever
-the size of the corpus; the tables sent to the tasks are bound by that. Counts are over all bytes of all documents.
+The models hold every word and every pair of words of the corpus. Texts are dealt over chunks; a chunk counts its own n-grams
+and hands them over sorted by their 64-bit names, packed, one row for each bucket of the name space. A bucket adds up what all
+chunks have of its names and answers each chunk with its counts alone, in the order of the names that it was sent. A chunk's
+part of a bucket has each name once, however common it is, so buckets are even.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.exchange import mix
+from linewatch.llm.exchange import bucket_of, mix, runs_of
 from linewatch.llm.repeats import WordCodes
 
-SIZE = 1 << 24
-CHUNK = 8_000_000
-
-
-def trigrams(text: str | None) -> np.ndarray:
-    """The n-gram number of each byte of the text with the two bytes before it (zeros before the start)."""
-    b = np.frombuffer(b"\0\0" + (text or "").encode(), np.uint8).astype(np.int32)
-    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-
-
-def ngram_counts(marked: DataFrame) -> DataFrame:
-    """ngram, background, target: counts over all rows of ``marked`` (text, is_target), and over its target rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {False: np.zeros(SIZE, np.uint32), True: np.zeros(SIZE, np.uint32)}
-        for b in batches:
-            waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
-            for text, mark in zip(b.column("text").to_pylist(), b.column("is_target").to_pylist()):
-                grams = trigrams(text)
-                for at in range(0, len(grams), CHUNK):
-                    waiting[mark].append(grams[at : at + CHUNK])
-            for mark, parts in waiting.items():
-                if parts:
-                    found, n = np.unique(np.concatenate(parts), return_counts=True)
-                    total[mark][found] += n.astype(np.uint32)
-            for mark in total:  # hand over before a counter can run over
-                if total[mark].max(initial=0) > 1 << 31:
-                    yield rows(total)
-                    for t in total.values():
-                        t[:] = 0
-                    break
-        yield rows(total)
-
-    def rows(total: dict[bool, np.ndarray]) -> pa.RecordBatch:
-        seen = np.flatnonzero(total[False] | total[True])
-        target = total[True][seen].astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int32()), pa.array(target + total[False][seen]), pa.array(target)], names=["ngram", "background", "target"]
-        )
-
-    got = marked.select("text", "is_target").mapInArrow(run, "ngram int, background long, target long")
-    return got.groupBy("ngram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class TrigramModel:
-    """Witten-Bell interpolated byte trigrams; keeps the losses of seen n-grams and the back-off losses of the others."""
-
-    def __init__(self, ngram: np.ndarray, count: np.ndarray):
-        ngram, count = ngram[count > 0], count[count > 0].astype(float)
-        pair = np.zeros(1 << 16)
-        np.add.at(pair, ngram & 0xFFFF, count)
-        one = pair.reshape(256, 256).sum(0)
-        kinds = (pair > 0).reshape(256, 256).sum(1)
-        p1 = (one + 1) / (one.sum() + 256)
-        seen2 = pair.reshape(256, 256)
-        total2 = seen2.sum(1)
-        p2 = (seen2 + np.maximum(kinds, 1)[:, None] * p1) / (total2 + np.maximum(kinds, 1))[:, None]
-        context = ngram >> 8
-        total3, kinds3 = np.bincount(context, count, 1 << 16), np.bincount(context, minlength=1 << 16)
-        kept = np.maximum(kinds3, 1) / (total3 + np.maximum(kinds3, 1))
-        self.low = -np.log(p2).ravel().astype(np.float32)
-        self.back = -np.log(kept).astype(np.float32)
-        self.ngram = ngram.astype(np.int32)
-        self.loss = -np.log(count / (total3 + kinds3)[context] + kept[context] * p2.ravel()[ngram & 0xFFFF]).astype(np.float32)
-
-    def table(self) -> np.ndarray:
-        """The loss in nats of each n-gram's last byte (64 MB)."""
-        out = (self.back.reshape(256, 256)[:, :, None] + self.low.reshape(256, 256)[None, :, :]).ravel()
-        out[self.ngram] = self.loss
-        return out
+#: UTF-8 bytes of text in a chunk; a chunk is what one task holds at a time.
+CHUNK_BYTES = 16_000_000
+#: Occurrences that the lower order stands for (Dirichlet prior) in every distribution of either model.
+PRIOR = 8.0
+EDGE, TOTAL = 2, 4
 
 
-def score_cross_entropy(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, n_tokens (bytes), target_loss, background_loss (mean nats a byte) and score = target_loss - background_loss.
+def pack_names(names: np.ndarray) -> bytes:
+    """Rising 64-bit names: the width of a step, the first name, and the steps in so many bytes."""
+    if not len(names):
+        return b""
+    steps = np.diff(names)
+    width = 6 if not len(steps) or steps.max() < 1 << 48 else 8
+    return bytes([width]) + names[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-    The background model is made of all rows of ``docs`` (doc_id, text), the target model of those whose doc_id is in
-    ``target``; both have the same vocabulary, order and smoothing. A lower score is closer to the target. Null and empty
-    texts have n_tokens 0, losses 0 and score 0. Without target rows both models are alike up to smoothing.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("hit", F.lit(True))
-    # one plan at every size: the labels grow with the corpus, so their side is never taken for a small one
-    marked = rows.join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("is_target"))
-    got = ngram_counts(marked).toPandas()  # 256**3 rows at most
-    models = [TrigramModel(got["ngram"].to_numpy(), got[c].to_numpy()) for c in ("target", "background")]
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [m.table() for m in sent.value]
-        for b in batches:
-            n, losses = [], ([], [])
-            for text in b.column("text").to_pylist():
-                grams = trigrams(text)
-                n.append(len(grams))
-                for out, t in zip(losses, tables):
-                    out.append(float(t[grams].mean(dtype=np.float64)) if len(grams) else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in losses)],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss"],
-            )
-
-    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
+def unpack_names(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.empty(0, np.uint64)
+    width = packed[0]
+    steps = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(steps) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(packed, np.uint8, 8, 1)
+    wide[1:, :width] = steps
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
-#: UTF-8 bytes of text in a chunk; a chunk is what one task holds at a time.
-CHUNK_BYTES = 24_000_000
-#: Occurrences that the lower order stands for (Dirichlet prior) in every distribution of either model.
-PRIOR = 8.0
-EDGE, TOTAL = 2, 4
-TARGET_ID, GRAM = 0, 1
+
+def pack_counts(*counts: np.ndarray) -> bytes:
+    """Counts byte by byte, all lowest bytes first: what is small takes no space once it is compressed for the way."""
+    return b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in counts)
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    """(2, n) counts."""
+    planes = np.frombuffer(packed, np.uint8).reshape(2, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u8")[:, :, 0].astype(np.int64)
 
 
 class ChunkGrams:
@@ -137,8 +61,9 @@ class ChunkGrams:
     and bigrams (odd), each sorted, and of the token total.
     """
 
-    def __init__(self, texts: list[str | None], marks: np.ndarray, codes: WordCodes):
-        words = [np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)) for w in ((t or "").encode().split() for t in texts)]
+    def __init__(self, texts: pa.ChunkedArray, marks: np.ndarray, codes: WordCodes):
+        found = ((t.as_py() or "").encode().split() for t in texts)
+        words = [np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)) for w in found]
         self.lengths = np.array([len(w) for w in words], np.int64)
         used = self.lengths > 0
         sizes = self.lengths[used] + 1
@@ -160,22 +85,29 @@ class ChunkGrams:
             self.counts[name] = [np.bincount(places[marked], minlength=n), np.bincount(places, minlength=n)]
         self.total = [int(marked.sum()), len(tokens)]
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, counts in the target, counts in the background."""
-        keys = np.concatenate([self.unigrams, self.bigrams, np.array([TOTAL], np.uint64)]).view(np.int64)
-        return keys, *(np.concatenate([self.counts["word"][m], self.counts["pair"][m], [self.total[m]]]) for m in (0, 1))
-
-    def take(self, keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> None:
-        """Replace counts by those of the whole corpus."""
-        keys = keys.view(np.uint64)
-        for name, own in (("word", self.unigrams), ("pair", self.bigrams)):
-            mine = ((keys & np.uint64(1)) == (name == "pair")) & (keys != TOTAL)
-            places = np.searchsorted(own, keys[mine])
-            for m, values in enumerate((target, background)):
-                self.counts[name][m][places] = values[mine]
-        whole = np.flatnonzero(keys == TOTAL)
-        if len(whole):
-            self.total = [int(target[whole[0]]), int(background[whole[0]])]
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted names of all n-grams and of the token total, and which of unigrams, bigrams and total each one is."""
+        every = np.concatenate([self.unigrams, self.bigrams, np.array([TOTAL], np.uint64)])
+        order = np.argsort(every, kind="stable")
+        return every[order], order
+
+    def in_buckets(self, buckets: int) -> list[tuple[int, bytes, bytes]]:
+        """(bucket, packed names, packed counts in target and background), in the order of the names."""
+        names, order = self.names()
+        counts = [np.concatenate([self.counts["word"][m], self.counts["pair"][m], [self.total[m]]])[order] for m in (0, 1)]
+        number = bucket_of(names, buckets)
+        starts, lengths = runs_of(number)
+        spans = zip(starts.tolist(), (starts + lengths).tolist())
+        return [(int(number[a]), pack_names(names[a:z]), pack_counts(*(c[a:z] for c in counts))) for a, z in spans]
+
+    def take(self, answers: list[bytes]) -> None:
+        """Replace counts by those of the whole corpus: the buckets' answers, in order."""
+        _, order = self.names()
+        whole = np.empty((2, len(order)), np.int64)
+        whole[:, order] = np.concatenate([unpack_counts(x) for x in answers], axis=1)
+        n = len(self.unigrams)
+        self.counts = {"word": list(whole[:, :n]), "pair": list(whole[:, n:-1])}
+        self.total = whole[:, -1].tolist()
 
     def losses(self, model: int) -> np.ndarray:
         """Mean nats a token of each text; 0 for a text without words."""
@@ -197,50 +129,51 @@ def score_word_cross_entropy(docs: DataFrame, target: DataFrame, chunk_bytes: in
     corpus's, by a Dirichlet prior. A text's tokens are its words and its end. Null and empty texts have n_tokens 0, losses 0
     and score 0. A lower score is closer to the target.
 
-    Texts are dealt over chunks by doc_id (null: by text). A chunk hands over one row for each of its n-grams, so an n-gram
-    has no more rows than there are chunks, however common it is; the counts come back to the chunks that share the n-gram,
-    and what only one chunk has is counted there. Nothing but the chunk number's size goes to the driver.
+    Texts are dealt over chunks by doc_id (null: by text). Names go from chunks to buckets and counts back to the chunks,
+    which are made again from the same texts. Nothing but the corpus's size in bytes goes to the driver.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
+    buckets = chunks  # about as many n-grams in a bucket as in a chunk
     rows = rows.withColumn("chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)).cast("int"))
-    side = "chunk int, kind int, key long, target long, background long"
     wanted = target.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    none = F.lit(0).cast("long")
-    wanted = wanted.select(
-        F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(TARGET_ID).alias("kind"), "key", none.alias("target"), none.alias("background")
-    )
-
-    def grams(left: pa.Table, right: pa.Table) -> tuple[ChunkGrams, list[np.ndarray]]:
-        kind, *values = (right.column(c).to_numpy() for c in ("kind", "key", "target", "background"))
-        ids = left.column("doc_id")
-        known = ids.is_valid().to_numpy()
-        marks = known & np.isin(ids.fill_null(0).to_numpy(), values[0][kind == TARGET_ID])
-        return ChunkGrams(left.column("text").to_pylist(), marks, WordCodes()), [v[kind == GRAM] for v in values]
+    wanted = wanted.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = grams(left, right)[0] if left.num_rows else None
-        columns = found.rows() if found else [np.empty(0, np.int64)] * 3
+        packed = []
+        if left.num_rows:
+            ids = left.column("doc_id")
+            marks = ids.is_valid().to_numpy() & np.isin(ids.fill_null(0).to_numpy(), right.column("key").to_numpy())
+            packed = ChunkGrams(left.column("text"), marks, WordCodes()).in_buckets(buckets)
         number = left.column("chunk")[0].as_py() if left.num_rows else 0
-        kinds = [pa.array(np.full(len(columns[0]), v, np.int32)) for v in (number, GRAM)]
-        return pa.Table.from_arrays([*kinds, *map(pa.array, columns)], names=["chunk", "kind", "key", "target", "background"])
+        columns = [list(x) for x in zip(*packed)] or [[], [], []]
+        return pa.table({
+            "chunk": pa.array([number] * len(packed), pa.int32()), "bucket": pa.array(columns[0], pa.int32()),
+            "names": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary()),
+        })
+
+    def add_up(group: pa.Table) -> pa.Table:
+        parts = [unpack_names(x.as_buffer()) for x in group.column("names")]
+        names, counts = np.concatenate(parts), np.concatenate([unpack_counts(x.as_buffer()) for x in group.column("counts")], axis=1)
+        order = np.argsort(names, kind="stable")
+        starts, lengths = runs_of(names[order])
+        whole = np.empty_like(counts)
+        for mine, out in zip(counts, whole):
+            out[order] = np.repeat(np.add.reduceat(mine[order], starts), lengths)
+        ends = np.cumsum([len(x) for x in parts]).tolist()
+        answers = [pack_counts(*whole[:, a:z]) for a, z in zip([0, *ends], ends)]
+        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "answer": pa.array(answers, pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        found, counts = grams(left, right)
+        found = ChunkGrams(left.column("text"), np.zeros(left.num_rows, bool), WordCodes())
         if left.num_rows:
-            found.take(*counts)
-        return pa.table(
-            {
-                "doc_id": left.column("doc_id"),
-                "n_tokens": pa.array(found.lengths),
-                "target_loss": pa.array(found.losses(0)),
-                "background_loss": pa.array(found.losses(1)),
-            }
-        )
-
-    counted = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(count, side)
-    same = Window.partitionBy("key")
-    summed = counted.select("chunk", "kind", "key", *(F.sum(c).over(same).alias(c) for c in ("target", "background")), F.count("*").over(same).alias("in_chunks"))
-    back = summed.where("in_chunks > 1").drop("in_chunks").unionByName(wanted)
-    scored = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
+            found.take(right.sort_by("bucket").column("answer").to_pylist())
+        return pa.table({
+            "doc_id": left.column("doc_id"), "n_tokens": pa.array(found.lengths),
+            "target_loss": pa.array(found.losses(0)), "background_loss": pa.array(found.losses(1)),
+        })
+
+    counted = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(count, "chunk int, bucket int, names binary, counts binary")
+    answers = counted.groupBy("bucket").applyInArrow(add_up, "chunk int, bucket int, answer binary")
+    scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

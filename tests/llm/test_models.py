@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linewatch.llm.ann import nearest
 from linewatch.llm.common import fold
-from linewatch.llm.lm_scoring import score_cross_entropy, score_word_cross_entropy
+from linewatch.llm.lm_scoring import pack_counts, pack_names, score_word_cross_entropy, unpack_counts, unpack_names
 from linewatch.llm.quality import STATISTICS, QuadraticDiscriminant, document_statistics, fit_logistic, score_quality
 from linewatch.llm.toxicity import FEATURES, Weights, score_toxicity, text_features
 
@@ -72,55 +72,6 @@ def test_discriminant_equals_gaussian_densities():
     assert slope > 0 and abs(shift) < 1
 
 
-def plain_losses(texts, text):
-    """Witten-Bell interpolated byte trigram losses by counting dictionaries."""
-    tri = Counter(g for t in texts for b in [b"\0\0" + t.encode()] for g in zip(b, b[1:], b[2:]))
-    bi, uni = Counter(), Counter()
-    for (_, b, c), n in tri.items():
-        bi[b, c] += n
-        uni[c] += n
-    after1, kinds1, after2, kinds2 = Counter(), Counter(), Counter(), Counter()
-    for (b, _), n in bi.items():
-        after1[b] += n
-        kinds1[b] += 1
-    for (a, b, _), n in tri.items():
-        after2[a, b] += n
-        kinds2[a, b] += 1
-    total, out = sum(uni.values()), []
-    raw = b"\0\0" + text.encode()
-    for a, b, c in zip(raw, raw[1:], raw[2:]):
-        p1 = (uni[c] + 1) / (total + 256)
-        k = max(1, kinds1[b])
-        p2 = (bi[b, c] + k * p1) / (after1[b] + k)
-        k = max(1, kinds2[a, b])
-        out.append(-math.log((tri[a, b, c] + k * p2) / (after2[a, b] + k)))
-    return sum(out) / len(out)
-
-
-def test_cross_entropy_equals_plain_models(spark, nothing):
-    docs = [(0, "the cat sat on the mat"), (1, "the dog sat"), (2, "zzzz qqq é"), (3, ""), (4, None), (1, "the dog sat"), (None, "no id")]
-    target = spark.createDataFrame([(0,), (1,), (1,), (None,)], "doc_id long")
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("x"))
-    rows = score_cross_entropy(frame, target).collect()
-    assert len(rows) == len(docs)
-    all_texts, good = [t or "" for _, t in docs], [t for i, t in docs if i in (0, 1)]
-    for r in rows:
-        text = dict(docs)[r.doc_id] or ""
-        assert r.n_tokens == len(text.encode())
-        want = (plain_losses(good, text), plain_losses(all_texts, text)) if text else (0.0, 0.0)
-        assert (r.target_loss, r.background_loss) == (pytest.approx(want[0], abs=1e-4), pytest.approx(want[1], abs=1e-4))
-        assert r.score == pytest.approx(r.target_loss - r.background_loss)
-    assert score_cross_entropy(nothing, target).count() == 0
-
-
-def test_cross_entropy_tells_quality(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    seen = labels.where((F.col("quality") == 1) & (fold(4) != 2))
-    got = score_cross_entropy(docs, seen).join(labels.where(fold(4) == 2), "doc_id").groupBy("quality").agg(F.avg("score").alias("s")).collect()
-    mean = {r.quality: r.s for r in got}
-    assert mean[1] < mean[0]
-
-
 def plain_word_losses(texts, all_texts, text, prior=8.0):
     """Word bigram losses by counting dictionaries."""
     sides = [[t.split() for t in x if t.split()] for x in (texts, all_texts)]
@@ -149,6 +100,32 @@ def test_word_cross_entropy_equals_plain_models(spark, nothing, chunk_bytes):
     assert score_word_cross_entropy(nothing, target).count() == 0
 
 
+@pytest.mark.parametrize("steps", [[], [5], [5, 6], [1 << 40, (1 << 63) + 5, (1 << 64) - 1], [0, (1 << 48) - 1, 1 << 49]])
+def test_packed_names_and_counts(steps):
+    names = np.array(steps, np.uint64)
+    assert unpack_names(pack_names(names)).tolist() == steps
+    counts = np.array([[1, 300, 1 << 40][: len(steps)], [0, 1 << 33, 7][: len(steps)]], np.int64)
+    assert unpack_counts(pack_counts(*counts)).tolist() == counts.tolist()
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 24, 40_000])
+def test_word_cross_entropy_of_awkward_rows(spark, awkward, chunk_bytes):
+    """Null columns, a very long text, repeated rows, extra columns of clashing names; a target without documents."""
+    docs = [(r.doc_id, r.text) for r in awkward.collect()]
+    for ids in ([], [5, 6, 7]):
+        target = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        rows = score_word_cross_entropy(awkward, target, chunk_bytes).collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in docs)
+        texts, good = [t or "" for _, t in docs], [t or "" for i, t in docs if i in ids]
+        split = lambda t: [w.decode() for w in t.encode().split()]
+        got = {(r.doc_id, r.n_tokens): r for r in rows}
+        for i, t in docs:
+            r = got[i, len(split(t or ""))]
+            if r.n_tokens and r.n_tokens < 1000:
+                want = [plain_word_losses([" ".join(split(x)) for x in side], [" ".join(split(x)) for x in texts], " ".join(split(t))) for side in (good, texts)]
+                assert (r.target_loss, r.background_loss) == (pytest.approx(want[0]), pytest.approx(want[1]))
+
+
 def test_registered_scoring_tells_word_order(spark, tmp_path):
     """Texts of the same words and the same byte triples differ by the pairs of words."""
     from linewatch.llm.queries import op8_lm_scoring
