@@ -64,10 +64,10 @@ def main(argv: list[str] | None = None) -> list[str]:
     if args.shuffle_gb:
         size_shuffles(spark, int(args.shuffle_gb * 1024**3))
     tables = LineTables(
-        records=load_table(spark, args.records),
-        alarms=load_table(spark, args.alarms),
-        jobs=load_table(spark, args.jobs),
-        genealogy=load_table(spark, args.genealogy),
+        records=load_table(spark, args.records, pin=True),
+        alarms=load_table(spark, args.alarms, pin=True),
+        jobs=load_table(spark, args.jobs, pin=True),
+        genealogy=load_table(spark, args.genealogy, pin=True),
         date_partitions=_partitions(args.date_partitions),
     )
     plan, shift_plan = (line_plan(args.line, shop=args.shop, shift=shift, local_tz=args.tz, line_like=args.line_like) for shift in (False, True))
