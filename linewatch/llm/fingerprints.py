@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewatch.llm.common import drop_stored, stored
+
 #: A subset keeps about one lexicon term in so many; texts of all lengths find subsets with a few of their terms. Besides, one
 #: subset keeps them all.
 RATES = (4, 8, 16, 32, 64, 128, 256)
@@ -80,58 +82,70 @@ def fingerprint(docs: DataFrame, low: float = 0.005, high: float = 0.05) -> Data
     return with_components(docs, text, "fingerprint_parts", kept).withColumn("fingerprint", written("fingerprint_parts")).drop("fingerprint_parts")
 
 
-def edited_fingerprints(docs: DataFrame, low: float = 0.005, high: float = 0.05, block_rows: int = 2000) -> DataFrame:
+#: What names a text in all steps: its doc_id (and whether that is null) and a 128-bit hash.
+_NAME = ["unnamed", "id", "h1", "h2"]
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select(
+        F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h1"),
+        F.xxhash64(F.lit(1), F.col("text")).alias("h2"), "text",
+    )
+
+
+def _successors(rows: DataFrame) -> tuple[DataFrame, str]:
+    """A stored table: the name of every different row, ``half`` of its length, and ``next``, the name of the row after it.
+
+    The names are sorted over the cluster, without their texts. Within a part of the sort the next row follows; after the last
+    row of a part comes the first one of the next part, and after the last row of all the first one.
+    """
+    order = [F.desc("unnamed"), "id", "begin", "h1", "h2"]
+    names = rows.groupBy(*_NAME, F.left("text", F.lit(32)).alias("begin")).agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("half"))
+    dealt = names.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed, path = stored(dealt.withColumns({"block": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "fingerprint-order")
+    name = F.struct(*_NAME)
+    inside = F.lead(name).over(Window.partitionBy("block").orderBy("place"))
+    firsts = placed.groupBy("block").agg(F.min_by(name, "place").alias("first"))  # one row per part of the sort
+    every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("block", F.coalesce(F.lead("first").over(Window.orderBy("block")), F.first("first").over(every)).alias("after"))
+    linked = placed.withColumn("inside", inside).join(F.broadcast(after), "block").select(*_NAME, "half", F.coalesce("inside", "after").alias("next"))
+    out = stored(linked, "fingerprint-next")
+    drop_stored(rows.sparkSession, path)
+    return out
+
+
+def edited_fingerprints(docs: DataFrame, low: float = 0.005, high: float = 0.05) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like they are.
 
     The edited text of a row has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    row's text. Rows are ordered by doc_id (null first), then text; the first follows the last. Columns: doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text is empty.
+    row's text. Rows are ordered by doc_id (null first); rows of one doc_id by the first 32 characters of their text, then by
+    its hash, so that equal rows stand together; the first follows the last. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next. A null text is empty.
 
-    The rows are dealt over doc_id ranges of about ``block_rows`` rows; the first rows of a range also go to the range before
-    it, so that every range finds its last row's successor without one task seeing all rows.
+    The order is found on names (doc_id and hash) alone. A row's text goes once to its name, where equal rows are
+    one with their number, and from there its beginning, as long as needed, to the row before it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kept = lexicon(rows, low, high)
-    parts = max(1, rows.count() // block_rows)
-    ends = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    ends = sorted(set(ends or []))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    rows = rows.withColumn("key", key)
-    if ends:
-        bounds = "array(" + ", ".join(f"bigint('{e}')" for e in ends) + ")"
-        block = F.expr(f"size(filter({bounds}, e -> e < key))")
-    else:
-        block = F.lit(0)
-    rows = rows.withColumn("block", block)
-    firsts = sorted((r["block"], r["first"]) for r in rows.groupBy("block").agg(F.min("key").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # a range's first key -> the range before it
-    cases = F.lit(None).cast("int")
-    if before:
-        table = "map(" + ", ".join(f"bigint('{k}'), {b}" for k, b in before.items()) + ")"
-        cases = F.when(F.col("key").isin(list(before)), F.expr(f"element_at({table}, key)"))
-    rows = with_components(rows, F.col("text"), "parts", kept).withColumn("ahead", cases)
-    copies = rows.withColumn(
-        "place",
-        F.explode(
-            F.when(F.col("ahead").isNull(), F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("later")))).otherwise(
-                F.array(
-                    F.struct(F.col("block").alias("block"), F.lit(0).alias("later")), F.struct(F.col("ahead").alias("block"), F.lit(1).alias("later"))
-                )
-            )
-        ),
-    ).select("doc_id", "key", "text", "parts", "place.block", "place.later")
-    order = Window.partitionBy("block").orderBy("later", "key", "text")
+    rows = _named(docs)
+    kept = lexicon(rows.select("text"), low, high)
+    following, _ = _successors(rows)
+    parts = with_components(rows, F.col("text"), "parts", kept)
+    # both uses read all columns, so that they share one exchange of the texts
+    texts = parts.groupBy(*_NAME).agg(F.first("text").alias("text"), F.first("parts").alias("parts"), F.count(F.lit(1)).alias("copies")).where("copies > 0")
+    to = following.select(*[F.col(f"next.{c}").alias(c) for c in _NAME], F.struct(*_NAME).alias("to"), "half")
+    heads = texts.join(to, _NAME).select("to.*", F.struct(F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("parts").alias("next_parts"), F.lit(1).cast("long").alias("times")).alias("one"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    paired = (
-        copies.withColumn("next", F.lead("text").over(order))
-        .withColumn("next_parts", F.lead("parts").over(order))
-        .where("later = 0")
-        .withColumn("n_chars", n.cast("long"))
-        .withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half)))
-        .select("doc_id", "n_chars", "edited", "parts", "next_parts")
+    own = F.struct(F.substring(F.col("text"), F.lit(1), half).alias("head"), F.col("parts").alias("next_parts"), (F.col("copies") - 1).alias("times"))
+    # of equal rows, the last is followed by another row and the others by their like
+    paired = texts.join(heads, _NAME).select(
+        F.when(~F.col("unnamed"), F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", "parts", half.alias("half"), F.explode(F.array("one", own)).alias("next")
+    ).where("next.times > 0")
+    edited = paired.select(
+        "doc_id", "n_chars", "parts", F.col("next.next_parts").alias("next_parts"), F.col("next.times").alias("times"),
+        F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("half")), F.col("next.head")).alias("edited"),
     )
-    return with_components(paired, F.col("edited"), "edited_parts", kept).select(
+    results = with_components(edited, F.col("edited"), "edited_parts", kept).select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -139,4 +153,6 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.005, high: float = 0.05,
         written("edited_parts").alias("edited_fingerprint"),
         likeness("parts", "edited_parts").alias("near_edited"),
         likeness("parts", "next_parts").alias("near_next"),
+        "times",
     )
+    return results.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times", "col")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -147,10 +148,101 @@ def edited(texts):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [2000, 40])
-def test_edited_texts_and_likeness(spark, block_rows):
+@pytest.fixture
+def in_ranges(spark):
+    """Sets into how many ranges a sort deals its rows."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def deal(ranges):
+        spark.conf.set(names[0], str(ranges))
+        spark.conf.set(names[1], "false")
+
+    yield deal
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def brute_parts(docs, low=0.005, high=0.05):
+    """doc -> (fingerprint components of a text) by plain loops over dictionaries; hashes from the same library."""
+    import xxhash
+
+    def h64(value):
+        return xxhash.xxh64_intdigest(value, 42)
+
+    texts = [t or "" for _, t in docs]
+    terms = [{w for w in re.split(r"\s+", t.lower(), flags=re.ASCII) if w} for t in texts]
+    df = Counter(w for x in terms for w in x)
+    lexicon = {w for w, n in df.items() if low * len(texts) <= n <= high * len(texts)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def subset_hash(hashes, bits):
+        seed = 42
+        for x in hashes:  # Spark hashes an array element by element, each with the hash before as seed
+            seed = xxhash.xxh64_intdigest((x & ((1 << 64) - 1)).to_bytes(8, "little"), seed)
+        return signed(seed) & 0xFFFFFFFF if bits == 32 else signed(seed)
+
+    def parts(text):
+        own = {w for w in re.split(r"\s+", text.lower(), flags=re.ASCII) if w}
+        band = sorted(signed(h64(w.encode())) for w in (own & lexicon or own))
+        out = [(subset_hash(band, 64) or 1) if band else 0]
+        for rate in (4, 8, 16, 32, 64, 128, 256):
+            bits = rate.bit_length() - 1
+            for i in range(8):
+                kept = [x for x in band if (x >> ((7 * i + 3 * bits) % (63 - bits))) & (rate - 1) == (5 * i + bits) % rate]
+                out.append((subset_hash(kept, 32) or 1) if kept else 0)
+        return out
+
+    return parts
+
+
+def brute_likeness(a, b):
+    used = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+
+def brute_text(parts):
+    return "-".join([f"{parts[0] & (1 << 64) - 1:016x}", *(f"{x:08x}" for x in parts[1:])])
+
+
+def test_fingerprints_and_likeness_equal_plain_loops(spark):
+    """The registered query's rows, all columns, on a whole table."""
+    from linewatch.llm.queries import op7_fingerprints
+
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    parts, texts = brute_parts(docs), [t for _, t in docs]
+    rows = {r.doc_id: r for r in op7_fingerprints(spark, sf).collect()}
+    assert len(rows) == len(docs)
+    for k, ((i, t), e) in enumerate(zip(docs, edited(texts))):
+        own, changed, after = parts(t), parts(e), parts(texts[(k + 1) % len(texts)])
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (brute_text(own), brute_text(changed))
+        assert (r.near_edited, r.near_next) == (pytest.approx(brute_likeness(own, changed)), pytest.approx(brute_likeness(own, after)))
+
+
+def test_fifty_ranges_and_repeated_ids(spark, in_ranges):
+    """Rows of equal doc_id and equal rows, over many ranges of the sort; the plan does not grow with the rows."""
+    in_ranges(50)
+    rng = random.Random(8)
+    rows = [(rng.randrange(40) if rng.random() < 0.9 else None, rng.choice(["", "one two", "three", "a b c d e", f"text {k}"])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = edited_fingerprints(docs)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    texts = [t for _, t in order]
+    want = Counter((i, len(t), hashlib.sha256(e.encode()).hexdigest()) for (i, t), e in zip(order, edited(texts)))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got.collect()) == want
+    large = edited_fingerprints(spark.createDataFrame([(i, f"text {i}") for i in range(4000)], "doc_id long, text string"))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(large) <= size(got)
+
+
+@pytest.mark.parametrize("ranges", [3, 40])
+def test_edited_texts_and_likeness(spark, in_ranges, ranges):
+    in_ranges(ranges)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r for r in edited_fingerprints(docs, block_rows=block_rows).collect()}
+    rows = {r.doc_id: r for r in edited_fingerprints(docs).collect()}
     plain = sorted((r.doc_id, r.text) for r in docs.collect())
     texts = [t for _, t in plain]
     by_text = {}
@@ -165,7 +257,7 @@ def test_edited_texts_and_likeness(spark, block_rows):
 
 
 def test_fingerprints_handle_awkward_rows(spark, awkward, nothing):
-    rows = edited_fingerprints(awkward, block_rows=4).collect()
+    rows = edited_fingerprints(awkward).collect()
     assert len(rows) == awkward.count()
     order = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in awkward.collect()))
     texts = [t for *_, t in order]
