@@ -50,7 +50,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(table(spark, sf_dir, "documents"), 400).drop("removed")
+    """``removed`` (the byte spans) follows the contract's columns."""
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), 400)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Suffix-array dedup by distributed prefix doubling: bytes under a string of ``length`` bytes that also starts elsewhere.
-
-The sorted positions are a winnowed sample of the suffixes (a full array would hold 24 bytes and more for every byte of text
-in every round). A position starts with the rank of its first 128 bytes, and those with a unique rank are dropped; a round
-pairs the rank with the bytes at the offset 128, sorts the pairs, gives equal pairs one rank and drops the positions whose
-pair is unique, so that the ranks tell 256 bytes. Positions that are still not unique then lie in a shared string of 256 bytes; where their shared
-strings pass the threshold is settled to the byte (``linewatch.llm.repeats``). Ranks are names: they need not keep the order
-of the strings, as only equality counts.
+"""Bytes under a string of ``length`` bytes that also starts elsewhere, by ranks of sampled positions.
+
+Prefix doubling over all positions sorts a rank pair for every byte of text in every round, more than the disk that the text
+may cost (figures in the README). So this is the anchor method of ``linewatch.llm.repeats`` with a round of doubling in front: the
+positions are a winnowed sample of the suffixes. A position starts with the rank of its first 128 bytes, and those with
+a unique rank are dropped; a round pairs the rank with that of the 128 bytes behind, sorts the pairs, gives equal pairs
+one rank and drops the positions whose pair is unique, so that the ranks tell 256 bytes. Positions that are still not unique
+lie in a shared string of 256 bytes; where their shared strings pass the threshold is settled to the byte by whole reaches
+and, at their ends, window by window. Ranks are names: they need not keep the order of the strings, as only equality counts.
 """
 
 from __future__ import annotations

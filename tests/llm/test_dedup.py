@@ -269,3 +269,36 @@ def test_near_duplicate_defaults():
 
     names = inspect.signature(one_of_each_group).parameters
     assert (names["width"].default, names["percent"].default) == (5, 80)
+
+
+def test_registered_suffix_query_equals_brute_force(spark):
+    """Every row of the table, byte by byte: digests, counts and the removed spans."""
+    from linewatch.llm.queries import op6_suffix_dedup
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen, twice = set(), set()
+    for raw in texts.values():
+        for i in range(len(raw) - 399):
+            h = hash(raw[i : i + 400])
+            (twice if h in seen else seen).add(h)
+    rows = {r.doc_id: r for r in op6_suffix_dedup(spark, sf).collect()}
+    assert rows.keys() == texts.keys()
+    removed = 0
+    for doc, raw in texts.items():
+        gone, spans = 0, []
+        for i in range(len(raw) - 399):
+            if hash(raw[i : i + 400]) in twice:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + 400
+                else:
+                    spans.append([i, i + 400])
+        kept = bytearray(raw)
+        for a, z in reversed(spans):
+            del kept[a:z]
+            gone += z - a
+        r = rows[doc]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), gone, len(spans), hashlib.sha256(kept).hexdigest())
+        assert [[s.start, s.end] for s in r.removed] == spans
+        removed += gone
+    assert removed > 0
