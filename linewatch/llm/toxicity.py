@@ -139,15 +139,16 @@ def score_toxicity(
     ``with_document`` adds the struct ``document`` of all columns of ``docs``.
 
     Learns from labelled rows whose fold is not ``held_out``, at most ``max_training_rows`` of them (a hash sample). Three
-    quarters of the sample grow the trees and a quarter calibrates their margin. Null and empty texts are scored from
+    quarters of the sample give the lexicon and grow the trees, and a quarter calibrates their margin. Null and empty texts are scored from
     all-zero features. Repeated rows get a score each. Without labelled rows of both classes every score is 0.
     """
     carry = ["doc_id", "held_out"] + ["document"] * with_document
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * with_document)
     kept = rows.withColumn("held_out", fold(held_out_mod) == held_out)
     sample, path = stored(labelled_sample(rows, labels, "toxic", fold(held_out_mod) != held_out, max_training_rows), "toxicity-sample")
-    lexicon = learn_lexicon(sample, least_share, least_odds)
     sample = sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)))
+    # the quarter that calibrates is unseen in every step: its labels choose no words either
+    lexicon = learn_lexicon(sample.where("part <> 0"), least_share, least_odds)
     seen, feats_path = stored(with_features(sample, lexicon, "label", "part").repartition(task_partitions(docs.sparkSession)), "toxicity-fit")
     seen = seen.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))
     fit, check = seen.where("part != 0"), seen.where("part = 0")

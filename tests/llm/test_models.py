@@ -35,6 +35,17 @@ def test_held_out_accuracy(spark, score, label, least):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_scores_are_calibrated(spark):
+    """On held-out documents, the mean score of a band is near the share of toxic ones in it."""
+    sf = SF.replace("0.01", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = score_toxicity(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").select("score", "toxic").toPandas()
+    assert len(scored) > 300 and scored.toxic.sum() > 20
+    assert abs(scored.score.mean() - scored.toxic.mean()) < 0.03
+    error = sum(abs(b.score.mean() - b.toxic.mean()) * len(b) for _, b in scored.groupby((scored.score * 5).clip(upper=4).astype(int))) / len(scored)
+    assert error < 0.04
+
+
 @pytest.mark.parametrize("score", [score_toxicity, score_quality])
 def test_classifiers_handle_awkward_rows(spark, awkward, nothing, no_labels, score):
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 200").select("doc_id", "quality", "toxic", F.lit(1).alias("score"))
