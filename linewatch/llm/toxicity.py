@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -139,7 +140,8 @@ def score_toxicity(
     ``with_document`` adds the struct ``document`` of all columns of ``docs``.
 
     Learns from labelled rows whose fold is not ``held_out``, at most ``max_training_rows`` of them (a hash sample). Three
-    quarters of the sample give the lexicon and grow the trees, and a quarter calibrates their margin. Null and empty texts are scored from
+    quarters of the sample grow the trees and a quarter calibrates their margin; each quarter's features come from words that
+    the other quarters chose, and those of the scored rows from the whole sample's words. Null and empty texts are scored from
     all-zero features. Repeated rows get a score each. Without labelled rows of both classes every score is 0.
     """
     carry = ["doc_id", "held_out"] + ["document"] * with_document
@@ -147,9 +149,10 @@ def score_toxicity(
     kept = rows.withColumn("held_out", fold(held_out_mod) == held_out)
     sample, path = stored(labelled_sample(rows, labels, "toxic", fold(held_out_mod) != held_out, max_training_rows), "toxicity-sample")
     sample = sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)))
-    # the quarter that calibrates is unseen in every step: its labels choose no words either
-    lexicon = learn_lexicon(sample.where("part <> 0"), least_share, least_odds)
-    seen, feats_path = stored(with_features(sample, lexicon, "label", "part").repartition(task_partitions(docs.sparkSession)), "toxicity-fit")
+    lexicon = learn_lexicon(sample, least_share, least_odds)
+    # A row that trees or calibration learn from is seen as a new one would be: its own quarter chose none of its words.
+    others = [with_features(sample.where(F.col("part") == k), learn_lexicon(sample.where(F.col("part") != k), least_share, least_odds), "label", "part") for k in range(4)]
+    seen, feats_path = stored(reduce(DataFrame.unionByName, others).repartition(task_partitions(docs.sparkSession)), "toxicity-fit")
     seen = seen.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))
     fit, check = seen.where("part != 0"), seen.where("part = 0")
     classes = [{r["label"] for r in x.select("label").distinct().collect()} for x in (fit, check)]
