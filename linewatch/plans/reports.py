@@ -49,10 +49,19 @@ def ranked(df: DataFrame, *tie_breaks: Column | str) -> DataFrame:
     return df.withColumn("position", position).orderBy("position")
 
 
-def origin_report(traces: Sequence[DataFrame] | DataFrame) -> DataFrame:
-    """Stacked traces, most failures first, then station by number, then origin."""
+def station_number(strict: bool = False) -> Column:
+    """The station's name as a number: NULL for another text, or with ``strict`` an error that names the text."""
+    name = F.col("station_name")
+    if not strict:
+        return name.try_cast("int")
+    message = F.concat(F.lit("not a station number: "), name)
+    return F.when(name.isNotNull() & name.try_cast("int").isNull(), F.raise_error(message).cast("int")).otherwise(name.try_cast("int"))
+
+
+def origin_report(traces: Sequence[DataFrame] | DataFrame, strict: bool = False) -> DataFrame:
+    """Stacked traces, most failures first, then station by number, then origin. ``strict``: stations that are no numbers are an error."""
     df = traces if isinstance(traces, DataFrame) else combine_reports(traces)
-    station_num = F.col("station_name").try_cast("int")
+    station_num = station_number(strict)
     return ranked(df, station_num.asc_nulls_last(), "station_name", df.columns[-1])
 
 
@@ -289,11 +298,11 @@ def _origins(tables: LineTables, windows: Sequence[_Window]) -> list[DataFrame]:
     return out
 
 
-def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1) -> DataFrame:
-    """Failing units per (station, origin station) over all trace checks, most first."""
+def origin_trace_report(tables: LineTables, plan: LinePlan, as_of: datetime, hours: int = 1, strict: bool = False) -> DataFrame:
+    """Failing units per (station, origin station) over all trace checks, most first. ``strict``: see ``origin_report``."""
     if not plan.traces:
         raise ValueError("the plan has no trace checks")
-    return origin_report([t.drop("report") for t in _origins(tables, _one(plan, as_of, hours))])
+    return origin_report([t.drop("report") for t in _origins(tables, _one(plan, as_of, hours))], strict)
 
 
 def run_sections(tables: LineTables, reports: Sequence[Report], as_of: datetime, states: HourStates | None = None) -> DataFrame:
@@ -310,7 +319,7 @@ def run_sections(tables: LineTables, reports: Sequence[Report], as_of: datetime,
     df = combine_reports(parts)
     if "origin_station" not in df.columns:
         df = df.withColumn("origin_station", F.lit(None).cast("string"))
-    number = F.when(F.col("section") == "origin", F.col("station_name").try_cast("int"))
+    number = F.when(F.col("section") == "origin", station_number())
     order = by_count(number.asc_nulls_last(), "station_name", "parameter_name", "origin_station")
     position = F.row_number().over(Window.partitionBy("report", "section").orderBy(*order))
     reports_in_order = F.array_position(F.array(*[F.lit(r.name) for r in reports]), F.col("report"))

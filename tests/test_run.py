@@ -169,3 +169,14 @@ def test_reports_without_rows_are_published(spark):
     assert published_report(spark, out, "b", "parquet").collect() == []
     assert [r.n for r in published_report(spark, out, "a", "parquet").collect()] == [1]
     assert published_report(spark, out, "c", "parquet") is None
+
+
+def test_strict_station_numbers(spark):
+    from linewatch.plans.reports import origin_report
+
+    good = spark.createDataFrame([(2, "100", "o"), (2, "90", "o"), (3, None, "o"), (2, "8", "o")], "fail_count long, station_name string, origin_station string")
+    assert [r.station_name for r in origin_report(good, strict=True).collect()] == [None, "8", "90", "100"]
+    bad = good.unionByName(spark.createDataFrame([(1, "x9", "o")], good.schema))
+    assert origin_report(bad).count() == 5
+    with pytest.raises(Exception, match="not a station number: x9"):
+        origin_report(bad, strict=True).collect()
