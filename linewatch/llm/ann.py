@@ -2,12 +2,14 @@
 
 Vectors are lifted to one length, so that the largest inner product is the smallest angle, and each tree gives a vector a
 string of random-hyperplane bits. The rows are dealt over segments of bounded size; a segment keeps, for each tree, its rows
-sorted by their strings. A query descends to its longest matching prefix in every tree, and all trees then ascend one level
-at a time together, until the prefixes hold enough entries over the whole forest, and enough different rows.
+sorted by their strings. A query descends to its longest matching prefix in every tree, and all trees then ascend together, one level
+at a time and tree by tree on the last one, until the prefixes hold enough different rows over the whole forest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,22 +30,25 @@ def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 class Forest:
-    """The hash functions: ``trees`` strings of ``bits`` bits, from a seed."""
+    """The hash functions: ``trees`` strings of ``bits`` bits (32 at most), from a seed."""
 
     def __init__(self, dims: int, longest: float, trees: int, bits: int, seed: int):
         self.dims, self.longest, self.trees, self.bits, self.seed = dims, longest, trees, bits, seed
 
     def strings(self, x: np.ndarray, stored_rows: bool) -> np.ndarray:
         """trees x rows; stored rows get one more component that lifts them to the longest length, queries get zero there."""
-        planes = np.random.default_rng(self.seed).normal(size=(self.dims + 1, self.trees * self.bits))
+        rng = np.random.default_rng(self.seed)
         extra = np.sqrt(np.maximum(self.longest**2 - (x**2).sum(1), 0.0)) if stored_rows else np.zeros(len(x))
-        on = (np.column_stack([x, extra]) @ planes > 0).reshape(len(x), self.trees, self.bits)
-        return (on.astype(np.int64) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))).T
+        lifted, values = np.column_stack([x, extra]), (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+        out = np.empty((self.trees, len(x)), np.uint32)
+        for t in range(self.trees):
+            out[t] = (lifted @ rng.normal(size=(self.dims + 1, self.bits)) > 0).astype(np.int64) @ values
+        return out
 
     def ranges(self, sorted_strings: np.ndarray, query: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places in one tree's sorted array that share the first ``level`` bits with each query's string."""
         shift = self.bits - level
-        low = query >> shift << shift
+        low = query.astype(np.int64) >> shift << shift
         return np.searchsorted(sorted_strings, low), np.searchsorted(sorted_strings, low + (np.int64(1) << shift))
 
     def shared(self, differing: np.ndarray) -> np.ndarray:
@@ -51,13 +56,55 @@ class Forest:
         return self.bits - np.frexp(differing.astype(float))[1]
 
 
+class Segment:
+    """A stored segment: its rows by vec_id, and for each tree their strings, and their places sorted by string."""
+
+    SCHEMA = "segment int, ids binary, vecs binary, strings binary, places binary"
+
+    def __init__(self, table: pa.Table, dims: int, trees: int):
+        row = {c: table.column(c)[0].as_buffer() for c in ("ids", "vecs", "strings", "places")}
+        self.ids, self.x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vecs"]).reshape(-1, dims)
+        self.strings, self.places = (np.frombuffer(row[c], kind).reshape(trees, -1) for c, kind in (("strings", np.uint32), ("places", np.int32)))
+
+    @staticmethod
+    def packed(table: pa.Table, forest: Forest) -> pa.Table:
+        order = np.argsort(table.column("vec_id").to_numpy())
+        ids, x = table.column("vec_id").to_numpy()[order], matrix(table.column("vec"), forest.dims)[order]
+        strings = forest.strings(x, True)
+        places = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
+        columns = {n: pa.array([v.tobytes()], pa.binary()) for n, v in (("ids", ids), ("vecs", x), ("strings", strings), ("places", places))}
+        return pa.table({"segment": table.column("segment")[:1], **columns})
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows with one vector, summed in component order: equal rows get equal numbers."""
+    out = np.zeros(len(x))
+    for j, c in enumerate(q):
+        out += x[:, j] * c
+    return out
+
+
+def best_of(x: np.ndarray, ids: np.ndarray, near: np.ndarray, rough: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and products of the ``k`` best of the places ``near``, ties to the smaller id.
+
+    ``rough`` are products of all places, summed in any order. Either sum is off by less than (components) x 2**-53 x (the sum
+    of the products' sizes), so whatever can be among the best stays for the exact order.
+    """
+    if len(near) > k:
+        off = 4 * len(q) * 2.0**-53 * float((np.abs(x[near]) @ np.abs(q)).max())
+        near = near[rough[near] >= np.partition(rough[near], len(near) - k)[len(near) - k] - off]
+    score = products(x[near], q)
+    first = np.lexsort((ids[near], -score))[:k]
+    return ids[near][first], score[first]
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    trees: int = 16,
-    bits: int = 24,
-    candidate_share: float = 1.2,
+    trees: int = 64,
+    bits: int = 32,
+    candidate_share: float = 0.65,
     least_candidates: int = 10,
     segment_rows: int = 4096,
     query_rows: int = 2048,
@@ -69,11 +116,12 @@ def nearest(
 
     ``vectors`` and ``queries`` have the columns ``key`` and ``vector``. Vectors that are null, zero or hold null or
     non-finite components take no part, nor do those without the most frequent number of components (the smallest such
-    number in a tie). A query's own row is no candidate; rows that repeat a vec_id count as one with it. The ascent stops
-    when the prefixes of all trees together hold ``candidate_share`` times as many entries as there are rows (entries of
-    different trees may be the same row) and ``least_candidates`` * ``k`` different rows, or all rows where there are fewer.
-    Queries meet segments in blocks of ``query_rows`` by ``segment_rows``. Scores are
-    sums of products in double precision, in component order.
+    number in a tie). A query's own row is no candidate; rows that repeat a vec_id count as one with it.
+
+    The ascent goes level by level through all trees, and on its last level through as many of them as it takes for the prefixes to
+    hold about ``candidate_share`` of all rows; it holds ``least_candidates`` * ``k`` different rows at least, or all rows where
+    there are fewer. A segment's strings and sorted arrays are made once and stored; queries meet segments in blocks of
+    ``query_rows`` by ``segment_rows``. Scores are sums of products in double precision, in component order.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
@@ -87,81 +135,72 @@ def nearest(
     forest = Forest(dims, found["longest"], trees, bits, seed)
     segments = max(1, -(-total // segment_rows))
     blocks = max(1, -(-asked.count() // query_rows))
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored_side = rows.select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(segments)).cast("int").alias("segment"), everywhere(blocks).alias("block"))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
-    asked_side = lambda more=(): dealt.select("vec_id", "vec", "block", *more, everywhere(segments).alias("segment"))
+    everywhere = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    dealt = rows.withColumn("segment", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(segments)).cast("int"))
+    stored_segments, _ = stored(dealt.groupBy("segment").applyInArrow(lambda t: Segment.packed(t, forest), Segment.SCHEMA), "ann-segments")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own = np.ascontiguousarray(forest.strings(matrix(pa.chunked_array([b.column("vec")]), dims), False).T)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in own], pa.binary())], names=[*b.schema.names, "strings"])
+
+    placed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
+    stored_queries, _ = stored(placed.mapInArrow(hashed, "vec_id long, vec array<double>, block int, strings binary"), "ann-queries")
+    pair = ["segment", "block"]
+    segment_side = stored_segments.select("*", everywhere(blocks, "block")).groupBy(*pair)
+
+    def own_strings(right: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(right.column("strings").to_pylist()), np.uint32).reshape(-1, trees)
 
     def held(left: pa.Table, right: pa.Table) -> pa.Table:
-        """For each query: how many entries of the segment share each prefix length with it over all trees, and how many
-        different rows do in any tree; without the query's own row."""
-        q = matrix(right.column("vec"), dims)
-        counts, distinct = np.zeros((2, len(q), bits + 1), np.int64)
-        if len(q) and left.num_rows:
-            ids, levels = left.column("vec_id").to_numpy(), np.arange(bits + 1)
-            own, other = forest.strings(q, False), forest.strings(matrix(left.column("vec"), dims), True)
-            for t in range(trees):
-                array = np.sort(other[t])
-                for level in range(bits + 1):
-                    low, high = forest.ranges(array, own[t], np.int64(level))
-                    counts[:, level] += high - low
-            for i, query in enumerate(right.column("vec_id").to_pylist()):
-                nearest_string = other[0] ^ own[0, i]
-                for t in range(1, trees):
-                    np.minimum(nearest_string, other[t] ^ own[t, i], out=nearest_string)
-                itself = ids == query
-                deepest = np.bincount(forest.shared(nearest_string[~itself]), minlength=bits + 1)
+        """For each query: how many rows of the segment share each prefix length with it in some tree; not its own row."""
+        distinct = np.zeros((right.num_rows, bits + 1), np.int64)
+        if left.num_rows:
+            segment = Segment(left, dims, trees)
+            for i, (query, own) in enumerate(zip(right.column("vec_id").to_pylist(), own_strings(right))):
+                closest = (segment.strings ^ own[:, None]).min(axis=0)
+                deepest = np.bincount(forest.shared(closest[segment.ids != query]), minlength=bits + 1)
                 distinct[i] = deepest[::-1].cumsum()[::-1]
-                for place in np.flatnonzero(itself):
-                    counts[i] -= (levels <= forest.shared(other[:, place] ^ own[:, i])[:, None]).sum(0)
-        columns = {n: pa.array(c.tolist(), pa.list_(pa.int64())) for n, c in (("counts", counts), ("distinct_rows", distinct))}
-        return pa.table({"vec_id": right.column("vec_id"), **columns})
+        return pa.table({"vec_id": right.column("vec_id"), "held": pa.array(distinct.tolist(), pa.list_(pa.int64()))})
 
-    pair = ["segment", "block"]
-    counted = stored_side.groupBy(*pair).cogroup(asked_side().groupBy(*pair)).applyInArrow(held, "vec_id long, counts array<long>, distinct_rows array<long>")
-    enough = int(candidate_share * total)
-    each = (F.sum(F.col(name)[i]).alias(f"{short}{i}") for name, short in (("counts", "c"), ("distinct_rows", "d")) for i in range(bits + 1))
-    sums = counted.groupBy("vec_id").agg(*each)
-    least = F.least(F.lit(max(1, least_candidates) * k), F.col("d0"))  # every row shares the empty prefix
-    depth = F.greatest(*(F.when((F.col(f"c{i}") >= enough) & (F.col(f"d{i}") >= least), i).otherwise(0) for i in range(bits + 1)))
-    levels, _ = stored(sums.select("vec_id", depth.alias("level")), "ann-levels")
-    dealt = dealt.join(levels, "vec_id")
+    counted = segment_side.cogroup(stored_queries.select("vec_id", "strings", "block", everywhere(segments, "segment")).groupBy(*pair)).applyInArrow(
+        held, "vec_id long, held array<long>"
+    )
+    sums = counted.groupBy("vec_id").agg(F.array(*(F.sum(F.col("held")[i]) for i in range(bits + 1))).alias("d"))
+    deepest_with = lambda n: F.greatest(*(F.when(F.col("d")[i] >= n, i).otherwise(0) for i in range(bits + 1)))
+    enough = F.ceil(F.col("d")[0] * candidate_share)
+    least = F.least(F.lit(max(1, least_candidates) * k), F.col("d")[0])  # every row shares the empty prefix
+    leveled = sums.withColumns({"level": deepest_with(enough), "least_level": deepest_with(least)})
+    deeper = F.coalesce(F.get("d", F.col("level") + 1), F.lit(0))
+    # rows that each tree adds grow fewer from tree to tree, so this many trees hold what is asked for, or somewhat more
+    part = F.ceil(trees * (enough - deeper) / F.greatest(F.get("d", "level") - deeper, F.lit(1))).cast("int")
+    levels, _ = stored(leveled.select("vec_id", "level", "least_level", part.alias("part")), "ann-levels")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The segment's best candidates of each query, a few more than ``k`` for ties that rounding may hide."""
-        out = ([], [])
-        q, x = matrix(right.column("vec"), dims), matrix(left.column("vec"), dims)
-        if len(q) and len(x):
-            ids = left.column("vec_id").to_numpy()
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order]
-            own, other = forest.strings(q, False), forest.strings(x, True)
-            level = right.column("level").to_numpy().astype(np.int64)
-            trees_of = []
+        """The segment's ``k`` best candidates of each query."""
+        out: tuple[list, list, list] = ([], [], [])
+        if left.num_rows and right.num_rows:
+            segment, q, own = Segment(left, dims, trees), matrix(right.column("vec"), dims), own_strings(right)
+            level, least_level, part = (right.column(c).to_numpy().astype(np.int64) for c in ("level", "least_level", "part"))
+            spans = []
             for t in range(trees):
-                places = np.argsort(other[t], kind="stable")
-                trees_of.append((places, *forest.ranges(other[t][places], own[t], level)))
+                to = np.minimum(least_level, level + (t >= part))
+                spans.append(forest.ranges(segment.strings[t][segment.places[t]], own[:, t], np.minimum(to, bits)))
+            rough = segment.x @ q.T
             for i, query in enumerate(right.column("vec_id").to_pylist()):
-                hit = np.zeros(len(x), bool)
-                for places, low, high in trees_of:
+                hit = np.zeros(len(segment.ids), bool)
+                for places, (low, high) in zip(segment.places, spans):
                     hit[places[low[i] : high[i]]] = True
-                near = np.flatnonzero(hit & (ids != query))
-                if not len(near):
-                    continue
-                score = np.round(x[near] @ q[i], 12)
-                if len(near) > k + 5:
-                    least = np.partition(score, len(score) - k - 5)[len(score) - k - 5]
-                    near, score = near[score >= least], score[score >= least]
-                best = near[np.lexsort((ids[near], -score))][: k + 5]
-                out[0].extend([query] * len(best))
-                out[1].extend(ids[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64())})
-
-    hits = stored_side.groupBy(*pair).cogroup(asked_side(("level",)).groupBy(*pair)).applyInArrow(search, "query_id long, vec_id long")
-    scored = (
-        hits.join(rows, "vec_id")
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")), "query_id")
-        .select("query_id", "vec_id", F.aggregate(F.zip_with("query", "vec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
-    )
+                near = np.flatnonzero(hit & (segment.ids != query))
+                ids, score = best_of(segment.x, segment.ids, near, rough[:, i], q[i], k)
+                out[0].extend([query] * len(ids))
+                out[1].extend(ids.tolist())
+                out[2].extend(score.tolist())
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    asked_side = stored_queries.join(levels, "vec_id").select("*", everywhere(segments, "segment")).groupBy(*pair)
+    hits = segment_side.cogroup(asked_side).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
