@@ -23,6 +23,8 @@ from linewatch.llm.pretokens import UnitCache, encode_each
 
 #: Rows of the offsets table that may be broadcast (about 40 bytes a row).
 MOST_BROADCAST_ROWS = 1_000_000
+#: Sources that a mixture can have: the driver holds a number for each, and the schedule's work grows with their square.
+MOST_SOURCES = 10_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -45,7 +47,12 @@ class TokenizerFile:
             spec = json.load(f)
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         chars = byte_characters()
-        ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+        vocab = spec["model"]["vocab"]
+        # merged in the order of the ids, which is only right if the file's merges come in that order
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError(f"{path}: the order of its merges is not that of its ids")
+        ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if t not in added}
         self.code = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
         self.added = list(added)
         self.kind = "H" if max([*ranks.values(), *added.values()]) < 1 << 16 else "I"
@@ -172,12 +179,15 @@ def pack(
     ``docs`` has doc_id, text and source. ``mixture`` gives sources target weights; without it the target is each
     source's share of all tokens, so that all queues end together. With a mixture, queues that end early leave their share
     to the others; every token is still packed once. Null texts count as empty (one end token); a null source is the
-    source ''. The driver holds one number per source and nothing per document.
+    source ''. The driver holds one number per source, of which there can be ``MOST_SOURCES``, and nothing per document.
     """
     tokens = token_queues(docs, path, pattern, end_id)
     totals = tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     bases = totals.withColumn("base", F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).select("queue", "part", "base")
-    lengths = {r["queue"]: r["tokens"] for r in totals.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
+    per_source = totals.groupBy("queue").agg(F.sum("tokens").alias("tokens")).limit(MOST_SOURCES + 1).collect()
+    if len(per_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: map them to fewer, such as sites or kinds of text, before packing")
+    lengths = {r["queue"]: r["tokens"] for r in per_source}
     if mixture is None:
         weights = {s: n // quantum for s, n in lengths.items()}
     else:

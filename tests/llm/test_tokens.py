@@ -140,6 +140,26 @@ def test_turns_are_a_permutation_beyond_64_bits():
         Schedule(lengths, lengths, 10, 64)
 
 
+def test_merges_out_of_order_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(FILE, encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    (tmp_path / "odd.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="order of its merges"):
+        TokenizerFile(str(tmp_path / "odd.json"), P.PATTERN)
+
+
+def test_too_many_sources_are_named(spark, monkeypatch):
+    from linewatch.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        pack(docs, FILE, P.PATTERN)
+    assert pack(docs.where("doc_id < 3"), FILE, P.PATTERN).select("doc_id").distinct().count() == 3
+
+
 def edited(texts):
     out = []
     for i, t in enumerate(texts):
