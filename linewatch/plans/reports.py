@@ -219,8 +219,9 @@ def _stacked(frames: _Frames) -> DataFrame:
         # The test is an aggregate over the tag rather than a filter on it: that would be pushed below the record
         # aggregation, and every reader would have a scan of its own.
         flagged = frames.fused.groupBy("_check", "station_name", "parameter_name").agg(F.max(COUNT).alias(COUNT), F.max(_kind("n")).alias("_keep"))
-        rows.append(flagged.where("_keep").drop("_keep"))
-    return combine_reports(rows).withColumn("report", _report()).drop("_check")
+        rows.append(flagged.where("_keep"))
+    stacked = combine_reports([r.select("_check", COUNT, "station_name", *[c for c in ("parameter_name", "alarm_description") if c in r.columns]) for r in rows])
+    return stacked.withColumn("report", _report()).drop("_check")
 
 
 def _fail_counts(frames: _Frames) -> DataFrame:
