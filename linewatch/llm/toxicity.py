@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewatch.llm.common import drop_stored, fold, labelled_sample, schema_of, slices, stored, task_partitions, text_and, texts_of, whole_row
@@ -98,29 +98,51 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *carry: str) -> Da
     return docs.select(*text_and(carry)).mapInArrow(run, schema_of(docs, list(carry), "features array<double>"))
 
 
-def learn_lexicon(sample: DataFrame, least_share: float, least_odds: float) -> dict[str, float]:
-    """Words, and word beginnings (written with a star), far more frequent in documents of label 1, with their log odds.
+#: Parts of the sample; part 0 calibrates, the others grow the trees.
+PARTS = 4
 
-    A term stays if a share ``least_share`` of the toxic documents has it, and its odds are ``least_odds``. As a document
-    has a limited number of different words, the share bounds how many terms can stay (words a document / least_share).
+
+def learn_lexicons(sample: DataFrame, least_share: float, least_odds: float) -> dict[int | None, dict[str, float]]:
+    """Lexicons of the whole sample (None) and of the sample without each part (``part`` of the rows), from one pass.
+
+    A lexicon holds words, and word beginnings (written with a star), far more frequent in documents of label 1, with their
+    log odds. A term stays if a share ``least_share`` of the toxic documents has it, and its odds are ``least_odds``. As a
+    document has a limited number of different words, the share bounds how many terms can stay (words a document / least_share).
+    Without documents of both labels a lexicon is empty.
     """
-    n1, n0 = (sample.where(F.col("label") == v).count() for v in (1, 0))
-    if not n1 or not n0:
-        return {}
+    rows = {(r["part"], r["label"]): r["count"] for r in sample.groupBy("part", "label").count().collect()}
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}+)', 1)"))
     stems = [
         F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS
     ]
+    sums = [F.sum(F.when((F.col("part") == p) & (F.col("label") == v), 1).otherwise(0)).alias(f"n{p}_{v}") for p in range(PARTS) for v in (0, 1)]
     counts = (
-        sample.select("label", words.alias("words"))
-        .select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
+        sample.select("part", "label", words.alias("words"))
+        .select("part", "label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
         .groupBy("term")
-        .agg(F.sum("label").alias("k1"), F.sum(1 - F.col("label")).alias("k0"))
-        .where(F.col("k1") >= max(3, math.ceil(least_share * n1)))
-        .withColumn("odds", (F.col("k1") / n1) / ((F.col("k0") + 1) / n0))
-        .where(F.col("odds") >= least_odds)
+        .agg(*sums)
     )
-    return {r["term"]: math.log(r["odds"]) for r in counts.collect()}
+
+    def without(left: int | None) -> tuple[Column, Column] | None:
+        """The test and the odds of a term in the sample without a part."""
+        kept = [p for p in range(PARTS) if p != left]
+        n1, n0 = (sum(rows.get((p, v), 0) for p in kept) for v in (1, 0))
+        if not n1 or not n0:
+            return None
+        k1, k0 = (reduce(lambda a, b: a + b, [F.col(f"n{p}_{v}") for p in kept]) for v in (1, 0))
+        odds = (k1 / n1) / ((k0 + 1) / n0)
+        return (k1 >= max(3, math.ceil(least_share * n1))) & (odds >= least_odds), odds
+
+    wanted = {left: got for left in (None, *range(PARTS)) if (got := without(left)) is not None}
+    lexicons: dict[int | None, dict[str, float]] = {left: {} for left in (None, *range(PARTS))}
+    if wanted:
+        names = {left: f"odds{'' if left is None else left}" for left in wanted}
+        chosen = counts.select("term", *[F.when(test, odds).alias(names[left]) for left, (test, odds) in wanted.items()])
+        for r in chosen.where(F.coalesce(*names.values()).isNotNull()).collect():
+            for left, name in names.items():
+                if r[name] is not None:
+                    lexicons[left][r["term"]] = math.log(r[name])
+    return lexicons
 
 
 def score_toxicity(
@@ -148,15 +170,15 @@ def score_toxicity(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * with_document)
     kept = rows.withColumn("held_out", fold(held_out_mod) == held_out)
     sample, path = stored(labelled_sample(rows, labels, "toxic", fold(held_out_mod) != held_out, max_training_rows), "toxicity-sample")
-    sample = sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)))
-    lexicon = learn_lexicon(sample, least_share, least_odds)
-    # A row that trees or calibration learn from is seen as a new one would be: its own quarter chose none of its words.
-    others = [with_features(sample.where(F.col("part") == k), learn_lexicon(sample.where(F.col("part") != k), least_share, least_odds), "label", "part") for k in range(4)]
+    sample = sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PARTS)).cast("int"))
+    lexicons = learn_lexicons(sample, least_share, least_odds)
+    # A row that trees or calibration learn from is seen as a new one would be: its own part chose none of its words.
+    others = [with_features(sample.where(F.col("part") == p), lexicons[p], "label", "part") for p in range(PARTS)]
     seen, feats_path = stored(reduce(DataFrame.unionByName, others).repartition(task_partitions(docs.sparkSession)), "toxicity-fit")
     seen = seen.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))
     fit, check = seen.where("part != 0"), seen.where("part = 0")
     classes = [{r["label"] for r in x.select("label").distinct().collect()} for x in (fit, check)]
-    scored = with_features(kept, lexicon, *carry).select(*carry, array_to_vector("features").alias("features"))
+    scored = with_features(kept, lexicons[None], *carry).select(*carry, array_to_vector("features").alias("features"))
     if classes == [{0.0, 1.0}] * 2:
         boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=7).setRawPredictionCol("raw").fit(fit)
         margin = vector_to_array("raw")[1].alias("margin")
