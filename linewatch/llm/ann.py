@@ -84,15 +84,17 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(x: np.ndarray, ids: np.ndarray, near: np.ndarray, rough: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(x: np.ndarray, ids: np.ndarray, near: np.ndarray, rough: np.ndarray, q: np.ndarray, k: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
     """The ids and products of the ``k`` best of the places ``near``, ties to the smaller id.
 
     ``rough`` are products of all places, summed in any order. Either sum is off by less than (components) x 2**-53 x (the sum
-    of the products' sizes), so whatever can be among the best stays for the exact order.
+    of the products' sizes, at most ``longest`` times the query's length), so whatever can be among the best stays for the
+    exact order.
     """
     if len(near) > k:
-        off = 4 * len(q) * 2.0**-53 * float((np.abs(x[near]) @ np.abs(q)).max())
-        near = near[rough[near] >= np.partition(rough[near], len(near) - k)[len(near) - k] - off]
+        off = 4 * len(q) * 2.0**-53 * longest * float(np.sqrt(q @ q))
+        about = rough[near]
+        near = near[about >= np.partition(about, len(near) - k)[len(near) - k] - off]
     score = products(x[near], q)
     first = np.lexsort((ids[near], -score))[:k]
     return ids[near][first], score[first]
@@ -188,13 +190,13 @@ def nearest(
             for t in range(trees):
                 to = np.minimum(least_level, level + (t >= part))
                 spans.append(forest.ranges(segment.strings[t][segment.places[t]], own[:, t], np.minimum(to, bits)))
-            rough = segment.x @ q.T
+            rough = q @ segment.x.T
             for i, query in enumerate(right.column("vec_id").to_pylist()):
                 hit = np.zeros(len(segment.ids), bool)
                 for places, (low, high) in zip(segment.places, spans):
                     hit[places[low[i] : high[i]]] = True
                 near = np.flatnonzero(hit & (segment.ids != query))
-                ids, score = best_of(segment.x, segment.ids, near, rough[:, i], q[i], k)
+                ids, score = best_of(segment.x, segment.ids, near, rough[i], q[i], k, forest.longest)
                 out[0].extend([query] * len(ids))
                 out[1].extend(ids.tolist())
                 out[2].extend(score.tolist())
