@@ -352,7 +352,7 @@ def test_registration():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and {"op2_ngram_join", "op3_substring_dedup"} <= set(entry.oracle_sql())
 
 
