@@ -112,9 +112,12 @@ def learn_lexicons(sample: DataFrame, least_share: float, least_odds: float) ->
     """
     rows = {(r["part"], r["label"]): r["count"] for r in sample.groupBy("part", "label").count().collect()}
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}+)', 1)"))
-    stems = [
-        F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS
-    ]
+
+    def begun(n: int) -> Column:
+        # lambdas of one argument: a second one, with a default too, would be the word's place in the array
+        return F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    stems = [begun(n) for n in STEMS]
     sums = [F.sum(F.when((F.col("part") == p) & (F.col("label") == v), 1).otherwise(0)).alias(f"n{p}_{v}") for p in range(PARTS) for v in (0, 1)]
     counts = (
         sample.select("part", "label", words.alias("words"))

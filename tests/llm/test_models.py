@@ -11,7 +11,7 @@ from linewatch.llm.ann import nearest
 from linewatch.llm.common import fold
 from linewatch.llm.lm_scoring import pack_counts, pack_names, score_word_cross_entropy, unpack_counts, unpack_names
 from linewatch.llm.quality import STATISTICS, QuadraticDiscriminant, document_statistics, fit_logistic, score_quality
-from linewatch.llm.toxicity import FEATURES, Weights, score_toxicity, text_features
+from linewatch.llm.toxicity import FEATURES, PARTS, STEMS, Weights, learn_lexicons, score_toxicity, text_features
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,6 +66,18 @@ def test_features_see_obfuscated_and_addressed_insults():
     assert all(map(math.isfinite, text_features("\n", weights)))
 
 
+def test_lexicon_holds_word_beginnings(spark):
+    """Words that no two toxic documents share count by their beginnings, wherever they stand; one clean document has one by chance."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    toxic = [(i % PARTS, 1, f"the {'so ' * (i % 5)}grumble{letters[i]}x of it") for i in range(20)]
+    clean = [(i % PARTS, 0, f"the {'so ' * (i % 5)}calm{letters[i % 26]}x of it{' grumbled' if i == 7 else ''}") for i in range(60)]
+    rows = spark.createDataFrame(toxic + clean, "part int, label int, text string").repartition(3)
+    for left, lexicon in learn_lexicons(rows, 0.004, 10.0).items():
+        n1, n0, k0 = (20, 60, 1) if left is None else (15, 45, int(left != 7 % PARTS))
+        assert set(lexicon) == {f"{'grumble'[:n]}*" for n in STEMS}
+        assert all(math.isclose(w, math.log((n1 / n1) / ((k0 + 1) / n0))) for w in lexicon.values())
+
+
 def test_discriminant_equals_gaussian_densities():
     rng = np.random.default_rng(0)
     d = len(STATISTICS)
