@@ -10,11 +10,16 @@ similar set agrees with it within its level. So
 * how many segments are flexible is chosen for a band by cost, and a probe spends its spare levels by cost too: it skips the
   segments with the fewest tokens, whose subsets are the least telling, and buys more skips with level 1.
 
-Candidates share a key; they are verified exactly, but groups of many similar sets are not paired off. First every key's sets
-are verified against the key's hub, the set with the most shared keys, which joins most of a group of near copies. Candidate
-groups (sets chained by keys) that are still in several components are then cut in blocks; a task compares the sets outside
-the group's largest component with all sets of two blocks by matrix products, and hands over a spanning forest of the links
-that it finds and not the links themselves.
+Candidates share a key that one files and the other probes; they are verified exactly, but groups of many similar sets are not
+paired off. First every key's sets are verified against the key's hub, the set with the most shared keys, which joins most of a
+group of near copies. Then the other candidates that are still in different components:
+
+* most keys chain sets that have little in common, more so the larger the table (many sets have an empty segment, and it takes
+  one probe to chain them all). Their candidates are verified pair by pair, and before that by sketches, which tell most
+  chance candidates apart at a few bytes;
+* keys with very many pairs are those of large groups of near copies. Groups chained by such keys alone, if still in several
+  components, are cut in blocks; a task compares a block of the sets outside the group's largest component with one other block
+  by matrix products, and hands over a spanning forest of the links that it finds and not the links themselves.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ from linewatch.llm.repeats import WordCodes, identified
 
 RECORD = np.dtype([KEY, ("set", "<i8"), ("size", "<u4"), ("role", "u1"), MANY])
 INDEX, PROBE = 1, 2
+#: Parts of the hash range that a sketch counts.
+PARTS = 128
+#: Sets of a block; and pairs for each row that a key's sets would be sent as in blocks, from which on they are.
+BLOCK, PAIRS = 768, 16
 
 
 def shingle_hashes(text: str | None, width: int, codes: WordCodes) -> np.ndarray:
@@ -60,6 +69,12 @@ def set_name(hashes: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(hashes.tobytes()) | 1) - (1 << 63)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes fall in each of ``PARTS`` equal parts of their range, 255 at most."""
+    part = (hashes >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 class Bands:
     """Size bands and, for each, its segments and flexible segments. ``percent``: two sets link at this Jaccard similarity."""
 
@@ -169,16 +184,17 @@ def distinct_pairs(r: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row, set (the name of the row's shingle set, 0 if empty) and size, for every row."""
+    """doc_id, row, set (the name of the row's shingle set, 0 if empty), its size and sketch, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for b in batches:
             sets = [shingle_hashes(t.as_py(), width, codes) for t in b.column("text")]
             names, sizes = pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), names, sizes], names=["doc_id", "row", "set", "size"])
+            columns = [b.column("doc_id"), b.column("row"), names, sizes, pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "set", "size", "sketch"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, set long, size long")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, set long, size long, sketch binary")
 
 
 def shared_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -215,11 +231,56 @@ def compatible(a: str, b: str, percent: int):
     return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
 
 
+def candidates(keys: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets a, b to be verified one by one (``star``: one is the hub of a key of both), and the stars a, b of the keys
+    that have too many pairs for that."""
+    shares = keys.groupBy("set").agg(F.count("*").alias("shared"))
+    ranked = keys.join(shares, "set").select("key", "set", "size", "role", F.struct("shared", -F.col("set")).alias("rank"))
+    is_filed, is_probed = (F.col("role").bitwiseAND(F.lit(r)) > 0 for r in (INDEX, PROBE))
+    per_key = ranked.groupBy("key").agg(
+        F.max_by(F.struct("set", "size"), "rank").alias("hub"), F.count_if(is_filed).alias("filed"), F.count_if(is_probed).alias("probed")
+    )
+    sets = F.col("filed") + F.col("probed")
+    crowded = F.col("filed") * F.col("probed") > PAIRS * sets * F.ceil(sets / BLOCK)
+    held = per_key.select("key", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"), crowded.alias("crowded"))
+    keyed, _ = stored(keys.join(held, "key"), "join-keyed")
+
+    star = keyed.where("set != hub").select(F.col("hub").alias("x"), F.col("hub_size").alias("m"), F.col("set").alias("y"), F.col("size").alias("n"), F.lit(True).alias("star"))
+    filed = keyed.where(~F.col("crowded") & is_filed).select("key", F.col("set").alias("x"), F.col("size").alias("m"))
+    probed = keyed.where(~F.col("crowded") & is_probed).select("key", F.col("set").alias("y"), F.col("size").alias("n"))
+    others = filed.join(probed, "key").where("x != y").select("x", "m", "y", "n", F.lit(False).alias("star"))
+    both = star.unionByName(others).where(compatible("m", "n", percent))
+    pairs = both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("star").alias("star"))
+    return pairs, keyed.where("crowded and set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, star) whose sketches allow a link. ``names`` has set, size and sketch.
+
+    Two sets differ in as many tokens as their sketches differ by in all parts, or more; so no linked pair is lost.
+    """
+    left, right = (names.select(F.col("set").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(f"sketch_{s}").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for s in "ab")
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            size = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
+            some = pa.array((100 + percent) * apart <= (100 - percent) * size)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "star")], names=["a", "b", "star"]).filter(some)
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, star boolean")
+
+
 def set_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, row, set, size), and links a, b between different sets that leave no similar sets in two components."""
     rows, _ = stored(shingled(docs, width), "join-rows")
     keys, _ = stored(shared_keys(docs, width, percent), "join-keys")
-    named = keys.select("set").distinct().join(rows.groupBy("set").agg(F.min("row").alias("row")), "set").select("row")
+    pairs, crowds = candidates(keys, percent)
+    one = rows.groupBy("set").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    names, _ = stored(keys.select("set").distinct().join(one, "set"), "join-names")
+    near, _ = stored(likely(pairs, names, percent), "join-near")
+    groups = connected_components(crowds).select(F.col("node").alias("set"), F.col("root").alias("group"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -228,46 +289,46 @@ def set_links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
             columns = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["set", "hashes"])
 
-    wanted = docs.select("row", "text").join(named, "row", "left_semi").select("text")
+    asked = near.select(F.explode(F.array("a", "b")).alias("set")).unionByName(groups.select("set")).distinct()
+    wanted = docs.select("row", "text").join(names.join(asked, "set").select("row"), "row", "left_semi").select("text")
     sets, _ = stored(wanted.mapInArrow(hashes, "set long, hashes array<long>").dropDuplicates(["set"]), "join-sets")
 
-    # hubs: of a key's sets, the one with the most shared keys
-    shares = keys.groupBy("set").agg(F.count("*").alias("shared"))
-    ranked = keys.join(shares, "set").select("key", "set", "size", F.struct("shared", -F.col("set")).alias("rank"))
-    hubs = ranked.groupBy("key").agg(F.max_by(F.struct("set", "size"), "rank").alias("hub")).select("key", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"))
-    star = keys.join(hubs, "key").where("set != hub").select("hub", "hub_size", "set", "size").distinct()
-    star, _ = stored(star, "join-star")
-    near = star.where(compatible("size", "hub_size", percent)).select(F.col("hub").alias("a"), F.col("set").alias("b"))
-    first, _ = stored(verified(near, sets, percent).where("linked").select("a", "b"), "join-first")
+    first, _ = stored(verified(near.where("star"), sets, percent).where("linked").select("a", "b"), "join-first")
     roots = connected_components(first).select(F.col("node").alias("set"), "root")
-    groups = connected_components(star.select(F.col("hub").alias("a"), F.col("set").alias("b"))).select(F.col("node").alias("set"), F.col("root").alias("group"))
-    second = group_links(groups.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), sets, percent)
-    links, _ = stored(first.unionByName(second), "join-links")
+    left, right = (roots.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
+    apart = near.where(~F.col("star")).join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    second = verified(apart.select("a", "b"), sets, percent).where("linked").select("a", "b")
+    third = group_links(groups.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), sets, percent)
+    links, _ = stored(first.unionByName(second).unionByName(third), "join-links")
     return rows, links
 
 
-def group_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = 768) -> DataFrame:
+def group_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links a, b that join the components (``root``) of every candidate ``group`` of sets as far as they have any link.
 
-    A group whose sets are all in one component is left alone. Else the group is cut in blocks of about ``block`` sets, and each
-    pair of blocks is one unit of work: its sets outside the group's largest component against all its sets.
+    A group whose sets are all in one component is left alone. Else the sets of its largest component and the others are cut
+    in blocks of about ``block`` sets. A block of the others against one like it, itself included, or one of the largest
+    component is one unit of work.
     """
     placed, _ = stored(placed.select("set", "group", "root"), "join-placed")
     sizes = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("roots")).where("roots > 1")
+    main = sizes.groupBy("group").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("settled_n"), F.sum("n").alias("total"), F.count("*").alias("roots")
+    ).where("roots > 1")
     main, _ = stored(main, "join-main")  # a plain shuffle on both sides of the join lets Spark split a large group
-    blocks = F.ceil(F.col("total") / block).cast("int")
+    open_blocks = F.ceil((F.col("total") - F.col("settled_n")) / block).cast("int")
+    blocks = open_blocks + F.ceil(F.col("settled_n") / block).cast("int")  # those of the largest component come last
+    settled, spot = F.col("root") == F.col("main"), F.xxhash64("set")
     dealt = (
         placed.join(main, "group")
-        .withColumn("own", F.pmod(F.xxhash64("set"), blocks).cast("int"))
-        .select("set", "group", "root", (F.col("root") == F.col("main")).alias("settled"), "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-        .select("set", "group", "root", "settled", "low", "high", "own")
+        .withColumn("own", F.when(settled, open_blocks + F.pmod(spot, blocks - open_blocks)).otherwise(F.pmod(spot, open_blocks)).cast("int"))
+        .select("set", "group", "root", "own", F.explode(F.sequence(F.lit(0), F.when(settled, open_blocks).otherwise(blocks) - 1)).alias("other"))
+        .select("set", "group", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         hashes = [np.asarray(h.values, dtype=np.int64) for h in table.column("hashes")]
-        own, settled = table.column("own").to_numpy(), table.column("settled").to_numpy(zero_copy_only=False)
+        own = table.column("own").to_numpy()
         names, roots = table.column("set").to_pylist(), table.column("root").to_pylist()
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         joined: dict[int, int] = {}
@@ -279,14 +340,9 @@ def group_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = 7
             return x
 
         out: tuple[list[int], list[int]] = ([], [])
-        every = np.arange(len(names))
-        sides = [(every[~settled], every)] if low == high else [
-            (every[(own == i) & ~settled], every[own == j]) for i, j in ((low, high), (high, low))
-        ]
+        asked, against = np.flatnonzero(own == low), np.flatnonzero(own == high)
         sizes = np.array([len(h) for h in hashes])
-        for asked, against in sides:
-            if not len(asked) or not len(against):
-                continue
+        if len(asked) and len(against):
             common = intersections([hashes[i] for i in asked], [hashes[j] for j in against])
             union = sizes[asked][:, None] + sizes[against][None, :] - common
             for i, j in zip(*np.nonzero(100 * common >= percent * union)):

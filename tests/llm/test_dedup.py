@@ -8,8 +8,9 @@ import random
 import numpy as np
 import pytest
 
+from linewatch.llm import ngram_join
 from linewatch.llm.components import connected_components
-from linewatch.llm.ngram_join import Bands, group_links, intersections, one_of_each_group, similar_groups
+from linewatch.llm.ngram_join import Bands, group_links, intersections, one_of_each_group, similar_groups, sketch
 from linewatch.llm.repeats import Rolling, bytes_of, least_places
 from linewatch.llm.substring_dedup import remove_repeats, substring_digests, without_repeats
 from linewatch.llm.suffix_dedup import remove_repeated_bytes
@@ -112,6 +113,46 @@ def test_blocks_find_the_links_of_all_components(spark):
     assert roots([(r.a // 40, r.b // 40) for r in links]) == roots(want)
 
 
+def test_texts_chained_by_chance_are_not_sent_to_blocks(spark, monkeypatch):
+    """Different texts share keys of empty segments, the more the larger the table; blocks of such a chain grow with its square."""
+    rng = random.Random(12)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 140))] for _ in range(3000)]
+    texts += [[*t[:50], "other", *t[51:]] for t in texts[:100]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    largest = []
+
+    def spy(placed, sets, percent, **more):
+        groups = placed.groupBy("group").agg({"set": "count", "root": "max"}).collect()
+        largest.append(max((r["count(set)"] for r in groups), default=0))
+        return group_links(placed, sets, percent, **more)
+
+    monkeypatch.setattr(ngram_join, "group_links", spy)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(spark.createDataFrame(docs, SCHEMA), 5, 80).collect()}
+    assert got == brute_groups(docs, 5, 80) and got[3000][1] == 0
+    assert len(largest) == 1 and largest[0] <= 4
+
+
+def test_blocks_join_a_large_component_and_few_others(spark):
+    rng = np.random.default_rng(8)
+    base = np.arange(100)
+    sets = [np.append(base, 100 + rng.choice(900, 3, replace=False)) for _ in range(390)] + [np.arange(2000 + 50 * i, 2050 + 50 * i) for i in range(9)] + [base[:90]]
+    frame = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "set long, hashes array<long>")
+    placed = spark.createDataFrame([(i, 0, 0 if i < 390 else i) for i in range(400)], "set long, group long, root long")
+    links = group_links(placed, frame, 80, block=16).collect()
+    assert links and {min(r.a, r.b) < 390 and max(r.a, r.b) for r in links} == {399}
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 30, 3000, 60_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        a[: n // 3] >>= np.uint64(9)  # many in one part
+        b = np.union1d(a[: n - n // 10], rng.integers(0, 1 << 64, n // 7, dtype=np.uint64))
+        x, y = (np.frombuffer(sketch(s), np.uint8).astype(int) for s in (a, b))
+        assert len(x) == len(y) == ngram_join.PARTS and abs(x - y).sum() <= len(np.setxor1d(a, b))
+    assert not np.frombuffer(sketch(np.empty(0, np.uint64)), np.uint8).any()
+
+
 @pytest.mark.parametrize("heavy", [0, 4, 10**9])
 def test_intersections(heavy):
     rng = np.random.default_rng(1)
